@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerlake.functions.staging import materialize, running_total
+from ledgerlake.functions.staging import join_small, materialize, running_total
 
 #: 2**32 / golden ratio, odd: i * PHI mod 2**32 is the i-th point, in exact integers.
 PHI = 2654435769
 #: Words in a block at most, unless the mix would need over MAX_SLOTS; and slots at least, so that small sources get near their targets too.
 BLOCK, LEAST_SLOTS, MAX_SLOTS = 256, 1 << 17, 1 << 30
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 #: The points are joined to sources by equal parts of their range.
 PARTS = 4096
 
@@ -101,10 +101,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs repeated as often as the mix takes them whole, the last pass counted if it takes at least half of the words."""
+    """docs repeated as often as the mix takes them whole; a last pass counts if it takes at least half of the words."""
     took = mix(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("_tid")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_times"))
-    rows = docs.join(took, F.col(id_col).eqNullSafe(F.col("_tid")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.floor(F.col("_times") + 0.5).cast("int")))).filter("_copy >= 1 and _times >= 0.5").select(*docs.columns)
+    times = took.filter("_times >= 0.5").select(F.coalesce(F.col("_tid").cast("string"), F.lit("null")).alias("_key"), "_times")
+    rows = join_small(docs.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), times, "_key", "inner")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.floor(F.col("_times") + 0.5).cast("int")))).select(*docs.columns)
 
 
 #: The same rows in SQL: `taken` follows from the number of slots that each source draws.
