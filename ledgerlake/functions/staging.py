@@ -55,3 +55,15 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
         same = c if same is None else same & c
     local = df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return local.join(base, same).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in", *[f"_k{i}" for i in range(len(keys))])
+
+
+#: Rows of (id, small value) that are broadcast at most; a larger side is joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def join_small(df: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
+    """Joins df with a side of few columns on its column `key`, broadcast only if its counted rows are within the bound."""
+    side = materialize(side, "side")
+    if side.count() <= MAX_BROADCAST_ROWS:
+        side = F.broadcast(side)
+    return df.join(side, key, how)
