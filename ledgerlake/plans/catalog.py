@@ -1,4 +1,804 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the library's own operators, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerlake.operators import fx, intake, interest, ledger, privacy, text, threshold
+from ledgerlake.plans.fixtures import table, view, with_views
+from ledgerlake.sources import readers
+
+YEAR, PERIOD_YEAR, LIMIT = 2024, 1998, 1000
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def flat(df: DataFrame) -> DataFrame:
+    """Plain column types for comparison: dates as text, decimals as doubles, lists as text."""
+    out = []
+    for f in df.schema:
+        c, t = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(t, T.DateType):
+            c = c.cast("string")
+        elif isinstance(t, T.DecimalType):
+            c = c.cast("double")
+        elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
+            c = c.cast("bigint")
+        elif isinstance(t, T.ArrayType):
+            c = F.array_join(c.cast("array<string>"), ";")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function as a query, with its SQL."""
+
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return flat(f(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# Shared inputs.
+
+
+def candidates(spark, d):
+    return view(spark, d, "v_candidates")
+
+
+def accounts(spark, d):
+    return view(spark, d, "v_accounts")
+
+
+def year_ledger(spark, d):
+    return ledger.daily_ledger(candidates(spark, d), accounts(spark, d), YEAR)
+
+
+def usd_ledger(spark, d):
+    rows = year_ledger(spark, d).join(accounts(spark, d).select("account_id", "currency"), "account_id").withColumn("tax_year", F.lit(YEAR))
+    return fx.to_usd(rows, view(spark, d, "v_fx"))
+
+
+def models(spark, d):
+    rows = view(spark, d, "v_attestations").filter("evidence_class = 'user-attested-maximum'")
+    return rows.select("filer_id", "account_id", F.col("maximum_native").alias("maximum_usd"), "maximum_date")
+
+
+# The same inputs in DuckDB SQL.
+
+_PICK = """
+pick as (select filer_id, account_id, balance_date, max(amount) as amount, arg_max(source_ref, {'a': amount, 's': -seq}) as source_ref,
+  arg_max(candidate_type, {'a': amount, 's': -seq}) as candidate_type, arg_max(confidence, {'a': amount, 's': -seq}) as conf,
+  case when bool_and(candidate_type = 'reconstructed-from-movements') then arg_max(amount, seq) else max(amount) end as carry_amount,
+  case when bool_and(candidate_type = 'reconstructed-from-movements') then arg_max(source_ref, seq) else arg_max(source_ref, {'a': amount, 's': -seq}) end as carry_ref,
+  count(*) as candidate_count, min(amount) as low_amount,
+  (count(distinct amount) > 1 and max(amount) - min(amount) > abs(max(amount)) * 0.5) as material_variance
+  from v_candidates group by all)"""
+_LEDGER = (
+    _PICK
+    + f""",
+spine as (select filer_id, account_id, currency, cast(unnest(generate_series(date '{YEAR}-01-01', date '{YEAR}-12-31', interval 1 day)) as date) as d from v_accounts),
+filled as (select s.filer_id, s.account_id, s.currency, s.d, p.amount as own, p.candidate_type, p.conf, p.source_ref as own_ref, p.material_variance, p.carry_amount as own_carry,
+  last_value(p.carry_amount ignore nulls) over w as carried, last_value(p.carry_ref ignore nulls) over w as carried_ref
+  from spine s left join pick p on p.account_id = s.account_id and p.balance_date = s.d
+  window w as (partition by s.account_id order by s.d rows between unbounded preceding and current row)),
+ledger as (select filer_id, account_id, currency, d, case when own is not null then own else carried end as native_balance,
+  case when own is null and carried is null then 'missing-opening-coverage' when own is null then 'carried-forward' when candidate_type = 'period-end-summary' then 'period-end-summary' else 'observed' end as balance_source,
+  case when own is null and carried is null then 'missing-opening' when own is null then 'carried-forward' when candidate_type in ('period-end-summary', 'reconstructed-from-movements') then candidate_type else 'transaction' end as evidence_class,
+  case when own is null and carried is null then 'missing' when own is null then 'medium' when material_variance and conf = 'high' then 'medium' else conf end as confidence,
+  case when own is not null then own_ref else carried_ref end as source_ref,
+  coalesce(material_variance, false) as variance, coalesce(own is not null and own_carry <> own, false) as eod from filled)"""
+)
+_MICRO = "cast(case when l.currency = 'USD' then cast(native_balance * 1000000 as hugeint) else (2000000 * cast(native_balance * 1000000 as hugeint) + cast(foreign_per_usd * 1000000 as hugeint)) // (2 * cast(foreign_per_usd * 1000000 as hugeint)) end as bigint)"
+_USD = (
+    _LEDGER
+    + f""",
+usd as (select l.filer_id, l.account_id, l.d, l.currency, l.native_balance, {_MICRO} as micro from ledger l left join v_fx f on f.currency = l.currency and f.rate_year = {YEAR})"""
+)
+_MODELS = "models as (select filer_id, account_id, cast(maximum_native * 1000000 as bigint) as micro, maximum_date from v_attestations where evidence_class = 'user-attested-maximum')"
+_COMBINED = (
+    _USD
+    + ",\n"
+    + _MODELS
+    + """,
+days as (select filer_id, d, cast(coalesce(sum(micro), 0) as bigint) as dated from usd group by all),
+tops as (select filer_id, cast(sum(micro) as bigint) as top from models group by all),
+dtops as (select filer_id, maximum_date as d, cast(sum(micro) as bigint) as dtop from models where maximum_date is not null group by all),
+combined as (select y.filer_id, y.d, dated + coalesce(dtop, 0) as known, dated + coalesce(top, 0) as upper from days y left join tops t on t.filer_id = y.filer_id left join dtops x on x.filer_id = y.filer_id and x.d = y.d)"""
+)
+_L = with_views("v_candidates", "v_accounts") + "," + _LEDGER
+_U = with_views("v_candidates", "v_accounts", "v_fx") + "," + _USD
+_C = with_views("v_candidates", "v_accounts", "v_fx", "v_attestations") + "," + _COMBINED
+_GAPRUNS = """
+runs as (select *, sum(case when balance_source = 'carried-forward' then 0 else 1 end) over (partition by account_id order by d) as run from ledger)"""
+_COVER = (
+    _GAPRUNS
+    + f""",
+per_run as (select filer_id, account_id, run, count(*) as n, count(*) filter (balance_source = 'carried-forward') as carried from runs group by all),
+cover as (select filer_id, account_id, count(*) as calendar_days,
+  count(*) filter (balance_source in ('observed', 'period-end-summary')) as observed_days,
+  count(*) filter (evidence_class = 'transaction') as transaction_observed_days,
+  count(*) filter (evidence_class = 'reconstructed-from-movements') as reconstructed_observed_days,
+  count(*) filter (evidence_class = 'period-end-summary') as period_end_summary_days,
+  cast(0 as bigint) as user_attested_zero_days,
+  count(*) filter (balance_source = 'carried-forward') as carried_forward_days,
+  count(*) filter (evidence_class = 'missing-opening') as missing_days,
+  count(*) filter (balance_source in ('observed', 'period-end-summary') and confidence = 'low') as low_confidence_days,
+  count(*) filter (variance) as material_same_day_variance_days,
+  cast(min(d) filter (balance_source in ('observed', 'period-end-summary')) as varchar) as first_observed_date,
+  cast(max(d) filter (balance_source in ('observed', 'period-end-summary')) as varchar) as last_observed_date,
+  (select max(carried) from per_run r where r.account_id = l.account_id) as longest_carry_run_days,
+  (select count(*) from per_run r where r.account_id = l.account_id and carried > 40) as carry_gaps,
+  count(*) filter (evidence_class = 'missing-opening') = 0 as complete_year,
+  coalesce(date_diff('day', max(d) filter (balance_source in ('observed', 'period-end-summary')), date '{YEAR}-12-31'), 0) as trailing_carry_days
+  from ledger l group by filer_id, account_id)"""
+)
+
+
+# Ledgers.
+
+
+@query(with_views("v_candidates") + "," + """
+paged as (select *, seq // 10 as page_key from v_candidates),
+a as (select *, 'compact' as lane from paged where page_key % 3 = 0), b as (select *, 'structured' as lane from paged where page_key % 2 = 0), c as (select *, 'fallback' as lane from paged)
+select lane, seq, cast(page_key as bigint) as page_key from a
+union all select lane, seq, cast(page_key as bigint) from b where page_key not in (select page_key from a)
+union all select lane, seq, cast(page_key as bigint) from c where page_key not in (select page_key from a union select page_key from b)""")
+def l01_union_candidates(spark, d):
+    rows = candidates(spark, d).withColumn("page_key", F.expr("seq div 10"))
+    lanes = [rows.filter("page_key % 3 = 0").withColumn("lane", F.lit("compact")), rows.filter("page_key % 2 = 0").withColumn("lane", F.lit("structured")), rows.withColumn("lane", F.lit("fallback"))]
+    return ledger.union_candidates(*lanes).select("lane", "seq", "page_key")
+
+
+@query(with_views("v_candidates") + "," + _PICK + """
+select filer_id, account_id, cast(balance_date as varchar) as balance_date, cast(amount as double) as amount, cast(carry_amount as double) as carry_amount, carry_ref, source_ref, candidate_type, conf as picked_confidence, candidate_count, cast(low_amount as double) as low_amount, material_variance from pick""")
+def l03_same_day_pick(spark, d):
+    return ledger.same_day_pick(candidates(spark, d))
+
+
+@query(with_views("v_candidates") + """
+select filer_id, account_id, cast(balance_date as varchar) as balance_date, cast(min(amount) as double) as low_amount, cast(max(amount) as double) as high_amount, count(*) as candidate_count,
+  string_agg(source_ref, ';' order by amount, source_ref) as refs
+from v_candidates group by filer_id, account_id, balance_date having count(distinct amount) > 1 and max(amount) - min(amount) > abs(max(amount)) * 0.5""")
+def l04_same_day_variance(spark, d):
+    return ledger.same_day_variance(candidates(spark, d)).withColumn("refs", F.expr("transform(candidates, c -> c.source_ref)")).drop("candidates")
+
+
+@query(_L + """
+select filer_id, account_id, cast(d as varchar) as date, cast(native_balance as double) as native_balance, balance_source, evidence_class, confidence, source_ref,
+  concat_ws(';', case when variance then 'material-same-day-balance-candidates' end, case when eod then 'reconstructed-end-of-day-carry' end) as review_flags from ledger""")
+def l05_daily_ledger(spark, d):
+    return year_ledger(spark, d)
+
+
+@query(_L + "," + _GAPRUNS + """
+select filer_id, account_id, cast(min(d) as varchar) as start, cast(max(d) as varchar) as "end", count(*) as days from runs where balance_source = 'carried-forward' group by filer_id, account_id, run having count(*) > 40""")
+def l06_carry_gaps(spark, d):
+    return ledger.carry_gaps(year_ledger(spark, d))
+
+
+@query(with_views("v_attestations") + f"""
+select filer_id, account_id, cast(cast(unnest(generate_series(date '{YEAR}-01-01', date '{YEAR}-12-31', interval 1 day)) as date) as varchar) as date, cast(0 as double) as native_balance, 'user-attested-zero' as evidence_class
+from v_attestations where evidence_class = 'user-attested-zero'""")
+def l07_attested_ledger(spark, d):
+    return ledger.attested_ledger(view(spark, d, "v_attestations"), YEAR)
+
+
+@query(_L + "," + _COVER + " select * from cover")
+def l08_coverage(spark, d):
+    return ledger.coverage(year_ledger(spark, d), YEAR)
+
+
+@query(_L + "," + _COVER + """
+select filer_id, account_id, p as evidence_profile, case when short then 'insufficient-records' else 'review-required' end as daily_threshold_answer, case when short then 'not-determinable' else 'review-required' end as maximum_value_answer,
+  concat_ws(';', case when p = 'period-end-only' then p end, case when observed_days = 0 then 'no-balance-observations' end, case when missing_days > 0 then 'missing-opening-coverage' end, case when carry_gaps > 0 then 'long-carry-forward-gap' end) as reason_codes
+from (select *, missing_days > 0 or carry_gaps > 0 or observed_days = 0 as short,
+  case when reconstructed_observed_days > 0 and transaction_observed_days + period_end_summary_days > 0 then 'mixed-formal-and-reconstructed' when reconstructed_observed_days > 0 then 'reconstructed-from-movements'
+       when transaction_observed_days > 0 and period_end_summary_days > 0 then 'mixed-transaction-and-period-end' when transaction_observed_days > 0 then 'transaction-rows' when period_end_summary_days > 0 then 'period-end-only' else 'no-balance-observations' end as p from cover)""")
+def l09_data_sufficiency(spark, d):
+    return ledger.data_sufficiency(ledger.coverage(year_ledger(spark, d), YEAR))
+
+
+_PAGES = with_views("v_checkpoints") + """,
+sums as (select page_key, sum(credit) as c, sum(debit) as b, count(*) as n from v_movements group by page_key),
+report as (select k.page_key, n as "rows", cast(opening as double) as opening, cast(closing as double) as closing, cast(opening + c - b as double) as computed, abs(opening + c - b - closing) <= 0.005 as passed from v_checkpoints k join sums s using (page_key))"""
+
+
+@query(_PAGES + """
+select page_key, cast(movement_date as varchar) as movement_date, cast(row_number as bigint) as row_number,
+  cast(100000 + sum(credit - debit) over (partition by page_key order by movement_date, row_number rows unbounded preceding) as double) as balance, 'reconstructed-from-movements' as candidate_type
+from v_movements where page_key in (select page_key from report where passed)""")
+def l10_reconcile_candidates(spark, d):
+    return ledger.reconcile_movements(view(spark, d, "v_movements"), view(spark, d, "v_checkpoints"))[0]
+
+
+@query(_PAGES + " select * from report")
+def l10_reconcile_report(spark, d):
+    return ledger.reconcile_movements(view(spark, d, "v_movements"), view(spark, d, "v_checkpoints"))[1]
+
+
+@query(_L + """
+select filer_id, account_id, code, count(*) as days, cast(min(d) as varchar) as first_date, cast(max(d) as varchar) as last_date from (
+  select filer_id, account_id, d, 'material-same-day-balance-candidates' as code from ledger where variance union all select filer_id, account_id, d, 'reconstructed-end-of-day-carry' from ledger where eod) group by filer_id, account_id, code""")
+def l11_review_summary(spark, d):
+    return ledger.review_summary(year_ledger(spark, d))
+
+
+@query(with_views("v_candidates", "v_accounts") + """
+select a.filer_id, a.account_id, count(c.seq) as observations, case when count(c.seq) = 0 then 'unresolved-no-observations' when bool_or(c.candidate_type = 'reconstructed-from-movements') then 'reconstructed-from-movements' else 'formal-extracted' end as evidence_class,
+  case when a.filer_id % 9 = 0 then 'parser-coverage-defect' else 'extracted' end as status
+from v_accounts a left join v_candidates c on c.account_id = a.account_id and c.amount > 5 group by a.filer_id, a.account_id""")
+def l12_evidence_class(spark, d):
+    return ledger.evidence_class(candidates(spark, d).filter("amount > 5"), accounts(spark, d), failed=accounts(spark, d).filter("filer_id % 9 = 0"))
+
+
+@query("""
+select c_custkey, concat_ws('-', trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-'), case when c_custkey % 3 = 0 then '1998' else right(lpad(cast(c_custkey as varchar), 10, '0'), 4) end) as account_id from customer""")
+def l13_account_id(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("institution"), F.when(F.col("c_custkey") % 3 != 0, F.lpad(F.col("c_custkey").cast("string"), 10, "0")).alias("hint"), F.lit(1998).alias("tax_year"))
+    return ledger.account_id(rows).select("c_custkey", "account_id")
+
+
+# Rates.
+
+
+@query("""
+select p_partkey, cast(round(cast(p_retailprice as decimal(14,6)), 6) as double) as foreign_per_usd,
+  cast(((2 * 1000000000000000000 + cast(cast(p_retailprice as decimal(14,6)) * 1000000 as hugeint)) // (2 * cast(cast(p_retailprice as decimal(14,6)) * 1000000 as hugeint))) as double) / 1e12 as usd_per_foreign from part""")
+def x04_rate_pair(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(14,6)").alias("rate"), F.lit("foreign_per_usd").alias("rate_direction"))
+    return fx.rate_pair(rows).select("p_partkey", "foreign_per_usd", "usd_per_foreign")
+
+
+@query(_U + f"""
+select filer_id, account_id, cast(d as varchar) as date, currency, cast(native_balance as double) as native_balance, cast(micro as double) / 1000000 as threshold_usd_value, cast((micro + 5000) // 10000 as double) / 100 as usd_balance, {YEAR} :: bigint as tax_year from usd""")
+def x05_to_usd(spark, d):
+    return usd_ledger(spark, d).select("filer_id", "account_id", "date", "currency", "native_balance", "threshold_usd_value", "usd_balance", "tax_year")
+
+
+_SPOT = with_views("v_interest", "v_spot") + ", j as (select i.*, s.rate from v_interest i left join v_spot s on s.currency = i.currency and s.rate_date = i.event_date)"
+
+
+@query(_SPOT + """
+select event_id, currency, cast(amount as double) as amount, cast(cast((2000000 * cast(amount * 1000000 as hugeint) + cast(rate * 1000000 as hugeint)) // (2 * cast(rate * 1000000 as hugeint)) as bigint) as double) / 1000000 as usd from j where rate is not null""")
+def x06_spot_usd(spark, d):
+    return fx.spot_usd(view(spark, d, "v_interest"), view(spark, d, "v_spot"))[0].select("event_id", "currency", "amount", "usd")
+
+
+@query(_SPOT + " select event_id, 'missing-spot-rate' as code from j where rate is null")
+def x06_spot_violations(spark, d):
+    return fx.spot_usd(view(spark, d, "v_interest"), view(spark, d, "v_spot"))[1]
+
+
+@query("""
+select country, currency, cast(y as bigint) as year, cast(rate as double) as rate from (
+  select s_name as country, cast(s_nationkey as varchar) as currency, 2022 as y, cast(s_acctbal as decimal(14,6)) as rate from supplier
+  union all select s_name, cast(s_nationkey as varchar), 2023, cast(s_acctbal * 2 as decimal(14,6)) from supplier
+  union all select s_name, cast(s_nationkey as varchar), 2024, case when s_suppkey % 4 <> 0 then cast(s_acctbal + 1 as decimal(14,6)) end from supplier) where rate is not null""")
+def r04_unpivot_year_rates(spark, d):
+    rows = table(spark, d, "supplier").selectExpr("s_name as country", "cast(s_nationkey as string) as currency", "replace(cast(cast(s_acctbal as decimal(14,6)) as string), '.', ',') as y2022", "cast(cast(s_acctbal * 2 as decimal(14,6)) as string) as y2023", "case when s_suppkey % 4 <> 0 then cast(cast(s_acctbal + 1 as decimal(14,6)) as string) end as y2024")
+    return fx.unpivot_year_rates(rows, ["y2022", "y2023", "y2024"])
+
+
+# Thresholds.
+
+
+@query(with_views("v_candidates", "v_accounts", "v_fx") + "," + _LEDGER + "," + _COVER + """,
+r as (select a.filer_id, a.account_id, a.currency, concat_ws(';', case when observed_days = 0 then 'no-observations' end, case when missing_days > 0 then 'missing-days' end, case when low_confidence_days > 0 then 'low-confidence-days' end,
+  case when carry_gaps > 0 and a.filer_id % 2 = 0 then 'carry-forward-gaps' end) as reasons from v_accounts a join cover c on c.account_id = a.account_id)
+select *, reasons = '' as confirmed from r""")
+def t01_confirm_accounts(spark, d):
+    a = accounts(spark, d)
+    return threshold.confirm_accounts(ledger.coverage(year_ledger(spark, d), YEAR), a, view(spark, d, "v_fx"), YEAR, accepted=a.filter("filer_id % 2 = 1"))
+
+
+@query(with_views("v_attestations") + """,
+a as (select *, case when filer_id % 3 = 0 then '1.2' when filer_id % 3 = 1 then '1.10' else '2.0' end as v from v_attestations)
+select filer_id, account_id, concat_ws(';', case when v = '1.2' then 'schema-too-old' end, case when filer_id % 5 = 0 then 'not-confirmed' end, case when filer_id % 7 = 0 then 'non-formal-marked-eligible' end) as reasons, not (v = '1.2' or filer_id % 5 = 0 or filer_id % 7 = 0) as eligible from a""")
+def t02_eligible_accounts(spark, d):
+    rows = view(spark, d, "v_attestations").selectExpr("*", "case filer_id % 3 when 0 then '1.2' when 1 then '1.10' else '2.0' end as schema_version", "filer_id % 5 <> 0 as confirmed", "filer_id % 7 = 0 as formal_eligibility", "0 as missing_days", "0 as unconverted_rows")
+    return threshold.eligible_accounts(rows).select("filer_id", "account_id", "reasons", "eligible")
+
+
+@query("""
+with a as (select c_nationkey as filer_id, c_mktsegment as account_id, c_custkey % 7 as hint, case when c_nationkey % 2 = 0 then 1998 else 1998 + c_custkey % 2 end as y from customer)
+select cast(filer_id as bigint) as entity, 'duplicate-account' as code, cast(count(*) as varchar) as detail from a group by filer_id, account_id, hint having count(*) > 1
+union all select cast(filer_id as bigint), 'mixed-tax-years', cast(count(distinct y) as varchar) from a group by filer_id having count(distinct y) > 1""")
+def t03_duplicate_accounts(spark, d):
+    rows = table(spark, d, "customer").selectExpr("c_nationkey as filer_id", "c_mktsegment as account_id", "'bank' as institution", "c_custkey % 7 as hint", "case when c_nationkey % 2 = 0 then 1998 else 1998 + c_custkey % 2 end as tax_year")
+    return threshold.duplicate_accounts(rows)
+
+
+@query("""
+select c_custkey, case when r = 1 then slug else concat(slug, '-', r) end as label from (
+  select c_custkey, slug, row_number() over (partition by c_nationkey, slug order by c_custkey) as r from (select c_custkey, c_nationkey, lower(c_mktsegment) as slug from customer))""")
+def t04_account_labels(spark, d):
+    rows = table(spark, d, "customer").selectExpr("c_nationkey as filer_id", "c_mktsegment as account_id", "c_custkey")
+    return threshold.account_labels(rows, order="c_custkey").select("c_custkey", "label")
+
+
+@query(_C + """
+select filer_id, account_id, cast(max(micro) as double) / 1000000 as max_usd_value, cast(min(d) filter (micro = top) as varchar) as max_date, 'exact-daily' as value_model, (max(micro) + 999999) // 1000000 as max_usd_whole_dollars
+from (select *, max(micro) over (partition by account_id) as top from usd where micro is not null) group by filer_id, account_id
+union all select filer_id, account_id, cast(micro as double) / 1000000, cast(maximum_date as varchar), 'annual-maximum', (micro + 999999) // 1000000 from models""")
+def t05_account_maxima(spark, d):
+    return threshold.account_maxima(usd_ledger(spark, d), models(spark, d))
+
+
+@query(_C + f"""
+select filer_id, cast(d as varchar) as date, cast(known as double) / 1000000 as known_total_usd, cast(upper as double) / 1000000 as upper_bound_total_usd, known > {LIMIT} * 1000000 as over, upper > {LIMIT} * 1000000 as possibly_over from combined""")
+def t06_combined_daily(spark, d):
+    return threshold.combined_daily(usd_ledger(spark, d), models(spark, d), YEAR, LIMIT)
+
+
+@query(_U + """
+select cast(d as varchar) as date, cast(max(micro) filter (account_id = '1-click') as double) / 1000000 as "1-click", cast(max(micro) filter (account_id = '1-view') as double) / 1000000 as "1-view", cast(max(micro) filter (account_id = '1-signup') as double) / 1000000 as "1-signup" from usd where filer_id = 1 group by d""")
+def t07_combined_wide(spark, d):
+    return threshold.combined_wide(usd_ledger(spark, d), 1, ["1-click", "1-view", "1-signup"])
+
+
+_ANSWER = _C + f""",
+answer as (select filer_id, case when count(*) filter (known > {LIMIT} * 1000000) > 0 then 'yes' when count(*) filter (upper > {LIMIT} * 1000000) = 0 then 'no' else 'review-required' end as answer,
+  case when (count(*) filter (known > {LIMIT} * 1000000) > 0) = (count(*) filter (upper > {LIMIT} * 1000000) > 0) then 'not-sensitive' else 'sensitive-to-undated-evidence' end as answer_sensitivity,
+  count(*) filter (known > {LIMIT} * 1000000) as over_days, count(*) filter (upper > {LIMIT} * 1000000) as possibly_over_days,
+  coalesce(string_agg(cast(d as varchar), ';' order by d) filter (known > {LIMIT} * 1000000), '') as over_dates,
+  cast(max(known) as double) / 1000000 as max_combined_usd, cast(case when max(known) > 0 then min(d) filter (known = top_known) end as varchar) as max_combined_date,
+  cast(max(upper) as double) / 1000000 as max_upper_bound_usd, cast(case when max(upper) > 0 then min(d) filter (upper = top_upper) end as varchar) as max_upper_bound_date, 'date-only-upper-bound' as time_alignment
+  from (select *, max(known) over (partition by filer_id) as top_known, max(upper) over (partition by filer_id) as top_upper from combined) group by filer_id)"""
+
+
+@query(_ANSWER + " select * from answer")
+def t08_threshold_answer(spark, d):
+    return threshold.threshold_answer(threshold.combined_daily(usd_ledger(spark, d), models(spark, d), YEAR, LIMIT))
+
+
+@query(_U + """,
+m as (select filer_id, account_id, max(micro) as micro from usd where micro is not null group by all),
+s as (select filer_id, cast(sum((micro + 999999) // 1000000) as bigint) as sum_of_ceilings, cast((sum(micro) + 999999) // 1000000 as bigint) as ceiling_of_sum from m group by filer_id)
+select *, (sum_of_ceilings > 1000) <> (ceiling_of_sum > 1000) as depends from s""")
+def t09_rounding_dependency(spark, d):
+    return threshold.rounding_dependency(threshold.account_maxima(usd_ledger(spark, d)), LIMIT)
+
+
+@query(_U + """
+select filer_id, account_id, cast(d as varchar) as date, cast((micro + 5000) // 10000 as double) / 100 + 1 as stored_usd, cast((micro + 5000) // 10000 as double) / 100 as usd_balance, cast(micro as double) / 1000000 as stored_threshold, cast(micro as double) / 1000000 as threshold_usd_value from usd where micro is not null and filer_id % 10 = 0 and day(d) = 1""")
+def t10_verify_conversion(spark, d):
+    stored = usd_ledger(spark, d).withColumn("usd_balance", F.when((F.col("filer_id") % 10 == 0) & (F.dayofmonth("date") == 1), F.col("usd_balance") + 1).otherwise(F.col("usd_balance"))).drop("usd_micro", "negative")
+    return threshold.verify_conversion(stored, view(spark, d, "v_fx"))
+
+
+@query(_ANSWER + """
+select filer_id, case when filer_id % 20 = 0 then 'not-stored' else 'answer' end as field, case when filer_id % 20 = 0 then null else concat(answer, '?') end as stored, case when filer_id % 20 = 0 then null else answer end as computed from answer where filer_id % 20 = 0 or filer_id % 6 = 0""")
+def t11_verify_summary(spark, d):
+    computed = threshold.threshold_answer(threshold.combined_daily(usd_ledger(spark, d), models(spark, d), YEAR, LIMIT)).withColumn("over_dates", F.array_join(F.col("over_dates").cast("array<string>"), ";"))
+    stored = computed.filter("filer_id % 20 <> 0").withColumn("answer", F.when(F.col("filer_id") % 6 == 0, F.concat("answer", F.lit("?"))).otherwise(F.col("answer")))
+    return threshold.verify_summary(stored, computed, ["answer", "answer_sensitivity", "over_days", "over_dates", "max_combined_usd", "max_combined_date"])
+
+
+@query(with_views("v_files") + """,
+m as (select path, content_bytes + case when doc_id % 5 = 0 then 1 else 0 end as b, content_sha256 from v_files where doc_id % 9 <> 0 union all select concat(path, '.gone'), 1, 'x' from v_files where doc_id % 10 = 0)
+select f.path, case when m.path is null then 'extra' else 'changed' end as code from v_files f left join m using (path) where m.path is null or m.b <> f.content_bytes
+union all select path, 'missing' from m where path like '%.gone'""")
+def t12_verify_bindings(spark, d):
+    files = view(spark, d, "v_files")
+    listed = files.filter("doc_id % 9 <> 0").selectExpr("path", "content_bytes + case when doc_id % 5 = 0 then 1 else 0 end as content_bytes", "content_sha256")
+    gone = files.filter("doc_id % 10 = 0").selectExpr("concat(path, '.gone') as path", "1 as content_bytes", "'x' as content_sha256")
+    return threshold.verify_bindings(listed.unionByName(gone), files)
+
+
+# Intake.
+
+
+@query("""
+select conv_id, text, turn, row_number() over (partition by conv_id order by turn) as place from (
+  select conv_id, text, turn, row_number() over (partition by conv_id, lower(trim(text)) order by turn) as r from conversations where trim(text) <> '') where r = 1
+qualify place <= 3""")
+def i05_stable_unique(spark, d):
+    return intake.stable_unique(table(spark, d, "conversations").select("conv_id", "text", "turn"), ["conv_id"], "text", ["turn"], 3)
+
+
+@query(with_views("v_account_hints") + """,
+f as (select cast(group_id as bigint) as group_id, hint, file_id from v_account_hints where not is_partial),
+p as (select cast(group_id as bigint) as group_id, right(hint, 4) as tail, file_id, hint from v_account_hints where is_partial),
+o as (select p.group_id, p.hint, (select min(f.hint) from f where f.group_id = p.group_id and right(f.hint, 4) = p.tail and f.file_id = (select min(g.file_id) from f g where g.group_id = p.group_id and right(g.hint, 4) = p.tail)) as account from p)
+select group_id, account, account as shown, true as has_full, cast(count(*) as bigint) as hints from (select group_id, hint as account from f union all select group_id, account from o) group by group_id, account""")
+def i12_dedupe_accounts(spark, d):
+    return intake.dedupe_accounts(view(spark, d, "v_account_hints").withColumn("seq", F.col("file_id"))).select("group_id", "account", "shown", "has_full", "hints")
+
+
+_ONE = """,
+g as (select c_custkey % 300 as group_id, c_custkey as file_id, case when c_custkey % 4 = 0 then concat('****', right(lpad(cast(c_custkey % 300 as varchar), 10, '0'), 4)) else lpad(cast(c_custkey % 300 + case when c_custkey % 7 = 0 then 5000 else 0 end as varchar), 10, '0') end as hint, c_custkey % 4 = 0 as is_partial from customer)"""
+
+
+@query("with" + _ONE[1:] + """,
+one as (select group_id, min(hint) as account from g where not is_partial group by group_id having count(distinct hint) = 1)
+select cast(g.group_id as bigint) as group_id, g.file_id, one.account from g join one using (group_id) where not (hint = account or (is_partial and right(account, 4) = right(hint, 4)))
+union all select cast(c_custkey % 300 as bigint), c_custkey + 1000000, account from customer join one on one.group_id = c_custkey % 300 where c_custkey % 11 = 0""")
+def i13_account_linkage(spark, d):
+    c = table(spark, d, "customer")
+    hints = c.selectExpr("c_custkey % 300 as group_id", "c_custkey as file_id", "case when c_custkey % 4 = 0 then concat('****', right(lpad(cast(c_custkey % 300 as string), 10, '0'), 4)) else lpad(cast(c_custkey % 300 + case when c_custkey % 7 = 0 then 5000 else 0 end as string), 10, '0') end as hint", "c_custkey % 4 = 0 as is_partial")
+    files = hints.select("group_id", "file_id").union(c.filter("c_custkey % 11 = 0").selectExpr("c_custkey % 300", "c_custkey + 1000000"))
+    return intake.account_linkage(files, hints)
+
+
+@query("""
+with n as (select conv_id, lower(trim(role)) as l, count(*) as times, min(turn) as first, arg_min(trim(role), turn) as shown from conversations group by conv_id, lower(trim(role)))
+select conv_id, arg_max(shown, {'t': times, 'f': -first}) as label, max(times) as times from n group by conv_id""")
+def i15_most_common_label(spark, d):
+    return intake.most_common_label(table(spark, d, "conversations"), ["conv_id"], "role", "turn")
+
+
+@query(with_views("v_files") + """
+select path as entity, 'duplicate-path' as code, count(*) as n from v_files group by path having count(*) > 1
+union all select content_sha256, 'duplicate-content', count(distinct path) from v_files group by content_sha256 having count(distinct path) > 1""")
+def c01_duplicate_inputs(spark, d):
+    return intake.duplicate_inputs(view(spark, d, "v_files"))
+
+
+_INSIDE = with_views("v_periods") + f""",
+inside as (select account_id, greatest(start_date, date '{PERIOD_YEAR}-01-01') as s, least(end_date, date '{PERIOD_YEAR}-12-31') as e from v_periods where end_date >= date '{PERIOD_YEAR}-01-01' and start_date <= date '{PERIOD_YEAR}-12-31'),
+r as (select *, max(e) over (partition by account_id order by s, e rows between unbounded preceding and 1 preceding) as reach, count(*) over (partition by account_id) as n from inside),
+gaps as (select account_id, coalesce(reach + 1, date '{PERIOD_YEAR}-01-01') as a, s - 1 as b, case when reach is null then 'leading' else 'inner' end as kind from r where n > 1 and ((reach is null and s > date '{PERIOD_YEAR}-01-01') or s > reach + 1)
+  union all select account_id, max(e) + 1, date '{PERIOD_YEAR}-12-31', 'trailing' from r where n > 1 group by account_id having max(e) < date '{PERIOD_YEAR}-12-31')"""
+
+
+@query(_INSIDE + " select account_id, cast(a as varchar) as gap_start, cast(b as varchar) as gap_end, kind from gaps")
+def c11_coverage_gaps(spark, d):
+    return intake.coverage_gaps(view(spark, d, "v_periods"), PERIOD_YEAR)
+
+
+@query(_INSIDE + " select account_id, cast(min(a) as varchar) as gap_start, cast(max(b) as varchar) as gap_end, cast(max(b) + 1 as varchar) as first_period_start from gaps group by account_id having count(*) = 1 and min(kind) = 'leading'")
+def c14_opening_evidence(spark, d):
+    return intake.opening_evidence(view(spark, d, "v_periods"), PERIOD_YEAR)
+
+
+@query(with_views("v_periods") + f""",
+p as (select account_id, list_sort(list_distinct(flatten(list(range(year(start_date) + case when start_date = date '{PERIOD_YEAR - 1}-12-31' then 1 else 0 end, year(end_date) + 1))))) as py, max(case when start_date = date '{PERIOD_YEAR - 1}-12-31' then 1 else 0 end) as edge from v_periods group by account_id),
+x as (select c_custkey as account_id, [cast(1990 + c_custkey % 10 as bigint), 1997] as det, case when c_custkey % 3 = 0 then [cast(1990 + c_custkey % 10 as bigint)] else [] end as ctx from customer),
+j as (select x.account_id, list_sort(list_distinct(det)) as det, coalesce(py, []) as py, list_sort(list_filter(list_distinct(list_concat(ctx, case when coalesce(edge, 0) = 1 then [{PERIOD_YEAR - 1}] else [] end)), lambda v: not list_contains(coalesce(py, []), v))) as ctx from x left join p using (account_id)),
+k as (select *, list_filter(det, lambda v: not list_contains(ctx, v)) as rest from j)
+select account_id, array_to_string(py, ';') as period_years, array_to_string(ctx, ';') as contextual_years, array_to_string(list_filter(rest, lambda v: not list_contains(py, v)), ';') as unresolved_years, array_to_string(case when len(py) > 0 then py else rest end, ';') as coverage_years from k""")
+def c03_classify_years(spark, d):
+    files = table(spark, d, "customer").select(F.col("c_custkey").alias("account_id"))
+    years = files.selectExpr("account_id", "cast(1990 + account_id % 10 as int) as year").union(files.selectExpr("account_id", "1997"))
+    context = files.filter("account_id % 3 = 0").selectExpr("account_id", "cast(1990 + account_id % 10 as int) as year")
+    return intake.classify_years(files, years, view(spark, d, "v_periods"), context, PERIOD_YEAR, file="account_id")
+
+
+@query(with_views("v_periods") + """
+select account_id, file_id, cast(start_date as varchar) as start_date, cast(end_date as varchar) as end_date from v_periods where file_id % 5 <> 0""")
+def c08_verify_periods(spark, d):
+    periods = view(spark, d, "v_periods").selectExpr("*", "1 as page", "1 as line_no", "case when file_id % 2 = 0 then 2 else 1 end as end_line_no")
+    lines = periods.selectExpr("file_id", "page", "line_no", "array(start_date, case when file_id % 2 = 0 or file_id % 5 = 0 then date_add(end_date, 1) else end_date end) as dates").union(periods.filter("file_id % 2 = 0").selectExpr("file_id", "page", "2", "array(case when file_id % 5 = 0 then date_add(end_date, 1) else end_date end)"))
+    return intake.verify_periods(periods, lines).select("account_id", "file_id", "start_date", "end_date")
+
+
+@query(with_views("v_periods") + " select account_id, file_id, cast(start_date as varchar) as start_date, cast(end_date as varchar) as end_date from v_periods")
+def c09_place_header_year(spark, d):
+    headers = view(spark, d, "v_headers")
+    return intake.place_header_year(headers.drop("anchor_date"), headers.select("file_id", "anchor_date"), PERIOD_YEAR).select("account_id", "file_id", "start_date", "end_date")
+
+
+@query()
+def c10_chain_header_years(spark, d):
+    rows = view(spark, d, "v_periods").join(view(spark, d, "v_headers").select("file_id", "start_month", "start_day", "end_month", "end_day"), "file_id")
+    headers = rows.filter("file_id % 2 = 0").select(F.col("file_id").alias("header_id"), "account_id", "start_month", "start_day", "end_month", "end_day")
+    known = rows.filter("file_id % 2 = 1").select("account_id", "start_date", "end_date")
+    return intake.chain_header_years(headers, known, PERIOD_YEAR).select("header_id", "account_id", "start_date", "end_date")
+
+
+@query(_INSIDE + """,
+gate as (select distinct account_id as entity_id, 'possible-missing-statement-period' as code, 'review' as severity from gaps union all select distinct account_id, 'mixed-years', 'review' from v_periods where year(start_date) <> year(end_date) and account_id % 4 = 0 union all select distinct account_id, 'low-text-statements', 'stop' from v_periods where account_id % 10 = 0),
+acc as (select entity_id, code from gate where entity_id % 3 = 0),
+g as (select entity_id, string_agg(code, ';' order by code) as codes, bool_or(severity = 'stop') as stopped, bool_or(code = 'mixed-years') as mixed from gate group by entity_id),
+a as (select entity_id, string_agg(code, ';' order by code) as accepted from acc group by entity_id)
+select cast(e.entity_id as varchar) as entity_id, coalesce(codes, '') as codes, case when codes is null then 'ready' when stopped or mixed then 'review-required' when codes = accepted then 'accepted-after-review' else 'review-required' end as status
+from (select distinct account_id as entity_id from v_periods) e left join g using (entity_id) left join a using (entity_id)""")
+def c13_resolve_gates(spark, d):
+    periods = view(spark, d, "v_periods")
+    gates = intake.gate_table([
+        (intake.coverage_gaps(periods, PERIOD_YEAR), "account_id", "possible-missing-statement-period", "review", "Days of the year lie outside the periods."),
+        (periods.filter("year(start_date) <> year(end_date) and account_id % 4 = 0"), "account_id", "mixed-years", "review", "Periods of more than one year."),
+        (periods.filter("account_id % 10 = 0"), "account_id", "low-text-statements", "stop", "Too little text."),
+    ])
+    return intake.resolve_gates(periods.select(F.col("account_id").alias("entity_id")), gates, gates.filter("cast(entity_id as bigint) % 3 = 0"))
+
+
+@query(with_views("v_headers") + """
+select file_id, substr(sha256(concat('{"end_day":', end_day, ',"end_month":', end_month, ',"line_no":', file_id, ',"start_day":', start_day, ',"start_month":', start_month, '}')), 1, 16) as period_id from v_headers where file_id % 4 = 1""")
+def c15_unresolved_periods(spark, d):
+    headers = view(spark, d, "v_headers").withColumn("header_id", F.col("file_id")).withColumn("line_no", F.col("file_id"))
+    return intake.unresolved_periods(headers, headers.filter("file_id % 4 <> 1")).select("file_id", "period_id")
+
+
+# Privacy.
+
+
+@query(with_views("v_files") + """,
+f as (select path, lower(split_part(path, '/', -1)) as name, regexp_matches(path, '^(.*/)?(work|outputs)/') as gen from v_files),
+b as (select path, gen, ends_with(name, '.env') as env, ends_with(name, '.pdf') as pdf, ends_with(name, '.pem') as pem, regexp_matches(path, '(?i)secret|credential|token') as tok from f)
+select path, 'generated_artifact_path' as code, 'block' as severity from b where gen union all select path, 'secret_env_file', 'block' from b where env union all select path, 'private_binary_export', 'block' from b where pdf
+union all select path, 'secret_filename', 'block' from b where pem union all select path, 'suspicious_credential_filename', 'warning' from b where tok and not (gen or env or pdf or pem)""")
+def s01_path_findings(spark, d):
+    return privacy.path_findings(view(spark, d, "v_files")).select("path", "code", "severity")
+
+
+@query(with_views("v_files") + " select path, path like 'src1/%' or path like '%/outputs/%' as skipped from v_files")
+def s02_apply_ignore(spark, d):
+    return privacy.apply_ignore(view(spark, d, "v_files").select("path"), ["# comment", "src1/", "*/outputs"])
+
+
+@query(with_views("v_secret_lines") + """
+select doc_id, line_no, 'secret_credential_assignment' as code, 'block' as severity from v_secret_lines where len(list_filter(regexp_extract_all(line, 'access_token\\s*[:=]\\s*["'']?([^''"\\s#]+)', 1), lambda v: len(v) >= 12 and not regexp_matches(v, '[()\\[\\]{}$]'))) > 0
+union all select doc_id, line_no, 'secret_password_assignment', 'block' from v_secret_lines where len(list_filter(regexp_extract_all(line, '(?i)(?:^|[^A-Za-z0-9])(?:password|passwd)\\s*[:=]\\s*["'']?([^''"\\s#]+)', 1), lambda v: len(v) >= 8 and not regexp_matches(v, '[()\\[\\]{}$]'))) > 0""")
+def s04_assignment_findings(spark, d):
+    return privacy.line_findings(view(spark, d, "v_secret_lines"), ("assignment",))
+
+
+@query(with_views("v_lines") + """
+select doc_id, line_no, 'pii_email' as code, 'warning' as severity from v_lines where len(list_filter(regexp_extract_all(line, '(?i)\\b[A-Z0-9._%+-]+@([A-Z0-9.-]+\\.[A-Z]{2,})\\b', 1), lambda v: lower(v) not in ('example.com', 'example.org', 'example.net', 'test.com', 'localhost') and not ends_with(lower(v), '.example'))) > 0""")
+def s06_email_findings(spark, d):
+    return privacy.line_findings(view(spark, d, "v_lines"), ("email",))
+
+
+@query(with_views("v_lines") + """
+select doc_id, line_no, 'pii_phone' as code, 'warning' as severity from v_lines where regexp_matches(regexp_replace(line, '[0-9a-fA-F]{32,}', '#', 'g'), '(^|[^0-9])(\\+?1[-.\\s]?)?(\\(?[2-9][0-9]{2}\\)?[-.\\s]?)[2-9][0-9]{2}[-.\\s]?[0-9]{4}($|[^0-9])')""")
+def s07_phone_findings(spark, d):
+    return privacy.line_findings(view(spark, d, "v_lines"), ("phone",))
+
+
+@query(with_views("v_lines") + """
+select doc_id, line_no, 'pii_ein' as code, 'warning' as severity from v_lines where regexp_matches(line, '\\b[0-9]{2}-[0-9]{7}\\b') union all select doc_id, line_no, 'pii_tax_id', 'warning' from v_lines where regexp_matches(line, '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b')""")
+def s08_tax_id_findings(spark, d):
+    return privacy.line_findings(view(spark, d, "v_lines"), ("tax_id",))
+
+
+@query()
+def s09_card_findings(spark, d):
+    return privacy.line_findings(view(spark, d, "v_lines"), ("card",))
+
+
+@query(with_views("v_lines") + """
+select doc_id, line_no, 'pii_iban' as code, 'warning' as severity from v_lines where regexp_matches(line, '\\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\\b')
+union all select doc_id, line_no, 'pii_account_context', 'warning' from v_lines where regexp_matches(line, '(?i)\\b(account\\s*(number|no\\.?|#)|routing\\s*(number|no\\.?|#)|sort\\s*code|iban|swift|bic)\\b') and regexp_matches(line, '[0-9]{4,}')
+union all select doc_id, line_no, 'pii_address', 'warning' from v_lines where regexp_matches(line, '(?i)\\b[0-9]{1,6}\\s+[A-Za-z0-9.'' -]{2,50}\\s+(Street|St\\.?|Avenue|Ave\\.?|Road|Rd\\.?|Boulevard|Blvd\\.?|Drive|Dr\\.?|Lane|Ln\\.?|Court|Ct\\.?|Way|Place|Pl\\.?)\\b')""")
+def s10_account_findings(spark, d):
+    return privacy.line_findings(view(spark, d, "v_lines"), ("account",))
+
+
+@query(with_views("v_lines") + """
+select doc_id, line_no, 'pii_email' as code, 'warning' as severity from v_lines where doc_id % 2 = 1 and len(list_filter(regexp_extract_all(line, '(?i)\\b[A-Z0-9._%+-]+@([A-Z0-9.-]+\\.[A-Z]{2,})\\b', 1), lambda v: lower(v) not in ('example.com', 'example.org', 'example.net', 'test.com', 'localhost'))) > 0""")
+def s11_inline_allow(spark, d):
+    lines = view(spark, d, "v_lines").withColumn("line", F.when(F.col("doc_id") % 2 == 0, F.concat("line", F.lit(" # privacy-gate: allow"))).otherwise(F.col("line")))
+    return privacy.line_findings(lines, ("email",))
+
+
+@query()
+def s12_redact(spark, d):
+    return privacy.redact(view(spark, d, "v_files").select("path", "text"))
+
+
+@query()
+def s13_scan(spark, d):
+    return privacy.scan(view(spark, d, "v_files").select("path", "text"), ["src1"])
+
+
+@query()
+def s14_scan_summary(spark, d):
+    files = view(spark, d, "v_files").select("path", "text")
+    return privacy.scan_summary(privacy.scan(files, ["src1"]), files, ["src1"])
+
+
+# Sources.
+
+
+@query("""
+select doc_id, line_no, line from (select doc_id, pos as line_no, trim(regexp_replace(raw, '\\s+', ' ', 'g')) as line from (
+  select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos from documents)) where line <> ''""")
+def r01_document_lines(spark, d):
+    return readers.document_lines(table(spark, d, "documents"))
+
+
+@query("""
+select doc_id, (select count(*) from (select unnest(string_split(text, chr(10))) as x) where trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '') as lines, length(text) as chars, strlen(text) as bytes, sha256(text) as content_sha256,
+  length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) < 40 as low_text from documents""")
+def r02_file_profile(spark, d):
+    return readers.file_profile(table(spark, d, "documents"))
+
+
+@query(with_views("v_lines") + " select doc_id, line_no, case when regexp_matches(concat(case when doc_id % 3 = 0 then '=' else '' end, line), '^[=+@\\x09\\x0D-]') then concat(chr(39), case when doc_id % 3 = 0 then '=' else '' end, line) else line end as line from v_lines")
+def r08_csv_cells(spark, d):
+    rows = view(spark, d, "v_lines").withColumn("line", F.concat(F.when(F.col("doc_id") % 3 == 0, "=").otherwise(""), "line"))
+    return readers.csv_cells(rows).select(F.col("doc_id").cast("bigint"), F.col("line_no").cast("bigint"), "line")
+
+
+# Lines rendered from typed rows: parsing them must give the rows back.
+
+
+def interest_lines(spark, d):
+    rows = view(spark, d, "v_interest")
+    shown = F.concat(F.lit("$"), F.format_number(F.col("amount").cast("decimal(18,2)"), 2))
+    day = F.when(F.col("event_id") % 13 == 0, F.date_format(F.add_months("event_date", -12), "yyyy-MM-dd")).otherwise(F.date_format("event_date", "yyyy-MM-dd"))
+    body = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit(" Interest charged "), shown)).when(F.col("event_id") % 11 == 0, F.lit(" Interest credited")).otherwise(F.concat(F.lit(" Interest credited $0.00 "), shown))
+    return rows.select("event_id", "filer_id", "currency", F.concat(day, body).alias("line"))
+
+
+def interest_parts(spark, d):
+    return interest.interest_rows(interest_lines(spark, d), YEAR)
+
+
+_INTEREST = with_views("v_interest", "v_fx") + """,
+k as (select *, case when event_id % 5 = 0 then 'clear-non-interest' when event_id % 11 = 0 then 'no-positive-amount' when event_id % 13 = 0 then 'date-outside-year' end as reason from v_interest),
+good as (select * from k where reason is null), bad as (select * from k where reason is not null)"""
+
+
+@query(_INTEREST + " select event_id, case when reason = 'clear-non-interest' then 'excluded' else 'interest-positive' end as kind from k")
+def n01_classify_interest(spark, d):
+    return interest_lines(spark, d).select("event_id", interest.classify_interest(F.col("line")).alias("kind"))
+
+
+@query(_INTEREST + " select event_id, cast(case when event_id % 5 <> 0 and event_id % 11 = 0 then null else amount end as double) as amount from k")
+def n02_interest_amount(spark, d):
+    return interest_lines(spark, d).select("event_id", interest.interest_amount(F.col("line")).alias("amount"))
+
+
+@query(_INTEREST + " select event_id, filer_id, currency, cast(event_date as varchar) as event_date, cast(amount as double) as amount, 'high' as confidence from good")
+def n03_interest_rows(spark, d):
+    return interest_parts(spark, d)[0]
+
+
+@query(_INTEREST + " select event_id, filer_id, reason, reason <> 'clear-non-interest' as requires_review from bad")
+def n04_interest_excluded(spark, d):
+    return interest_parts(spark, d)[1].select("event_id", "filer_id", "reason", "requires_review")
+
+
+@query(_INTEREST + """
+select filer_id as entity, 'row-year-differs' as code from k where event_id % 13 = 0 group by filer_id union all select distinct filer_id, 'institution-not-found' from k where filer_id % 4 = 0 union all select distinct filer_id, 'statement-year-differs' from k where filer_id % 6 = 0""")
+def n05_interest_scope_check(spark, d):
+    rows = view(spark, d, "v_interest").select(F.col("filer_id").alias("file_id"), F.when(F.col("event_id") % 13 == 0, F.add_months("event_date", -12)).otherwise(F.col("event_date")).alias("event_date"))
+    files = rows.select("file_id").distinct().selectExpr("file_id", "case when file_id % 4 = 0 then 'other' else 'the Harbour Bank statement' end as text", "'in/x.txt' as path", "'harbour bank' as institution", "false as reviewed", f"case when file_id % 6 = 0 then array({YEAR - 1}, {YEAR}) else array({YEAR}) end as statement_years")
+    return interest.interest_scope_check(files, rows, YEAR)
+
+
+@query(_INTEREST + """
+select filer_id, currency, cast(sum(amount) as double) as total, count(*) as "rows", case when count(*) over (partition by filer_id) > 1 then 'mixed-currencies' end as blocked from good group by filer_id, currency""")
+def n06_interest_totals(spark, d):
+    return interest.interest_totals(interest_parts(spark, d)[0])
+
+
+@query(_INTEREST + """
+select filer_id, n as "rows", o as "open", case when o > 0 then 'review-required' when n > 0 then 'ready' else 'zero-confirmation-required' end as state from (select filer_id, count(*) filter (reason is null) as n, count(*) filter (reason in ('no-positive-amount', 'date-outside-year')) as o from k group by filer_id)""")
+def n07_interest_review_state(spark, d):
+    good, bad = interest_parts(spark, d)
+    return interest.interest_review_state(view(spark, d, "v_interest"), good, bad)
+
+
+@query(_INTEREST + """
+select filer_id, g.currency, cast(((2000000 * cast(sum(amount) * 1000000 as hugeint) + cast(any_value(foreign_per_usd) * 1000000 as hugeint)) // (2 * cast(any_value(foreign_per_usd) * 1000000 as hugeint)) + 5000) // 10000 as double) / 100 as usd
+from good g join v_fx f on f.currency = g.currency group by filer_id, g.currency""")
+def n08_interest_usd(spark, d):
+    return interest.interest_usd(interest_parts(spark, d)[0], view(spark, d, "v_fx"), "yearly", YEAR)
+
+
+@query(_INTEREST + " select filer_id, filer_id % 3 <> 0 as valid, case when filer_id % 3 = 0 then 'digest-differs' end as reason from (select distinct filer_id from bad)")
+def n09_bind_resolution(spark, d):
+    bad = interest_parts(spark, d)[1]
+    said = interest._digest(bad, "filer_id").withColumn("digest", F.when(F.col("filer_id") % 3 == 0, F.lit("0")).otherwise(F.col("digest")))
+    return interest.bind_resolution(bad, said)
+
+
+_SHAPE = "case seq % 4 when 0 then 'iso' when 1 then 'eu' when 2 then 'long' else 'us' end"
+
+
+def statement_lines(spark, d):
+    """Balance rows in rotating notations of dates and amounts, with columns of their rows."""
+    rows = candidates(spark, d).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    us = F.format_number("amount", 2)
+    eu = F.translate(us, ",.", ".,")
+    day = F.expr("case seq % 4 when 0 then date_format(balance_date, 'yyyy-MM-dd') when 1 then date_format(balance_date, 'dd/MM/yyyy') when 2 then date_format(balance_date, 'd MMMM yyyy') else date_format(balance_date, 'MMMM d, yyyy') end")
+    return rows.select("seq", "balance_date", "amount", F.expr("seq div 50").alias("page"), F.concat(day, F.lit(" Closing balance "), F.when(F.col("seq") % 2 == 0, us).otherwise(eu)).alias("line"))
+
+
+@query(with_views("v_candidates") + """
+select seq, cast(case when seq % 4 = 1 and day(balance_date) <= 12 then make_date(2024, day(balance_date), 1) else balance_date end as varchar) as date, case when seq % 4 = 1 and day(balance_date) between 2 and 12 then 'low' else 'high' end as confidence from v_candidates""")
+def i06_date_tokens(spark, d):
+    return statement_lines(spark, d).select("seq", F.explode(text.date_tokens(F.col("line"), "balance")).alias("t")).select("seq", "t.date", "t.confidence")
+
+
+@query(with_views("v_candidates") + " select seq, cast(amount as double) as amount, false as ambiguous from v_candidates")
+def i04_money_tokens(spark, d):
+    return statement_lines(spark, d).select("seq", F.explode(text.money_tokens(F.col("line"), "balance")).alias("t")).select("seq", "t.amount", "t.ambiguous")
+
+
+@query(with_views("v_candidates") + """
+select seq, cast(seq // 50 as bigint) as page, cast(case when seq % 4 = 1 and day(balance_date) <= 12 then make_date(2024, day(balance_date), 1) else balance_date end as varchar) as balance_date, cast(amount as double) as amount, case when seq % 4 = 1 and day(balance_date) between 2 and 12 then 'low' else 'high' end as confidence, 'transaction-row' as candidate_type from v_candidates""")
+def l02_balance_lines(spark, d):
+    return text.balance_lines(statement_lines(spark, d), ["page"], "seq")
+
+
+@query(with_views("v_candidates") + " select cast(seq // 50 as bigint) as page, bool_or(seq % 4 = 1 and day(balance_date) > 12) as day_first from v_candidates group by 1")
+def i07_infer_day_first(spark, d):
+    return text.infer_day_first(statement_lines(spark, d), "page")
+
+
+def period_lines(spark, d):
+    rows = view(spark, d, "v_periods")
+    a, b = F.date_format("start_date", "yyyy/MM/dd"), F.date_format("end_date", "yyyy/MM/dd")
+    one = F.array(F.concat(F.lit("DESDE "), a, F.lit(" HASTA "), b))
+    two = F.array(F.concat(F.lit("From: "), a), F.lit("Page 1"), F.concat(F.lit("To: "), b))
+    lines = rows.withColumn("ls", F.when(F.col("file_id") % 2 == 0, one).otherwise(two))
+    return lines.select("file_id", "account_id", F.posexplode("ls").alias("pos", "line")).withColumn("line_no", F.col("pos") + 1)
+
+
+@query(with_views("v_periods") + """
+select file_id, cast(start_date as varchar) as start_date, cast(end_date as varchar) as end_date, 'high' as confidence, cast(1 as bigint) as line_no, cast(case when file_id % 2 = 0 then 1 else 3 end as bigint) as end_line_no from v_periods""")
+def c04_period_intervals(spark, d):
+    return text.period_intervals(period_lines(spark, d), ["file_id"])
+
+
+@query(with_views("v_periods") + " select file_id, cast(year(start_date) as bigint) as year from v_periods union select file_id, year(end_date) from v_periods")
+def c02_detect_years(spark, d):
+    lines = period_lines(spark, d).withColumn("line", F.when(F.col("line_no") == 2, F.lit("(c) 1987, 1991 Harbour Bank, established in 1902")).otherwise(F.col("line")))
+    return text.detect_years(lines, "file_id")
+
+
+@query(with_views("v_periods") + """
+select file_id, cast(start_date as varchar) as date, 'generated-on' as role, year(start_date) <> 1998 as outside_year from v_periods where file_id % 2 = 0 union all select file_id, cast(start_date as varchar), 'certificate-issued', year(start_date) <> 1998 from v_periods where file_id % 2 = 1""")
+def c06_metadata_dates(spark, d):
+    rows = view(spark, d, "v_periods").select("file_id", F.concat(F.when(F.col("file_id") % 2 == 0, "Statement generated on ").otherwise("Certificate issued "), F.date_format("start_date", "yyyy-MM-dd")).alias("line"))
+    return text.metadata_dates(rows, PERIOD_YEAR, ["file_id"])
+
+
+@query(with_views("v_periods") + """
+select file_id, cast(2 as bigint) as line_no, cast(start_date as varchar) as anchor_date, 'high' as confidence from v_periods where file_id % 2 = 0""")
+def c07_year_anchors(spark, d):
+    rows = view(spark, d, "v_periods").withColumn("ls", F.expr("array(case when file_id % 2 = 0 then 'Date Description Amount Balance' else 'Notes' end, concat(date_format(start_date, 'yyyy-MM-dd'), ' Deposit 10.00 20.00'))"))
+    return text.year_anchors(rows.select("file_id", F.posexplode("ls").alias("pos", "line")).withColumn("line_no", F.col("pos") + 1), ["file_id"])
+
+
+@query(with_views("v_periods") + """
+select file_id, cast(start_date as varchar) as date, 'statement-period' as role from v_periods union all select file_id, cast(start_date + 5 as varchar), 'movement' from v_periods""")
+def c12_date_evidence(spark, d):
+    periods = view(spark, d, "v_periods")
+    return intake.date_evidence(statement_period=periods.select("file_id", F.col("start_date").alias("date")), movement=periods.select("file_id", F.date_add("start_date", 5).alias("date")))
+
+
+@query(with_views("v_periods") + """,
+one as (select account_id, min(start_date) as s, max(end_date) as e from v_periods group by account_id having count(*) = 1)
+select account_id as row_id, account_id, cast(s + 7 as varchar) as date from one""")
+def i08_short_date(spark, d):
+    periods = view(spark, d, "v_periods")
+    rows = periods.groupBy("account_id").agg(F.min("start_date").alias("s")).select(F.col("account_id").alias("row_id"), "account_id", F.month(F.date_add("s", 7)).alias("month"), F.dayofmonth(F.date_add("s", 7)).alias("day"))
+    return intake.short_date(rows, periods)
+
+
+@query("""
+select c_custkey, case c_custkey % 3 when 0 then 'EUR' when 1 then 'MIXED' else 'UNKNOWN' end as currency, c_custkey % 3 = 2 as ambiguous_dollar from customer""")
+def i10_detect_currency(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.expr("explode(case c_custkey % 3 when 0 then array('Currency: EUR', concat('EUR ', cast(c_acctbal as string))) when 1 then array('USD 10', '12 GBP') else array(concat('$ ', cast(c_acctbal as string)), 'EUR is a currency') end)").alias("line"))
+    return text.detect_currency(rows, "c_custkey")
+
+
+@query("""
+select c_custkey, cast(case when c_custkey % 2 = 0 then 1 else 2 end as bigint) as line_no, case when c_custkey % 3 = 0 then concat('****', right(lpad(cast(c_custkey as varchar), 10, '0'), 4)) else lpad(cast(c_custkey as varchar), 10, '0') end as token, c_custkey % 3 = 0 as is_partial from customer""")
+def i11_account_tokens(spark, d):
+    number = F.expr("case when c_custkey % 3 = 0 then concat('****', right(lpad(cast(c_custkey as string), 10, '0'), 4)) else lpad(cast(c_custkey as string), 10, '0') end")
+    rows = table(spark, d, "customer").withColumn("n", number).select("c_custkey", F.posexplode(F.expr("case when c_custkey % 2 = 0 then array(concat('Account No. ', n)) else array('Account number:', n, concat('Transfer to account ', n)) end")).alias("pos", "line"))
+    return text.account_tokens(rows.withColumn("line_no", F.col("pos") + 1), "c_custkey")
+
+
+@query("select s_suppkey, 'banco supplier' as signature from supplier")
+def i14_institution_signature(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey", F.lit(1).alias("line_no"), F.concat(F.lit("Báncó "), F.translate("s_name", "#0123456789", ""), F.lit(" S.A.")).alias("line"))
+    return text.institution_signature(rows, "s_suppkey").select("s_suppkey", "signature")
