@@ -46,8 +46,9 @@ def file_profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def read_rate_records(spark: SparkSession, path: str) -> DataFrame:
     """Rate rows of JSON payloads {"data": [...]}; entries that are not objects come without fields and are dropped."""
     row = "record_date date, country string, currency string, exchange_rate decimal(14,6), effective_date date"
-    payload = spark.read.schema(f"data array<struct<{row.replace(' date', ': date').replace(' string', ': string').replace(' decimal', ': decimal')}>>").option("multiLine", True).json(path)
-    return payload.select(F.inline("data")).filter("country is not null and exchange_rate is not null")
+    payload = spark.read.schema("data array<string>").option("multiLine", True).json(path)
+    entries = payload.select(F.explode("data").alias("entry")).filter(F.col("entry").startswith("{"))
+    return entries.select(F.from_json("entry", row).alias("r")).select("r.*").filter("country is not null and exchange_rate is not null")
 
 
 def read_spot_rates(spark: SparkSession, path: str, currency: str | None = None, direction: str = "foreign_per_usd") -> tuple[DataFrame, DataFrame]:
