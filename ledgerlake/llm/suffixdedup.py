@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ledgerlake.functions.staging import materialize
 from ledgerlake.llm import bytegrams as bg
@@ -160,6 +161,14 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(groups, key, "left_semi")
 
 
+def _united(spans: DataFrame) -> DataFrame:
+    """Spans of a text that overlap or touch as one."""
+    by_start = W.partitionBy("k").orderBy("lo", "hi")
+    rows = spans.withColumn("reach", F.max("hi").over(by_start.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("lo") <= F.col("reach"), 0).otherwise(1)).over(by_start))
+    return rows.groupBy("k", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("k", "lo", "hi")
+
+
 def _settled(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
     """The rows whose whole bytes repeat, and the rows to refine.
 
@@ -198,6 +207,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     leaves = with_text(open2, ["x", "d_lo", "d_hi"], lean, "inner").mapInArrow(_level(length, gram, step, True), "k bigint, p int, h bigint")
     done3 = _repeated(leaves, "h").select("k", F.col("p").alias("lo"), (F.col("p") + length).alias("hi"))
-    spans = materialize(done.union(done2).union(done3), "repeats")
-    # Runs that touch become one before they meet the texts.
+    spans = materialize(_united(done.union(done2).union(done3)), "repeats")
     return with_text(spans, ["lo", "hi"], texts, "left").select("id", "text", "nodes").mapInArrow(_cut(id_col), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>")
