@@ -28,7 +28,10 @@ def _any(terms: tuple[str, ...]) -> str:
 
 def classify_interest(line: Column) -> Column:
     """interest-positive, interest-generic, excluded or none; a term against wins. Matching is by substring, so coffee holds fee."""
-    folded = text.normalize_text(line, "ascii_fold")
+    return text._let(text.normalize_text(line, "ascii_fold"), _kind)
+
+
+def _kind(folded: Column) -> Column:
     named = folded.rlike(_any(POSITIVE + GENERIC))
     return F.when(folded.rlike(_any(EXCLUDED)), F.when(named, "excluded").otherwise("none")).when(folded.rlike(_any(POSITIVE)), "interest-positive").when(named, "interest-generic").otherwise("none")
 
@@ -38,14 +41,16 @@ def interest_amount(line: Column) -> Column:
     folded = F.translate(F.lower(line), text.ACCENTED, text.PLAIN)
     end = F.length(F.regexp_extract(folded, f"^(.*?(?:{_any(POSITIVE + GENERIC)}))", 1))
     good = F.filter(text.money_tokens(line, "interest"), lambda t: t["amount"] > 0)
-    after = F.filter(good, lambda t: t["position"] > end)
-    return F.coalesce(F.try_element_at(after, F.lit(1)), F.try_element_at(good, F.lit(1)))["amount"]
+    pick = lambda v: F.coalesce(F.try_element_at(F.filter(v["good"], lambda t: t["position"] > v["end"]), F.lit(1)), F.try_element_at(v["good"], F.lit(1)))["amount"]
+    return text._let(F.struct(good.alias("good"), end.alias("end")), pick)
 
 
 def interest_rows(lines: DataFrame, tax_year: int, currency: str = "currency", line: str = "line", day_first: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Interest rows of the tax year, and lines with an interest term that are left out: clearly other, without amount, or of another year."""
-    rows = lines.withColumn("kind", classify_interest(F.col(line))).filter("kind <> 'none'")
-    rows = rows.withColumn("event_date", F.try_element_at(text.date_tokens(F.col(line), "interest", day_first), F.lit(1))["date"]).withColumn("amount", interest_amount(F.col(line)))
+    day = F.try_element_at(text.date_tokens(F.col(line), "interest", day_first), F.lit(1))["date"]
+    parsed = F.struct(classify_interest(F.col(line)).alias("kind"), day.alias("event_date"), interest_amount(F.col(line)).alias("amount"))
+    # A generator keeps filters on the parsed columns from parsing the line a second time.
+    rows = lines.filter(text.normalize_text(F.col(line), "ascii_fold").rlike(_any(POSITIVE + GENERIC))).select("*", F.inline(F.array(parsed))).filter("kind <> 'none'")
     reason = F.when(F.col("kind") == "excluded", "clear-non-interest").when(F.col("amount").isNull(), "no-positive-amount").when(F.year("event_date") != tax_year, "date-outside-year")
     rows = rows.withColumn("reason", reason)
     keep = [c for c in lines.columns if c != line]

@@ -62,33 +62,56 @@ def parse_amount(token: Column, policy: str) -> Column:
     tail of two or three digits is a decimal sign, as is a point; DR is negative; 20xx alone and
     amounts from 10**12 are none.
     """
+    if policy not in ("balance", "interest"):
+        raise ValueError(f"unknown policy {policy}")
     raw = F.trim(token)
     digits = F.regexp_replace(raw, r"(?U)[A-Za-z$€£¥()\s'’+]", "")
-    minus = digits.rlike(r"^[-−]|[-−]$") | raw.rlike(r"^\(.*\)$")
+    return _let(F.struct(raw.alias("raw"), digits.alias("digits")), lambda v: _let(_parts(v["raw"], v["digits"]), _BALANCE if policy == "balance" else _INTEREST))
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _parts(raw: Column, digits: Column) -> Column:
     bare = F.regexp_replace(digits, "[-−]", "")
-    commas, dots = F.regexp_count(bare, F.lit(",")), F.regexp_count(bare, F.lit("\\."))
-    both = (commas > 0) & (dots > 0)
-    comma_last = F.length(F.substring_index(bare, ",", -1)) < F.length(F.substring_index(bare, ".", -1))
-    mixed = F.when(comma_last, F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
-    one = F.replace(bare, F.lit(","), F.lit("."))
-    head, tail = F.substring_index(one, ".", 1), F.substring_index(one, ".", -1)
-    if policy == "balance":
-        as_decimal = F.concat(F.when(head == "", "0").otherwise(head), F.lit("."), tail)
-        single = F.when(commas + dots > 1, F.replace(one, F.lit("."), F.lit(""))).when((F.length(tail) != 3) | head.isin("", "0") | (F.length(head) > 3), as_decimal).otherwise(F.concat(head, tail))
-        text = F.when(both, mixed).when(commas + dots > 0, single).otherwise(bare)
-        unclear = ~both & (commas + dots == 1) & (F.length(tail) == 3) & ~head.isin("", "0")
-        spaced = raw.rlike(r"\d[  ]\d") & ~raw.rlike("[.,]")
-        value = _number(text)
-        return F.struct(F.when(minus, -value).otherwise(value).alias("amount"), (unclear | spaced).alias("ambiguous"))
-    if policy != "interest":
-        raise ValueError(f"unknown policy {policy}")
-    comma_tail = F.length(F.substring_index(bare, ",", -1))
-    dot_tail = F.length(F.substring_index(bare, ".", -1))
-    single = F.when(commas > 0, F.when(comma_tail.isin(2, 3), one).otherwise(F.replace(bare, F.lit(","), F.lit("")))).when((dots > 0) & ~dot_tail.isin(2, 3), F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
-    text = F.regexp_replace(F.when(both, mixed).otherwise(single), r"\.(?=.*\.)", "")
+    one = F.translate(bare, ",", ".")
+    return F.struct(
+        raw.alias("raw"),
+        bare.alias("bare"),
+        (digits.rlike(r"^[-−]|[-−]$") | raw.rlike(r"^\(.*\)$")).alias("minus"),
+        F.length(F.translate(bare, "0123456789.", "")).alias("commas"),
+        F.length(F.translate(bare, "0123456789,", "")).alias("dots"),
+        one.alias("one"),
+        F.substring_index(one, ".", 1).alias("head"),
+        F.substring_index(one, ".", -1).alias("tail"),
+        F.substring_index(bare, ",", -1).contains(".").alias("dot_last"),
+    )
+
+
+def _mixed(v: Column) -> Column:
+    """Both separators: the last one is the decimal sign."""
+    return F.when(v["dot_last"], F.translate(v["bare"], ",", "")).otherwise(F.translate(F.translate(v["bare"], ".", ""), ",", "."))
+
+
+def _BALANCE(v: Column) -> Column:  # noqa: N802
+    both, some, tail, head = (v["commas"] > 0) & (v["dots"] > 0), v["commas"] + v["dots"], v["tail"], v["head"]
+    as_decimal = F.concat(F.when(head == "", "0").otherwise(head), F.lit("."), tail)
+    single = F.when(some > 1, F.translate(v["one"], ".", "")).when((F.length(tail) != 3) | head.isin("", "0") | (F.length(head) > 3), as_decimal).otherwise(F.concat(head, tail))
+    value = _number(F.when(both, _mixed(v)).when(some > 0, single).otherwise(v["bare"]))
+    unclear = ~both & (some == 1) & (F.length(tail) == 3) & ~head.isin("", "0")
+    spaced = v["raw"].rlike("\\d[ \u00a0]\\d") & ~v["raw"].rlike("[.,]")
+    return F.struct(F.when(v["minus"], -value).otherwise(value).alias("amount"), (unclear | spaced).alias("ambiguous"))
+
+
+def _INTEREST(v: Column) -> Column:  # noqa: N802
+    tail = F.length(v["tail"])
+    single = F.when(v["commas"] > 0, F.when(tail.isin(2, 3), v["one"]).otherwise(F.translate(v["bare"], ",", ""))).when((v["dots"] > 0) & ~tail.isin(2, 3), F.translate(v["bare"], ".", "")).otherwise(v["bare"])
+    text = F.regexp_replace(F.when((v["commas"] > 0) & (v["dots"] > 0), _mixed(v)).otherwise(single), r"\.(?=.*\.)", "")
     value = _number(text)
-    value = F.when(raw.rlike(r"^20\d\d$") | (value >= F.lit(10**12)), F.lit(None)).otherwise(value)
-    return F.struct(F.when(minus | raw.rlike(r"(?i)\bDR\b"), -value).otherwise(value).cast("decimal(24,6)").alias("amount"), F.lit(False).alias("ambiguous"))
+    value = F.when(v["raw"].rlike(r"^20\d\d$") | (value >= F.lit(10**12)), F.lit(None)).otherwise(value)
+    return F.struct(F.when(v["minus"] | v["raw"].rlike(r"(?i)\bDR\b"), -value).otherwise(value).cast("decimal(24,6)").alias("amount"), F.lit(False).alias("ambiguous"))
 
 
 def mask_dates(line: Column) -> Column:
@@ -101,23 +124,26 @@ def mask_dates(line: Column) -> Column:
 
 def money_tokens(line: Column, policy: str) -> Column:
     """array<struct<position, token, amount, ambiguous>> of a line, in order; years 20xx and runs of over 16 digits are none."""
-    masked = mask_dates(line)
+    return _let(mask_dates(line), lambda masked: _tokens(masked, policy))
+
+
+def _tokens(masked: Column, policy: str) -> Column:
     found = F.regexp_extract_all(masked, F.lit(MONEY), F.lit(0))
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<position:int,token:string>>").alias("out"))
 
     def step(acc, t):
-        at = F.call_function("locate", t, masked, acc["at"])
-        return F.struct((at + F.length(t)).alias("at"), F.array_append(acc["out"], F.struct(at.alias("position"), F.trim(t).alias("token"))).alias("out"))
+        return _let(F.call_function("locate", t, masked, acc["at"]), lambda at: F.struct((at + F.length(t)).alias("at"), F.array_append(acc["out"], F.struct(at.alias("position"), F.trim(t).alias("token"))).alias("out")))
 
     placed = F.aggregate(found, start, step, lambda acc: acc["out"])
     kept = F.filter(placed, lambda t: ~t["token"].rlike(r"^20\d\d$") & (F.length(F.regexp_replace(t["token"], r"\D", "")) <= 16))
-    parsed = F.transform(kept, lambda t: F.struct(t["position"].alias("position"), t["token"].alias("token"), parse_amount(t["token"], policy).alias("p")))
-    parsed = F.filter(parsed, lambda t: t["p"]["amount"].isNotNull())
-    if policy == "interest":  # of amounts with a currency mark, with cents, and plain ones, the first kind that occurs
-        marked = F.filter(parsed, lambda t: t["token"].rlike("[$€£¥]"))
-        cents = F.filter(parsed, lambda t: t["token"].rlike(r"[.,]\d{2}\)?[-−]?$"))
-        parsed = F.when(F.size(marked) > 0, marked).when(F.size(cents) > 0, cents).otherwise(parsed)
-    return F.transform(parsed, lambda t: F.struct(t["position"].alias("position"), t["token"].alias("token"), t["p"]["amount"].alias("amount"), t["p"]["ambiguous"].alias("ambiguous")))
+    parsed = F.transform(kept, lambda t: _let(parse_amount(t["token"], policy), lambda p: F.struct(t["position"].alias("position"), t["token"].alias("token"), p["amount"].alias("amount"), p["ambiguous"].alias("ambiguous"))))
+    parsed = F.filter(parsed, lambda t: t["amount"].isNotNull())
+    if policy == "balance":
+        return parsed
+    # Of amounts with a currency mark, with cents, and plain ones, the first kind that occurs.
+    marked = lambda all_: F.filter(all_, lambda t: t["token"].rlike("[$€£¥]"))
+    cents = lambda all_: F.filter(all_, lambda t: t["token"].rlike(r"[.,]\d{2}\)?[-−]?$"))
+    return _let(parsed, lambda all_: F.when(F.size(marked(all_)) > 0, marked(all_)).when(F.size(cents(all_)) > 0, cents(all_)).otherwise(all_))
 
 
 def _day(y: Column, m: Column, d: Column) -> Column:
@@ -131,7 +157,7 @@ def date_tokens(line: Column, policy: str, day_first: Column | None = None) -> C
     (medium), and `interest` as day_first says.
     """
     groups = lambda p, *g: [F.regexp_extract_all(line, F.lit(p), F.lit(i)) for i in g]
-    three = lambda p, order: F.zip_with(F.arrays_zip(*[x.alias(n) for x, n in zip(groups(p, *order), "yma", strict=True)]), F.sequence(F.lit(1), F.lit(1)), lambda t, _: t)
+    three = lambda p, order: F.arrays_zip(*[x.alias(n) for x, n in zip(groups(p, *order), "yma", strict=True)])
     month = F.create_map(*[F.lit(x) for k, v in MONTHS.items() for x in (k, str(v))])
     high = lambda d: F.struct(d.alias("date"), F.lit("high").alias("confidence"))
     iso = F.transform(three(ISO, (1, 2, 3)), lambda t: high(_day(t["y"], t["m"], t["a"])))
