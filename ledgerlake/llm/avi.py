@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 UNIT, FRAME, WIDTH, FRAME_MS = 64, 2048, 128, 40
 LOW, HIGH, GREY = 70, 117, 128
 #: A cut needs this difference at least, and this many deviations above the mean of the last WINDOW differences.
-LEAST_CUT, DEVIATIONS, WINDOW = 0.15, 3.0, 12
+LEAST_CUT, DEVIATIONS, WINDOW, BINS = 0.2, 3.0, 12, 32
 
 
 def payload_of(data: bytes) -> bytes:
@@ -141,7 +141,7 @@ def decode(media: bytes) -> tuple[bytes, np.ndarray, int]:
 def shots(samples: np.ndarray) -> list[tuple[int, int]]:
     """First and end frame of each shot."""
     n, m = samples.shape
-    hist = np.bincount((samples + 256 * np.arange(n)[:, None]).ravel(), minlength=256 * n).reshape(n, 256)
+    hist = np.bincount(((samples.astype(np.int64) * BINS >> 8) + BINS * np.arange(n)[:, None]).ravel(), minlength=BINS * n).reshape(n, BINS)
     diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * m)
     cuts = [0]
     for i, d in enumerate(diff):
