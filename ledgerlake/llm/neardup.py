@@ -9,10 +9,13 @@ probability (1 - 0.75**4)**40 = 2.5e-7.
 Documents with one and the same set are one class and go on as its least id.
 In every bucket the least id is the leader. Pairs (leader, member) whose
 signatures agree in half their values (7 deviations below the threshold) are
-compared on full sets. Members that end up in another component than their
-leader are then paired with the bucket's members of other components, so no
-link between two components is left out, while members of one component are
-never paired with each other.
+compared on full sets. Then links between members of different components are
+looked for, so none is left out, while members of one component are never
+paired with each other: buckets of up to 32 members pair them directly; members
+of larger buckets meet on rare shingles instead. With the shingles of a set in
+order of their frequency, sets of similarity t must share one among the first
+n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the
+smaller set, so a passage or template that thousands share brings no pairs.
 
 Defined results: null, empty and wordless texts have no shingles and are
 linked with nothing; fewer than five words are one shingle; rows with equal
@@ -37,6 +40,10 @@ from ledgerlake.llm.graph import components
 SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 80, 40, 4
 #: Ids that are broadcast at most (8 MB) to pick texts; beyond it, a shuffle join does.
 MAX_IDS = 1_000_000
+#: Members of a bucket whose components are paired directly at most.
+SMALL_BUCKET = 32
+#: Cells of the table of shingle frequencies (16 MB), and of a block of it; groups of tasks whose tables are added first.
+CELLS, BLOCK_CELLS, SALTS = 1 << 22, 1 << 14, 32
 _LOW52 = np.uint64((1 << 52) - 1)
 
 
@@ -135,6 +142,64 @@ def _set_rows(id_col: str, text_col: str, n: int):
     return rows
 
 
+def _packed(cells: np.ndarray, counts: np.ndarray) -> list[tuple[int, bytes]]:
+    """Counts by cell, sorted, as one binary value of (cell, count) pairs for every block of cells that has any."""
+    block = cells // BLOCK_CELLS
+    at = np.flatnonzero(np.diff(block, prepend=-1))
+    pairs = np.stack([cells, counts], axis=1).astype(np.int32)
+    return [(int(block[i]), pairs[i:j].tobytes()) for i, j in zip(at, [*at[1:], len(cells)], strict=True)]
+
+
+def _shingle_counts(text_col: str, n: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        often = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, _, buf, offsets in bg.text_chunks(batch.column(text_col)):
+                cell, times = np.unique((_sets(buf, offsets, n)[0] & _LOW52) & np.uint64(CELLS - 1), return_counts=True)
+                often[cell.astype(np.int64)] += times
+        cell = np.flatnonzero(often)
+        blocks = _packed(cell, np.minimum(often[cell], 2**31 - 1))
+        salt = TaskContext.get().partitionId() % SALTS
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([salt] * len(blocks), pa.int32()), pa.array([c for _, c in blocks], pa.binary())], names=["block", "salt", "counts"])
+
+    return rows
+
+
+def _sum_counts(table: pa.Table) -> pa.Table:
+    """The counts of one block's cells, added up."""
+    block = table.column("block")[0].as_py()
+    often = np.zeros(BLOCK_CELLS, np.int64)
+    for value in table.column("counts"):
+        cell, times = np.frombuffer(value.as_buffer(), np.int32).reshape(-1, 2).T
+        often[cell - block * BLOCK_CELLS] += times
+    cell = np.flatnonzero(often)
+    packed = _packed(cell + block * BLOCK_CELLS, np.minimum(often[cell], 2**31 - 1))
+    return pa.table({"block": pa.array([b for b, _ in packed], pa.int32()), "counts": pa.array([c for _, c in packed], pa.binary())})
+
+
+def _rare_rows(text_col: str, n: int, percent: int, shared):
+    """The first shingles of every set in order of frequency, with their places, as far as the similarity needs them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            for lo, hi, buf, offsets in bg.text_chunks(batch.column(text_col)):
+                key, counts = _sets(buf, offsets, n)
+                shingle, text = key & _LOW52, (key >> np.uint64(52)).astype(np.int64)
+                times = often[(shingle & np.uint64(CELLS - 1)).astype(np.int64)]
+                order = np.lexsort((shingle, times, text))
+                place = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+                size = np.repeat(counts, counts)
+                keep = (place <= size - (percent * size + 99) // 100 + 1) & (times[order] > 1)
+                which = pa.array(text[order][keep])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(which), part.column("comp").take(which), pa.array(size[keep]), pa.array(shingle[order][keep].view(np.int64)), pa.array(place[keep])], names=["id", "comp", "n", "shingle", "place"])
+
+    return rows
+
+
 def _confirmed(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,6 +216,29 @@ def _confirmed(percent: int):
     return rows
 
 
+def _rare_pairs(texts: DataFrame, text_col: str, shingle: int, percent: int, id_type: str) -> DataFrame:
+    """Pairs (a, b) of different components that share a rare enough shingle for the similarity.
+
+    texts: id, comp and text. Any common order of shingles finds every pair; frequencies
+    are therefore counted in a table of fixed size, whose cells may be shared. It is the
+    one thing that is collected.
+    """
+    counts = texts.mapInArrow(_shingle_counts(text_col, shingle), "block int, salt int, counts binary")
+    counts = counts.groupBy("block", "salt").applyInArrow(_sum_counts, "block int, counts binary").groupBy("block").applyInArrow(_sum_counts, "block int, counts binary")
+    often = np.zeros(CELLS, np.int32)
+    for row in counts.collect():
+        cell, times = np.frombuffer(row["counts"], np.int32).reshape(-1, 2).T
+        often[cell] = times
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+    head = texts.mapInArrow(_rare_rows(text_col, shingle, percent, shared), f"id {id_type}, comp {id_type}, n bigint, shingle bigint, place bigint")
+    head = materialize(head, "minmax-rare")
+    less = head.filter(F.col("place") <= F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")).select("shingle", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("comp").alias("_comp"), F.col("place").alias("_place"))
+    near = (F.col("comp") != F.col("_comp")) & ((F.col("_n") < F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("_id") < F.col("id")))) & (100 * F.col("_n") >= percent * F.col("n"))
+    # From the first shared shingle on, enough shingles must be left in both sets.
+    near = near & ((100 + percent) * (F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place")) + 1) >= percent * (F.col("n") + F.col("_n")))
+    return head.join(less, "shingle").filter(near).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 75) -> DataFrame:
     """Per row of docs: its id, n_shingles, component_id (the least id that it reaches) and kept (it is that id)."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -161,8 +249,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     heads = materialize(linked.join(member.filter("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sig", "low"), "minmax-heads")
 
     bands = heads.select("id", "sig").mapInArrow(_bands, f"band bigint, id {id_type}")
-    leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select(F.col("band").alias("_band"), "leader")
-    met = materialize(bands.join(leaders, F.col("band") == F.col("_band")).filter("id <> leader").select("band", "leader", "id"), "minmax-buckets")
+    leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).filter("members > 1").select(F.col("band").alias("_band"), "leader", "members")
+    met = materialize(bands.join(leaders, F.col("band") == F.col("_band")).filter("id <> leader").select("band", "leader", "members", "id"), "minmax-buckets")
 
     def alike(pairs: DataFrame) -> DataFrame:
         left = heads.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("low").alias("low_a"))
@@ -170,11 +258,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rows = pairs.join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         return materialize(rows.select("a", "b", "low_a", "low_b").mapInArrow(_alike, f"a {id_type}, b {id_type}"), "minmax-alike")
 
+    def pick_texts(ids: DataFrame) -> DataFrame:
+        side = ids.select(F.col("id").alias("_id"))
+        side = F.broadcast(side) if ids.count() <= MAX_IDS else side
+        return docs.select(id_col, text_col).join(side, F.col(id_col) == F.col("_id"), "left_semi")
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("_id")), "minmax-wanted")
-        pick = F.broadcast(wanted) if wanted.count() <= MAX_IDS else wanted
-        texts = docs.select(id_col, text_col).join(pick, F.col(id_col) == F.col("_id"), "left_semi")
-        sets = texts.mapInArrow(_set_rows(id_col, text_col, shingle), f"id {id_type}, shingles binary")
+        wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id")), "minmax-wanted")
+        sets = pick_texts(wanted).mapInArrow(_set_rows(id_col, text_col, shingle), f"id {id_type}, shingles binary")
         first = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
         both = first.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
         return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), f"a {id_type}, b {id_type}").distinct(), "minmax-links")
@@ -183,12 +274,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = confirm(alike(stars))
     comps = materialize(components(links), "minmax-components")
     own = lambda df, c: df.join(comps.select(F.col("id").alias("_c"), "comp"), F.col(c) == F.col("_c"), "left").withColumn(f"comp_{c}", F.coalesce("comp", c)).drop("_c", "comp")
-    # Members that are not with their leader, against the bucket's members in other components.
     apart = own(own(met.join(links.select(F.col("a").alias("leader"), F.col("b").alias("id")), ["leader", "id"], "left_anti"), "id"), "leader").filter("comp_id <> comp_leader")
-    apart = materialize(apart.select("band", "id", "comp_id"), "minmax-apart")
-    others = own(met.join(apart.select("band").distinct(), "band", "left_semi").select("band", "id"), "id")
-    cross = apart.join(others.select(F.col("band").alias("_b"), F.col("id").alias("other"), F.col("comp_id").alias("comp_other")), (F.col("band") == F.col("_b")) & (F.col("comp_id") != F.col("comp_other")))
-    cross = cross.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    apart = materialize(apart.select("band", "members", "id", "comp_id"), "minmax-apart")
+    few = apart.filter(F.col("members") <= SMALL_BUCKET)
+    others = own(met.join(few.select("band").distinct(), "band", "left_semi").select("band", "id"), "id")
+    direct = few.join(others.select(F.col("band").alias("_b"), F.col("id").alias("other"), F.col("comp_id").alias("comp_other")), (F.col("band") == F.col("_b")) & (F.col("comp_id") != F.col("comp_other")))
+    direct = direct.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    crowded = met.join(apart.filter(F.col("members") > SMALL_BUCKET).select("band").distinct(), "band", "left_semi")
+    crowded = materialize(own(crowded.select("id").union(crowded.select("leader")).distinct(), "id").select("id", F.col("comp_id").alias("comp")), "minmax-crowded")
+    side = F.broadcast(crowded) if crowded.count() <= MAX_IDS else crowded
+    crowd = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(side, F.col("_id") == F.col("id")).select("id", "comp", "_text")
+    cross = direct.union(_rare_pairs(crowd, "_text", shingle, percent, id_type)).distinct()
     links = links.union(confirm(alike(cross)))
     comps = materialize(components(links), "minmax-components")
 
