@@ -286,3 +286,21 @@ def institution_signature(lines: DataFrame, key: str = "doc_id", order: str = "l
     words = F.filter(F.split(F.regexp_replace(F.regexp_replace(folded, r"\b([a-z])[. ](?=[a-z]\b)", "$1"), "[^a-z0-9]+", " "), " "), lambda w: ~w.isin("", *LEGAL))
     rows = lines.filter((F.col(order) <= header) & named).withColumn("signature", F.array_join(words, " "))
     return rows.groupBy(key).agg(F.min_by("signature", order).alias("signature"), F.min_by(line, order).alias("shown"))
+
+
+_ENDPOINT = rf"(?:({_MONTH})\.? (\d{{1,2}})|(\d{{1,2}})(?: de)? ({_MONTH})\.?)(?:,?(?: de| del)? (\d{{4}}))?"
+HEADER = rf"(?i)\b(?:statement period|period|per[ií]odo|billing cycle)\b\W{{0,3}}(?:from |del? )?{_ENDPOINT}\s*(?:-|–|to|through|al?|hasta)\s*(?:el )?{_ENDPOINT}"
+
+
+def period_headers(lines: DataFrame, key: list[str], order: str = "line_no", line: str = "line") -> DataFrame:
+    """Labelled month and day ranges, their years null where the header shows none; days that no month has are left out."""
+    month = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    part = lambda i: F.regexp_extract(line, HEADER, i)
+    number = lambda i: part(i).try_cast("int")
+
+    def endpoint(base: int) -> list[Column]:
+        return [month[F.lower(F.when(part(base) != "", part(base)).otherwise(part(base + 3)))], F.coalesce(number(base + 1), number(base + 2)), number(base + 4)]
+
+    names = ["start_month", "start_day", "start_year", "end_month", "end_day", "end_year"]
+    rows = lines.filter(F.col(line).rlike(HEADER)).select(*key, F.col(order), *[c.alias(n) for c, n in zip([*endpoint(1), *endpoint(6)], names, strict=True)])
+    return rows.filter("start_day between 1 and 31 and end_day between 1 and 31")

@@ -802,3 +802,11 @@ def i11_account_tokens(spark, d):
 def i14_institution_signature(spark, d):
     rows = table(spark, d, "supplier").select("s_suppkey", F.lit(1).alias("line_no"), F.concat(F.lit("Báncó "), F.translate("s_name", "#0123456789", ""), F.lit(" S.A.")).alias("line"))
     return text.institution_signature(rows, "s_suppkey").select("s_suppkey", "signature")
+
+
+@query(with_views("v_headers") + """
+select file_id, cast(1 as bigint) as line_no, start_month, start_day, cast(null as bigint) as start_year, end_month, end_day, cast(case when file_id % 2 = 0 then 1998 end as bigint) as end_year from v_headers""")
+def c05_period_headers(spark, d):
+    rows = view(spark, d, "v_headers").withColumn("a", F.expr("make_date(2000, start_month, start_day)")).withColumn("b", F.expr("make_date(2000, end_month, end_day)"))
+    shown = F.expr("case when file_id % 2 = 0 then concat('Statement period: ', date_format(a, 'MMM d'), ' to ', date_format(b, 'MMMM d'), ', 1998') else concat('Period ', date_format(a, 'd MMM'), ' - ', date_format(b, 'd MMMM')) end")
+    return text.period_headers(rows.select("file_id", F.lit(1).alias("line_no"), shown.alias("line")), ["file_id"])

@@ -173,3 +173,13 @@ def test_csv_cells(spark):
 
 def test_nfkc_drops_footnotes_first(spark):
     assert one(spark, text.normalize_text(F.col("t"), "nfkc"), t="Ｂａｎｋ²  ﬁne") == "Bank fine"
+
+
+@pytest.mark.parametrize("label,code", [("eur", "EUR"), ("Colombian  peso", "COP"), ("peso", "AMBIGUOUS"), ("shells", "UNKNOWN"), ("", "UNKNOWN")])
+def test_currency_codes(spark, label, code):
+    assert intake.currency_code(spark.createDataFrame([(label,)], "label string")).first()["code"] == code
+
+
+@pytest.mark.parametrize("mode,shown", [("collapse", "Saldo Número 1"), ("ascii_fold", "saldo numero 1")])
+def test_normalized_text(spark, mode, shown):
+    assert one(spark, text.normalize_text(F.col("t"), mode), t=" Saldo\t Número  1 ") == shown
