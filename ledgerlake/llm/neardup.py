@@ -144,6 +144,8 @@ def _set_rows(id_col: str, text_col: str, n: int):
 
 def _packed(cells: np.ndarray, counts: np.ndarray) -> list[tuple[int, bytes]]:
     """Counts by cell, sorted, as one binary value of (cell, count) pairs for every block of cells that has any."""
+    if not len(cells):
+        return []
     block = cells // BLOCK_CELLS
     at = np.flatnonzero(np.diff(block, prepend=-1))
     pairs = np.stack([cells, counts], axis=1).astype(np.int32)

@@ -398,3 +398,11 @@ def test_queries_carry_integer_ids(spark, sf):
 def test_pseudonym_plan_is_native(spark, sf):
     plan = queries.op7_pseudonyms(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_shingle_counts_pack_and_add():
+    cells = np.array([0, 5, neardup.BLOCK_CELLS, 3 * neardup.BLOCK_CELLS + 7])
+    packed = neardup._packed(cells, np.array([1, 2, 3, 4]))
+    assert [b for b, _ in packed] == [0, 1, 3] and neardup._packed(cells[:0], cells[:0]) == []
+    table = neardup.pa.table({"block": [0, 0], "counts": [packed[0][1], packed[0][1]]})
+    assert np.frombuffer(neardup._sum_counts(table)["counts"][0].as_py(), np.int32).tolist() == [0, 2, 5, 4]
