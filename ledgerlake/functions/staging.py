@@ -67,3 +67,14 @@ def join_small(df: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
     if side.count() <= MAX_BROADCAST_ROWS:
         side = F.broadcast(side)
     return df.join(side, key, how)
+
+
+#: Rows of an Arrow batch that hold whole texts at most.
+TEXT_ROWS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand whole texts to Python workers in small batches, of which the JVM and the worker each hold copies."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > TEXT_ROWS_PER_BATCH:
+        spark.conf.set(key, str(TEXT_ROWS_PER_BATCH))
