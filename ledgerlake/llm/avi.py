@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 UNIT, FRAME, WIDTH, FRAME_MS = 64, 2048, 128, 40
 LOW, HIGH, GREY = 70, 117, 128
 #: A cut needs this difference at least, and this many deviations above the mean of the last WINDOW differences.
-LEAST_CUT, DEVIATIONS, WINDOW, BINS = 0.2, 3.0, 12, 32
+LEAST_CUT, DEVIATIONS, WINDOW, BINS = 0.15, 3.0, 12, 256
+#: Equal sources of up to 32 values differ by chance by less than this over the root of a frame's samples; full frames are far below LEAST_CUT.
+CHANCE = 4.5
 
 
 def payload_of(data: bytes) -> bytes:
@@ -141,12 +143,13 @@ def decode(media: bytes) -> tuple[bytes, np.ndarray, int]:
 def shots(samples: np.ndarray) -> list[tuple[int, int]]:
     """First and end frame of each shot."""
     n, m = samples.shape
-    hist = np.bincount(((samples.astype(np.int64) * BINS >> 8) + BINS * np.arange(n)[:, None]).ravel(), minlength=BINS * n).reshape(n, BINS)
+    hist = np.bincount((samples + BINS * np.arange(n)[:, None]).ravel(), minlength=BINS * n).reshape(n, BINS)
     diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * m)
+    least = max(LEAST_CUT, CHANCE / m**0.5)
     cuts = [0]
     for i, d in enumerate(diff):
         past = diff[max(cuts[-1], i - WINDOW) : i]
-        if d > max(LEAST_CUT, past.mean() + DEVIATIONS * past.std() if len(past) else LEAST_CUT):
+        if d > max(least, past.mean() + DEVIATIONS * past.std() if len(past) else least):
             cuts.append(i + 1)
     return list(zip(cuts, [*cuts[1:], n], strict=True))
 

@@ -174,6 +174,15 @@ def test_shots_cut_at_a_change():
     assert avi.shots(np.concatenate([dark, light]).astype(np.uint8)) == [(0, 6), (6, 11)]
 
 
+def test_shots_cut_between_kinds_of_ascii():
+    prose = (b"the quick brown fox jumps over the lazy dog near the old river bank " * 400)[: 6 * avi.FRAME]
+    digits = (b"1402 5531 9078 2264 1187 3390 4456 8213 " * 400)[: 6 * avi.FRAME]
+    frames = range(0, 6 * avi.FRAME, avi.FRAME)
+    some_digits = b"".join(digits[i : i + 580] + prose[i + 580 : i + avi.FRAME] for i in frames)  # a difference of 0.15 to 0.2
+    for other in (prose.upper(), digits, some_digits):
+        assert avi.shots(avi.decode(avi.encode(prose + other))[1]) == [(0, 6), (6, 12)]
+
+
 def test_media_rows(spark, texts):
     media = avi.to_media(texts(*ODD, (9, "a" * 5000, "en", "a")))
     rows = avi.digest(media).collect()
