@@ -2,7 +2,9 @@
 
 Card numbers (Luhn), IBANs (mod 97), phone and social security numbers, IPv4
 addresses and calendar dates are found by one pattern, validated, and permuted
-inside their own format: a card stays a valid card of its length and
+inside their own format. Cards and IBANs are validated first, at every start
+and up to every separator, so digits or capitals before or after them do no
+harm: a card stays a valid card of its length and
 separators, a date a date from 1900 to 2099 in its notation. The permutation
 depends on the key and the value without separators, so equal values keep one
 pseudonym in all documents and different values keep different ones. Local
@@ -39,6 +41,9 @@ PATTERNS = {
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+#: Cards and IBANs that stand at a place, the longest run at each; runs may overlap.
+CHECKED = ("iban", "card")
+_RUNS = "(?=(" + "|".join(PATTERNS[k] for k in CHECKED) + "))"
 _SECRET_HEAD = r"^[A-Za-z_-]+[ \t]*[=:][ \t]*[\"']?"
 
 
@@ -102,6 +107,31 @@ def _mod97(s: str) -> str:
     return f"aggregate(sequence(1, length({s})), 0, (t, q) -> if({c} rlike '[0-9]', (t * 10 + cast({c} as int)) % 97, (t * 100 + ascii({c}) - 55) % 97))"
 
 
+def _passes(v: str) -> str:
+    """Whether a run is a card or an IBAN by form and check."""
+    card = f"{v} rlike {_q('^(?:' + PATTERNS['card'] + ')$')} and luhn_check({_digits(v)})"
+    iban = _let("u", f"replace({v}, ' ', '')", f"{_mod97('concat(substring(u, 5), substring(u, 1, 4))')} = 1")
+    return f"if(substring({v}, 1, 1) between '0' and '9', {card}, {v} rlike {_q('^(?:' + PATTERNS['iban'] + ')$')} and {iban})"
+
+
+def _valid_runs(text: str) -> str:
+    """The text's valid cards and IBANs, long ones first: of each run, the longest part from its start to a separator or its end."""
+    ends = "filter(sequence(length(r), 12, -1), e -> e = length(r) or substring(r, e + 1, 1) in (' ', '-'))"
+    longest = f"get(filter(transform({ends}, e -> substring(r, 1, e)), v -> {_passes('v')}), 0)"
+    found = f"filter(transform(array_distinct(regexp_extract_all({text}, {_q(_RUNS)}, 1)), r -> {longest}), v -> v is not null)"
+    return f"array_sort(array_distinct({found}), (a, b) -> length(b) - length(a))"
+
+
+def _pattern(runs: str) -> str:
+    """The pattern of all kinds, with a text's valid runs in the place of the notations of cards and IBANs.
+
+    A run that fails its check, or the rest of one, so takes nothing that stands in or after it.
+    """
+    others = "|".join([f"(?:{PATTERNS['date']})", *(f"(?:{p})" for k, p in PATTERNS.items() if k not in ("date", *CHECKED))])  # the date first, for its group's number
+    of = lambda test, around: f"if(exists({runs}, r -> {test}), concat('|(?<!{around})(?:', array_join(filter({runs}, r -> {test}), '|'), ')(?!{around})'), '')"
+    return f"if(size({runs}) = 0, {_q(others)}, concat({_q(others)}, {of("r < 'A'", '[0-9]')}, {of("r >= 'A'", '[A-Za-z0-9]')}))"
+
+
 def _date(token: str, pattern: str, key: str) -> str:
     day = f"datediff(to_date({token}, '{pattern}'), date'1900-01-01')"
     return _permuted_pair(f"{day} div 229", f"{day} % 229", 319, 229, key, "date", f"date_format(date_add(date'1900-01-01', cast(s.a * 229 + s.b as int)), '{pattern}')")
@@ -135,12 +165,11 @@ KINDS = ("card", "date", "email", "iban", "ip", "phone", "secret", "ssn")
 
 def pseudonymize(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its id, the text with pseudonyms, the number of finds, and of each kind."""
-    joined = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "date")
-    joined = f"(?:{PATTERNS['date']})|{joined}"  # first, for its group's number
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = found.withColumn("tokens", F.expr(f"coalesce(regexp_extract_all(text, {_q(joined)}, 0), array())"))
+    found = found.withColumn("runs", F.expr(_valid_runs("text"))).withColumn("pattern", F.expr(_pattern("runs")))
+    found = found.withColumn("tokens", F.expr("coalesce(regexp_extract_all(text, pattern, 0), array())"))
     found = found.withColumn("finds", F.expr(f"if(size(tokens) = 0, null, transform(tokens, t -> {_pseudonym(_q(key))}))"))
-    woven = f"array_join(flatten(zip_with(split(text, {_q(joined)}, -1), finds, (a, f) -> array(coalesce(a, ''), coalesce(f.new, f.old, '')))), '')"
+    woven = "array_join(flatten(zip_with(split(text, pattern, -1), finds, (a, f) -> array(coalesce(a, ''), coalesce(f.new, f.old, '')))), '')"
     count = lambda k: F.expr(f"cast(coalesce(size(filter(finds, f -> f.new is not null{'' if k is None else f" and f.kind = '{k}'"})), 0) as bigint)")
     counted = lambda k: F.when(F.col("finds").isNull(), F.lit(0).cast("bigint")).otherwise(count(k))
     return found.select(F.col("id").alias(id_col), F.expr(f"if(finds is null, text, {woven})").alias("text"), counted(None).alias("n_found"), *[counted(k).alias(f"n_{k}") for k in KINDS])

@@ -259,6 +259,26 @@ def test_pseudonyms_keep_formats_and_links(spark, texts):
     assert pseudonyms.pseudonymize(texts(), key="k").count() == 0
 
 
+def test_pseudonyms_of_cards_and_ibans_among_other_signs(spark, texts):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    cards = [f"card {card} 123", f"card {card} 12/27", f"card {card} 12/12/2027", f"card {card} 10.0.0.1", f"no 98 {card}", f"x{card} 123", f"{card} 12 {card} 123", f"{card}-7"]
+    ibans = [f"{iban} EUR 500", f"{iban.replace(' ', '')} EUR", f"{iban.replace(' ', '')} INVOICE 7", f"AB12 {iban}", f"{iban} {card} 9"]
+    left = ["card 4111 1111 1111 1112 123", "ES93 2100 0418 4502 0005 1332 EUR 500", None, ""]
+    given = [*cards, *ibans, *left]
+    got = [r for _, r in sorted((r.doc_id, r) for r in pseudonyms.pseudonymize(texts(*((i, t, "", "") for i, t in enumerate(given))), key="k").collect())]
+    new_card, new_iban = got[0].text[5:24], got[len(cards)].text[: len(iban)]
+    assert new_card != card and luhn(new_card.replace(" ", "")) and new_iban != iban
+    assert int("".join(str(int(x, 36)) for x in (new_iban[4:] + new_iban[:4]).replace(" ", ""))) % 97 == 1
+    for t, r in zip(given[:-4], got, strict=False):
+        want = t.replace(card, new_card).replace(iban, new_iban).replace(iban.replace(" ", ""), new_iban.replace(" ", ""))
+        assert (r.n_card, r.n_iban) == (t.count(card), t.replace(" ", "").count(iban.replace(" ", "")))
+        if r.n_found == r.n_card + r.n_iban:
+            assert r.text == want
+        else:  # a date or an address after the card
+            assert r.n_date + r.n_ip == 1 and r.text.startswith(want[:24]) and r.text[25:] != want[25:]
+    assert [r.text for r in got[-4:]] == left and all(r.n_found == 0 for r in got[-4:])
+
+
 def test_pseudonyms_are_permutations(spark, texts):
     rows = [(i, f"10.0.{i // 256}.{i % 256} {i:03d}-11-2222 {1900 + i % 200}-01-{1 + i % 28:02d}", "", "") for i in range(600)]
     got = pseudonyms.pseudonymize(texts(*rows), key="k").collect()
