@@ -279,6 +279,13 @@ def test_pseudonyms_of_cards_and_ibans_among_other_signs(spark, texts):
     assert [r.text for r in got[-4:]] == left and all(r.n_found == 0 for r in got[-4:])
 
 
+def test_pseudonyms_of_long_secrets(spark, texts):
+    value = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=2000))
+    r = pseudonyms.pseudonymize(texts((1, f"token={value} end", "", "")), key="k").first()
+    assert r.n_secret == 1 and re.fullmatch("token=[A-Za-z0-9]{2000} end", r.text)
+    assert all(value[i : i + 20] not in r.text for i in range(0, 2000, 20))
+
+
 def test_pseudonyms_are_permutations(spark, texts):
     rows = [(i, f"10.0.{i // 256}.{i % 256} {i:03d}-11-2222 {1900 + i % 200}-01-{1 + i % 28:02d}", "", "") for i in range(600)]
     got = pseudonyms.pseudonymize(texts(*rows), key="k").collect()
