@@ -179,7 +179,7 @@ def place_header_year(headers: DataFrame, anchors: DataFrame, tax_year: int, key
     return found.withColumn("_n", F.count("*").over(W.partitionBy(*key))).filter("_n = 1").drop("_n").withColumn("confidence", F.lit("high")).withColumn("provenance", F.lit("direct-anchor"))
 
 
-def chain_header_years(headers: DataFrame, periods: DataFrame, tax_year: int, max_iter: int = 24, key: str = "account_id") -> DataFrame:
+def chain_header_years(headers: DataFrame, periods: DataFrame, tax_year: int, key: str = "account_id") -> DataFrame:
     """Places the remaining headers of an account next to its periods, round by round, until nothing new fits.
 
     headers: header_id, account, ends by month and day; periods: account, start and
@@ -189,7 +189,7 @@ def chain_header_years(headers: DataFrame, periods: DataFrame, tax_year: int, ma
     """
     known = materialize(periods.select(key, "start_date", "end_date"), "chain")
     left, found = headers, None
-    for _ in range(max_iter):
+    while True:  # each round but the last places a header at least
         years = known.groupBy(key).agg(F.collect_set(F.year("start_date")).alias("_a"), F.collect_set(F.year("end_date")).alias("_b"))
         near = lambda y: F.array(y - 1, y, y + 1)
         wanted = F.concat(F.sequence(F.lit(tax_year - 1), F.lit(tax_year + 1)), F.flatten(F.transform(F.concat("_a", "_b"), near)))

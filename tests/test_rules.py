@@ -107,6 +107,15 @@ def test_chain_places_neighbours_and_leaves_rivals(spark):
     assert got == {10: dt.date(2024, 4, 1), 11: dt.date(2024, 7, 1)}
 
 
+def test_chain_of_many_headers(spark):
+    first = dt.date(2024, 1, 1)
+    week = lambda i: (first + dt.timedelta(7 * i), first + dt.timedelta(7 * i + 6))
+    periods = spark.createDataFrame([(1, *week(0))], "account_id bigint, start_date date, end_date date")
+    heads = spark.createDataFrame([(i, 1, a.month, a.day, b.month, b.day) for i in range(1, 28) for a, b in [week(i)]], "header_id bigint, account_id bigint, start_month int, start_day int, end_month int, end_day int")
+    got = {r["header_id"]: r["start_date"] for r in intake.chain_header_years(heads, periods, 2024).collect()}
+    assert got == {i: week(i)[0] for i in range(1, 28)}
+
+
 LINES = [
     ("api_key = 'abcd1234efgh5678'", "secret_credential_assignment"), ("api_key = os.environ.get", None), ("api_key = your-key-goes-here", None), ("password: hunter22x", "secret_password_assignment"),
     ("postgres://bob:s3cr3tpw@db/x", "secret_connection_string"), ("postgres://bob:password@db/x", None), ("me@mail5.example.com", "pii_email"), ("me@example.com", None), ("call (212) 555-0100", "pii_phone"),
