@@ -41,6 +41,8 @@ W_LINKS, W_LONG, W_MARKS, W_HEADING, W_BIAS = -4.0, 1.5, 0.8, 0.5, -1.0
 NEAR, SIBLING = 0.8, 0.3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|([^<]+|<)", re.S)
+#: On the page itself, since lower-casing may lengthen it; a title ends at any closing tag.
+_RAW_END = {tag: re.compile("</" if tag == "title" else f"</{tag}", re.A | re.I) for tag in RAW}
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -105,8 +107,8 @@ def blocks(html: str) -> list[Block]:
                 in_link -= t == "a"
                 silent -= t in SILENT
         if tag in RAW:
-            end = html.lower().find(f"</{tag}", at) if tag != "title" else html.find("</", at)
-            at = len(html) if end < 0 else end
+            end = _RAW_END[tag].search(html, at)
+            at = end.start() if end else len(html)
             close = html.find(">", at)
             at = len(html) if close < 0 else close + 1
             continue

@@ -98,6 +98,12 @@ def test_main_text(html, text):
     assert htmltext.main_text(html) == text
 
 
+@pytest.mark.parametrize("tag", ["script", "style", "textarea"])
+def test_letters_that_lower_case_lengthens(tag):
+    page = f"<article><p>{'\u0130' * 40}.</p><{tag}>x</{tag.upper()}><p>First paragraph stays.</p><p>Second.</p></article>"
+    assert htmltext.main_text(page) == "\u0130" * 40 + ".\nFirst paragraph stays.\nSecond."
+
+
 def test_minimum_cut_is_exhaustive_search():
     rng = random.Random(3)
     for _ in range(40):
