@@ -35,7 +35,7 @@ SECRETS = {
 }
 CREDENTIAL_NAME = r"(?i)(?:^|[_-])(?:secret[_-]?access[_-]?key|api[_-]?key|secret[_-]?key|access[_-]?key|access[_-]?token|client[_-]?secret|refresh[_-]?token|auth[_-]?token)$"
 PASSWORD_NAME = r"(?i)(?:^|[_-])(?:password|passwd)$"
-EMAIL = r"(?i)\b[A-Z0-9._%+-]{1,64}@([A-Z0-9.-]+\.[A-Z]{2,})\b"
+EMAIL = r"(?i)\b[A-Z0-9._%+-]++@([A-Z0-9.-]+\.[A-Z]{2,})\b"
 PHONE = r"(?<!\d)(?:\+?1[-.\s]?)?(?:\(?[2-9]\d{2}\)?[-.\s]?)[2-9]\d{2}[-.\s]?\d{4}(?!\d)"
 TAX_ID = r"\b(?:\d{3}-\d{2}-\d{4}|9\d{2}-[78]\d-\d{4})\b"
 EIN = r"\b\d{2}-\d{7}\b"
@@ -43,11 +43,11 @@ IBAN = r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"
 CARD = r"(?<!\d)(?:\d[ -]?){13,19}(?!\d)"
 ACCOUNT_WORDS = r"(?i)\b(account\s*(?:number|no\.?|#)|routing\s*(?:number|no\.?|#)|sort\s*code|iban|swift|bic)\b"
 ADDRESS = r"(?i)\b\d{1,6}\s+[A-Za-z0-9.' -]{2,50}\s+(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Boulevard|Blvd\.?|Drive|Dr\.?|Lane|Ln\.?|Court|Ct\.?|Way|Place|Pl\.?)\b"
-CONNECTION = r"(?i)\b[a-z][a-z0-9+.\-]{0,30}://[^\s:/@]*:([^\s/@]+)@"
+CONNECTION = r"(?i)\b[a-z][a-z0-9+.\-]*+://[^\s:/@]*:([^\s/@]+)@"
 ALLOW, ALLOW_SECRET = r"(?i)privacy-gate:\s*allow\b", r"(?i)privacy-gate:\s*allow-secret\b"
 
 #: A name before : or = and, looked at without being taken, the value after it.
-_ASSIGNMENT = r"([\p{L}\p{N}_-]{1,64})[\"']?\s{0,20}[:=]\s{0,20}(?=[\"']?([^'\"\s#]+))"
+_ASSIGNMENT = r"([\p{L}\p{N}_-]{1,64})[\"']?\s*+[:=]\s*+(?=[\"']?([^'\"\s#]+))"
 _HEX_RUN = r"[0-9a-fA-F]{32,}"
 
 
