@@ -1,11 +1,17 @@
-"""Removal of long repeated byte strings by bucket-pointer refinement.
+"""Removal of long repeated byte strings by anchored fingerprint groups.
 
-The suffixes that are sorted into buckets are a content-defined sample: of the
+This stands in the place of bucket-pointer refinement: no identifier of a
+later offset is read and no suffix is sorted. Each of three fixed levels hashes
+the bytes of its open nodes anew and uses the level before only as a filter,
+since a fingerprint of a whole context needs no rounds of pointers through all
+positions, which would have to be shuffled in every round.
+
+The suffixes that are dealt into buckets are a content-defined sample: of the
 301 places where a 100-byte gram can start in a 400-byte string, the one with
 the least gram hash (first of equals) is its anchor, so equal strings have
 their anchors at the same offset. Anchors fall into initial buckets by gram;
-buckets of one are done. A bucket's members are then refined by identifiers at
-other offsets, each level using those of the level before:
+buckets of one are done. What the level before left open is then grouped by
+fingerprints of:
 
 1. members with equal bytes from 300 before to 400 after the anchor repeat in
    every string that the anchor stands for;
@@ -15,7 +21,7 @@ other offsets, each level using those of the level before:
 3. of the rest, every 400-byte string gets an identifier of its own.
 
 Identifiers are 64-bit polynomial fingerprints, the same wherever the bytes
-stand, so refinement needs no pairs: a group is counted, and rows of groups of
+stand, so grouping needs no pairs: a group is counted, and rows of groups of
 two or more go on. Texts are read again for each level (their hashes are cheap)
 and meet the open nodes in a join, broadcast only below a checked size.
 
