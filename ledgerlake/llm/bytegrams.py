@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+#: Bytes of text that are hashed at once; the arrays over them take about 50 times as much.
+CHUNK = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -33,14 +34,15 @@ def text_chunks(column: pa.Array, limit: int = CHUNK, rows: int = 4096) -> Itera
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64; only those of an ordinary chunk are kept for the next call."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK + 1)
-        x = np.full(size, base, np.uint64)
+        x = np.full(max(n, CHUNK + 1), base, np.uint64)
         x[0] = 1
         with np.errstate(over="ignore"):
-            _powers[base] = have = np.multiply.accumulate(x)
+            have = np.multiply.accumulate(x)
+        if len(have) == CHUNK + 1:
+            _powers[base] = have
     return have[:n]
 
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import bytegrams as bg
@@ -30,7 +30,11 @@ GRAM = 6
 #: Benchmark fingerprints that are collected as a filter and broadcast at most (16 MB); beyond it, the join is a shuffle.
 MAX_FINGERPRINTS = 2_000_000
 
-_CANDIDATE = "fp bigint, pos int, kind int, ctx binary"
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    """Arrays of words as one list column."""
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *values])))
 
 
 def _winnow(grams: np.ndarray, before: np.ndarray, gram: int, w: int) -> np.ndarray:
@@ -71,13 +75,13 @@ def _benchmark_rows(item_col: str, text_col: str, window: int, gram: int):
                 at = _winnow(bg.gram_hashes(words, gram), before, gram, window - gram + 1)
                 at = at[long_[at]]
                 grams = bg.gram_hashes(words, gram)
-                out = [(np.searchsorted(before, at, "right") - 1, grams[at], np.zeros(len(at), np.int32), list(map(bytes, _context(words, before, at, back, size, 1))))]
+                out = [(np.searchsorted(before, at, "right") - 1, grams[at], np.zeros(len(at), np.int32), list(_context(words, before, at, back, size, 1).view(np.int64)))]
                 for i in np.flatnonzero((counts > 0) & (counts < window)):
                     own = words[before[i] : before[i + 1]]
-                    out.append((np.array([i]), bg.gram_hashes(own, len(own)), np.array([len(own)], np.int32), [own.tobytes()]))
+                    out.append((np.array([i]), bg.gram_hashes(own, len(own)), np.array([len(own)], np.int32), [own.view(np.int64)]))
                 which = np.concatenate([o[0] for o in out])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).take(pa.array(which)).cast(pa.string()), pa.array(np.concatenate([o[1] for o in out]).view(np.int64)), pa.array(np.concatenate([o[2] for o in out])), pa.array([c for o in out for c in o[3]], pa.binary())],
+                    [ids.slice(lo, hi - lo).take(pa.array(which)).cast(pa.string()), pa.array(np.concatenate([o[1] for o in out]).view(np.int64)), pa.array(np.concatenate([o[2] for o in out])), _lists([c for o in out for c in o[3]])],
                     names=["item_id", "fp", "kind", "item_ctx"],
                 )
 
@@ -121,21 +125,21 @@ def _document_rows(id_col: str, text_col: str, window: int, gram: int, short: li
                 words, before = bg.word_hashes(buf, offsets, bg.LETTERS_DIGITS)
                 n = hi - lo
                 which, fps, kinds, poss = [np.arange(n)], [np.zeros(n, np.uint64)], [np.full(n, -1, np.int32)], [np.zeros(n, np.int64)]
-                ctx: list[bytes] = [b""] * n
+                ctx: list[np.ndarray] = [np.empty(0, np.int64)] * n
                 if known is None or 0 in known:
                     grams = bg.gram_hashes(words, gram)
                     at = pick(0, grams, _winnow(grams, before, gram, window - gram + 1))
                     if len(at):
                         text = np.searchsorted(before, at, "right") - 1
                         which.append(text), fps.append(grams[at]), kinds.append(np.zeros(len(at), np.int32)), poss.append(at - before[text])
-                        ctx += map(bytes, _context(words, before, at, back, size, 0))
+                        ctx += list(_context(words, before, at, back, size, 0).view(np.int64))
                 for k in short:
                     grams = bg.gram_hashes(words, k)
                     at = pick(k, grams, np.flatnonzero(bg.inside_text(before, k, len(grams))))
                     if len(at):
                         text = np.searchsorted(before, at, "right") - 1
                         which.append(text), fps.append(grams[at]), kinds.append(np.full(len(at), k, np.int32)), poss.append(at - before[text])
-                        ctx += map(bytes, words[at[:, None] + np.arange(k)[None, :]])
+                        ctx += list(words[at[:, None] + np.arange(k)[None, :]].view(np.int64))
                 row = np.concatenate(which)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -145,7 +149,7 @@ def _document_rows(id_col: str, text_col: str, window: int, gram: int, short: li
                         pa.array(np.concatenate(fps).view(np.int64), mask=np.concatenate(kinds) < 0),
                         pa.array(np.concatenate(kinds)),
                         pa.array(np.concatenate(poss)),
-                        pa.array(ctx, pa.binary()),
+                        _lists(ctx),
                     ],
                     names=["_doc", "_row", "n_words", "fp", "kind", "pos", "ctx"],
                 )
@@ -154,40 +158,33 @@ def _document_rows(id_col: str, text_col: str, window: int, gram: int, short: li
     return rows
 
 
-def _extend(window: int, gram: int):
-    """Compares the words around both fingerprints; keeps the whole shared run if it holds a window."""
+def _extended(window: int, gram: int) -> Column:
+    """struct<lo, hi>: the whole run of words that both sides share around a fingerprint, if it holds a window; else null.
+
+    Both neighbourhoods are arrays of word hashes with the fingerprint's gram at the same place.
+    """
     back = window - gram
+    same = F.zip_with("ctx", "item_ctx", lambda a, b: a == b)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind = batch.column("kind").to_numpy(zero_copy_only=False)
-            pos = batch.column("pos").to_numpy(zero_copy_only=False)
-            mine, theirs = batch.column("ctx"), batch.column("item_ctx")
-            lo, hi = np.zeros(len(kind), np.int64), np.zeros(len(kind), np.int64)
-            joined = theirs.is_valid().to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(joined & (kind == 0))
-            if len(at):
-                a = np.frombuffer(b"".join(mine.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1)
-                b = np.frombuffer(b"".join(theirs.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1)
-                same = a == b
-                left = np.cumprod(same[:, :back][:, ::-1], axis=1).sum(axis=1)
-                right = np.cumprod(same[:, back + gram :], axis=1).sum(axis=1)
-                good = same[:, back : back + gram].all(axis=1) & (left + gram + right >= window)
-                lo[at] = np.where(good, pos[at] - left, 0)
-                hi[at] = np.where(good, pos[at] + gram + right, 0)
-            for i in np.flatnonzero(joined & (kind > 0)):
-                if mine[i].as_py() == theirs[i].as_py():
-                    lo[i], hi[i] = pos[i], pos[i] + kind[i]
-            keep = pa.array((kind < 0) | (hi > lo))
-            yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_row"), batch.column("n_words"), batch.column("item_id"), pa.array(lo), pa.array(hi)], names=["_doc", "_row", "n_words", "item_id", "lo", "hi"]).filter(keep)
+    def run(flags: Column, size: int) -> Column:
+        """How many of the first flags hold."""
+        stop = F.array_position(flags, False)
+        return F.when(stop == 0, F.lit(size)).otherwise(stop - 1).cast("bigint")
 
-    return rows
+    def found(v: Column) -> Column:
+        left, right = run(F.reverse(F.slice(v, 1, back)), back), run(F.slice(v, window + 1, back), back)
+        whole = ~F.array_contains(F.slice(v, back + 1, gram), False) & (left + right + gram >= window)
+        return F.when(whole, F.struct((F.col("pos") - left).alias("lo"), (F.col("pos") + gram + right).alias("hi")))
+
+    long_ = F.element_at(F.transform(F.array(same), found), 1)
+    short = F.when(F.col("ctx") == F.col("item_ctx"), F.struct(F.col("pos").alias("lo"), (F.col("pos") + F.col("kind")).alias("hi")))
+    return F.when(F.col("kind") == 0, long_).when(F.col("kind") > 0, short)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, gram: int = GRAM, min_share: int = 20) -> DataFrame:
     """One row per document: its words, those inside a benchmark window, the items met, and the verdict (1/min_share of the words hit)."""
     spark = docs.sparkSession
-    bench = items.select(item_col, item_text).mapInArrow(_benchmark_rows(item_col, item_text, window, gram), "item_id string, fp bigint, kind int, item_ctx binary")
+    bench = items.select(item_col, item_text).mapInArrow(_benchmark_rows(item_col, item_text, window, gram), "item_id string, fp bigint, kind int, item_ctx array<bigint>")
     bench = bench.distinct()
     count = bench.limit(MAX_FINGERPRINTS + 1).count()
     known, short = None, sorted(r["kind"] for r in bench.filter("kind > 0").select("kind").distinct().collect())
@@ -200,16 +197,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
         return _document_rows(id_col, text_col, window, gram, short, shared.value)(batches)
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    hits = docs.select(id_col, text_col).mapInArrow(document_rows, f"_doc {id_type}, _row bigint, n_words bigint, fp bigint, kind int, pos bigint, ctx binary")
+    hits = docs.select(id_col, text_col).mapInArrow(document_rows, f"_doc {id_type}, _row bigint, n_words bigint, fp bigint, kind int, pos bigint, ctx array<bigint>")
     right = bench.withColumnRenamed("fp", "_fp").withColumnRenamed("kind", "_kind")
     if count <= MAX_FINGERPRINTS // 20:
         right = F.broadcast(right)
     pairs = hits.join(right, (F.col("fp") == F.col("_fp")) & (F.col("kind") == F.col("_kind")), "left").drop("_fp", "_kind")
-    runs = pairs.mapInArrow(_extend(window, gram), f"_doc {id_type}, _row bigint, n_words bigint, item_id string, lo bigint, hi bigint")
+    runs = pairs.select("_doc", "_row", "n_words", "item_id", _extended(window, gram).alias("run"))
     by_doc = runs.groupBy("_doc", "_row").agg(
         F.max("n_words").alias("n_words"),
-        F.sort_array(F.collect_set("item_id")).alias("items"),
-        F.sort_array(F.collect_set(F.when(F.col("hi") > F.col("lo"), F.struct("lo", "hi")))).alias("runs"),
+        F.sort_array(F.collect_set(F.when(F.col("run").isNotNull(), F.col("item_id")))).alias("items"),
+        F.sort_array(F.collect_set("run")).alias("runs"),
     )
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
     union = F.aggregate("runs", start, lambda acc, r: F.struct((acc["n"] + F.greatest(F.lit(0).cast("bigint"), r["hi"] - F.greatest(r["lo"], acc["end"]))).alias("n"), F.greatest(acc["end"], r["hi"]).alias("end")))

@@ -9,14 +9,16 @@ escape (distinct bytes / (occurrences + distinct bytes)). The statistics are
 frozen after training, so the cost of a byte depends on it and its three
 predecessors only; costs of all seen 4-grams are tabulated for all languages.
 
-Training takes at most `sample` documents per language (by hash of the id).
-Case of A-Z and of Latin-1 letters is folded.
+Training takes at most `sample` documents per language (by hash of the id) of
+every language that occurs; over MAX_LANGUAGES of them raise an error, since
+the column then holds no languages. Case of A-Z and of Latin-1 letters is folded.
 
 Defined results: a null text, or one with no letter, is `und` with score 0;
 without training rows every row is `und`; ties go to the language first in
 code-point order; rows with a null id or lang are not learned from (a null id
-counts as held out); repeated rows are judged alike; extra columns of docs are
-ignored.
+counts as held out); repeated rows are judged alike; an empty table gives no
+rows; a very long text is scored whole, in one piece of its task's memory;
+extra columns of docs are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import Window as W
 
 from ledgerlake.llm import bytegrams as bg
 
-#: Training documents and languages at most; the cost of a byte is an integer of 1/UNIT bits.
-SAMPLE, MAX_LANGUAGES, UNIT = 1500, 256, 1024
+#: Training documents per language at most; languages that a column of languages may hold; the cost of a byte is an integer of 1/UNIT bits.
+SAMPLE, MAX_LANGUAGES, UNIT = 1500, 512, 1024
 _PAD = 10
 
 
@@ -75,9 +77,11 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Counts 4-grams of a bounded sample of docs on the executors; the model's size is bounded by the sample's."""
     rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
     if not sizes:
         return Model([], {})
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has over {MAX_LANGUAGES} values, so it is no column of languages")
     place = F.xxhash64(F.col(id_col).cast("string")).cast("double") / float(1 << 64) + 0.5
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.5 * sample / n))]), F.col(lang_col))
     picked = rows.filter(F.col(lang_col).isin(list(sizes)) & (place < share)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
@@ -212,19 +216,12 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns kept, whose text has letters, and so a language."""
+    """The rows of docs, all columns kept, whose text has letters and gets a language. Only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
         model = shared.value
-        for batch in batches:
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
-            if model.languages:
-                best, share = model.score(batch.column(text_col))
-                keep = letters & (best >= 0) & (share > 0)
-            else:
-                keep = np.zeros(len(letters), bool)
-            yield batch.select([n for n in batch.schema.names if n != "_letters"]).filter(pa.array(keep))
+        return pa.array(model.score(texts)[1] > 0 if model.languages else np.zeros(len(texts), bool))
 
-    marked = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
-    return marked.mapInArrow(rows, docs.schema)
+    return docs.filter(F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))).filter(known(F.col(text_col)))

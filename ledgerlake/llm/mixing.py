@@ -72,10 +72,20 @@ def schedule(spark, aims: DataFrame, total: int, block: int) -> DataFrame:
     return running_total(dealt, ["sid"], "bucket", [F.col("slot")], F.col("one"), "rank").select("slot", "sid", "rank")
 
 
+def _key(id_col: str, text_col: str, source_col: str) -> Column:
+    """Tells rows apart whose ids are equal, null or read alike."""
+    return F.xxhash64(id_col, text_col, source_col)
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeat: int = 3) -> DataFrame:
     """Per row of docs: its id, size, source_size, target and taken (the words that the mix takes of it, repeats counted)."""
+    return _taken(docs, id_col, text_col, source_col, max_repeat).select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_repeat: int) -> DataFrame:
+    """The rows of mix, with the rows' keys."""
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("src"), words(text_col).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("hash"))
+    sized = docs.select(_key(id_col, text_col, source_col).alias("k"), F.col(id_col).alias("_id"), F.col(source_col).alias("src"), words(text_col).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("hash"))
     sized = materialize(sized, "mix-sizes")
     n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = block_words(total)
@@ -86,7 +96,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rows = sized.join(known, F.col("src").eqNullSafe(F.col("_src"))).drop("src", "_src")
     buckets = max(1, n // ROWS_PER_BUCKET)
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("hash", 1, 8), 16, 10).cast("bigint") * buckets / (1 << 32)))
-    line = running_total(rows, ["sid"], "bucket", [F.col("hash"), F.col("_id"), F.col("size")], F.col("size"), "start")
+    line = running_total(rows, ["sid"], "bucket", [F.col("hash"), F.col("_id"), F.col("size"), F.col("k")], F.col("size"), "start")
     # Each pass over the source's line, as far as its slots reach; then the blocks that the document touches on it.
     passes = F.explode_outer(F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_repeat - 1)), lambda r: F.col("start") + r.cast("bigint") * F.col("source_size")), lambda at: (at < F.col("drawn")) & (F.col("size") > 0)))
     laid = line.withColumn("at", passes)
@@ -94,18 +104,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     pieces = laid.withColumn("block", touched)
     taken = pieces.join(slots.select(F.col("sid").alias("_sid"), F.col("rank").alias("_rank")), (F.col("sid") == F.col("_sid")) & (F.col("block") == F.col("_rank")), "left")
     share = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
-    by_row = taken.groupBy("sid", "start", "_id", "hash", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("_rank").isNotNull(), share)), F.lit(0)).alias("taken"), F.countDistinct("at", "block").alias("_n"), F.count("*").alias("_rows"))
+    by_row = taken.groupBy("sid", "start", "_id", "k", "hash", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("_rank").isNotNull(), share)), F.lit(0)).alias("taken"), F.countDistinct("at", "block").alias("_n"), F.count("*").alias("_rows"))
     # Rows alike in id and place are only those of size 0: they count one for one.
     copies = F.explode(F.when(F.col("size") == 0, F.sequence(F.lit(1).cast("bigint"), F.col("_rows"))).otherwise(F.array(F.lit(1).cast("bigint"))))
-    return by_row.withColumn("_copy", copies).select(F.col("_id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
+    return by_row.withColumn("_copy", copies).select("k", "_id", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
+
 
+def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeat: int = 3) -> DataFrame:
+    """docs repeated as often as the mix takes them whole; a last pass counts if it takes at least half of the words.
 
-def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs repeated as often as the mix takes them whole; a last pass counts if it takes at least half of the words."""
-    took = mix(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("_tid")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_times"))
-    times = took.filter("_times >= 0.5").select(F.coalesce(F.col("_tid").cast("string"), F.lit("null")).alias("_key"), "_times")
-    rows = join_small(docs.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), times, "_key", "inner")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.floor(F.col("_times") + 0.5).cast("int")))).select(*docs.columns)
+    Rows are known by a hash of id, text and source, so null, repeated and like-reading ids are told apart.
+    """
+    took = _taken(docs, id_col, text_col, source_col, max_repeat)
+    times = took.groupBy("k").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("times")).filter("times >= 0.5")
+    rows = join_small(docs.select(_key(id_col, text_col, source_col).alias("k"), F.struct("*").alias("row")), times, "k", "inner")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.floor(F.col("times") + 0.5).cast("int")))).select("row.*")
 
 
 #: The same rows in SQL: `taken` follows from the number of slots that each source draws.

@@ -17,11 +17,17 @@ order of their frequency, sets of similarity t must share one among the first
 n - ceil(t n) + 1 of the larger and the first n - ceil(2 t n / (1 + t)) + 1 of the
 smaller set, so a passage or template that thousands share brings no pairs.
 
+Inside, a document is known by a 64-bit hash of its id and text, so rows with
+one id and different texts are different documents.
+
 Defined results: null, empty and wordless texts have no shingles and are
 linked with nothing; fewer than five words are one shingle; rows with equal
-ids and equal texts are each returned, with one component; a row with a null
-id is kept, with a null component; an empty table gives no rows; only the id
-and text columns are read.
+ids and equal texts are one document, and each is returned; rows with equal ids
+and different texts are judged each for itself; a row with a null id is linked
+like others, but never names a component that has another id (without one the
+component is null); of equal sets the least id names the class; an empty table
+gives no rows; a very long text is hashed in one piece of its task's memory;
+only the id and text columns are read, whatever the others' names.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.staging import materialize
+from ledgerlake.functions.staging import join_small, materialize
 from ledgerlake.llm import bytegrams as bg
 from ledgerlake.llm.graph import components
 
@@ -81,12 +87,11 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(data, dtype).reshape(len(column), -1)
 
 
-def _signatures(id_col: str, text_col: str, n: int):
+def _signatures(n: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, mul = _permutations()
         for batch in batches:
-            ids = batch.column(id_col)
-            for lo, hi, buf, offsets in bg.text_chunks(batch.column(text_col)):
+            for lo, hi, buf, offsets in bg.text_chunks(batch.column("text")):
                 key, counts = _sets(buf, offsets, n)
                 full = np.flatnonzero(counts)
                 sig = np.zeros((hi - lo, 2 * PERMUTATIONS), np.uint32)
@@ -102,7 +107,8 @@ def _signatures(id_col: str, text_col: str, n: int):
                         np.multiply(np.bitwise_xor(x, xor[j], out=y), mul[j], out=y)
                         sig[full, j] = np.minimum.reduceat(y, starts)
                         sig[full, PERMUTATIONS + j] = np.maximum.reduceat(y, starts)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _binary(sig), _binary(sig.astype(np.uint8))], names=["id", "n", "s1", "s2", "sig", "low"])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc"), pa.array(counts.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _binary(sig), _binary(sig.astype(np.uint8))], names=["id", "doc", "n", "s1", "s2", "sig", "low"])
 
     return rows
 
@@ -129,11 +135,11 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(same >= PERMUTATIONS))
 
 
-def _set_rows(id_col: str, text_col: str, n: int):
+def _set_rows(n: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(id_col)
-            for lo, hi, buf, offsets in bg.text_chunks(batch.column(text_col)):
+            ids = batch.column("id")
+            for lo, hi, buf, offsets in bg.text_chunks(batch.column("text")):
                 key, counts = _sets(buf, offsets, n)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 8
                 values = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer((key & _LOW52).tobytes())])
@@ -152,13 +158,13 @@ def _packed(cells: np.ndarray, counts: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(block[i]), pairs[i:j].tobytes()) for i, j in zip(at, [*at[1:], len(cells)], strict=True)]
 
 
-def _shingle_counts(text_col: str, n: int):
+def _shingle_counts(n: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         often = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for _, _, buf, offsets in bg.text_chunks(batch.column(text_col)):
+            for _, _, buf, offsets in bg.text_chunks(batch.column("text")):
                 cell, times = np.unique((_sets(buf, offsets, n)[0] & _LOW52) & np.uint64(CELLS - 1), return_counts=True)
                 often[cell.astype(np.int64)] += times
         cell = np.flatnonzero(often)
@@ -181,13 +187,13 @@ def _sum_counts(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([b for b, _ in packed], pa.int32()), "counts": pa.array([c for _, c in packed], pa.binary())})
 
 
-def _rare_rows(text_col: str, n: int, percent: int, shared):
+def _rare_rows(n: int, percent: int, shared):
     """The first shingles of every set in order of frequency, with their places, as far as the similarity needs them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            for lo, hi, buf, offsets in bg.text_chunks(batch.column(text_col)):
+            for lo, hi, buf, offsets in bg.text_chunks(batch.column("text")):
                 key, counts = _sets(buf, offsets, n)
                 shingle, text = key & _LOW52, (key >> np.uint64(52)).astype(np.int64)
                 times = often[(shingle & np.uint64(CELLS - 1)).astype(np.int64)]
@@ -218,21 +224,21 @@ def _confirmed(percent: int):
     return rows
 
 
-def _rare_pairs(texts: DataFrame, text_col: str, shingle: int, percent: int, id_type: str) -> DataFrame:
+def _rare_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a rare enough shingle for the similarity.
 
     texts: id, comp and text. Any common order of shingles finds every pair; frequencies
     are therefore counted in a table of fixed size, whose cells may be shared. It is the
     one thing that is collected.
     """
-    counts = texts.mapInArrow(_shingle_counts(text_col, shingle), "block int, salt int, counts binary")
+    counts = texts.mapInArrow(_shingle_counts(shingle), "block int, salt int, counts binary")
     counts = counts.groupBy("block", "salt").applyInArrow(_sum_counts, "block int, counts binary").groupBy("block").applyInArrow(_sum_counts, "block int, counts binary")
     often = np.zeros(CELLS, np.int32)
     for row in counts.collect():
         cell, times = np.frombuffer(row["counts"], np.int32).reshape(-1, 2).T
         often[cell] = times
     shared = texts.sparkSession.sparkContext.broadcast(often)
-    head = texts.mapInArrow(_rare_rows(text_col, shingle, percent, shared), f"id {id_type}, comp {id_type}, n bigint, shingle bigint, place bigint")
+    head = texts.mapInArrow(_rare_rows(shingle, percent, shared), "id bigint, comp bigint, n bigint, shingle bigint, place bigint")
     head = materialize(head, "minmax-rare")
     less = head.filter(F.col("place") <= F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")).select("shingle", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("comp").alias("_comp"), F.col("place").alias("_place"))
     near = (F.col("comp") != F.col("_comp")) & ((F.col("_n") < F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("_id") < F.col("id")))) & (100 * F.col("_n") >= percent * F.col("n"))
@@ -241,16 +247,24 @@ def _rare_pairs(texts: DataFrame, text_col: str, shingle: int, percent: int, id_
     return head.join(less, "shingle").filter(near).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 75) -> DataFrame:
-    """Per row of docs: its id, n_shingles, component_id (the least id that it reaches) and kept (it is that id)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    every = materialize(docs.select(id_col, text_col).mapInArrow(_signatures(id_col, text_col, shingle), f"id {id_type}, n bigint, s1 bigint, s2 bigint, sig binary, low binary"), "minmax")
-    linked = every.filter("n > 0 and id is not null")
-    classes = linked.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    member = materialize(linked.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).groupBy("id").agg(F.min("rep").alias("rep")), "minmax-classes")
-    heads = materialize(linked.join(member.filter("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sig", "low"), "minmax-heads")
-
-    bands = heads.select("id", "sig").mapInArrow(_bands, f"band bigint, id {id_type}")
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 75) -> DataFrame:
+    """Per row of docs: id (the hash of its id and text), doc (its id), n (shingles), comp (null without shingles), least (the
+    component's least doc), and first: the hash of the one document that stands for the component."""
+    given = docs.select(F.xxhash64(id_col, text_col).alias("id"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    doc_type = docs.schema[id_col].dataType.simpleString()
+    every = materialize(given.mapInArrow(_signatures(shingle), f"id bigint, doc {doc_type}, n bigint, s1 bigint, s2 bigint, sig binary, low binary"), "minmax")
+    linked = every.filter("n > 0")
+    same_set = ["n", "s1", "s2"]
+    classes = linked.groupBy(*same_set).agg(F.min("id").alias("rep"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    copies = materialize(join_small(linked.select("id", *same_set), classes, same_set, "inner").groupBy("id", "rep").agg(F.count("*").alias("rows")), "minmax-classes")
+    again = copies.filter("id = rep and rows > 1").select("id")
+    repeats = not copies.filter("rows > 1").isEmpty()
+    heads = join_small(linked, copies.filter("id <> rep or rows > 1").select("id"), "id", "left_anti").select("id", "n", "sig", "low")
+    if repeats:
+        heads = heads.union(join_small(linked, again, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sig", "low"))
+    heads = materialize(heads, "minmax-heads")
+
+    bands = heads.select("id", "sig").mapInArrow(_bands, "band bigint, id bigint")
     leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).filter("members > 1").select(F.col("band").alias("_band"), "leader", "members")
     met = materialize(bands.join(leaders, F.col("band") == F.col("_band")).filter("id <> leader").select("band", "leader", "members", "id"), "minmax-buckets")
 
@@ -258,19 +272,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         left = heads.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("low").alias("low_a"))
         right = heads.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("low").alias("low_b"))
         rows = pairs.join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        return materialize(rows.select("a", "b", "low_a", "low_b").mapInArrow(_alike, f"a {id_type}, b {id_type}"), "minmax-alike")
+        return materialize(rows.select("a", "b", "low_a", "low_b").mapInArrow(_alike, "a bigint, b bigint"), "minmax-alike")
 
     def pick_texts(ids: DataFrame) -> DataFrame:
-        side = ids.select(F.col("id").alias("_id"))
-        side = F.broadcast(side) if ids.count() <= MAX_IDS else side
-        return docs.select(id_col, text_col).join(side, F.col(id_col) == F.col("_id"), "left_semi")
+        side = F.broadcast(ids) if ids.count() <= MAX_IDS else ids
+        found = given.select("id", "text").join(side, "id")
+        return found.dropDuplicates(["id"]) if repeats else found
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = materialize(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id")), "minmax-wanted")
-        sets = pick_texts(wanted).mapInArrow(_set_rows(id_col, text_col, shingle), f"id {id_type}, shingles binary")
+        sets = pick_texts(wanted).mapInArrow(_set_rows(shingle), "id bigint, shingles binary")
         first = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
         both = first.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), f"a {id_type}, b {id_type}").distinct(), "minmax-links")
+        return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a bigint, b bigint").distinct(), "minmax-links")
 
     stars = met.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = confirm(alike(stars))
@@ -284,14 +298,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     direct = direct.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     crowded = met.join(apart.filter(F.col("members") > SMALL_BUCKET).select("band").distinct(), "band", "left_semi")
     crowded = materialize(own(crowded.select("id").union(crowded.select("leader")).distinct(), "id").select("id", F.col("comp_id").alias("comp")), "minmax-crowded")
-    side = F.broadcast(crowded) if crowded.count() <= MAX_IDS else crowded
-    crowd = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(side, F.col("_id") == F.col("id")).select("id", "comp", "_text")
-    cross = direct.union(_rare_pairs(crowd, "_text", shingle, percent, id_type)).distinct()
+    cross = direct.union(_rare_pairs(pick_texts(crowded).select("id", "comp", "text"), shingle, percent)).distinct()
     links = links.union(confirm(alike(cross)))
     comps = materialize(components(links), "minmax-components")
 
-    ids = member.join(comps, member["rep"] == comps["id"], "left").select(member["id"].alias("_id"), F.coalesce("comp", "rep").alias("comp"))
-    rows = every.select("id", "n").join(ids, F.col("id") == F.col("_id"), "left")
-    comp = F.coalesce("comp", "id")
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
+    rows = every.select("id", "doc", "n").join(copies.filter("id <> rep").select("id", "rep"), "id", "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")))
+    rows = rows.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    rows = materialize(rows.select("id", "doc", "n", "comp"), "minmax-rows")
+    # Components of one row name themselves; so only those of more rows are looked up.
+    names = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc").alias("least"), F.min(F.struct(F.col("doc").isNull().alias("u"), "doc", "id")).alias("first"), F.count("*").alias("_c")).filter("_c > 1")
+    named = join_small(rows, names.select("comp", "least", F.col("first.id").alias("first"), F.lit(True).alias("_many")), "comp", "left")
+    return named.select("id", "doc", "n", "comp", F.when(F.col("_many"), F.col("least")).otherwise(F.col("doc")).alias("least"), F.coalesce("first", "id").alias("first"))
+
 
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 75) -> DataFrame:
+    """Per row of docs: its id, n_shingles, component_id (the least id that it reaches) and kept (it is that id)."""
+    rows = grouped(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
+    return rows.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("least").eqNullSafe(F.col("doc")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns kept, less all but one of each near-duplicate group.
+
+    The document with the least id stays (a null id comes last; of equal ids with
+    different texts, the one with the least hash); of rows alike in id and text,
+    the one whose columns have the least hash. Texts without shingles all stay.
+    """
+    found = materialize(grouped(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent), "minmax-grouped")
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("id"), F.struct("*").alias("row"))
+    rest = join_small(rows, found.filter("n > 0 and id <> first").select("id").distinct(), "id", "left_anti")
+    again = materialize(found.filter("n > 0 and id = first").groupBy("id").agg(F.count("*").alias("_c")).filter("_c > 1").select("id"), "minmax-again")
+    if not again.isEmpty():
+        one = join_small(rest, again, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        rest = join_small(rest, again, "id", "left_anti").unionByName(one)
+    return rest.select("row.*")

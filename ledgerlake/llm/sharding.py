@@ -8,11 +8,15 @@ tolerance. Probing goes through the bits of the text key first: a group of
 equal texts stays whole unless it alone outweighs the tolerance, and then the
 bits of the id key split it. Rows move once, after the splitters are known.
 
+The exchanges that give slots come after that: rows are numbered inside
+buckets of keys, and the buckets' counts are summed.
+
 Law `bytes`: shard sizes differ from the mean by the tolerance at most, as
 long as no single row is larger. Null text has size 1 and the crc of the empty
-text. A null doc_id has a key of its own. Rows alike in text and id can't be
-told apart and stay together. An empty table gives no rows. Only the id and
-text columns are read, so clashing names don't matter.
+text. A null doc_id shares the key of the text "null", which only decides its place
+among equal texts. Rows alike in text and id can't be told apart and stay
+together. A very long text is one row of its size. An empty table gives no
+rows. Only the id and text columns are read, so clashing names don't matter.
 """
 
 from __future__ import annotations
@@ -33,9 +37,9 @@ def _key(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, BITS // 4), 16, 10).cast("bigint")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), _key(text).alias("k1"), _key(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("k2"))
+    return docs.select(*more, F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), _key(text).alias("k1"), _key(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("k2"))
 
 
 def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
@@ -86,17 +90,32 @@ def shard_of(cuts: list[tuple[int, int]]) -> Column:
     return F.size(F.filter(at, lambda s: (s["a"] < F.col("k1")) | ((s["a"] == F.col("k1")) & (s["b"] <= F.col("k2")))))
 
 
-def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, tolerance: float = 0.01) -> DataFrame:
-    """Per row: id, size, text_crc32, law, shard, slot (place in the shard) and grown_shard (null under this law)."""
-    rows = materialize(keyed(docs, id_col, text_col), "shard-keys")
-    n = rows.count()
-    cuts = splitters(rows, shards, tolerance)
+def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, tolerance: float = 0.01, carry: list[str] | None = None) -> DataFrame:
+    """Per row: id, size, text_crc32, law, shard, slot (place in the shard) and grown_shard (null under this law).
+
+    `carry` names columns of docs that move with their rows and follow; a name
+    that one of the columns above has gets an underscore.
+    """
+    keys = materialize(keyed(docs, id_col, text_col), "shard-keys")
+    n = keys.count()
+    cuts = splitters(keys, shards, tolerance)
     bits = max(0, (n // ROWS_PER_BUCKET).bit_length())
-    rows = rows.withColumn("shard", shard_of(cuts)).withColumn("b1", F.shiftright("k1", BITS - bits) if bits else F.lit(0).cast("bigint"))
+    b1 = F.shiftright("k1", BITS - bits) if bits else F.lit(0).cast("bigint")
     # A bucket that a large group of copies fills is cut up by the id key too.
-    heavy = rows.groupBy("b1").agg(F.count("*").alias("_n")).filter(F.col("_n") > 4 * ROWS_PER_BUCKET).select(F.col("b1").alias("_b1"))
-    rows = rows.join(heavy, F.col("b1") == F.col("_b1"), "left")
-    fine = F.when(F.col("_b1").isNull(), F.struct(F.lit(0).cast("bigint").alias("k1"), F.lit(0).cast("bigint").alias("b2"))).otherwise(F.struct(F.col("k1"), (F.shiftright("k2", BITS - bits) if bits else F.lit(0)).cast("bigint").alias("b2")))
-    rows = rows.withColumn("bucket", F.struct("b1", fine.alias("fine"))).withColumn("one", F.lit(1).cast("bigint"))
-    placed = running_total(rows, ["shard"], "bucket", [F.col("k1"), F.col("k2"), F.col("_id")], F.col("one"), "slot")
-    return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    heavy = materialize(keys.groupBy(b1.alias("_b1")).agg(F.count("*").alias("_n")).filter(F.col("_n") > 4 * ROWS_PER_BUCKET).select("_b1"), "shard-heavy")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        found = rows.withColumn("shard", shard_of(cuts)).withColumn("b1", b1).join(F.broadcast(heavy), F.col("b1") == F.col("_b1"), "left")  # n / 16384 rows at most
+        fine = F.when(F.col("_b1").isNull(), F.struct(F.lit(0).cast("bigint").alias("k1"), F.lit(0).cast("bigint").alias("b2"))).otherwise(F.struct(F.col("k1"), (F.shiftright("k2", BITS - bits) if bits else F.lit(0)).cast("bigint").alias("b2")))
+        return found.withColumn("bucket", F.struct("b1", fine.alias("fine"))).withColumn("one", F.lit(1).cast("bigint"))
+
+    order = [F.col("k1"), F.col("k2"), F.col("_id")]
+    if carry is None:
+        slots, more = running_total(placed(keys), ["shard"], "bucket", order, F.col("one"), "slot"), []
+    else:  # the rows themselves move once, by bucket; their number below each bucket is counted on the keys
+        whole = docs.select(F.struct("*").alias("row")).select(F.col(f"row.`{id_col}`").alias("_own"), F.col(f"row.`{text_col}`").alias("_text"), F.struct(*[F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried"))
+        rows = keyed(whole, "_own", "_text", "carried")
+        slots = running_total(placed(rows), ["shard"], "bucket", order, F.col("one"), "slot", sums_of=placed(keys))
+        taken = {id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+        more = [F.col(f"carried.c{i}").alias(f"{c}_" if c in taken else c) for i, c in enumerate(carry)]
+    return slots.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *more)
