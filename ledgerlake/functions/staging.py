@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,19 @@ from pyspark.sql import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where the session has none."""
+    """The folder that the driver and all executors share.
+
+    Where the session names none, a local master works in the driver's own
+    temporary folder; on a cluster that would be each machine's own disk, so
+    there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/checkpoints"
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -37,15 +45,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: Column, out: str) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: Column, out: str, sums_of: DataFrame | None = None) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the group that come before this row.
 
     `bucket` must be a column that rises with `order` inside a group; only one
     bucket's rows meet in a task, and only one row per bucket meets in the
     window over a group, so a group that holds most rows is still dealt out.
+    `sums_of` has the same rows in a form that is cheaper to sum up.
     """
     keys = [*group, bucket]
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    sums = (df if sums_of is None else sums_of).groupBy(*keys).agg(F.sum(value).alias("_sum"))
     before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     base = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -61,20 +70,10 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def join_small(df: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
-    """Joins df with a side of few columns on its column `key`, broadcast only if its counted rows are within the bound."""
+def join_small(df: DataFrame, side: DataFrame, key: str | list[str], how: str) -> DataFrame:
+    """Joins df with a side of few columns on its column or columns `key`, broadcast only if its counted rows are within the bound."""
     side = materialize(side, "side")
     if side.count() <= MAX_BROADCAST_ROWS:
         side = F.broadcast(side)
     return df.join(side, key, how)
 
-
-#: Rows of an Arrow batch that hold whole texts at most.
-TEXT_ROWS_PER_BATCH = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lets Spark hand whole texts to Python workers in small batches, of which the JVM and the worker each hold copies."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > TEXT_ROWS_PER_BATCH:
-        spark.conf.set(key, str(TEXT_ROWS_PER_BATCH))
