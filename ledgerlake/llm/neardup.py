@@ -7,7 +7,8 @@ bucket keys: at the threshold 0.75 a pair shares no band of 40 with
 probability (1 - 0.75**4)**40 = 2.5e-7.
 
 Documents with one and the same set are one class and go on as its least id.
-In every bucket the least id is the leader. Pairs (leader, member) whose
+In every bucket the document with the least id, likely the one that others were
+copied from, is the leader. Pairs (leader, member) whose
 signatures agree in half their values (7 deviations below the threshold) are
 compared on full sets. Then links between members of different components are
 looked for, so none is left out, while members of one component are never
@@ -25,7 +26,7 @@ linked with nothing; fewer than five words are one shingle; rows with equal
 ids and equal texts are one document, and each is returned; rows with equal ids
 and different texts are judged each for itself; a row with a null id is linked
 like others, but never names a component that has another id (without one the
-component is null); of equal sets the least id names the class; an empty table
+component is null); an empty table
 gives no rows; a very long text is hashed in one piece of its task's memory;
 only the id and text columns are read, whatever the others' names.
 """
@@ -38,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.functions.staging import join_small, materialize
 from ledgerlake.llm import bytegrams as bg
@@ -123,7 +125,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = sig[:, cols[0]] << np.uint64(32) | sig[:, cols[1]]
         b = sig[:, cols[2]] << np.uint64(32) | sig[:, cols[3]]
         band = bg.mix(bg.mix(a) * np.uint64(0x9E3779B97F4A7C15) + b + bg.mix(j.astype(np.uint64) + np.uint64(1))[None, :])
-        yield pa.RecordBatch.from_arrays([pa.array(band.ravel().view(np.int64)), batch.column("id").take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))], names=["band", "id"])
+        row = pa.array(np.repeat(np.arange(len(sig)), BANDS))
+        yield pa.RecordBatch.from_arrays([pa.array(band.ravel().view(np.int64)), batch.column("id").take(row), batch.column("rank").take(row)], names=["band", "id", "rank"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,19 +256,22 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     given = docs.select(F.xxhash64(id_col, text_col).alias("id"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     doc_type = docs.schema[id_col].dataType.simpleString()
     every = materialize(given.mapInArrow(_signatures(shingle), f"id bigint, doc {doc_type}, n bigint, s1 bigint, s2 bigint, sig binary, low binary"), "minmax")
-    linked = every.filter("n > 0")
+    # Ids that are no whole numbers have no order that would tell originals from copies.
+    rank = F.col("doc").cast("bigint") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.xxhash64("doc")
+    linked = every.filter("n > 0").withColumn("rank", rank)
+    lead = F.coalesce(F.min_by("id", "rank"), F.min("id"))
     same_set = ["n", "s1", "s2"]
-    classes = linked.groupBy(*same_set).agg(F.min("id").alias("rep"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    classes = linked.groupBy(*same_set).agg(lead.alias("rep"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
     copies = materialize(join_small(linked.select("id", *same_set), classes, same_set, "inner").groupBy("id", "rep").agg(F.count("*").alias("rows")), "minmax-classes")
     again = copies.filter("id = rep and rows > 1").select("id")
     repeats = not copies.filter("rows > 1").isEmpty()
-    heads = join_small(linked, copies.filter("id <> rep or rows > 1").select("id"), "id", "left_anti").select("id", "n", "sig", "low")
+    heads = join_small(linked, copies.filter("id <> rep or rows > 1").select("id"), "id", "left_anti").select("id", "rank", "n", "sig", "low")
     if repeats:
-        heads = heads.union(join_small(linked, again, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sig", "low"))
+        heads = heads.union(join_small(linked, again, "id", "left_semi").dropDuplicates(["id"]).select("id", "rank", "n", "sig", "low"))
     heads = materialize(heads, "minmax-heads")
 
-    bands = heads.select("id", "sig").mapInArrow(_bands, "band bigint, id bigint")
-    leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).filter("members > 1").select(F.col("band").alias("_band"), "leader", "members")
+    bands = heads.select("id", "rank", "sig").mapInArrow(_bands, "band bigint, id bigint, rank bigint")
+    leaders = bands.groupBy("band").agg(lead.alias("leader"), F.count("*").alias("members")).filter("members > 1").select(F.col("band").alias("_band"), "leader", "members")
     met = materialize(bands.join(leaders, F.col("band") == F.col("_band")).filter("id <> leader").select("band", "leader", "members", "id"), "minmax-buckets")
 
     def alike(pairs: DataFrame) -> DataFrame:
