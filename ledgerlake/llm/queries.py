@@ -28,7 +28,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,18 +142,36 @@ def repeats(docs, length):
 
 def test_repeats_are_brute_force(spark, sf):
     docs = [(i, (t or "").encode()) for i, t in docs_of(spark, sf)]
-    assert sorted(map(tuple, queries.op4_suffix_dedup(spark, sf).collect()), key=str) == repeats(docs, 400)
+    got = queries.op4_suffix_dedup(spark, sf).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == repeats(docs, 400)
+    text = dict(docs)
+    for r in got:
+        keep = [text[r.doc_id][a:b] for a, b in zip([0, *r.spans[1::2]], [*r.spans[::2], r.n_bytes], strict=True)]
+        assert hashlib.sha256(b"".join(keep)).hexdigest() == r.kept_sha256 and (r.text or "") == b"".join(keep).decode("utf-8", "ignore")
 
 
 def test_repeats_odd_cases(spark, texts):
     rng = random.Random(4)
     base = "".join(rng.choice("abcdeé ") for _ in range(3000))
     rows = [*ODD, (10, base, "", ""), (11, base[700:1400] + "x" + base[100:520], "", ""), (12, "ab" * 500, "", ""), (13, "z" * 401, "", ""), (14, "z" * 400, "", ""), (15, base[2000:2399], "", ""), (16, "q" + base[5:404] + "r" + base[5:410], "", ""), (11, "other " + base[700:1300], "", ""), (17, base[:450], "", ""), (17, base[:450], "", "")]
-    got = suffixdedup.remove_repeats(texts(*rows)).drop("spans").collect()
+    got = suffixdedup.remove_repeats(texts(*rows)).drop("spans", "text").collect()
     assert sorted(map(tuple, got), key=str) == repeats([(r[0], (r[1] or "").encode()) for r in rows], 400)
     assert suffixdedup.remove_repeats(texts()).count() == 0
 
 
+def test_bucket_identifiers_name_bytes():
+    """Equal bytes at any two places have one identifier, different ones different ones, for all sizes between two depths."""
+    rng = np.random.default_rng(6)
+    part = rng.integers(97, 100, 90)
+    buf = np.concatenate([part, rng.integers(97, 100, 13), part, rng.integers(97, 100, 7)]).astype(np.uint8)
+    prefix = suffixdedup.bg.prefix_hash(buf, False)
+    for size in range(10, 86):
+        at = np.arange(len(buf) - size + 1)
+        names = suffixdedup._refined(prefix, at, at + size, 10)
+        strings = [bytes(buf[p : p + size]) for p in at]
+        assert len(set(names.tolist())) == len(set(strings)) and names[0] == names[103]
+
+
 # 5 media
 
 
