@@ -12,27 +12,47 @@ parts of e-mail addresses and values of credential assignments are permuted
 letter by letter in the same way.
 
 A round adds to one half, place by place, digits drawn from the SHA-256 of
-key, kind, round and other half; halves take turns. Addresses are two halves of
-16 bits; dates are day numbers in 319 * 229 places.
+key, kind, round and other half, a fresh digest for every 21 places; halves take
+turns. Values of a numbered set (dates, addresses, phone and social security
+numbers) are permuted as pairs of numbers; where the pairs outnumber the set,
+a number that falls outside is permuted again until it is inside, which is a
+permutation of the set.
+
+What is kept: a card its length, separators and check; an IBAN its country and
+check; a date its notation and the years 1900 to 2099; a number of the North
+American plan an area and an exchange that begin with 2 to 9, any other phone
+number its country code and the first digits of both; a social security number
+a valid area, group and serial. Day-first and ISO dates of one day are linked;
+dates that can only be read month first are permuted among themselves, so no
+two dates of a notation meet in one pseudonym. Areas that are never issued
+(000, 666, 900 and above, as in taxpayer numbers) stay; the group 00 and the
+serial 0000 under an issued area make no number.
 
 Defined results: null text stays null with counts 0; text without private
-values is returned unchanged; values that fail their check are no finds;
-repeated rows get equal results; an empty table gives no rows; extra columns
-are dropped, ids are kept as they are.
+values is returned unchanged; values that fail their check are no finds; of
+patterns that begin at one place the first in PATTERNS wins; repeated rows get
+equal results; a very long text is one row's work; an empty table gives no
+rows; extra columns are dropped, whatever their names, ids are kept as they are.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Places that draw from one digest; steps of a walk at most: that a value needs more has a chance below 51**-15.
+PLACES, WALK = 21, 16
+#: Days from 1900 to 2099, and those of them after the 12th of their month.
+DAYS, LATE_DAYS = 73_049, 73_049 - 12 * 2_400
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # The notations that are recognised, in order of preference.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Aa]pi[_-]?[Kk]ey|[Tt]oken)[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9_+/.-]{8,}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "secret": r"(?<![A-Za-z])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Aa]pi[_-]?[Kk]ey|[Tt]oken)[ \t]*+[=:][ \t]*+[\"']?[A-Za-z0-9_+/.-]{8,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
@@ -63,9 +83,10 @@ def _chars(s: str, var: str, body: str) -> str:
 
 def _added(s: str, digest: str) -> str:
     """s with a drawn number added to each digit and letter, within digits, small and capital letters."""
-    k = f"cast(conv(substring(h, 3 * pmod(j, 21) + 1, 3), 16, 10) as int)"
+    k = f"cast(conv(substring(element_at(h, cast(j div {PLACES} as int) + 1), 3 * (j % {PLACES}) + 1, 3), 16, 10) as int)"
     cases = " ".join(f"when ascii(c) between {lo} and {hi} then chr({lo} + pmod(ascii(c) - {lo} + {k}, {hi - lo + 1}))" for lo, hi in ((48, 57), (97, 122), (65, 90)))
-    return _let("h", digest, f"if(length({s}) = 0, '', array_join(transform(split({s}, ''), (c, j) -> case {cases} else c end), ''))")
+    stream = _let("g", digest, f"transform(sequence(0, length({s}) div {PLACES}), b -> if(b = 0, g, sha2(concat_ws('|', g, cast(b as string)), 256)))")
+    return _let("h", stream, f"if(length({s}) = 0, '', array_join(transform(split({s}, ''), (c, j) -> case {cases} else c end), ''))")
 
 
 def _permuted(s: str, key: str, kind: str) -> str:
@@ -85,6 +106,15 @@ def _permuted_pair(a: str, b: str, n_a: int, n_b: int, key: str, kind: str, body
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('a', cast({a} as bigint), 'b', cast({b} as bigint)), (s, i) -> if(i % 2 = 1, {right}, {left}), s -> {body})"
 
 
+def _permuted_below(n: int, value: str, key: str, kind: str) -> str:
+    """A keyed permutation of the whole numbers below n: of pairs that are at most a fiftieth more, walked until inside."""
+    n_a = isqrt(n - 1) + 1
+    n_b = -(-n // n_a)
+    assert 50 * n_a * n_b <= 51 * n
+    once = _permuted_pair(f"w div {n_b}", f"w % {n_b}", n_a, n_b, key, kind, f"s.a * {n_b} + s.b")
+    return f"aggregate(sequence(1, {WALK}), cast({value} as bigint), (w, t) -> if(t > 1 and w < {n}, w, {once}))"
+
+
 def _digits(s: str) -> str:
     return f"regexp_replace({s}, '[^0-9]', '')"
 
@@ -132,8 +162,38 @@ def _pattern(runs: str) -> str:
 
 
 def _date(token: str, pattern: str, key: str) -> str:
-    day = f"datediff(to_date({token}, '{pattern}'), date'1900-01-01')"
-    return _permuted_pair(f"{day} div 229", f"{day} % 229", 319, 229, key, "date", f"date_format(date_add(date'1900-01-01', cast(s.a * 229 + s.b as int)), '{pattern}')")
+    """A day of any month, by its number."""
+    return f"date_format(date_add(date'1900-01-01', cast({_permuted_below(DAYS, _day(token, pattern), key, 'date')} as int)), '{pattern}')"
+
+
+def _late_date(token: str, pattern: str, key: str) -> str:
+    """A day after the 12th of its month, by its number among such days."""
+    before = lambda m: f"(datediff(add_months(date'1900-01-01', {m}), date'1900-01-01') - 12 * {m})"  # such days before a month
+    month = "array_max(filter(sequence(greatest(cast(r div 18.44 as int) - 3, 0), cast(r div 18.44 as int) + 3), m -> " + before("m") + " <= r))"
+    back = _let("m", month, f"date_format(date_add(add_months(date'1900-01-01', m), cast(12 + r - {before('m')} as int)), '{pattern}')")
+    at = f"{_day(token, pattern)} - 12 * ((year(to_date({token}, '{pattern}')) - 1900) * 12 + month(to_date({token}, '{pattern}')))"
+    return _let("r", _permuted_below(LATE_DAYS, at, key, "late_date"), back)
+
+
+def _day(token: str, pattern: str) -> str:
+    return f"datediff(to_date({token}, '{pattern}'), date'1900-01-01')"
+
+
+def _ssn(key: str) -> str:
+    """Over d, the nine digits: nine digits of the same kind, or null."""
+    area, group, serial = "cast(substring(d, 1, 3) as int)", "cast(substring(d, 4, 2) as int)", "cast(substring(d, 6, 4) as int)"
+    number = f"({area} - 1 - if({area} > 666, 1, 0)) * {99 * 9999}L + ({group} - 1) * 9999 + {serial} - 1"
+    a = f"(p div {99 * 9999} + 1)"
+    issued = _let("p", _permuted_below(898 * 99 * 9999, number, key, "ssn"), f"concat(lpad(cast({a} + if({a} >= 666, 1, 0) as string), 3, '0'), lpad(cast(p % {99 * 9999} div 9999 + 1 as string), 2, '0'), lpad(cast(p % 9999 + 1 as string), 4, '0'))")
+    other = f"concat(substring(d, 1, 3), {_permuted('substring(d, 4)', key, 'taxpayer')})"
+    return f"case when {area} = 0 or {area} = 666 or {area} >= 900 then {other} when {group} > 0 and {serial} > 0 then {issued} end"
+
+
+def _phone(key: str) -> str:
+    """Over e, the last ten digits: ten digits of the same kind."""
+    planned = _permuted_pair("cast(substring(e, 1, 3) as int) - 200", "(cast(substring(e, 4, 3) as int) - 200) * 10000 + cast(substring(e, 7) as int)", 800, 8_000_000, key, "phone", "concat(cast(s.a + 200 as string), cast(s.b div 10000 + 200 as string), lpad(cast(s.b % 10000 as string), 4, '0'))")
+    other = _let("o", _permuted("concat(substring(e, 2, 2), substring(e, 5))", key, "other_phone"), "concat(substring(e, 1, 1), substring(o, 1, 2), substring(e, 4, 1), substring(o, 3))")
+    return f"if(e rlike '^[2-9]..[2-9]', {planned}, {other})"
 
 
 def _in_range(token: str, pattern: str) -> str:
@@ -146,15 +206,16 @@ def _pseudonym(key: str) -> str:
     card = _let("d", _digits("t"), f"if(luhn_check(d), {_refilled('t', _let('b', _permuted('substring(d, 1, length(d) - 1)', key, 'card'), f'concat(b, {_luhn_digit("b")})'))}, null)")
     iban_new = _let("b", _permuted("substring(u, 5)", key, "iban"), f"concat(substring(u, 1, 2), lpad(cast(98 - {_mod97("concat(b, substring(u, 1, 2), '00')")} as string), 2, '0'), b)")
     iban = _let("u", "replace(t, ' ', '')", f"if({_mod97('concat(substring(u, 5), substring(u, 1, 4))')} = 1, {_refilled('t', iban_new, '[A-Z0-9]')}, null)")
-    phone = _let("d", _digits("t"), _refilled("t", f"concat(substring(d, 1, length(d) - 10), {_permuted('right(d, 10)', key, 'phone')})"))
+    phone = _let("d", _digits("t"), _refilled("t", f"concat(substring(d, 1, length(d) - 10), {_let('e', 'right(d, 10)', _phone(key))})"))
+    ssn = _let("n", _let("d", _digits("t"), _ssn(key)), f"if(n is null, null, {_refilled('t', 'n')})")
     octet = lambda i: f"cast(split_part(t, '.', {i}) as int)"
     ip = _permuted_pair(f"{octet(1)} * 256 + {octet(2)}", f"{octet(3)} * 256 + {octet(4)}", 65536, 65536, key, "ip", "concat_ws('.', cast(s.a div 256 as string), cast(s.a % 256 as string), cast(s.b div 256 as string), cast(s.b % 256 as string))")
     email = f"concat({_permuted("split_part(t, '@', 1)", key, 'email')}, '@', split_part(t, '@', 2))"
     head = f"regexp_extract(t, {_q(_SECRET_HEAD)}, 0)"
     secret = f"concat({head}, {_permuted(f'substring(t, length({head}) + 1)', key, 'secret')})"
     iso = f"if({_in_range('t', 'yyyy-MM-dd')}, {_date('t', 'yyyy-MM-dd', key)}, null)"
-    dated = "case " + " ".join(f"when {_in_range('t', p)} then {_date('t', p, key)}" for p in ("dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "MM.dd.yyyy")) + " end"
-    new = {"email": email, "secret": secret, "iban": iban, "ip": ip, "iso_date": iso, "date": dated, "ssn": _refilled("t", _permuted(_digits("t"), key, "ssn")), "phone": phone, "card": card}
+    dated = "case " + " ".join(f"when {_in_range('t', p)} then {make('t', p, key)}" for p, make in (("dd/MM/yyyy", _date), ("MM/dd/yyyy", _late_date), ("dd.MM.yyyy", _date), ("MM.dd.yyyy", _late_date))) + " end"
+    new = {"email": email, "secret": secret, "iban": iban, "ip": ip, "iso_date": iso, "date": dated, "ssn": ssn, "phone": phone, "card": card}
     names = {"iso_date": "date"}
     return "case " + " ".join(f"when {is_[k]} then named_struct('kind', '{names.get(k, k)}', 'old', t, 'new', {new[k]})" for k in PATTERNS) + " end"
 

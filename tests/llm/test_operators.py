@@ -466,3 +466,85 @@ def test_shingle_counts_pack_and_add():
     assert [b for b, _ in packed] == [0, 1, 3] and neardup._packed(cells[:0], cells[:0]) == []
     table = neardup.pa.table({"block": [0, 0], "counts": [packed[0][1], packed[0][1]]})
     assert np.frombuffer(neardup._sum_counts(table)["counts"][0].as_py(), np.int32).tolist() == [0, 2, 5, 4]
+
+
+def feistel(a, b, n_a, n_b, key, kind):
+    """The permutation of pairs, in plain Python."""
+    draw = lambda i, other, n: int(hashlib.sha256(f"{key}|{kind}|{i}|{other}".encode()).hexdigest()[:12], 16) % n
+    for i in range(1, pseudonyms.ROUNDS + 1):
+        a, b = (a, (b + draw(i, a, n_b)) % n_b) if i % 2 else ((a + draw(i, b, n_a)) % n_a, b)
+    return a, b
+
+
+def feistel_text(s, key, kind):
+    """The permutation of strings of one shape, in plain Python."""
+
+    def added(part, seed):
+        out = ""
+        for j, c in enumerate(part):
+            block, at = divmod(j, 21)
+            h = hashlib.sha256(f"{seed}|{block}".encode()).hexdigest() if block else seed
+            lo, n = next(((lo, n) for lo, n in ((48, 10), (97, 26), (65, 26)) if lo <= ord(c) < lo + n), (0, 0))
+            out += chr(lo + (ord(c) - lo + int(h[3 * at : 3 * at + 3], 16)) % n) if n else c
+        return out
+
+    x, y = s[: len(s) // 2], s[len(s) // 2 :]
+    for i in range(1, pseudonyms.ROUNDS + 1):
+        seed = lambda other: hashlib.sha256(f"{key}|{kind}|{i}|{other}".encode()).hexdigest()  # noqa: B023, E731
+        x, y = (x, added(y, seed(x))) if i % 2 else (added(x, seed(y)), y)
+    return x + y
+
+
+def test_pseudonyms_are_brute_force_feistel(spark, texts):
+    import datetime
+
+    start = datetime.date(1900, 1, 1)
+
+    def date_of(d):
+        n = (d - start).days
+        while True:
+            a, b = feistel(n // 270, n % 270, 271, 270, "k", "date")
+            n = a * 270 + b
+            if n < pseudonyms.DAYS:
+                return start + datetime.timedelta(n)
+
+    days = [start + datetime.timedelta(i * 733) for i in range(99)]
+    secrets = ["".join(random.Random(i).choices("abcXYZ019_", k=10 + 7 * i)) for i in range(20)]
+    phones = [f"{200 + 37 * i % 800} {200 + 91 * i % 800} {i * 77 % 10000:04d}" for i in range(30)]
+    rows = [*((i, f"on {d.isoformat()} or {d:%d.%m.%Y}", "", "") for i, d in enumerate(days)), *((1000 + i, f"token={t} ", "", "") for i, t in enumerate(secrets)), *((2000 + i, p, "", "") for i, p in enumerate(phones))]
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymize(texts(*rows), key="k").collect()}
+    for i, d in enumerate(days):
+        assert got[i] == f"on {date_of(d).isoformat()} or {date_of(d):%d.%m.%Y}"
+    for i, t in enumerate(secrets):
+        assert got[1000 + i] == f"token={feistel_text(t, 'k', 'secret')} "
+    for i, p in enumerate(phones):
+        a, b = feistel(int(p[:3]) - 200, (int(p[4:7]) - 200) * 10000 + int(p[8:]), 800, 8_000_000, "k", "phone")
+        assert got[2000 + i] == f"{a + 200} {b // 10000 + 200} {b % 10000:04d}"
+
+
+def test_no_two_values_meet(spark):
+    """Every date of a notation, and 20,000 values of the other kinds: as many pseudonyms as values, each of its kind."""
+    import datetime
+
+    start = datetime.date(1900, 1, 1)
+    days = [start + datetime.timedelta(i) for i in range(0, pseudonyms.DAYS, 3)]
+    slashed = sorted({f"{d:%d/%m/%Y}" for d in days} | {f"{d:%m/%d/%Y}" for d in days})
+    rng = random.Random(9)
+    ssn = sorted({f"{rng.choice([*range(1, 666), *range(667, 900)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(20_000)} | {f"9{i:02d}-78-{i:04d}" for i in range(100)})
+    phone = sorted({f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(0, 9999):04d}" for _ in range(20_000)} | {f"({i % 200:03d}) 155-{i:04d}" for i in range(500)})
+    iso = [d.isoformat() for d in days]
+    for values in (slashed, iso, ssn, phone):
+        docs = spark.createDataFrame(list(enumerate(values)), "doc_id bigint, text string").repartition(8)
+        got = [r.text for r in pseudonyms.pseudonymize(docs, key="k").select("text").collect()]
+        assert len(got) == len(set(got)) == len(values)
+        for t in got:
+            if values is ssn:
+                area, group, serial = map(int, t.split("-"))
+                assert area >= 900 or (0 < area != 666 and group and serial)
+            elif values is phone:
+                assert re.fullmatch(r"\([2-9]\d\d\) [2-9]\d\d-\d{4}|\([01]\d\d\) 1\d\d-\d{4}", t)
+            elif values is iso:
+                assert 1900 <= datetime.date.fromisoformat(t).year <= 2099
+    left = ["123-00-4567", "123-45-0000", "ssn 12-345-6789"]
+    docs = spark.createDataFrame(list(enumerate(left)), "doc_id bigint, text string")
+    assert [r.text for r in sorted(pseudonyms.pseudonymize(docs, key="k").collect())] == left
