@@ -118,10 +118,65 @@ def test_minimum_cut_is_exhaustive_search():
         assert cost(htmltext.minimum_cut(scores, between)) == pytest.approx(best)
 
 
+PROSE = "A sentence of some length stands here, and it goes on for quite a while, so that nobody takes it for a link or a label."
+
+
+@pytest.mark.parametrize("html,text", [
+    # attributes: quotes that open no string, > in a string, = in an unquoted value, a class inside another value
+    ("<article><p title=it's>One's own.</p><p data-x=\"a>b\" class='x'>Two.</p><p id=a=b'c>Three.</p><p title='class=nav'>Four.</p></article>", "One's own.\nTwo.\nThree.\nFour."),
+    # a paragraph of links, a label and a doubtful name amid an article
+    (f"<article><p>{PROSE}</p><p><a href=x>only a link</a></p><p>Label</p><p class=reader-note>{PROSE}</p><p>{PROSE}</p></article>", f"{PROSE}\nonly a link\nLabel\n{PROSE}\n{PROSE}"),
+    # a doubtful name on what is none of the article
+    (f"<article><p>{PROSE}</p><div class=share><a href=x>Send</a> <a href=y>Post</a></div><p>{PROSE}</p></article>", f"{PROSE}\n{PROSE}"),
+    # prose in parts that are boilerplate, inside and outside the article
+    (f"<aside><p>{PROSE}</p></aside><main><p>{PROSE}</p><div id=comments><p>{PROSE}</p><p>{PROSE}</p></div></main><div class='cookie notice'>{PROSE}</div>", PROSE),
+    # cards in a sidebar are articles by tag only; a wrapper that names the sidebar is none
+    (f"<div class=with-sidebar><article><p>{PROSE}</p></article><aside><section><article><p>{PROSE}</p></article></section></aside></div>", PROSE),
+    (f"<div class=with-sidebar><article><p>{PROSE}</p></article><aside><p>{PROSE}</p></aside></div>", PROSE),
+    # no named part at all: prose around a short line, links in a row
+    (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><div><a href=c>About</a></div><p>{PROSE}</p><p>Then</p><p>{PROSE}</p><div><a href=d>Terms</a></div><div><a href=e>Imprint</a></div>", f"{PROSE}\nThen\n{PROSE}"),
+])
+def test_pages_that_the_cut_settles(html, text):
+    assert htmltext.main_text(html) == text
+    page, parts = htmltext.blocks(html)
+    terminals, _ = htmltext.graph(page, parts, htmltext.PRIOR)
+    alone = "\n".join(b.text for b, t in zip(page, terminals, strict=False) if t > 0)
+    assert alone != text or "class=share" in html
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    rng = random.Random(1)
+    page = "".join(f"<div><p>{'word, ' * rng.randint(1, 30)}{'<a href=x>link text here</a>' * rng.randint(0, 2)}</p></div>" for _ in range(20_000))
+    for html in (page, "<article>" + "<p>x</p><script>a</script>" * 20_000 + "</article>", "<div>a" * 20_000, "<" * 200_000, "<a b=\"c " * 50_000):
+        start = time.process_time()
+        htmltext.main_text(html)
+        assert time.process_time() - start < 4
+
+
 def test_pages(spark, sf):
+    """The pages' articles, cut out of their one template by hand."""
+    from html import unescape
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = queries.op3_html_extraction(spark, sf).collect()
-    assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
-    assert all(r.n_chars == len(r.text) for r in rows)
+    assert len(rows) == len(pages)
+    for r in rows:
+        inside = re.search(r"<article>(.*?)(</article>|\Z)", pages[r.page_id], re.S)[1]
+        parts = [re.sub(r"\s+", " ", unescape(re.sub(r"</?(?:b|i|a)\b[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?(?:p|h1|li|ul)[^>]*>", inside)]
+        assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+    assert sum(r.n_changed for r in rows) > 0.05 * sum(r.n_blocks for r in rows)
+
+
+def test_odd_pages(spark):
+    rows = [(1, None, None, 7), (None, "u", "", 8), (3, "u", "<p>" + "Long text. " * 100_000 + "</p>", 9), (3, "u", "<p>Twice.</p>", 9), (3, "u", "<p>Twice.</p>", 9)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
+    got = htmltext.extract(pages, htmltext.train(pages)).collect()
+    assert sorted((r.n_chars, r.url or "") for r in got)[:2] == [(0, ""), (0, "u")] and len(got) == 5 and max(r.n_chars for r in got) == 1_099_999
+    assert [len(r.text) for r in got] == [r.n_chars for r in got]
+    none = pages.limit(0)
+    assert htmltext.extract(none, htmltext.train(none)).count() == 0 and (htmltext.train(none) == htmltext.PRIOR).all()
 
 
 # 4 repeated strings
