@@ -1,28 +1,41 @@
 """Media columns: texts as AVI motion-JPEG, read back into samples, shots and clips.
 
-The profile is lossless: a payload byte becomes two grey 8x8 blocks, one per
-nibble, the first in the range 70-85, the next in 117-132. The DC step is 8,
-so a block's DC value is its sample less 128, and neighbouring blocks always
-differ by 32 to 62: every difference is of category 6. With a one-bit code for
-that category and a one-bit end-of-block, a block takes exactly one byte of
-the scan, so frames are coded and decoded by array operations. Any baseline
-JPEG decoder yields the same samples.
+The form that texts are stored in is lossless: a payload byte becomes two grey
+8x8 blocks, one per nibble, the first in the range 70-85, the next in 117-132.
+The DC step is 8, so a block's DC value is its sample less 128, and
+neighbouring blocks always differ by 32 to 62: every difference is of category
+6. With a one-bit code for that category and a one-bit end-of-block, a block
+takes exactly one byte of the scan. Any baseline JPEG decoder yields the same
+samples.
+
+The reader takes any AVI of baseline grey JPEG frames: quantisation and Huffman
+tables (the standard ones if a frame has none), restart intervals and AC
+coefficients are read from the frames, and blocks go through the inverse
+transform. Frames whose tables make every block one byte are decoded by array
+operations and yield one sample per block, which all of its 64 share.
 
 A text is UTF-8 (null: empty) with bytes 0 up to a positive multiple of 64.
 Frames are 128 samples wide and hold up to 2048 payload bytes each; the AVI
 has a header, an INFO comment with the payload's length, the frames and idx1.
 Shots are cut where the difference of neighbouring frames' histograms is above
-their running mean plus three deviations. Equal texts give equal rows; rows
-with null ids are kept; extra columns are ignored; files that are not of this
-profile raise ValueError.
+their running mean plus three deviations.
+
+Defined results: equal texts give equal rows; an empty text is one unit of
+bytes 0; a very long text is one file in its task's memory; rows with null ids
+are kept; an empty table gives no rows; extra columns are ignored, whatever
+their names; a file without a payload comment has an empty payload; files that
+are no AVI, and frames that are not baseline grey JPEG or not of one size, raise
+ValueError.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT, FRAME, WIDTH, FRAME_MS = 64, 2048, 128, 40
+#: Bytes of files that are handed back at once, unless one is larger.
+BATCH_BYTES = 1 << 22
+# The standard Huffman tables for luminance, as numbers of codes by length and their values.
+DC_TABLE = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12))
+AC_TABLE = bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]), bytes.fromhex(
+    "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a"
+    "434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aa"
+    "b2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+)
 LOW, HIGH, GREY = 70, 117, 128
 #: A cut needs this difference at least, and this many deviations above the mean of the last WINDOW differences.
 LEAST_CUT, DEVIATIONS, WINDOW, BINS = 0.15, 3.0, 12, 256
@@ -110,34 +132,165 @@ def parse(media: bytes) -> tuple[int, int, list[tuple[int, int]]]:
         elif name == b"idx1":
             index = media[lo:hi]
     spans = []
-    for entry in range(0, len(index), 16):
+    for entry in range(0, len(index) - 15, 16):
         _, _, offset, size = struct.unpack_from("<4sIII", index, entry)
         spans.append((movi + offset + 8, movi + offset + 8 + size))
     return length, ms, spans
 
 
-def _scan_of(frame: bytes) -> tuple[int, np.ndarray]:
-    """Height and scan bytes of one frame; its tables must be those of the profile."""
-    at, height = 2, 0
-    while frame[at] == 0xFF:
-        marker, n = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
-        if marker == 0xC0:
-            height = struct.unpack_from(">H", frame, at + 5)[0]
-        at += 2 + n
-        if marker == 0xDA:
-            break
-    if frame[:at] != _jpeg_head(height):
-        raise ValueError("a frame is not of the one-byte-per-block profile")
-    return height, np.frombuffer(frame, np.uint8, len(frame) - at - 2, at)
+@lru_cache(maxsize=64)
+def _codes(counts: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For every 16 bits: the length of the code that they begin with (0: none), and its value."""
+    length, value = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
+    code = at = 0
+    for bits, n in enumerate(counts, 1):
+        for v in values[at : at + n]:
+            lo = code << (16 - bits)
+            length[lo : lo + (1 << (16 - bits))], value[lo : lo + (1 << (16 - bits))] = bits, v
+            code += 1
+        at += n
+        code <<= 1
+    return length, value
+
+
+def _zigzag() -> np.ndarray:
+    """Place in the block, row by row, of each coefficient of a scan."""
+    cells = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))
+    return np.array([8 * r + c for r, c in cells])
+
+
+ZIGZAG = _zigzag()
+_COSINES = np.array([[(0.125**0.5 if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+class _Head:
+    """What a frame says before its scan: size, tables, restart interval, and where the scan begins."""
+
+    def __init__(self, frame: bytes):
+        if frame[:2] != b"\xff\xd8":
+            raise ValueError("a frame is no JPEG")
+        self.quant: dict[int, np.ndarray] = {}
+        self.huffman = {0x00: DC_TABLE, 0x10: AC_TABLE}
+        self.height = self.width = self.restart = 0
+        at = 2
+        while True:
+            if len(frame) < at + 4 or frame[at] != 0xFF:
+                raise ValueError("a frame's headers are cut off")
+            marker, n = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+            body, at = frame[at + 4 : at + 2 + n], at + 2 + n
+            if marker == 0xDB:
+                while body:
+                    wide = body[0] >> 4
+                    self.quant[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int64)
+                    body = body[1 + 64 * (1 + wide) :]
+            elif marker == 0xC4:
+                while body:
+                    total = sum(body[1:17])
+                    self.huffman[body[0]] = bytes(body[1:17]), bytes(body[17 : 17 + total])
+                    body = body[17 + total :]
+            elif marker in (0xC0, 0xC1):
+                depth, self.height, self.width, parts = struct.unpack_from(">BHHB", body)
+                if depth != 8 or parts != 1 or not self.width * self.height:
+                    raise ValueError("a frame is not 8-bit grey")
+                self.table = body[8]
+            elif 0xC2 <= marker <= 0xCF and marker != 0xCC:
+                raise ValueError("a frame is not baseline")
+            elif marker == 0xDD:
+                self.restart = struct.unpack(">H", body)[0]
+            elif marker == 0xDA:
+                if not self.height or self.table not in self.quant:
+                    raise ValueError("a frame lacks its size or quantisation")
+                self.dc, self.ac = (_codes(*self.huffman[k]) for k in (body[2] >> 4, 0x10 | body[2] & 15))
+                self.scan = at
+                return
+
+
+def _plain_samples(head: _Head, scan: bytes) -> np.ndarray | None:
+    """One sample per block, if every block is one byte: a difference of category 6 by a one-bit code, and the end of the block."""
+    blocks = -(-head.height // 8) * -(-head.width // 8)
+    one_bit = all(length[0] == 1 and value[0] == v for (length, value), v in ((head.dc, 6), (head.ac, 0)))
+    if not one_bit or head.restart or len(scan) != blocks or head.quant[head.table][0] != 8:
+        return None
+    bits = np.frombuffer(scan, np.uint8)
+    if (bits & 0x81).any():
+        return None
+    bits = bits.astype(np.int16) >> 1
+    dc = np.cumsum(np.where(bits >= 32, bits, bits - 63), dtype=np.int32)
+    return np.clip(dc + GREY, 0, 255).astype(np.uint8)
+
+
+def _samples(head: _Head, scan: bytes) -> np.ndarray:
+    """All samples of a frame, row by row."""
+    rows, columns = -(-head.height // 8), -(-head.width // 8)
+    found = np.zeros((rows * columns, 64), np.int64)
+    parts = re.split(rb"\xff[\xd0-\xd7]", scan) if head.restart else [scan]
+    each = head.restart or rows * columns
+    (dc_length, dc_value), (ac_length, ac_value) = head.dc, head.ac
+    for k, part in enumerate(parts):
+        data = part.replace(b"\xff\x00", b"\xff") + b"\xff" * 8
+        at, dc, limit = 0, 0, 8 * (len(data) - 4)
+
+        def take(n: int) -> int:
+            nonlocal at
+            got = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "big") >> (32 - n - (at & 7)) & ((1 << n) - 1)  # noqa: B023
+            at += n
+            return got
+
+        def code(length: np.ndarray, value: np.ndarray) -> int:
+            nonlocal at
+            top = take(16)
+            at += int(length[top]) - 16
+            if not length[top] or at > limit:  # noqa: B023
+                raise ValueError("a frame's scan is broken")
+            return int(value[top])
+
+        def number(bits: int) -> int:
+            got = take(bits) if bits else 0
+            return got if not bits or got >> (bits - 1) else got - (1 << bits) + 1
+
+        for block in range(k * each, min((k + 1) * each, len(found))):
+            dc += number(code(dc_length, dc_value))
+            found[block, 0] = dc
+            place = 1
+            while place < 64:
+                pair = code(ac_length, ac_value)
+                if not pair & 15:
+                    if pair != 0xF0:
+                        break
+                    place += 16
+                    continue
+                place += pair >> 4
+                if place > 63:
+                    raise ValueError("a frame's scan is broken")
+                found[block, ZIGZAG[place]] = number(pair & 15)
+                place += 1
+    steps = np.zeros(64, np.int64)
+    steps[ZIGZAG] = head.quant[head.table]
+    values = np.einsum("ux,nuv,vy->nxy", _COSINES, (found * steps).reshape(-1, 8, 8), _COSINES)
+    image = np.clip(np.rint(values + GREY), 0, 255).astype(np.uint8).reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(8 * rows, 8 * columns)
+    return image[: head.height, : head.width].ravel()
+
+
+def frame_samples(frame: bytes) -> np.ndarray:
+    """A frame's grey samples: one for each block where all blocks are plain, else one for each pixel."""
+    head = _Head(frame)
+    end = frame.rfind(b"\xff\xd9")
+    scan = frame[head.scan : end if end >= head.scan else len(frame)]
+    plain = _plain_samples(head, scan)
+    return _samples(head, scan) if plain is None else plain
 
 
 def decode(media: bytes) -> tuple[bytes, np.ndarray, int]:
-    """The payload, the blocks' grey samples by frame, and milliseconds per frame."""
+    """The payload, the grey samples by frame, and milliseconds per frame."""
     length, ms, spans = parse(media)
-    bits = np.stack([_scan_of(media[a:b])[1] for a, b in spans]).astype(np.int16) >> 1
-    samples = np.cumsum(np.where(bits >= 32, bits, bits - 63), axis=1, dtype=np.int16) + np.int16(GREY)
-    data = ((samples[:, 0::2] - LOW) << 4 | (samples[:, 1::2] - HIGH)).astype(np.uint8).tobytes()
-    return data[:length] if length >= 0 else data, samples.astype(np.uint8), ms
+    found = [frame_samples(media[a:b]) for a, b in spans]
+    if len({len(f) for f in found}) != 1:
+        raise ValueError("a file needs frames, all of one size")
+    samples = np.stack(found)
+    if length < 0:
+        return b"", samples, ms
+    data = ((samples[:, 0::2].astype(np.int16) - LOW) << 4 | (samples[:, 1::2] - np.int16(HIGH))).astype(np.uint8).tobytes()
+    return data[:length], samples, ms
 
 
 def shots(samples: np.ndarray) -> list[tuple[int, int]]:
@@ -156,8 +309,17 @@ def shots(samples: np.ndarray) -> list[tuple[int, int]]:
 
 def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        media = [encode(payload_of(t.as_buffer().to_pybytes() if t.is_valid else b"")) for t in batch.column("text").cast(pa.large_binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([t.as_buffer().size if t.is_valid else 0 for t in batch.column("text")], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
+        media: list[bytes] = []
+        sizes: list[int] = []
+        first, held = 0, 0
+        for i, text in enumerate(batch.column("text").cast(pa.large_binary()), 1):
+            data = text.as_py() if text.is_valid else b""
+            media.append(encode(payload_of(data)))
+            sizes.append(len(data))
+            held += len(media[-1])
+            if held >= BATCH_BYTES or i == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, i - first), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
+                media, sizes, first, held = [], [], i, 0
 
 
 def to_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

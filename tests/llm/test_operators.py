@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import duckdb
@@ -247,6 +248,96 @@ def test_foreign_files_are_refused():
         avi.decode(b"RIFF....WAVE")
 
 
+def jpeg(image, step, standard, restart=0):
+    """A baseline grey JPEG of an image whose sides are multiples of 8, written the plain way."""
+    rows, columns = image.shape[0] // 8, image.shape[1] // 8
+    blocks = image.reshape(rows, 8, columns, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8).astype(float) - 128
+    c = np.array([[(0.125**0.5 if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    coefficients = np.rint(np.einsum("ux,nxy,vy->nuv", c, blocks, c).reshape(-1, 64)[:, avi.ZIGZAG] / step).astype(int)
+
+    def codes(counts, values):
+        out, code, at = {}, 0, 0
+        for n, many in enumerate(counts, 1):
+            for v in values[at : at + many]:
+                out[v] = f"{code:0{n}b}"
+                code += 1
+            at, code = at + many, code << 1
+        return out
+
+    dc_table, ac_table = (avi.DC_TABLE, avi.AC_TABLE) if standard else ((bytes([0] * 3 + [12] + [0] * 12), bytes(range(12))), (bytes([0] * 7 + [194] + [0] * 8), bytes(r << 4 | s for r in range(16) for s in range(1, 13)) + b"\x00\xf0"))
+    dc_codes, ac_codes = codes(*dc_table), codes(*ac_table)
+    number = lambda v: (abs(v).bit_length(), "" if not v else f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}")
+    scan, bits, last = b"", "", 0
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+    for i, z in enumerate(coefficients):
+        if restart and i and i % restart == 0:
+            scan, bits, last = scan + flush(bits) + bytes([0xFF, 0xD0 + (i // restart - 1) % 8]), "", 0
+        n, b = number(int(z[0]) - last)
+        bits, last, run = bits + dc_codes[n] + b, int(z[0]), 0
+        top = max(np.flatnonzero(z[1:]) + 1, default=0)
+        for v in z[1 : top + 1]:
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                bits, run = bits + ac_codes[0xF0], run - 16
+            n, b = number(int(v))
+            bits, run = bits + ac_codes[run << 4 | n] + b, 0
+        if top < 63:
+            bits += ac_codes[0]
+    tables = b"" if standard else avi._segment(0xC4, b"\x00" + dc_table[0] + dc_table[1] + b"\x10" + ac_table[0] + ac_table[1])
+    return b"\xff\xd8" + avi._segment(0xDB, b"\x00" + bytes([step] * 64)) + avi._segment(0xC0, struct.pack(">BHHB", 8, *image.shape, 1) + b"\x01\x11\x00") + tables + (avi._segment(0xDD, struct.pack(">H", restart)) if restart else b"") + avi._segment(0xDA, b"\x01\x01\x00\x00\x3f\x00") + scan + flush(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("step,standard,restart", [(1, True, 0), (1, False, 0), (3, True, 2), (16, False, 5)])
+def test_foreign_frames_are_decoded(step, standard, restart):
+    rng = np.random.default_rng(7)
+    y, x = np.mgrid[0:40, 0:64]
+    image = np.clip(128 + 60 * np.sin(x / 7) + 40 * np.cos(y / 5) + rng.normal(0, 20, x.shape), 0, 255).astype(np.uint8)
+    got = avi.frame_samples(jpeg(image, step, standard, restart)).reshape(image.shape)
+    assert np.abs(got.astype(int) - image).max() <= 4 * step + 1 and np.abs(got.astype(float) - image).mean() <= step
+    frame = jpeg(image, step, standard, restart)
+    body = avi._chunk(b"00dc", frame)
+    index = b"".join(b"00dc" + avi.struct.pack("<III", 0x10, 4 + k * len(body), len(frame)) for k in range(3))
+    media = avi._chunk(b"RIFF", b"AVI " + avi._list(b"hdrl", avi._chunk(b"avih", avi.struct.pack("<14I", 50_000, *[0] * 13))) + avi._list(b"movi", body * 3) + avi._chunk(b"idx1", index))
+    payload, samples, ms = avi.decode(media)
+    assert payload == b"" and samples.shape == (3, image.size) and ms == 50 and avi.shots(samples) == [(0, 3)]
+
+
+def test_stored_frames_are_plain_to_any_decoder():
+    payload = avi.payload_of(random.Random(1).randbytes(300))
+    media = avi.encode(payload)
+    a, b = avi.parse(media)[2][0]
+    head = avi._Head(media[a:b])
+    pixels = avi._samples(head, media[a + head.scan : b - 2]).reshape(head.height // 8, 8, head.width // 8, 8)
+    plain = avi.frame_samples(media[a:b]).reshape(head.height // 8, head.width // 8)
+    assert (pixels == plain[:, None, :, None]).all()
+
+
+def test_broken_files_are_refused():
+    media = avi.encode(avi.payload_of(b"some text" * 50))
+    a, b = avi.parse(media)[2][0]
+    for bad in (b"", media[:20], media[:a] + b"\0\0" + media[a + 2 :], media.replace(b"\xff\xc0", b"\xff\xc2"), media.replace(b"\xff\xda", b"\xff\xfe")):
+        with pytest.raises((ValueError, struct.error)):
+            avi.decode(bad)
+
+
+def test_media_digest_is_hashlib_on_the_source(spark, sf):
+    docs = dict(docs_of(spark, sf))
+    rows = queries.op5_media(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        data = (docs[r.doc_id] or "").encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        media = avi.encode(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
 def test_shots_cut_at_a_change():
     rng = np.random.default_rng(5)
     dark, light = rng.integers(70, 86, (6, 256)), rng.integers(117, 133, (5, 256))
