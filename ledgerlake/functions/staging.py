@@ -67,7 +67,7 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
 
 
 #: Rows of (id, small value) that are broadcast at most; a larger side is joined by a shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 250_000
 
 
 def join_small(df: DataFrame, side: DataFrame, key: str | list[str], how: str) -> DataFrame:

@@ -72,10 +72,17 @@ def rate_map_check(rates: DataFrame, rate_map: DataFrame, exceptions: DataFrame,
     return found.select("country", "currency", "exchange_rate", "code", kind.alias("class"))
 
 
+#: Decimal places of stored rates.
+RATE_PLACES = 12
+
+
 def rate_pair(rates: DataFrame, rate: str = "rate", direction: str = "rate_direction") -> DataFrame:
-    """Both directions of a rate, the reciprocal at 12 places."""
-    whole = F.col(rate).cast("decimal(20,12)")
-    back = F.round(F.expr(f"cast(1 as decimal(18,12)) / cast({rate} as decimal(14,6))"), 12).cast("decimal(20,12)")
+    """Both directions of a rate at 12 places; the reciprocal is taken of the whole rate and rounded once.
+
+    A rate that is null, not positive, or whose reciprocal takes over 14 digits before the point has none.
+    """
+    whole = F.col(rate).try_cast("decimal(26,12)")
+    back = F.expr(f"try_cast(round(if({rate} > 0, try_divide(cast(1 as decimal(2,0)), try_cast({rate} as decimal(24,12))), null), {RATE_PLACES}) as decimal(26,12))")
     forward = F.col(direction) == "foreign_per_usd"
     return rates.withColumn("foreign_per_usd", F.when(forward, whole).otherwise(back)).withColumn("usd_per_foreign", F.when(forward, back).otherwise(whole))
 
@@ -97,34 +104,49 @@ def check_rate_pair(rows: DataFrame, currency: Column | None = None, year: Colum
     return rows.withColumn("code", F.explode(F.filter(F.array(*reasons), lambda r: r.isNotNull()))).select("currency", "rate_year", "code")
 
 
-def _micro(native: str, foreign_per_usd: str) -> str:
-    """Millionths of a USD, half up, in whole numbers: amounts and rates have six places."""
-    a, r = f"cast(abs({native}) * 1000000 as decimal(26,0))", f"cast({foreign_per_usd} * 1000000 as decimal(14,0))"
-    return f"cast(sign({native}) as bigint) * ((2000000 * {a} + {r}) div (2 * {r}))"
+def _divided(native: str, foreign_per_usd: str) -> str:
+    """USD at six places, half up: by whole numbers, of which none is rounded before, up to 10**12 on both sides; by wide decimals beyond, null over 18 digits."""
+    a, r = f"cast(abs({native}) * 1000000 as decimal(18,0))", f"cast({foreign_per_usd} * 1000000000000bd as decimal(26,0))"
+    whole = f"cast(sign({native}) as bigint) * ((2000000000000bd * {a} + {r}) div (2 * {r}))"
+    small = f"abs({native}) < 1000000000000bd and abs({native}) < 1000000000000bd * {foreign_per_usd}"
+    wide = f"try_cast(round(try_divide(cast({native} as decimal(24,6)), {foreign_per_usd}), 6) as decimal(24,6))"
+    return f"if({small}, cast(({whole}) * 0.000001bd as decimal(24,6)), {wide})"
+
+
+def _multiplied(native: str, usd_per_foreign: str) -> str:
+    """USD at six places, half up; null beyond 18 digits before the point."""
+    return f"try_cast(round(try_multiply(cast({native} as decimal(24,6)), {usd_per_foreign}), 6) as decimal(24,6))"
 
 
 def to_usd(rows: DataFrame, rates: DataFrame, native: str = "native_balance") -> DataFrame:
-    """Adds usd_micro (exact at six places), usd_balance (two places), threshold_usd_value (six, 0 at least) and negative.
+    """Adds usd_micro (whole millionths), usd_balance (two places), threshold_usd_value (six, 0 at least) and negative.
 
     USD passes through; others divide by foreign_per_usd of their year, or multiply by usd_per_foreign
-    where only that is given. Rows without a rate keep null.
+    where only that is given. Rows without a rate keep null, as do values beyond 18 digits before the
+    point; `unconverted` lists both.
     """
-    side = rates.select(F.col("currency").alias("_cur"), F.col("rate_year").alias("_year"), F.col("foreign_per_usd").cast("decimal(14,6)").alias("_div"), F.col("usd_per_foreign").cast("decimal(20,12)").alias("_mul"))
+    side = rates.select(F.col("currency").alias("_cur"), F.col("rate_year").alias("_year"), F.col("foreign_per_usd").try_cast("decimal(26,12)").alias("_div"), F.col("usd_per_foreign").try_cast("decimal(26,12)").alias("_mul"))
     joined = rows.join(side, (F.col("currency") == F.col("_cur")) & (F.col("tax_year") == F.col("_year")), "left")
-    exact = F.expr(f"cast(cast({native} as decimal(24,6)) * 1000000 as decimal(26,0))")
-    times = F.expr(f"cast(round(cast({native} as decimal(18,6)) * _mul, 6) * 1000000 as decimal(26,0))")
-    micro = F.when(F.col("currency") == "USD", exact).when(F.col("_div").isNotNull(), F.expr(_micro(native, "_div"))).otherwise(times)
-    out = joined.drop("_cur", "_year").withColumn("usd_micro", micro.cast("bigint")).drop("_div", "_mul")
-    unit = F.expr("cast(usd_micro as decimal(18,0)) * 0.000001bd")
-    return out.withColumn("usd_balance", F.round(unit, 2)).withColumn("threshold_usd_value", F.when(unit.isNotNull(), F.greatest(unit, F.lit(0).cast("decimal(24,6)"))).cast("decimal(24,6)")).withColumn("negative", F.coalesce(F.col(native) < 0, F.lit(False)))
+    exact = F.expr(f"cast({native} as decimal(24,6))")
+    unit = F.when(F.col("currency") == "USD", exact).when(F.col("_div") > 0, F.expr(_divided(native, "_div"))).when(F.col("_mul") > 0, F.expr(_multiplied(native, "_mul")))
+    out = joined.withColumn("_usd", unit).drop("_cur", "_year", "_div", "_mul")
+    out = out.withColumn("usd_micro", F.expr("cast(_usd * 1000000 as decimal(30,0))"))
+    zero = F.lit(0).cast("decimal(24,6)")
+    return out.withColumn("usd_balance", F.round("_usd", 2)).withColumn("threshold_usd_value", F.when(F.col("_usd").isNotNull(), F.greatest("_usd", zero))).withColumn("negative", F.coalesce(F.col(native) < 0, F.lit(False))).drop("_usd")
+
+
+def unconverted(rows: DataFrame, key: str, native: str = "native_balance") -> DataFrame:
+    """Converted rows that have an amount but no USD, as violations."""
+    lost = rows.filter(F.col(native).isNotNull() & F.col("threshold_usd_value").isNull())
+    return lost.select(F.col(key).alias("entity"), F.lit("not-converted").alias("code"), F.concat_ws(" ", F.col(native).cast("string"), "currency").alias("detail"))
 
 
 def spot_usd(rows: DataFrame, spot: DataFrame, direction: str = "foreign_per_usd") -> tuple[DataFrame, DataFrame]:
     """Dated amounts at the rate posted for their day, and a violation for each row without date or rate; no other day's rate is taken."""
     side = spot.select(F.col("currency").alias("_cur"), F.col("rate_date").alias("_day"), F.col("rate").alias("spot_rate"))
     joined = rows.join(side, (F.col("currency") == F.col("_cur")) & (F.col("event_date") == F.col("_day")), "left").drop("_cur", "_day")
-    micro = F.expr(_micro("amount", "spot_rate")) if direction == "foreign_per_usd" else F.expr("cast(round(cast(amount as decimal(18,6)) * spot_rate, 6) * 1000000 as bigint)")
-    good = joined.filter(F.col("spot_rate").isNotNull()).withColumn("usd", micro.cast("decimal(18,0)") * F.expr("0.000001bd"))
+    usd = F.expr(_divided("amount", "spot_rate") if direction == "foreign_per_usd" else _multiplied("amount", "spot_rate"))
+    good = joined.filter(F.col("spot_rate").isNotNull()).withColumn("usd", usd)
     bad = joined.filter(F.col("spot_rate").isNull()).select("event_id", F.when(F.col("event_date").isNull(), "missing-date").otherwise("missing-spot-rate").alias("code"))
     return good, bad
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerlake.operators.fx import to_usd
+
 KEYS = ["filer_id", "account_id"]
 #: A balance may be carried so many days before the gap needs review.
 ROUTINE_CARRY_DAYS = 40
@@ -49,19 +51,43 @@ def same_day_variance(candidates: DataFrame) -> DataFrame:
     return days.filter((F.col("amounts") > 1) & (F.col("high_amount") - F.col("low_amount") > F.abs("high_amount") * F.expr("0.5bd"))).drop("amounts")
 
 
-def daily_ledger(candidates: DataFrame, accounts: DataFrame, tax_year: int, leading_zero: DataFrame | None = None) -> DataFrame:
+def daily_ledger(candidates: DataFrame, accounts: DataFrame, tax_year: int, leading_zero: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
     """The account's calendar year: observed days, carried days, attested zeros and missing days before the first.
 
     Each observation is spread over the days up to the next one, so the
-    calendar is never joined and only observed days are sorted. leading_zero
-    has (filer_id, account_id, zero_until): days before it and before the first
-    observation are zero.
+    calendar is never joined and only observed days are sorted; every account
+    stands before its observations with a row of its own, which is spread over
+    the days ahead. leading_zero has (filer_id, account_id, zero_until): days
+    before it and before the first observation are zero. With rates (and a
+    currency per account), observations are converted before they are spread,
+    as `fx.to_usd` does, so a carried value is not converted again every day.
     """
     start, end = _year(tax_year)
     days = same_day_pick(candidates.filter(F.col("balance_date").between(start, end)))
-    following = F.lead("balance_date").over(W.partitionBy(*KEYS).orderBy("balance_date"))
-    spread = days.withColumn("until", F.coalesce(F.date_sub(following, 1), end)).withColumn("date", F.explode(F.sequence("balance_date", "until")))
-    on_day = F.col("date") == F.col("balance_date")
+    ahead = accounts.select(*KEYS).distinct()
+    if leading_zero is None:
+        ahead = ahead.withColumn("zero_until", F.lit(None).cast("date"))
+    else:
+        ahead = ahead.join(leading_zero.select(*KEYS, "zero_until"), KEYS, "left")
+    money = ["native_balance"]
+    if rates is not None:
+        money += ["usd_micro", "usd_balance", "threshold_usd_value", "negative"]
+        days = days.join(accounts.select(*KEYS, "currency").distinct(), KEYS, "left").withColumn("tax_year", F.lit(tax_year))
+        for c in ("amount", "carry_amount"):
+            days = to_usd(days, rates, c).select("*", F.struct(F.col(c).alias("native_balance"), *money[1:]).alias(f"{c}_money")).drop(*money[1:])
+        # An attested zero is zero in any currency that has a rate or is USD.
+        zeros = to_usd(accounts.select(*KEYS, "currency").distinct().withColumn("tax_year", F.lit(tax_year)).withColumn("native_balance", F.lit(0).cast("decimal(24,6)")), rates, "native_balance")
+        ahead = ahead.join(zeros.select(*KEYS, "currency", F.struct(*money).alias("zero_money")), KEYS, "left")
+        days = days.drop("tax_year")
+    else:
+        days = days.withColumn("amount_money", F.struct(F.col("amount").alias("native_balance"))).withColumn("carry_amount_money", F.struct(F.col("carry_amount").alias("native_balance")))
+        ahead = ahead.withColumn("zero_money", F.struct(F.lit(0).cast("decimal(24,6)").alias("native_balance")))
+    rows = days.withColumn("first", F.col("balance_date")).unionByName(ahead.withColumn("first", F.date_sub(start, 1)), allowMissingColumns=True)
+    following = F.lead("first").over(W.partitionBy(*KEYS).orderBy("first"))
+    spread = rows.withColumn("until", F.coalesce(F.date_sub(following, 1), end)).filter((F.col("until") >= F.col("first")) & (F.col("until") >= start))
+    spread = spread.withColumn("date", F.explode(F.sequence(F.greatest("first", start), "until")))
+    seen, on_day = F.col("balance_date").isNotNull(), F.col("date") == F.col("balance_date")
+    zero = F.coalesce(F.col("date") < F.col("zero_until"), F.lit(False))
     confidence = F.when(F.col("material_variance") & (F.col("picked_confidence") == "high"), "medium").otherwise(F.col("picked_confidence"))
     kind = F.when(F.col("candidate_type").isin(RECONSTRUCTED, PERIOD_END), F.col("candidate_type")).otherwise("transaction")
     flags = F.filter(
@@ -71,36 +97,19 @@ def daily_ledger(candidates: DataFrame, accounts: DataFrame, tax_year: int, lead
         ),
         lambda f: f.isNotNull(),
     )
-    seen = spread.select(
-        *KEYS,
-        "date",
-        F.when(on_day, F.col("amount")).otherwise(F.col("carry_amount")).alias("native_balance"),
-        F.when(~on_day, "carried-forward").when(F.col("candidate_type") == PERIOD_END, PERIOD_END).otherwise("observed").alias("balance_source"),
-        F.when(on_day, kind).otherwise("carried-forward").alias("evidence_class"),
-        F.when(on_day, confidence).otherwise("medium").alias("confidence"),
-        F.when(on_day, F.col("source_ref")).otherwise(F.col("carry_ref")).alias("source_ref"),
-        flags.alias("review_flags"),
-    )
-    first = days.groupBy(*KEYS).agg(F.min("balance_date").alias("first_day"))
-    ahead = accounts.select(*KEYS).join(first, KEYS, "left")
-    if leading_zero is None:
-        ahead = ahead.withColumn("zero_until", F.lit(None).cast("date"))
-    else:
-        ahead = ahead.join(leading_zero.select(*KEYS, "zero_until"), KEYS, "left")
-    ahead = ahead.filter(F.col("first_day").isNull() | (F.col("first_day") > start))
-    ahead = ahead.withColumn("date", F.explode(F.sequence(start, F.coalesce(F.date_sub("first_day", 1), end))))
-    zero = F.coalesce(F.col("date") < F.col("zero_until"), F.lit(False))
-    unseen = ahead.select(
+    value = F.when(on_day, F.col("amount_money")).when(seen, F.col("carry_amount_money")).when(zero, F.col("zero_money"))
+    extra = ["currency", F.lit(tax_year).alias("tax_year")] if rates is not None else []
+    return spread.select(
         *KEYS,
         "date",
-        F.when(zero, F.lit(0)).cast("decimal(24,6)").alias("native_balance"),
-        F.when(zero, "user-attested-pre-opening-zero").otherwise("missing-opening-coverage").alias("balance_source"),
-        F.when(zero, "user-attested-zero").otherwise("missing-opening").alias("evidence_class"),
-        F.when(zero, "user-attested").otherwise("missing").alias("confidence"),
-        F.lit(None).cast("string").alias("source_ref"),
-        F.array().cast("array<string>").alias("review_flags"),
+        *extra,
+        *[value[c].alias(c) for c in money],
+        F.when(~seen, F.when(zero, "user-attested-pre-opening-zero").otherwise("missing-opening-coverage")).when(~on_day, "carried-forward").when(F.col("candidate_type") == PERIOD_END, PERIOD_END).otherwise("observed").alias("balance_source"),
+        F.when(~seen, F.when(zero, "user-attested-zero").otherwise("missing-opening")).when(on_day, kind).otherwise("carried-forward").alias("evidence_class"),
+        F.when(~seen, F.when(zero, "user-attested").otherwise("missing")).when(on_day, confidence).otherwise("medium").alias("confidence"),
+        F.when(on_day, F.col("source_ref")).when(seen, F.col("carry_ref")).alias("source_ref"),
+        F.when(seen, flags).otherwise(F.array().cast("array<string>")).alias("review_flags"),
     )
-    return seen.unionByName(unseen)
 
 
 def carry_gaps(ledger: DataFrame, limit: int = ROUTINE_CARRY_DAYS) -> DataFrame:

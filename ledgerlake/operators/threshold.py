@@ -109,23 +109,46 @@ def combined_daily(ledger: DataFrame, models: DataFrame | None, tax_year: int, t
     to the upper total of every day, to the known total on its date only. Days
     are summed before the maxima join, one row per filer.
     """
-    days = ledger.groupBy("filer_id", "date").agg(F.coalesce(F.sum("threshold_usd_value"), F.lit(0)).cast("decimal(34,6)").alias("dated"))
+    zero = F.lit(0).cast("decimal(24,6)")
+    rows = ledger.select("filer_id", "date", F.col("threshold_usd_value").cast("decimal(24,6)").alias("v"))
+    if models is not None:  # their filers have all days, with dated accounts or without
+        start, end = F.lit(f"{tax_year}-01-01").cast("date"), F.lit(f"{tax_year}-12-31").cast("date")
+        rows = rows.unionByName(models.select("filer_id").distinct().select("filer_id", F.explode(F.sequence(start, end)).alias("date"), zero.alias("v")))
+    days = rows.groupBy("filer_id", "date").agg(F.coalesce(F.sum("v"), zero).cast("decimal(34,6)").alias("dated"))
     if models is None:
         totals = days.select("filer_id", "date", F.col("dated").alias("known_total_usd"), F.col("dated").alias("upper_bound_total_usd"))
     else:
-        start, end = F.lit(f"{tax_year}-01-01").cast("date"), F.lit(f"{tax_year}-12-31").cast("date")
         tops = models.groupBy("filer_id").agg(F.sum("maximum_usd").alias("top"))
         dated = models.filter(F.col("maximum_date").between(start, end)).groupBy("filer_id", F.col("maximum_date").alias("date")).agg(F.sum("maximum_usd").alias("dated_top"))
-        only = tops.join(ledger.select("filer_id").distinct(), "filer_id", "left_anti").select("filer_id", F.explode(F.sequence(start, end)).alias("date"), F.lit(0).cast("decimal(34,6)").alias("dated"))
-        every = days.unionByName(only).join(tops, "filer_id", "left").join(dated, ["filer_id", "date"], "left")
-        zero = F.lit(0).cast("decimal(24,6)")
+        every = days.join(tops, "filer_id", "left").join(dated, ["filer_id", "date"], "left")
         totals = every.select("filer_id", "date", (F.col("dated") + F.coalesce("dated_top", zero)).cast("decimal(34,6)").alias("known_total_usd"), (F.col("dated") + F.coalesce("top", zero)).cast("decimal(34,6)").alias("upper_bound_total_usd"))
     return totals.withColumn("over", F.col("known_total_usd") > threshold).withColumn("possibly_over", F.col("upper_bound_total_usd") > threshold)
 
 
-def combined_wide(ledger: DataFrame, filer, labels: list[str]) -> DataFrame:
-    """One filer's year with a column per account label."""
-    return ledger.filter(F.col("filer_id") == filer).groupBy("date").pivot("account_id", labels).agg(F.max("threshold_usd_value"))
+#: Columns of a wide table at most: more labels than that are a mistake in the labels.
+MAX_LABELS = 1000
+
+
+def combined_wide(ledger: DataFrame, models: DataFrame | None, tax_year: int, label: str = "label") -> DataFrame:
+    """One row per filer and day: for every label its value and its upper bound, and both totals.
+
+    Labels come from the data. A dated account has one value in both columns; an
+    account known by its maximum has that as upper bound of every day, and as value
+    on its date only (else 0). A label that a filer lacks is null.
+    """
+    start, end = F.lit(f"{tax_year}-01-01").cast("date"), F.lit(f"{tax_year}-12-31").cast("date")
+    money = lambda c: c.cast("decimal(24,6)")
+    rows = ledger.select("filer_id", "date", F.col(label).alias("_label"), money(F.col("threshold_usd_value")).alias("v")).withColumn("u", F.col("v"))
+    if models is not None:
+        top = models.select("filer_id", F.explode(F.sequence(start, end)).alias("date"), F.col(label).alias("_label"), money(F.when(F.col("maximum_date") == F.col("date"), F.col("maximum_usd")).otherwise(0)).alias("v"), money(F.col("maximum_usd")).alias("u"))
+        rows = rows.unionByName(top)
+    labels = [r[0] for r in rows.select("_label").distinct().orderBy("_label").limit(MAX_LABELS + 1).collect()]
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"over {MAX_LABELS} labels")
+    wide = rows.groupBy("filer_id", "date").pivot("_label", labels).agg(F.sum("v").alias("v"), F.sum("u").alias("u"))
+    total = lambda c: money(sum((F.coalesce(F.col(f"`{x}_{c}`"), F.lit(0)) for x in labels), F.lit(0)))
+    each = [x for name in labels for x in (F.col(f"`{name}_v`").alias(name), F.col(f"`{name}_u`").alias(f"{name}__upper_bound"))]
+    return wide.select("filer_id", "date", *each, total("v").alias("known_total_usd"), total("u").alias("upper_bound_total_usd"))
 
 
 def threshold_answer(combined: DataFrame, alignment: DataFrame | None = None) -> DataFrame:
@@ -187,10 +210,14 @@ def verify_summary(stored: DataFrame, computed: DataFrame, fields: list[str]) ->
 
 
 def verify_bindings(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """A manifest of (path, bytes, sha256) against the files there: missing, changed, extra and doubly listed paths."""
-    m = manifest.groupBy("path").agg(F.count("*").alias("listed"), F.first("content_bytes").alias("m_bytes"), F.first("content_sha256").alias("m_sha"))
-    f = files.groupBy("path").agg(F.count("*").alias("there"), F.first("content_bytes").alias("f_bytes"), F.first("content_sha256").alias("f_sha"))
+    """A manifest of (path, bytes, sha256) against the files there: missing, changed, extra and doubly listed paths.
+
+    A path is changed if the contents listed for it and those found there differ as sets, in whatever order they come.
+    """
+    content = F.sort_array(F.collect_set(F.struct(F.col("content_bytes").cast("bigint").alias("b"), F.col("content_sha256").alias("s"))))
+    m = manifest.groupBy("path").agg(F.count("*").alias("listed"), content.alias("m_content"))
+    f = files.groupBy("path").agg(F.count("*").alias("there"), content.alias("f_content"))
     both = m.join(f, "path", "full")
-    changed = F.col("there").isNotNull() & F.col("listed").isNotNull() & (~F.col("m_bytes").eqNullSafe(F.col("f_bytes")) | ~F.col("m_sha").eqNullSafe(F.col("f_sha")))
+    changed = F.col("there").isNotNull() & F.col("listed").isNotNull() & (F.col("m_content") != F.col("f_content"))
     codes = F.filter(F.array(F.when(F.col("there").isNull(), F.lit("missing")), F.when(F.col("listed").isNull(), F.lit("extra")), F.when(changed, F.lit("changed")), F.when(F.col("listed") > 1, F.lit("duplicate-path"))), lambda c: c.isNotNull())
     return both.select("path", F.explode(codes).alias("code"))

@@ -66,8 +66,7 @@ def year_ledger(spark, d):
 
 
 def usd_ledger(spark, d):
-    rows = year_ledger(spark, d).join(accounts(spark, d).select("account_id", "currency"), "account_id").withColumn("tax_year", F.lit(YEAR))
-    return fx.to_usd(rows, view(spark, d, "v_fx"))
+    return ledger.daily_ledger(candidates(spark, d), accounts(spark, d), YEAR, rates=view(spark, d, "v_fx"))
 
 
 def models(spark, d):
@@ -342,10 +341,18 @@ def t06_combined_daily(spark, d):
     return threshold.combined_daily(usd_ledger(spark, d), models(spark, d), YEAR, LIMIT)
 
 
-@query(_U + """
-select cast(d as varchar) as date, cast(max(micro) filter (account_id = '1-click') as double) / 1000000 as "1-click", cast(max(micro) filter (account_id = '1-view') as double) / 1000000 as "1-view", cast(max(micro) filter (account_id = '1-signup') as double) / 1000000 as "1-signup" from usd where filer_id = 1 group by d""")
+_WIDE = ", ".join(
+    f"cast(sum(v) filter (label = '{k}') as double) / 1000000 as {k}, cast(sum(u) filter (label = '{k}') as double) / 1000000 as {k}__upper_bound" for k in ("attested", "click", "error", "purchase", "signup", "view")
+)
+
+
+@query(_C + f""",
+labelled as (select filer_id, d, split_part(account_id, '-', 2) as label, micro as v, micro as u from usd
+  union all select m.filer_id, y.d, 'attested', case when m.maximum_date = y.d then m.micro else 0 end, m.micro from models m cross join (select cast(unnest(generate_series(date '{YEAR}-01-01', date '{YEAR}-12-31', interval 1 day)) as date) as d) y)
+select filer_id, cast(d as varchar) as date, {_WIDE}, cast(coalesce(sum(v), 0) as double) / 1000000 as known_total_usd, cast(coalesce(sum(u), 0) as double) / 1000000 as upper_bound_total_usd from labelled group by filer_id, d""")
 def t07_combined_wide(spark, d):
-    return threshold.combined_wide(usd_ledger(spark, d), 1, ["1-click", "1-view", "1-signup"])
+    kind = F.split_part("account_id", F.lit("-"), F.lit(2))
+    return threshold.combined_wide(usd_ledger(spark, d).withColumn("label", kind), models(spark, d).withColumn("label", kind), YEAR)
 
 
 _ANSWER = _C + f""",
