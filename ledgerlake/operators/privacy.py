@@ -25,7 +25,7 @@ SECRETS = {
     "secret_github_token": r"\bgh[pousr]_[A-Za-z0-9_]{20,}\b",
     "secret_slack_token": r"\bxox[baprs]-[A-Za-z0-9-]{20,}\b",
     "secret_google_service_account": r'"type"\s*:\s*"service_account"',
-    "secret_jwt_like_token": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
+    "secret_jwt_like_token": r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?\beyJ)[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}\b",
     "secret_github_fine_grained_pat": r"\bgithub_pat_[A-Za-z0-9_]{22,}\b",
     "secret_aws_access_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "secret_stripe_key": r"\b[sr]k_live_[0-9A-Za-z]{16,}\b",
@@ -33,8 +33,8 @@ SECRETS = {
     "secret_gitlab_pat": r"\bglpat-[0-9A-Za-z_-]{20,}\b",
     "secret_npm_token": r"\bnpm_[A-Za-z0-9]{36}\b",
 }
-CREDENTIAL_NAME = r"(?i)(?:^|[_-])(?:secret[_-]?access[_-]?key|api[_-]?key|secret[_-]?key|access[_-]?key|access[_-]?token|client[_-]?secret|refresh[_-]?token|auth[_-]?token)$"
-PASSWORD_NAME = r"(?i)(?:^|[_-])(?:password|passwd)$"
+CREDENTIAL_NAMES = r"secret[_-]?access[_-]?key|api[_-]?key|secret[_-]?key|access[_-]?key|access[_-]?token|client[_-]?secret|refresh[_-]?token|auth[_-]?token"
+PASSWORD_NAMES = r"password|passwd"
 EMAIL = r"(?i)\b[A-Z0-9._%+-]++@([A-Z0-9.-]+\.[A-Z]{2,})\b"
 PHONE = r"(?<!\d)(?:\+?1[-.\s]?)?(?:\(?[2-9]\d{2}\)?[-.\s]?)[2-9]\d{2}[-.\s]?\d{4}(?!\d)"
 TAX_ID = r"\b(?:\d{3}-\d{2}-\d{4}|9\d{2}-[78]\d-\d{4})\b"
@@ -42,12 +42,28 @@ EIN = r"\b\d{2}-\d{7}\b"
 IBAN = r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"
 CARD = r"(?<!\d)(?:\d[ -]?){13,19}(?!\d)"
 ACCOUNT_WORDS = r"(?i)\b(account\s*(?:number|no\.?|#)|routing\s*(?:number|no\.?|#)|sort\s*code|iban|swift|bic)\b"
-ADDRESS = r"(?i)\b\d{1,6}\s+[A-Za-z0-9.' -]{2,50}\s+(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Boulevard|Blvd\.?|Drive|Dr\.?|Lane|Ln\.?|Court|Ct\.?|Way|Place|Pl\.?)\b"
-CONNECTION = r"(?i)\b[a-z][a-z0-9+.\-]*+://[^\s:/@]*:([^\s/@]+)@"
+STREET = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Boulevard|Blvd\.?|Drive|Dr\.?|Lane|Ln\.?|Court|Ct\.?|Way|Place|Pl\.?)\b"
+#: A number, a name of 2 to 50 signs (spaces count), a kind of street; written so that no run of spaces is read twice.
+ADDRESS = rf"(?i)\b\d{{1,6}}(?:\s++[A-Za-z0-9.'-][A-Za-z0-9.' -]{{1,49}}\s++|\s{{2,}}+[A-Za-z0-9.'-]\s++|\s{{4,}}+){STREET}"
+#: The same as EMAIL for a test, from the @ on: some letter or digit in the 256 signs before it, which no local part exceeds.
+EMAIL_DOMAIN = r"(?i)@(?<=[A-Z0-9_][.%+-]{0,255}@)([A-Z0-9.-]+\.[A-Z]{2,})\b"
+#: From :// on, after a scheme of 256 signs at most, which none exceeds.
+CONNECTION = r"(?i)://(?<=\b[a-z][a-z0-9+.\-]{0,255}://)[^\s:/@]*+:([^\s/@]+)@"
 ALLOW, ALLOW_SECRET = r"(?i)privacy-gate:\s*allow\b", r"(?i)privacy-gate:\s*allow-secret\b"
 
-#: A name before : or = and, looked at without being taken, the value after it.
-_ASSIGNMENT = r"([\p{L}\p{N}_-]{1,64})[\"']?\s*+[:=]\s*+(?=[\"']?([^'\"\s#]+))"
+
+def _assignment(names: str) -> str:
+    """A name that ends in one of these before : or =, and, looked at without being taken, the value after it.
+
+    A value that holds over three further such names is left to the inner ones: an inner value is
+    part of it, long enough already, and has less in it that could excuse it. So a line of nothing
+    but assignments is read four times at most.
+    """
+    head = rf"(?<![\p{{L}}\p{{N}}])(?:{names})"
+    plain = rf"(?:(?!{head}[:=])[^'\"\s#])"
+    return rf"(?i){head}[\"']?\s*+[:=]\s*+(?=[\"']?({plain}*+(?:{head}[:=]{plain}*+){{0,3}}+)(?:['\"\s#]|$))"
+
+
 _HEX_RUN = r"[0-9a-fA-F]{32,}"
 
 
@@ -72,16 +88,14 @@ def _reference(value: Column) -> Column:
 
 
 def _assignments(line: Column) -> list[Column]:
-    pairs = F.arrays_zip(F.regexp_extract_all(line, F.lit(_ASSIGNMENT), F.lit(1)).alias("name"), F.regexp_extract_all(line, F.lit(_ASSIGNMENT), F.lit(2)).alias("value"))
-    hard = lambda p: ~_placeholder(p["value"]) & ~_reference(p["value"])
-    return [
-        _finding("secret_credential_assignment", "block", F.exists(pairs, lambda p: p["name"].rlike(CREDENTIAL_NAME) & (F.length(p["value"]) >= 12) & hard(p))),
-        _finding("secret_password_assignment", "block", F.exists(pairs, lambda p: p["name"].rlike(PASSWORD_NAME) & (F.length(p["value"]) >= 8) & hard(p))),
-    ]
+    def found(names: str, least: int) -> Column:
+        return _any(line, _assignment(names), 1, lambda v: (F.length(v) >= least) & ~_placeholder(v) & ~_reference(v))
+
+    return [_finding("secret_credential_assignment", "block", found(CREDENTIAL_NAMES, 12)), _finding("secret_password_assignment", "block", found(PASSWORD_NAMES, 8))]
 
 
 def _email(line: Column) -> Column:
-    return _any(line, EMAIL, 1, lambda d: ~(F.lower(d).isin(*EXAMPLE_DOMAINS) | F.lower(d).endswith(".example")))
+    return _any(line, EMAIL_DOMAIN, 1, lambda d: ~(F.lower(d).isin(*EXAMPLE_DOMAINS) | F.lower(d).endswith(".example")))
 
 
 def _card(line: Column) -> Column:
@@ -104,26 +118,29 @@ FAMILIES = {
     "account": lambda line: [
         _finding("pii_iban", "warning", line.rlike(IBAN)),
         _finding("pii_account_context", "warning", line.rlike(ACCOUNT_WORDS) & line.rlike(r"\d{4,}")),
-        _finding("pii_address", "warning", line.rlike(ADDRESS)),
+        _finding("pii_address", "warning", line.rlike(rf"(?i)\b{STREET}") & line.rlike(ADDRESS)),
     ],
 }
 #: A line without these holds nothing that any detector finds.
 _WORTH_A_LOOK = r"[0-9@:=]|PRIVATE KEY|sk-|gh[pousr]_|xox|eyJ|github_pat|AKIA|ASIA|[sr]k_live|AIza|glpat|npm_"
 
 
-def line_findings(lines: DataFrame, families: tuple[str, ...] = tuple(FAMILIES), line: str = "line") -> DataFrame:
-    """All findings of the lines, all detectors in one projection; inline markers hide warnings, the secret marker blocks too."""
-    c = F.col(line)
+def _line_findings(c: Column, families: tuple[str, ...]) -> Column:
+    """The findings of a line as an array; inline markers hide warnings, the secret marker blocks too."""
     found = F.filter(F.array(*[f for name in families for f in FAMILIES[name](c)]), lambda f: f.isNotNull())
     soft, hard = c.rlike(ALLOW), c.rlike(ALLOW_SECRET)
-    shown = F.filter(found, lambda f: F.when(f["severity"] == "block", ~hard).otherwise(~soft))
+    return F.filter(found, lambda f: F.when(f["severity"] == "block", ~hard).otherwise(~soft))
+
+
+def line_findings(lines: DataFrame, families: tuple[str, ...] = tuple(FAMILIES), line: str = "line") -> DataFrame:
+    """All findings of the lines, all detectors in one projection."""
+    c = F.col(line)
     keep = [n for n in lines.columns if n != line]
-    return lines.filter(c.rlike(_WORTH_A_LOOK)).select(*keep, F.inline(shown))
+    return lines.filter(c.rlike(_WORTH_A_LOOK)).select(*keep, F.inline(_line_findings(c, families)))
 
 
-def path_findings(files: DataFrame, path: str = "path") -> DataFrame:
-    """Findings by path alone; a credential-like name warns only where nothing blocks."""
-    p = F.col(path)
+def _path_findings(p: Column) -> Column:
+    """The findings of a path as an array; a credential-like name warns only where nothing blocks."""
     name = F.lower(F.element_at(F.split(p, "/"), -1))
     folders = F.slice(F.split(p, "/"), F.lit(1), F.greatest(F.size(F.split(p, "/")) - 1, F.lit(0)))
     stem = F.regexp_replace(F.regexp_replace(name, r"\.env$", ""), r"^\.+|\.+$", "")
@@ -138,7 +155,12 @@ def path_findings(files: DataFrame, path: str = "path") -> DataFrame:
         lambda f: f.isNotNull(),
     )
     warn = F.filter(F.array(_finding("suspicious_credential_filename", "warning", p.rlike(CREDENTIAL_FILES))), lambda f: f.isNotNull())
-    return files.select("*", F.inline(F.when(F.size(blocks) > 0, blocks).otherwise(warn)))
+    return F.when(F.size(blocks) > 0, blocks).otherwise(warn)
+
+
+def path_findings(files: DataFrame, path: str = "path") -> DataFrame:
+    """Findings by path alone."""
+    return files.select("*", F.inline(_path_findings(F.col(path))))
 
 
 UNSUPPRESSIBLE = ("generated_artifact_path", "secret_env_file", "secret_filename")
@@ -176,16 +198,19 @@ def apply_ignore(files: DataFrame, globs: list[str], path: str = "path", ignore_
 
 
 def scan(files: DataFrame, globs: list[str] | None = None, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
-    """All findings of a corpus of (path, text): path, code, severity and line (null for findings by path)."""
+    """All findings of a corpus of (path, text): path, code, severity and line (null for findings of the file).
+
+    The files are read once: each gives a row for itself and one for every line of a text that is read.
+    """
     marked = apply_ignore(files, globs or [])
-    by_path = path_findings(marked.select("path", "skipped")).filter(~F.col("skipped") | F.col("code").isin(*UNSUPPRESSIBLE)).select("path", "code", "severity", F.lit(None).cast("int").alias("line_no"))
-    read = marked.filter(~F.col("skipped"))
-    size = F.octet_length("text")
-    large = read.filter(size > max_bytes).select("path", F.lit("text_read_limit").alias("code"), F.lit("block").alias("severity"), F.lit(None).cast("int").alias("line_no"))
-    binary = read.filter(F.col("text").contains("\x00") & (size <= max_bytes)).select("path", F.lit("binary_content").alias("code"), F.lit("block").alias("severity"), F.lit(None).cast("int").alias("line_no"))
-    lines = read.filter((size <= max_bytes) & ~F.col("text").contains("\x00")).select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    in_lines = line_findings(lines.select("path", (F.col("pos") + 1).alias("line_no"), "line")).select("path", "code", "severity", "line_no")
-    return by_path.unionByName(large).unionByName(binary).unionByName(in_lines)
+    size, nul = F.octet_length("text"), F.col("text").contains("\x00")
+    by_path = F.filter(_path_findings(F.col("path")), lambda f: ~F.col("skipped") | f["code"].isin(*UNSUPPRESSIBLE))
+    unread = F.filter(F.array(_finding("text_read_limit", "block", size > max_bytes), _finding("binary_content", "block", nul & (size <= max_bytes))), lambda f: f.isNotNull() & ~F.col("skipped"))
+    lines = F.when(~F.col("skipped") & (size <= max_bytes) & ~nul, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
+    rows = marked.select("path", F.concat(by_path, unread).alias("of_file"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), lines)).alias("pos", "line"))
+    rows = rows.filter(F.when(F.col("pos") == 0, F.size("of_file") > 0).otherwise(F.col("line").rlike(_WORTH_A_LOOK)))
+    found = F.when(F.col("pos") == 0, F.col("of_file")).otherwise(_line_findings(F.col("line"), tuple(FAMILIES)))
+    return rows.select("path", F.when(F.col("pos") > 0, F.col("pos")).alias("line_no"), F.inline(found)).select("path", "code", "severity", "line_no")
 
 
 def sorted_findings(findings: DataFrame) -> DataFrame:
