@@ -43,15 +43,26 @@ def _without(words: Column, w: Column, alike) -> Column:
     return F.filter(words, lambda v, i: i + 1 != at)
 
 
+def _label_pairs(rows: DataFrame, rate_map: DataFrame, policy: str) -> DataFrame:
+    """(country, currency, code) of every distinct label pair of the rows and the codes that it matches.
+
+    Words that pair up begin with the same three letters (or are one short word),
+    so labels meet on those of their countries' words, never all with all.
+    """
+    beginnings = lambda c: F.explode(F.array_distinct(F.transform(_tokens(F.col(c), policy), lambda w: F.substring(w, 1, 3))))
+    labels = rows.select("country", "currency").distinct().select("*", beginnings("country").alias("_k"))
+    known = rate_map.select("code", F.col("country").alias("map_country"), F.col("currency").alias("map_currency")).distinct().select("*", beginnings("map_country").alias("_k"))
+    met = labels.join(known, "_k").drop("_k").distinct()
+    return met.filter(label_match(F.col("country"), F.col("map_country"), policy) & label_match(F.col("currency"), F.col("map_currency"), policy)).select("country", "currency", "code").distinct()
+
+
 def year_end_rate(rates: DataFrame, rate_map: DataFrame, year: int, today=None) -> tuple[DataFrame, DataFrame]:
     """The rate of each code on 31 December: one row per code whose matching rows agree; other codes as violations.
 
-    rate_map has code, country, currency, one row per accepted label pair. It is a short list of
-    labels, so the label join is one of every rate row of the day with it.
+    rate_map has code, country, currency, one row per accepted label pair.
     """
     close = rates.filter(F.col("record_date") == F.lit(f"{year}-12-31").cast("date"))
-    m = rate_map.select("code", F.col("country").alias("map_country"), F.col("currency").alias("map_currency"))
-    hits = close.join(m, label_match(F.col("country"), F.col("map_country"), "year_end") & label_match(F.col("currency"), F.col("map_currency"), "year_end"))
+    hits = close.join(_label_pairs(close, rate_map, "year_end"), ["country", "currency"])
     by_code = hits.groupBy("code").agg(F.countDistinct("exchange_rate").alias("rates"), F.count("*").alias("rows"), F.min_by("exchange_rate", F.struct("country", "currency")).alias("foreign_per_usd"))
     over = F.lit(f"{year}-12-31").cast("date") < F.coalesce(F.lit(today), F.current_date())
     found = by_code.filter((F.col("rates") == 1) & over).select("code", "foreign_per_usd", (F.col("rows") - 1).alias("duplicates"))
@@ -63,8 +74,7 @@ def year_end_rate(rates: DataFrame, rate_map: DataFrame, year: int, today=None)
 def rate_map_check(rates: DataFrame, rate_map: DataFrame, exceptions: DataFrame, year: int) -> DataFrame:
     """Every rate row of 31 December as mapped, a listed exception, or unexplained."""
     close = rates.filter(F.col("record_date") == F.lit(f"{year}-12-31").cast("date"))
-    m = rate_map.select("code", F.col("country").alias("map_country"), F.col("currency").alias("map_currency"))
-    mapped = close.join(m, label_match(F.col("country"), F.col("map_country"), "year_end") & label_match(F.col("currency"), F.col("map_currency"), "year_end"), "left")
+    mapped = close.join(_label_pairs(close, rate_map, "year_end"), ["country", "currency"], "left")
     codes = mapped.groupBy("country", "currency", "exchange_rate").agg(F.min("code").alias("code"))
     listed = exceptions.select("country", "currency").distinct().withColumn("listed", F.lit(True))
     found = codes.join(listed, ["country", "currency"], "left")
@@ -153,9 +163,8 @@ def spot_usd(rows: DataFrame, spot: DataFrame, direction: str = "foreign_per_usd
 
 def yearly_rate(rates: DataFrame, rate_map: DataFrame, year: int, today=None) -> tuple[DataFrame, DataFrame]:
     """The yearly average of each code by its first matching row of a completed year; other codes as violations."""
-    m = rate_map.select("code", F.col("country").alias("map_country"), F.col("currency").alias("map_currency"))
     of_year = rates.filter((F.col("year") == year) & F.col("rate").isNotNull())
-    hits = of_year.join(m, label_match(F.col("country"), F.col("map_country"), "yearly") & label_match(F.col("currency"), F.col("map_currency"), "yearly"))
+    hits = of_year.join(_label_pairs(of_year, rate_map, "yearly"), ["country", "currency"])
     over = F.lit(year) < F.year(F.coalesce(F.lit(today), F.current_date()))
     found = hits.filter(over).groupBy("code").agg(F.min_by("rate", F.struct("country", "currency")).alias("foreign_per_usd"))
     missing = rate_map.select("code").distinct().join(found.select("code"), "code", "left_anti")

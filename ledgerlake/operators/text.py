@@ -207,6 +207,26 @@ def detect_currency(lines: DataFrame, key: str = "doc_id", line: str = "line") -
     return by.select(key, F.when(F.col("n") == 1, F.col("one")).when(F.col("n") > 1, "MIXED").otherwise("UNKNOWN").alias("currency"), "ambiguous_dollar")
 
 
+_ACCOUNT_CURRENCY = rf"(?i)\b(?:account currency|currency of (?:the )?account|moneda de (?:la )?cuenta|divisa de (?:la )?cuenta|account in)\b\W{{0,4}}({'|'.join(CODES)})\b"
+
+
+def account_currency(lines: DataFrame, key: str = "doc_id", line: str = "line") -> DataFrame:
+    """Per document: the code that its account-currency labels name, and whether they name one, several or none."""
+    code = F.upper(F.regexp_extract(line, _ACCOUNT_CURRENCY, 1))
+    by = lines.groupBy(key).agg(F.countDistinct(F.when(code != "", code)).alias("n"), F.min(F.when(code != "", code)).alias("code"))
+    return by.select(key, F.when(F.col("n") == 1, F.col("code")).alias("currency"), F.when(F.col("n") == 1, "statement-text").when(F.col("n") > 1, "mixed-statement-text").otherwise("not-detected").alias("source"))
+
+
+def line_currency(line: Column, account: Column) -> Column:
+    """The currency of an interest line: a code on it (the account's if among them, else the first by name), the account's for a mere symbol, else the symbol's own."""
+    codes = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rf"(?i)\b({'|'.join(CODES)})\b"), F.lit(1)), F.upper)))
+    own = F.lit(None).cast("string")
+    for symbol, code in reversed(SYMBOLS.items()):
+        own = F.when(line.contains(symbol), code).otherwise(own)
+    symbol = own.isNotNull() | line.contains("$")
+    return F.when(F.array_contains(codes, account), account).when(F.size(codes) > 0, F.try_element_at(codes, F.lit(1))).when(symbol & account.isNotNull(), account).otherwise(own)
+
+
 _LABEL = r"(?i)\b(?:account|acct|cuenta|konto|iban)\b\s*(?:number|no\.?|nr\.?|n[uú]mero|#)?"
 _IDENT = r"[A-Za-z]{0,4}[*Xx0-9](?:[*Xx0-9]|[ .\-](?=[*Xx0-9]))*"
 
@@ -264,29 +284,75 @@ def metadata_dates(lines: DataFrame, tax_year: int, key: list[str], line: str =
 
 def year_anchors(lines: DataFrame, key: list[str], order: str = "line_no", line: str = "line") -> DataFrame:
     """Dates in the first 24 characters of lines below a date-table header of their page."""
-    header = F.lower(line).rlike(r"\b(date|fecha|datum)\b.*\b(description|amount|balance|detalle|descripcion|valor|saldo|betrag)\b")
+    header = F.lower(line).rlike(_TABLE_HEADER)
     below = F.max(header.cast("int")).over(W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)) == 1
     rows = lines.withColumn("_below", below).filter("_below").withColumn("t", F.try_element_at(date_tokens(F.substring(line, 1, 24), "intake"), F.lit(1)))
     return rows.filter("t is not null").select(*key, F.col(order), F.col("t.date").alias("anchor_date"), F.col("t.confidence").alias("confidence"))
 
 
-def balance_lines(lines: DataFrame, key: list[str], order: str = "line_no", line: str = "line") -> DataFrame:
+_TABLE_HEADER = r"\b(date|fecha|datum)\b.*\b(description|amount|balance|detalle|descripcion|valor|saldo|betrag)\b"
+_OPENING = r"(?i)\b(?:opening|previous|prior|brought forward|saldo (?:anterior|inicial))\b"
+
+
+def date_tables(lines: DataFrame, key: list[str], order: str = "line_no", line: str = "line") -> DataFrame:
+    """Per page with a date-table header: its header lines, and how many of its lines have a date and money."""
+    header = F.lower(line).rlike(_TABLE_HEADER)
+    money = (F.size(date_tokens(F.col(line), "intake")) > 0) & F.col(line).rlike(r"[$€£¥]|(?:\d[.,])?\d{2,}")
+    by = lines.groupBy(*key).agg(F.sort_array(F.collect_set(F.when(header, F.col(order)))).alias("header_lines"), F.count_if(money).alias("dated_money_rows"))
+    return by.filter(F.size("header_lines") > 0)
+
+
+def contextual_dates(lines: DataFrame, periods: DataFrame, key: list[str], order: str = "line_no", line: str = "line") -> DataFrame:
+    """Dates, or bare years, of lines about an opening or prior balance: context, never coverage. Lines that give a period are none."""
+    given = periods.select(*key, F.explode(F.array("line_no", "end_line_no")).alias(order)).distinct()
+    rows = lines.filter(F.col(line).rlike(_OPENING)).join(given, [*key, order], "left_anti")
+    dated = F.transform(date_tokens(F.col(line), "intake"), lambda t: F.struct(F.year(t["date"]).alias("year"), t["date"].alias("date")))
+    bare = F.transform(F.regexp_extract_all(line, F.lit(f"({_YEAR})"), F.lit(1)), lambda y: F.struct(y.cast("int").alias("year"), F.lit(None).cast("date").alias("date")))
+    return rows.select(*key, order, F.inline(F.array_distinct(F.when(F.size(dated) > 0, dated).otherwise(bare))))
+
+
+#: A row's date without a year, at its start; a line that sums up the end of a period.
+_SHORT = r"^\s*(\d{1,2})[/.-](\d{1,2})(?![\d/.-])"
+_PERIOD_END = r"(?i)\b(?:closing|ending|final|period[- ]end) balance\b|\bsaldo (?:final|al corte)\b"
+
+
+def balance_lines(lines: DataFrame, key: list[str], order: str = "line_no", line: str = "line", periods: DataFrame | None = None) -> DataFrame:
     """Balance observations: a dated line with money that names a balance (fee, interest and tax lines need to), or a line of three amounts on a page that does.
 
-    The amount is the last one after the last balance term, else the last of the line.
+    The amount is the last one after the last balance term, else the last of the
+    line. With verified periods (key, start_date, end_date), pages that have
+    exactly one give two kinds more: rows whose date lacks the year (day and
+    month, two amounts suffice) take it from the period, if it has one place for
+    the date; and a closing line without a date and with one amount stands for
+    the period's end, to be reviewed.
     """
     low = F.lower(line)
     term = low.rlike("|".join(BALANCE_TERMS))
     fee = low.rlike("|".join(FEE_TERMS))
-    rows = lines.withColumn("_date", F.try_element_at(date_tokens(F.col(line), "balance"), F.lit(1))).withColumn("_term", term).withColumn("_page", F.max(term.cast("int")).over(W.partitionBy(*key)) == 1)
-    rows = rows.filter((F.col("_term") | F.col("_page") & ~fee) & F.col("_date").isNotNull()).withColumn("_money", money_tokens(F.col(line), "balance"))
-    rows = rows.filter((F.size("_money") > 0) & (F.col("_term") | (F.size("_money") >= 3)))
+    rows = lines.withColumn("_full", F.try_element_at(date_tokens(F.col(line), "balance"), F.lit(1)))
+    if periods is None:
+        rows = rows.withColumn("_start", F.lit(None).cast("date")).withColumn("_stop", F.lit(None).cast("date"))
+    else:
+        one = periods.groupBy(*key).agg(F.count("*").alias("_n"), F.min("start_date").alias("_start"), F.min("end_date").alias("_stop")).filter("_n = 1").drop("_n")
+        rows = rows.join(one, key, "left")
+    day, month = (F.lpad(F.regexp_extract(line, _SHORT, i), 2, "0") for i in (1, 2))
+    places = F.transform(F.sequence(F.year("_start"), F.year("_stop")), lambda y: _day(y.cast("string"), month, day))
+    inside = F.filter(places, lambda d: (d >= F.col("_start")) & (d <= F.col("_stop")))
+    short = F.when(F.col("_full").isNull() & F.col("_start").isNotNull() & F.col(line).rlike(_SHORT) & (F.size(inside) == 1), F.try_element_at(inside, F.lit(1)))
+    rows = rows.withColumn("_short", short).withColumn("_date", F.coalesce("_full", F.when(F.col("_short").isNotNull(), F.struct(F.col("_short").alias("date"), F.lit("high").alias("confidence")))))
+    rows = rows.withColumn("_term", term).withColumn("_page", F.max(term.cast("int")).over(W.partitionBy(*key)) == 1)
+    rows = rows.withColumn("_summary", F.col("_date").isNull() & F.col("_stop").isNotNull() & F.col(line).rlike(_PERIOD_END))
+    rows = rows.filter((F.col("_term") | F.col("_page") & ~fee) & F.col("_date").isNotNull() | F.col("_summary"))
+    rows = rows.withColumn("_money", money_tokens(F.when(F.col("_short").isNotNull(), F.regexp_replace(line, _SHORT, "#")).otherwise(F.col(line)), "balance"))
+    enough = F.when(F.col("_short").isNotNull(), 2).otherwise(3)
+    rows = rows.filter(F.when(F.col("_summary"), F.size("_money") == 1).otherwise((F.size("_money") > 0) & (F.col("_term") | (F.size("_money") >= enough))))
     end = F.length(F.regexp_extract(low, rf"^(.*(?:{'|'.join(BALANCE_TERMS)}))", 1))
     after = F.filter("_money", lambda t: t["position"] > F.col("_end"))
     rows = rows.withColumn("_end", end).withColumn("_pick", F.when(F.size(after) > 0, F.element_at(after, -1)).otherwise(F.element_at("_money", -1)))
     bare = F.col("_pick.token").rlike(r"^\d{1,2}$")
-    confidence = F.when(bare | (F.col("_date.confidence") == "low"), "low").when(F.col("_pick.ambiguous") | ~F.col("_term"), "medium").otherwise("high")
-    return rows.select(*key, F.col(order), F.col("_date.date").alias("balance_date"), F.col("_pick.amount").alias("amount"), confidence.alias("confidence"), F.lit("transaction-row").alias("candidate_type"))
+    confidence = F.when(F.col("_summary"), "medium").when(bare | (F.col("_date.confidence") == "low"), "low").when(F.col("_pick.ambiguous") | ~F.col("_term"), "medium").otherwise("high")
+    kind = F.when(F.col("_summary"), "period-end-summary").otherwise("transaction-row")
+    return rows.select(*key, F.col(order), F.coalesce("_date.date", "_stop").alias("balance_date"), F.col("_pick.amount").alias("amount"), confidence.alias("confidence"), kind.alias("candidate_type"))
 
 
 # Words of institution names, and legal suffixes that a signature leaves out.
@@ -302,19 +368,35 @@ def institution_signature(lines: DataFrame, key: str = "doc_id", order: str = "l
     return rows.groupBy(key).agg(F.min_by("signature", order).alias("signature"), F.min_by(line, order).alias("shown"))
 
 
+def institution_disagreements(signatures: DataFrame, group: str, file: str = "doc_id") -> DataFrame:
+    """Groups of files whose signatures are not one and the same, with the signatures."""
+    by = signatures.groupBy(group).agg(F.countDistinct("signature").alias("n"), F.sort_array(F.collect_set("signature")).alias("signatures"), F.countDistinct(file).alias("files"))
+    return by.filter("n > 1").select(F.col(group).alias("entity"), F.lit("institution-differs").alias("code"), "files", "signatures")
+
+
 _ENDPOINT = rf"(?:({_MONTH})\.? (\d{{1,2}})|(\d{{1,2}})(?: de)? ({_MONTH})\.?)(?:,?(?: de| del)? (\d{{4}}))?"
 HEADER = rf"(?i)\b(?:statement period|period|per[ií]odo|billing cycle)\b\W{{0,3}}(?:from |del? )?{_ENDPOINT}\s*(?:-|–|to|through|al?|hasta)\s*(?:el )?{_ENDPOINT}"
 
 
+#: The same range with no label, alone on a short line but for a count of its days.
+BARE_HEADER = rf"(?i)^\W{{0,2}}{_ENDPOINT}\s*(?:-|–|to|through|al?|hasta)\s*(?:el )?{_ENDPOINT}\s*(?:\((\d{{1,3}})\s*(?:days?|d[ií]as?)\)\s*)?$"
+
+
 def period_headers(lines: DataFrame, key: list[str], order: str = "line_no", line: str = "line") -> DataFrame:
-    """Labelled month and day ranges, their years null where the header shows none; days that no month has are left out."""
+    """Month and day ranges, labelled or alone on a line of up to 100 signs, their years null where the header shows none; days that no month has are left out."""
     month = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    part = lambda i: F.regexp_extract(line, HEADER, i)
-    number = lambda i: part(i).try_cast("int")
 
-    def endpoint(base: int) -> list[Column]:
-        return [month[F.lower(F.when(part(base) != "", part(base)).otherwise(part(base + 3)))], F.coalesce(number(base + 1), number(base + 2)), number(base + 4)]
+    def found(pattern: str, rows: DataFrame) -> DataFrame:
+        part = lambda i: F.regexp_extract(line, pattern, i)
+        number = lambda i: part(i).try_cast("int")
+
+        def endpoint(base: int) -> list[Column]:
+            return [month[F.lower(F.when(part(base) != "", part(base)).otherwise(part(base + 3)))], F.coalesce(number(base + 1), number(base + 2)), number(base + 4)]
+
+        names = ["start_month", "start_day", "start_year", "end_month", "end_day", "end_year"]
+        return rows.filter(F.col(line).rlike(pattern)).select(*key, F.col(order), *[c.alias(n) for c, n in zip([*endpoint(1), *endpoint(6)], names, strict=True)])
 
-    names = ["start_month", "start_day", "start_year", "end_month", "end_day", "end_year"]
-    rows = lines.filter(F.col(line).rlike(HEADER)).select(*key, F.col(order), *[c.alias(n) for c, n in zip([*endpoint(1), *endpoint(6)], names, strict=True)])
+    count = F.coalesce(F.regexp_extract(line, BARE_HEADER, 11).try_cast("int"), F.lit(1))
+    bare = lines.filter(~F.col(line).rlike(HEADER) & (F.length(line) <= 100) & ~F.col(line).rlike(r"[$€£¥]|\d[.,]\d{2}") & count.between(1, 366))
+    rows = found(HEADER, lines).unionByName(found(BARE_HEADER, bare))
     return rows.filter("start_day between 1 and 31 and end_day between 1 and 31")

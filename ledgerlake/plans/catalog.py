@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlake.functions.staging import shared_dir
 from ledgerlake.operators import fx, intake, interest, ledger, privacy, text, threshold
 from ledgerlake.plans.fixtures import table, view, with_views
 from ledgerlake.sources import readers
@@ -817,3 +819,266 @@ def c05_period_headers(spark, d):
     rows = view(spark, d, "v_headers").withColumn("a", F.expr("make_date(2000, start_month, start_day)")).withColumn("b", F.expr("make_date(2000, end_month, end_day)"))
     shown = F.expr("case when file_id % 2 = 0 then concat('Statement period: ', date_format(a, 'MMM d'), ' to ', date_format(b, 'MMMM d'), ', 1998') else concat('Period ', date_format(a, 'd MMM'), ' - ', date_format(b, 'd MMMM')) end")
     return text.period_headers(rows.select("file_id", F.lit(1).alias("line_no"), shown.alias("line")), ["file_id"])
+
+
+# More lines and files rendered from typed rows of the tables.
+
+
+@query(with_views("v_lines") + " select doc_id, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) as collapsed, trim(regexp_replace(translate(lower(line), 'áàâäãéèêëíïóôöõúüñçø', 'aaaaaeeeeiioooouunco'), '\\s+', ' ', 'g')) as folded from v_lines")
+def i01_normalize_text(spark, d):
+    return view(spark, d, "v_lines").select("doc_id", "line_no", text.normalize_text(F.col("line"), "collapse").alias("collapsed"), text.normalize_text(F.col("line"), "ascii_fold").alias("folded"))
+
+
+def amount_tokens(spark, d):
+    """Account balances as tokens in five notations."""
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("v"))
+    us = F.format_number(F.abs("v"), 2)
+    token = F.expr("c_custkey % 5")
+    minus = F.col("v") < 0
+    shown = F.when(token == 0, F.when(minus, F.concat(F.lit("("), us, F.lit(")"))).otherwise(us)).when(token == 1, F.concat(F.translate(us, ",.", ".,"), F.when(minus, "-").otherwise(""))).when(token == 2, F.col("v").cast("string")).when(token == 3, F.concat(F.when(minus, "−").otherwise(""), F.lit("$"), us)).otherwise(F.concat(F.when(minus, "-").otherwise(""), F.translate(us, ",", "'")))
+    return rows.select("c_custkey", shown.alias("token"))
+
+
+@query(" select c_custkey, cast(cast(c_acctbal as decimal(18,2)) as double) as amount, false as ambiguous from customer")
+def i02_parse_amount(spark, d):
+    return amount_tokens(spark, d).select("c_custkey", text.parse_amount(F.col("token"), "balance").alias("p")).select("c_custkey", "p.amount", "p.ambiguous")
+
+
+@query(" select c_custkey, cast(cast(c_acctbal as decimal(18,2)) as double) as amount from customer where c_custkey % 5 < 4")
+def i03_parse_amount_interest(spark, d):
+    return amount_tokens(spark, d).filter("c_custkey % 5 < 4").select("c_custkey", text.parse_amount(F.col("token"), "interest")["amount"].alias("amount"))
+
+
+@query("""
+select c_custkey, case c_custkey % 6 when 0 then 'COP' when 1 then 'AMBIGUOUS' when 2 then 'EUR' when 3 then 'CHF' when 4 then 'UNKNOWN' else 'UNKNOWN' end as code from customer""")
+def i09_currency_code(spark, d):
+    rows = table(spark, d, "customer").selectExpr("c_custkey", "case c_custkey % 6 when 0 then 'Colombian  Peso' when 1 then ' peso' when 2 then 'eur' when 3 then 'Swiss Franc ' when 4 then concat('coin ', c_name) end as label")
+    return intake.currency_code(rows).select("c_custkey", "code")
+
+
+def secret_lines(spark, d):
+    """Lines of keys, addresses with passwords, numbers and street addresses, from customers."""
+    return table(spark, d, "customer").selectExpr("c_custkey", "md5(cast(c_custkey as string)) as h", "lpad(cast(c_custkey as string), 9, '0') as n")
+
+
+@query("""
+select c_custkey, case c_custkey % 4 when 0 then 'secret_aws_access_key_id' when 1 then 'secret_github_token' when 2 then 'secret_gitlab_pat' end as code, 'block' as severity from customer where c_custkey % 4 < 3""")
+def s03_secret_findings(spark, d):
+    rows = secret_lines(spark, d).selectExpr("c_custkey", "case c_custkey % 4 when 0 then concat('id AKIA', upper(substring(h, 1, 16)), ' ok') when 1 then concat('ghp_', h) when 2 then concat('use glpat-', h) else concat('AKIA', upper(substring(h, 1, 15))) end as line")
+    return privacy.line_findings(rows, ("secret",))
+
+
+@query(" select c_custkey, 'secret_connection_string' as code, 'block' as severity from customer where c_custkey % 3 = 0")
+def s05_connection_findings(spark, d):
+    rows = secret_lines(spark, d).selectExpr("c_custkey", "case c_custkey % 3 when 0 then concat('dsn=postgres://u:', h, '@db/x') when 1 then 'dsn=postgres://u:password@db/x' else concat('https://host:8080/', h, '@x') end as line")
+    return privacy.line_findings(rows, ("connection",))
+
+
+@query("""
+select c_custkey, case c_custkey % 3 when 0 then 'pii_tax_id' else 'pii_ein' end as code, 'warning' as severity from customer where c_custkey % 3 < 2""")
+def s08_rendered_tax_ids(spark, d):
+    rows = secret_lines(spark, d).selectExpr("c_custkey", "case c_custkey % 3 when 0 then concat('no. ', substring(n, 1, 3), '-', substring(n, 4, 2), '-', substring(n, 6), '.') when 1 then concat('(', substring(n, 1, 2), '-', substring(n, 3), ')') else concat(substring(n, 1, 4), '-', substring(n, 5, 2), '-', substring(n, 7)) end as line")
+    return privacy.line_findings(rows, ("tax_id",))
+
+
+@query("""
+with c as (select c_custkey, concat('4', lpad(cast(c_custkey as varchar), 14, '0'), cast(c_custkey % 10 as varchar)) as card from customer)
+select c_custkey, 'pii_card_number' as code, 'warning' as severity from c
+where list_sum(list_transform(range(1, 17), lambda i: case when i % 2 = 0 then cast(card[i] as int) else 2 * cast(card[i] as int) - case when cast(card[i] as int) > 4 then 9 else 0 end end)) % 10 = 0""")
+def s09_rendered_cards(spark, d):
+    rows = table(spark, d, "customer").selectExpr("c_custkey", "concat('4', lpad(cast(c_custkey as string), 14, '0'), cast(c_custkey % 10 as string)) as c")
+    shown = F.concat(F.lit("pay with "), F.when(F.col("c_custkey") % 2 == 0, F.col("c")).otherwise(F.concat_ws(" ", *[F.substring("c", i, 4) for i in (1, 5, 9, 13)])), F.lit(" today"))
+    return privacy.line_findings(rows.select("c_custkey", shown.alias("line")), ("card",))
+
+
+@query("""
+select c_custkey, case c_custkey % 4 when 0 then 'pii_iban' when 1 then 'pii_account_context' else 'pii_address' end as code, 'warning' as severity from customer where c_custkey % 4 < 3""")
+def s10_rendered_accounts(spark, d):
+    rows = secret_lines(spark, d).selectExpr("c_custkey", "case c_custkey % 4 when 0 then concat('to GB', substring(n, 1, 2), upper(h)) when 1 then concat('Account no. ', n) when 2 then concat(cast(c_custkey % 999 + 1 as string), ' Old Mill Road, Town') else concat('account of ', substring(n, 7)) end as line")
+    return privacy.line_findings(rows.withColumn("line", F.expr("if(c_custkey % 4 = 0, substring(line, 1, 30), line)")), ("account",))
+
+
+@query("""
+select c_custkey, case c_custkey % 3 when 0 then 'write to <REDACTED_EMAIL> or a@example.com' when 1 then 'tax <REDACTED_TAX_ID>, phone <REDACTED_PHONE>' else concat('nothing ', c_custkey) end as text from customer where c_custkey % 7 <> 0""")
+def s12_rendered_redaction(spark, d):
+    rows = secret_lines(spark, d).selectExpr("c_custkey", "cast(c_custkey as string) as path", "case c_custkey % 3 when 0 then concat('write to x.', n, '@mail.test.io or a@example.com') when 1 then concat('tax ', substring(n, 1, 3), '-', substring(n, 4, 2), '-', substring(n, 6), ', phone (212) 555-', lpad(cast(c_custkey % 10000 as string), 4, '0')) else concat('nothing ', cast(c_custkey as string)) end as text")
+    refused = rows.filter("c_custkey % 7 = 0").select("path", F.lit("block").alias("severity"))
+    return privacy.redact(rows, findings=refused).select("c_custkey", "text")
+
+
+_BLOCKED_TEXT = "case when doc_id % 4 = 0 then concat('password = ', content_sha256) when doc_id % 4 = 1 then concat('mail a', doc_id, '@mail.test.io') when doc_id % 4 = 2 then concat('x', chr(0), 'y') else 'plain words' end"
+_SCANNED = with_views("v_files") + f""",
+f as (select path, doc_id, path like 'src1/%' as skipped, lower(split_part(path, '/', -1)) as name, regexp_matches(path, '^(.*/)?(work|outputs)/') as gen, {_BLOCKED_TEXT} as t from v_files),
+b as (select *, ends_with(name, '.env') as env, ends_with(name, '.pdf') as pdf, ends_with(name, '.pem') as pem, regexp_matches(path, '(?i)secret|credential|token') as tok from f),
+found as (select path, 'generated_artifact_path' as code, 'block' as severity, cast(null as bigint) as line_no from b where gen union all select path, 'secret_env_file', 'block', null from b where env
+  union all select path, 'private_binary_export', 'block', null from b where pdf and not skipped union all select path, 'secret_filename', 'block', null from b where pem
+  union all select path, 'suspicious_credential_filename', 'warning', null from b where tok and not (gen or env or pdf or pem) and not skipped
+  union all select path, 'binary_content', 'block', null from b where doc_id % 4 = 2 and not skipped
+  union all select path, 'secret_password_assignment', 'block', 2 from b where doc_id % 4 = 0 and not skipped union all select path, 'pii_email', 'warning', 2 from b where doc_id % 4 = 1 and not skipped)"""
+
+
+def scanned_files(spark, d):
+    body = "case when doc_id % 4 = 0 then concat('first line\\npassword = ', content_sha256) when doc_id % 4 = 1 then concat('first line\\nmail a', doc_id, '@mail.test.io') when doc_id % 4 = 2 then concat('x', chr(0), 'y') else 'plain words' end"
+    return view(spark, d, "v_files").selectExpr("path", f"{body} as text")
+
+
+@query(_SCANNED + " select * from found")
+def s13_rendered_scan(spark, d):
+    return privacy.scan(scanned_files(spark, d), ["src1"])
+
+
+@query(_SCANNED + """
+select (select count(*) from f where not skipped) as scanned_files, (select count(*) from f where skipped) as skipped_files, count(*) filter (severity = 'block') as block_count, count(*) filter (severity = 'warning') as warning_count,
+  count(*) filter (severity = 'block') = 0 as passed, count(*) = 0 as passed_strict from found""")
+def s14_rendered_summary(spark, d):
+    files = scanned_files(spark, d)
+    return privacy.scan_summary(privacy.scan(files, ["src1"]), files, ["src1"])
+
+
+def written(spark, name: str) -> str:
+    """A fresh folder among the session's written tables."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""
+select '2020-12-31' as record_date, concat('Land ', s_nationkey) as country, s_name as currency, cast(cast(abs(s_acctbal) + 1 as decimal(14,6)) as double) as exchange_rate, cast(null as varchar) as effective_date from supplier""")
+def r03_read_rate_records(spark, d):
+    path = written(spark, "rate-records")
+    entry = F.to_json(F.struct(F.lit("2020-12-31").alias("record_date"), F.concat(F.lit("Land "), "s_nationkey").alias("country"), F.col("s_name").alias("currency"), (F.abs("s_acctbal") + 1).cast("decimal(14,6)").alias("exchange_rate")))
+    payload = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit('{"data": ["no record", '), F.array_join(F.collect_list(entry), ", "), F.lit("]}")).alias("value"))
+    payload.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_rate_records(spark, path)
+
+
+_SPOT_FILES = with_views("v_spot")
+
+
+@query(_SPOT_FILES + " select currency, cast(rate_date as varchar) as rate_date, cast(rate as double) as rate, 'foreign_per_usd' as direction from v_spot")
+def r05_read_spot_rates(spark, d):
+    path = written(spark, "spot-rates")
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("rate_date").cast("string"), F.col("rate").cast("string"))))
+    rows = view(spark, d, "v_spot").groupBy("currency").agg(F.to_json(F.struct(F.col("currency"), F.lit("foreign_per_usd").alias("direction"), pairs.alias("rates"))).alias("value"))
+    rows.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_spot_rates(spark, path)[0]
+
+
+_DAYS = f"select cast(ts as date) as day, cast(cast(sum(value) as decimal(18,2)) as decimal(24,6)) as v from events where year(ts) = {YEAR} and dayofyear(cast(ts as date)) % 30 <> 0 group by 1"
+
+
+@query(f"""
+with d as ({_DAYS}), y as (select cast(unnest(generate_series(date '{YEAR}-01-01', date '{YEAR}-12-31', interval 1 day)) as date) as day)
+select cast(day as varchar) as entity, 'missing-date' as code from y where day not in (select day from d) union all select cast(day as varchar), 'duplicate-date' from d where day(day) = 1""")
+def r06_read_attested_daily(spark, d):
+    path = written(spark, "attested")
+    days = table(spark, d, "events").select(F.to_date("ts").alias("day")).filter(F.year("day") == YEAR).distinct().filter("dayofyear(day) % 30 <> 0")
+    rows = days.unionByName(days.filter("day(day) = 1")).selectExpr("cast(day as string) as date", "'12.50' as native_balance")
+    rows.write.option("header", True).csv(path)
+    return readers.read_attested_daily(spark, path, YEAR)[1]
+
+
+@query(_L + f"""
+select filer_id, account_id, {YEAR} :: bigint as tax_year, cast(d as varchar) as date, cast(native_balance as double) as native_balance, balance_source, evidence_class, confidence, source_ref,
+  concat_ws(';', case when variance then 'material-same-day-balance-candidates' end, case when eod then 'reconstructed-end-of-day-carry' end) as review_flags, '1.3' as schema_version from ledger""")
+def r07_ledger_round_trip(spark, d):
+    path = written(spark, "ledger")
+    readers.write_ledger(year_ledger(spark, d).withColumn("tax_year", F.lit(YEAR)), path)
+    return readers.read_ledger(spark, path)[0]
+
+
+def labelled_rates(spark, d):
+    """Year-end rates under long and short names of nations, and the map from names to codes; two rates for every fifth nation, none for every seventh."""
+    n = table(spark, d, "nation")
+    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).filter("n_nationkey % 7 <> 0")
+    rates = s.selectExpr("date'2020-12-31' as record_date", "concat(if(s_suppkey % 2 = 0, 'Rep. of ', 'Republic '), if(s_suppkey % 2 = 0, n_name, concat('of ', n_name))) as country", "'Crown (new)' as currency", "cast(10 + n_nationkey + if(n_nationkey % 5 = 0, s_suppkey % 2, 0) as decimal(14,6)) as exchange_rate")
+    return rates, n.selectExpr("concat('C', cast(n_nationkey as string)) as code", "concat('Republic of ', n_name) as country", "'Crown' as currency")
+
+
+_LABELLED = """
+with s as (select n_nationkey as k, count(*) as n, count(distinct s_suppkey % 2) as sides from supplier join nation on s_nationkey = n_nationkey where n_nationkey % 7 <> 0 group by 1)"""
+
+
+@query(_LABELLED + " select concat('C', k) as code, cast(10 + k + case when k % 5 = 0 then (select min(s_suppkey % 2) from supplier where s_nationkey = k) else 0 end as double) as foreign_per_usd, n - 1 as duplicates from s where k % 5 <> 0 or sides = 1")
+def x02_year_end_rate(spark, d):
+    return fx.year_end_rate(*labelled_rates(spark, d), 2020)[0]
+
+
+@query(_LABELLED + " select concat('C', n_nationkey) as entity, case when k is null then 'map-has-no-matching-row' else 'conflicting-rates' end as code from nation left join s on k = n_nationkey where k is null or (k % 5 = 0 and sides = 2)")
+def x02_year_end_violations(spark, d):
+    return fx.year_end_rate(*labelled_rates(spark, d), 2020)[1]
+
+
+@query("""
+with r as (select distinct n_nationkey as k, n_name, s_suppkey % 2 as side from supplier join nation on s_nationkey = n_nationkey where n_nationkey % 7 <> 0)
+select case when side = 0 then concat('Rep. of ', n_name) else concat('Republic of ', n_name) end as country, 'Crown (new)' as currency, cast(10 + k + case when k % 5 = 0 then side else 0 end as double) as exchange_rate,
+  case when k % 3 <> 0 then concat('C', k) end as code, case when k % 3 <> 0 then 'mapped' when k % 2 = 0 then 'exception' else 'unexplained' end as class from r""")
+def x03_rate_map_check(spark, d):
+    rates, names = labelled_rates(spark, d)
+    listed = table(spark, d, "nation").filter("n_nationkey % 2 = 0").selectExpr("explode(array(concat('Rep. of ', n_name), concat('Republic of ', n_name))) as country", "'Crown (new)' as currency")
+    return fx.rate_map_check(rates, names.filter("cast(substring(code, 2) as int) % 3 <> 0"), listed, 2020)
+
+
+@query(_LABELLED + " select concat('C', k) as code, cast(10 + k + case when k % 5 = 0 then (select arg_min(s_suppkey % 2, case when s_suppkey % 2 = 0 then 0 else 1 end) from supplier where s_nationkey = k) else 0 end as double) as foreign_per_usd from s")
+def x07_yearly_rate(spark, d):
+    rates, names = labelled_rates(spark, d)
+    return fx.yearly_rate(rates.selectExpr("country", "'Crown' as currency", "2020 as year", "exchange_rate as rate"), names, 2020)[0]
+
+
+@query(" select s_suppkey, s_suppkey % 3 <> 2 as same from supplier")
+def x01_label_match(spark, d):
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = rows.selectExpr("s_suppkey", "concat('Rep. of ', n_name) as a", "case s_suppkey % 3 when 0 then concat('republic of ', lower(n_name), ' (old)') when 1 then concat('New Repub of ', n_name) else concat('Republic of the ', n_name) end as b")
+    return rows.select("s_suppkey", fx.label_match(F.col("a"), F.col("b"), "year_end").alias("same"))
+
+
+@query("""
+select c_custkey, case c_custkey % 3 when 0 then 'EUR' end as currency, case c_custkey % 3 when 0 then 'statement-text' when 1 then 'mixed-statement-text' else 'not-detected' end as source from customer""")
+def i10_account_currency(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.expr("explode(case c_custkey % 3 when 0 then array('Account currency: EUR', concat('GBP ', cast(c_acctbal as string))) when 1 then array('Moneda de la cuenta COP', 'account currency USD') else array(concat('$ ', cast(c_acctbal as string))) end)").alias("line"))
+    return text.account_currency(rows, "c_custkey")
+
+
+@query("""
+select c_custkey, case c_custkey % 5 when 0 then 'COP' when 1 then 'EUR' when 2 then 'COP' when 3 then 'GBP' end as currency from customer""")
+def i10_line_currency(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.expr("case c_custkey % 5 when 0 then 'USD 5 cop 7' when 1 then 'usd 3 / EUR 4' when 2 then '$ 12.00' when 3 then '£ 4' else 'no sign' end").alias("line"), F.expr("case when c_custkey % 5 in (0, 1, 2) then 'COP' end").alias("account"))
+    return rows.select("c_custkey", text.line_currency(F.col("line"), F.col("account")).alias("currency"))
+
+
+@query(with_views("v_periods") + " select file_id, '2' as header_lines, cast(case when file_id % 3 = 0 then 2 else 1 end as bigint) as dated_money_rows from v_periods where file_id % 2 = 0")
+def c07_date_tables(spark, d):
+    rows = view(spark, d, "v_periods").withColumn("ls", F.expr("array('Harbour Bank', case when file_id % 2 = 0 then 'Date Description Amount' else 'Notes' end, concat(date_format(start_date, 'yyyy-MM-dd'), ' Deposit 10.00'), case when file_id % 3 = 0 then concat(date_format(end_date, 'yyyy-MM-dd'), ' Fee 12') else 'Total' end)"))
+    return text.date_tables(rows.select("file_id", F.posexplode("ls").alias("pos", "line")).withColumn("line_no", F.col("pos") + 1), ["file_id"])
+
+
+@query(with_views("v_periods") + """
+select file_id, cast(1 as bigint) as line_no, cast(year(start_date) as bigint) as year, cast(case when file_id % 2 = 0 then start_date end as varchar) as date from v_periods where file_id % 3 <> 0""")
+def c07_contextual_dates(spark, d):
+    rows = view(spark, d, "v_periods").selectExpr("file_id", "1 as line_no", "concat('Opening balance ', date_format(start_date, case when file_id % 2 = 0 then 'yyyy-MM-dd' else 'yyyy' end), ' 5.00') as line")
+    periods = rows.filter("file_id % 3 = 0").selectExpr("file_id", "line_no", "line_no as end_line_no")
+    return text.contextual_dates(rows, periods, ["file_id"])
+
+
+@query(with_views("v_headers") + """
+select file_id, cast(1 as bigint) as line_no, start_month, start_day, cast(null as bigint) as start_year, end_month, end_day, cast(null as bigint) as end_year from v_headers where file_id % 4 <> 3""")
+def c05_bare_headers(spark, d):
+    rows = view(spark, d, "v_headers").withColumn("a", F.expr("make_date(2000, start_month, start_day)")).withColumn("b", F.expr("make_date(2000, end_month, end_day)"))
+    shown = F.expr("concat(date_format(a, 'MMM d'), ' - ', date_format(b, 'MMMM d'), case file_id % 4 when 0 then '' when 1 then ' (31 days)' when 2 then ' ' else ' paid 12.50' end)")
+    return text.period_headers(rows.select("file_id", F.lit(1).alias("line_no"), shown.alias("line")), ["file_id"])
+
+
+@query("""
+select s_nationkey as entity, 'institution-differs' as code, count(*) as files, 'banco norte;banco sur' as signatures from supplier group by s_nationkey having count(distinct s_suppkey % 2) = 2""")
+def i14_institution_disagreements(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.lit(1).alias("line_no"), F.expr("if(s_suppkey % 2 = 0, 'Banco del Sur S.A.', 'BANCO NORTE, Inc.')").alias("line")).withColumn("line", F.expr("replace(line, ' del ', ' ')"))
+    signed = text.institution_signature(rows, "s_suppkey").join(rows.select("s_suppkey", "s_nationkey"), "s_suppkey")
+    return text.institution_disagreements(signed, "s_nationkey", "s_suppkey")
+
+
+@query(with_views("v_periods") + """
+select file_id, cast(line_no as bigint) as line_no, cast(case line_no when 1 then start_date + 3 else end_date end as varchar) as balance_date, cast(case line_no when 1 then 220.5 else 1300.25 end as double) as amount, 'medium' as confidence, case line_no when 1 then 'transaction-row' else 'period-end-summary' end as candidate_type
+from v_periods cross join (select unnest([1, 2]) as line_no) where file_id % 3 <> 0""")
+def l02_short_dates_and_period_ends(spark, d):
+    periods = view(spark, d, "v_periods").select("file_id", "start_date", "end_date")
+    rows = periods.select("file_id", F.posexplode(F.expr("array(concat(date_format(start_date + 3, 'd/M'), ' Deposit 20.50 220.50'), 'Closing balance 1,300.25')")).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1)
+    twice = periods.unionByName(periods.filter("file_id % 3 = 0"))  # two periods: no place for either kind
+    return text.balance_lines(rows, ["file_id"], periods=twice)
