@@ -200,3 +200,83 @@ def test_currency_codes(spark, label, code):
 @pytest.mark.parametrize("mode,shown", [("collapse", "Saldo Número 1"), ("ascii_fold", "saldo numero 1")])
 def test_normalized_text(spark, mode, shown):
     assert one(spark, text.normalize_text(F.col("t"), mode), t=" Saldo\t Número  1 ") == shown
+
+
+def test_rate_pairs_are_divided_whole(spark):
+    rows = spark.createDataFrame([("0.000227272727", "usd_per_foreign"), ("4400", "foreign_per_usd"), ("0.0000004", "usd_per_foreign"), ("0", "foreign_per_usd"), (None, "foreign_per_usd")], "r string, rate_direction string")
+    rows = rows.selectExpr("cast(r as decimal(24,12)) as rate", "rate_direction", "'X' as currency", "2024 as rate_year", "r")
+    got = {r["r"]: (r["foreign_per_usd"], r["usd_per_foreign"]) for r in fx.rate_pair(rows).collect()}
+    assert got["0.000227272727"] == (D("4400.00000528"), D("0.000227272727")) and got["4400"] == (D(4400), D("0.000227272727")) and got["0.0000004"] == (D(2500000), D("0.0000004"))
+    assert got["0"] == (D(0), None) and got[None] == (None, None)
+    assert [r["code"] for r in fx.check_rate_pair(fx.rate_pair(rows)).collect()] == ["rate-not-positive"] * 2
+
+
+def test_large_amounts_are_converted_or_listed(spark):
+    rows = spark.createDataFrame([("COP", "1000000000000"), ("COP", "-12345678.91"), ("ZZZ", "5"), ("USD", "123456789012345678.123456"), ("KWD", "999999999999999999"), ("EUR", "10.5")], "currency string, n string").selectExpr("currency", "cast(n as decimal(24,6)) as native_balance", "2024 as tax_year", "n")
+    rates = spark.createDataFrame([("COP", None, "0.000227272727"), ("KWD", "0.308", None), ("EUR", "0.951234567891", None)], "currency string, f string, u string").selectExpr("currency", "2024 as rate_year", "cast(f as decimal(20,12)) as foreign_per_usd", "cast(u as decimal(20,12)) as usd_per_foreign")
+    made = fx.to_usd(rows, rates)
+    got = {r["n"]: r["usd_micro"] for r in made.collect()}
+    assert got == {"1000000000000": D(227272727000000), "-12345678.91": D(-2805836113), "5": None, "123456789012345678.123456": D(123456789012345678123456), "999999999999999999": None, "10.5": D(11038287)}
+    assert sorted(r["entity"] for r in fx.unconverted(made, "currency").collect()) == ["KWD", "ZZZ"]
+
+
+@pytest.mark.parametrize("line,years", [
+    ("© September 2019", []), ("Copyright 2001 and 2003", []), ("© 2001-2005, 2007 Acme; tax 2020", [2020]), ("Copyright Acme Bank Holdings 2019", [2019]), ("(c) 2010 - 2012", []),
+    ("since 1999", []), ("2019-05-01 paid", [2019]), ("report 2021 © Sept. 2020", [2021]), ("Copyright 2020 12/05/2021", [2021]),
+])
+def test_years(spark, line, years):
+    assert [r["year"] for r in text.detect_years(spark.createDataFrame([(1, line)], "doc_id int, line string")).collect()] == years
+
+
+def test_bindings_do_not_depend_on_order(spark):
+    a, b = ("p", 1, "x"), ("p", 2, "y")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "path string, content_bytes bigint, content_sha256 string").coalesce(1)
+    codes = lambda m, f: sorted(r["code"] for r in threshold.verify_bindings(m, f).collect())
+    assert codes(frame(a, b), frame(a)) == codes(frame(b, a), frame(a)) == ["changed", "duplicate-path"]
+    assert codes(frame(a, a), frame(a)) == ["duplicate-path"] and codes(frame(a), frame(a)) == []
+
+
+def test_long_lines_take_linear_time(spark):
+    import time
+
+    n = 400_000
+    lines = ["A_" * (n // 2), "a=" * (n // 2), "password" + " " * n, "1" * n, "1 " * (n // 2), "1" + " " * n + " Street1", "password=" * (n // 9), "a." * (n // 2), "@" + "a." * (n // 2), "eyJ-" * (n // 4), "a://" * (n // 4), "password=your_" * (n // 14)]
+    privacy.scan(spark.createDataFrame([("p", "warm up a=b")], "path string, text string")).collect()
+    for line in lines:
+        start = time.time()
+        privacy.scan(spark.createDataFrame([("p", line)], "path string, text string")).collect()
+        assert time.time() - start < 8, line[:20]
+
+
+ASSIGNED = {
+    "password=hunter2222": 1, "db_password: 'hunter2222'": 1, "xpassword=hunter2222": 0, "api_key = abcdefghijkl": 1, "password=api_key=abcdefghijklmnop": 2, "password=your_token=abcdefghijkl; auth_token=abcdefghijkl": 1,
+    "passwd" + " " * 50 + "= longsecret": 1, "password=<secret value>": 0, "password=$HOME_VALUE": 0, "password=" * 5 + "abcdefgh": 1, "http://u:secretpw@h": 1, "1http://u:realpass1@h": 0, "x+%@y.co": 1, "...@x.org": 0, "12 A Street": 0, "12  A Street": 1,
+}
+
+
+def test_patterns_on_odd_lines(spark):
+    rows = spark.createDataFrame([(k, k) for k in ASSIGNED], "id string, line string")
+    found = {}
+    for r in privacy.line_findings(rows).collect():
+        found[r["id"]] = found.get(r["id"], 0) + 1
+    assert {k: found.get(k, 0) for k in ASSIGNED} == ASSIGNED
+
+
+def test_scan_is_paths_and_lines(spark):
+    rows = [("a/x.txt", "one\ntoken = ghp_" + "a" * 24), ("outputs/b.txt", "plain"), ("skip/.env", "password = hunter2222"), ("c.txt", None), ("d.txt", "x" * 30), ("e.txt", "nul \x00 here")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = sorted((r["path"], r["code"], r["line_no"]) for r in privacy.scan(files, ["skip"], max_bytes=29).collect())
+    assert got == [("a/x.txt", "text_read_limit", None), ("d.txt", "text_read_limit", None), ("e.txt", "binary_content", None), ("outputs/b.txt", "generated_artifact_path", None), ("skip/.env", "secret_env_file", None)]
+    lines = sorted((r["path"], r["code"], r["line_no"]) for r in privacy.scan(files, ["skip"]).filter("line_no is not null").collect())
+    assert lines == [("a/x.txt", "secret_github_token", 2)]
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ledgerlake.functions.staging import shared_dir
+
+    session = lambda master, path: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: path), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("spark://x", "hdfs:///c/")) == "hdfs:///c" and shared_dir(session("local[2]", None)).endswith("/checkpoints")
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://x", None))
