@@ -12,7 +12,10 @@ looked up by the hash of all their words at every position.
 Defined results: null and empty texts have no words and are clean; an item
 without words is ignored; items with equal ids and repeated rows each count,
 an item id is listed once; rows with a null doc_id are judged each for itself;
-extra columns of the inputs are ignored; items with a null id mark words as hit but are not listed.
+extra columns of the inputs are ignored, whatever their names; items with a null
+id mark words as hit but are not listed; of equal gram hashes in a window the
+first is kept; a very long text is hashed in one piece of its task's memory;
+empty documents give no rows, an empty benchmark leaves all clean.
 """
 
 from __future__ import annotations

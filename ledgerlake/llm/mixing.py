@@ -10,7 +10,9 @@ line is cut into blocks of equal word counts; slot rank k takes block k.
 Defined results: null text has size 0 and is never taken; a null source is a
 source of its own, last in order; rows with equal ids are separate documents;
 an empty table gives no rows; if all sizes are 0, targets and takings are 0;
-only the id, text and source columns are read, so clashing names don't matter.
+documents of equal hashes lie in order of id, size and text; a very long text is
+one document of its size; only the id, text and source columns are read, so
+clashing names don't matter. One row per source meets in one task.
 """
 
 from __future__ import annotations

@@ -13,12 +13,17 @@ logit is shifted so that 0.5 is the best threshold of the calibration part of
 the sample for that guess. Labels, lang, source and id are no inputs of a score.
 
 Training takes at most `sample` documents per label (by hash of the id) out of
-those whose crc32 leaves no 0 by division by 5.
+those whose crc32 leaves no 0 by division by 5; four bytes for each of their
+words go to the driver.
 
 Defined results: null, empty and wordless texts get the score of no evidence;
 without labelled rows of both kinds every score is 0; a document labelled
-twice takes its largest label; repeated rows are scored alike; rows with a null
-id count as held out; extra columns are ignored.
+twice takes its largest label, and an id with several texts is learned from by
+one of them; of equal filter values the first takes the gradient, of equal
+language guesses the first by name wins; repeated rows are scored alike; a very
+long text is scored whole, in one piece of its task's memory; an empty table
+gives no rows; rows with a null id count as held out; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,16 +41,18 @@ from ledgerlake.llm.langid import held_out
 #: Training documents per label at most; rows of an embedding table; its columns; filters of each width.
 SAMPLE, BUCKETS, DIM, FILTERS, WIDTHS = 3000, 1 << 16, 12, 8, (1, 2, 3)
 PREFIX, EPOCHS, RATE, BATCH = 4, 4, 0.05, 32
+#: Calibration documents of each label at least; with fewer, thresholds are calibrated on the whole sample.
+LEAST_HELD = 5
 
 
 def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of both embedding tables for every word, and the number of words before each text."""
     starts, ends, before = bg.word_spans(buf, offsets, bg.LETTERS_DIGITS)
     if not len(starts):
-        return np.empty(0, np.int32), np.empty(0, np.int32), before
+        return np.empty(0, np.uint16), np.empty(0, np.uint16), before
     prefix = bg.prefix_hash(buf, True)
     shift = np.uint64(48)
-    return (bg.span_hash(prefix, starts, ends) >> shift).astype(np.int32), (bg.span_hash(prefix, starts, np.minimum(starts + PREFIX, ends)) >> shift).astype(np.int32), before
+    return (bg.span_hash(prefix, starts, ends) >> shift).astype(np.uint16), (bg.span_hash(prefix, starts, np.minimum(starts + PREFIX, ends)) >> shift).astype(np.uint16), before
 
 
 class Network:
@@ -68,11 +75,11 @@ class Network:
         """The largest value of each filter in each text (0 at least), the word vectors, and the filters' values."""
         n_docs = len(before) - 1
         x = self.word[word] + self.stem[stem]
-        top, values = np.zeros((n_docs, FILTERS * len(WIDTHS)), np.float32), []
+        top, values = np.zeros((n_docs, FILTERS * len(WIDTHS)), x.dtype), []
         for i, (w, c) in enumerate(zip(WIDTHS, self.conv, strict=True)):
             m = len(x) - w + 1
             if m <= 0:
-                values.append(np.empty((0, FILTERS), np.float32))
+                values.append(np.empty((0, FILTERS), x.dtype))
                 continue
             z = x[:m] @ c[0]
             for j in range(1, w):
@@ -97,8 +104,8 @@ class Network:
             best[full] = np.add.reduceat(self.lang_word[word], before[:-1][full], axis=0).argmax(axis=1)
         return best
 
-    def step(self, word, stem, before, label, weight, grads) -> None:
-        """One AdaGrad step on a batch of texts."""
+    def gradients(self, word, stem, before, label, weight) -> dict:
+        """Of the weighted mean logistic loss of a batch of texts; those of the embeddings as (rows, gradients)."""
         top, x, values = self.pooled(word, stem, before)
         p = 1 / (1 + np.exp(-(top @ self.out + self.shift)))
         err = ((p - label) * weight / len(label)).astype(np.float32)
@@ -122,18 +129,29 @@ class Network:
                 np.add.at(g_x, at + j, g[:, None] * self.conv[i][j][:, f].T)
                 np.add.at(g_conv[i][j].T, f, g[:, None] * x[at + j])
         used = np.flatnonzero(np.any(g_x, axis=1))
+        found: dict = {}
         for name, rows in (("word", word[used]), ("stem", stem[used])):
-            table, rows_u = getattr(self, name), np.unique(rows)
+            rows_u = np.unique(rows)
             g = np.zeros((len(rows_u), DIM), np.float32)
             np.add.at(g, np.searchsorted(rows_u, rows), g_x[used])
-            grads[name][rows_u] += g * g
-            table[rows_u] -= RATE * g / (np.sqrt(grads[name][rows_u]) + 1e-6)
-        for name, own, g in [*((f"conv{i}", c, g) for i, (c, g) in enumerate(zip(self.conv, g_conv, strict=True))), ("bias", self.bias, g_bias), ("out", self.out, err @ top)]:
-            grads[name] = grads.get(name, 0) + g * g
-            own -= RATE * g / (np.sqrt(grads[name]) + 1e-6)
-        g = float(err.sum())
-        grads["shift"] = grads.get("shift", 0) + g * g
-        self.shift = np.float32(self.shift - RATE * g / (np.sqrt(grads["shift"]) + 1e-6))
+            found[name] = rows_u, g
+        return found | {f"conv{i}": g for i, g in enumerate(g_conv)} | {"bias": g_bias, "out": err @ top, "shift": np.float32(err.sum())}
+
+    def step(self, word, stem, before, label, weight, sums) -> None:
+        """One AdaGrad step on a batch of texts."""
+        g = self.gradients(word, stem, before, label, weight)
+        for name in ("word", "stem"):
+            (rows, own), table = g.pop(name), getattr(self, name)
+            sums[name][rows] += own * own
+            table[rows] -= RATE * own / (np.sqrt(sums[name][rows]) + 1e-6)
+        for name, own in g.items():
+            sums[name] = sums.get(name, 0) + own * own
+            change = RATE * own / (np.sqrt(sums[name]) + 1e-6)
+            if name == "shift":
+                self.shift = np.float32(self.shift - change)
+            else:
+                weights = self.conv[int(name[4:])] if name.startswith("conv") else getattr(self, name)
+                weights -= change
 
 
 def _join(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +191,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int, str | None, bool]]) -> Net
             pick = order[lo : lo + BATCH]
             word, stem, before = _join([train[i][:2] for i in pick])
             net.step(word, stem, before, y[pick], weight[pick], grads)
-    held = [r for r in rows if r[4]] or rows
+    held = [r for r in rows if r[4]]
+    if min(sum(r[2] == y for r in held) for y in (0, 1)) < LEAST_HELD:
+        held = rows
     got = np.concatenate([np.column_stack([net.logits(w, s, b), net.guess(w, b)]) for w, s, b in (_join([r[:2] for r in held[i : i + 64]]) for i in range(0, len(held), 64))])
     net.thresholds = np.zeros(max(1, len(net.languages)), np.float32)
     truth = np.array([r[2] for r in held])
@@ -213,13 +233,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             for lo, hi, buf, offsets in bg.text_chunks(batch.column("_text")):
                 word, stem, before = _words(buf, offsets)
                 part = batch.slice(lo, hi - lo)
-                lists = [pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(v)) for v in (word, stem)]
+                lists = [pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(v.view(np.int16))) for v in (word, stem)]
                 yield pa.RecordBatch.from_arrays([*lists, part.column("label"), part.column("_lang"), part.column("calibrate")], names=["word", "stem", "label", "lang", "calibrate"])
 
     chosen = docs.select(F.col(id_col).alias("_did"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).join(F.broadcast(picked), F.col("_did") == F.col("_id"))
     rows = chosen.dropDuplicates(["_did"]).select("_text", "_lang", "label", ((F.crc32(F.col("_id").cast("string")) % 5 == 1) & (F.xxhash64(F.col("_id").cast("string"), F.lit(1)) % 2 == 0)).alias("calibrate"), F.col("_id"))
-    got = rows.orderBy("_id").mapInArrow(features, "word array<int>, stem array<int>, label int, lang string, calibrate boolean").toArrow()
-    return fit([(np.asarray(w.values, np.int64), np.asarray(s.values, np.int64), y, lang, c) for w, s, y, lang, c in zip(got["word"], got["stem"], got["label"].to_pylist(), got["lang"].to_pylist(), got["calibrate"].to_pylist(), strict=True)])
+    got = rows.orderBy("_id").mapInArrow(features, "word array<smallint>, stem array<smallint>, label int, lang string, calibrate boolean").toArrow()
+    return fit([(np.asarray(w.values, np.int16).view(np.uint16), np.asarray(s.values, np.int16).view(np.uint16), y, lang, c) for w, s, y, lang, c in zip(got["word"], got["stem"], got["label"].to_pylist(), got["lang"].to_pylist(), got["calibrate"].to_pylist(), strict=True)])
 
 
 def score(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -86,6 +86,41 @@ def test_toxicity_learns_planted_words(spark, texts):
     assert {r.score for r in toxicity.score(texts(*ODD), toxicity.train(texts(*ODD), labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_gradients_are_finite_differences():
+    rng = np.random.default_rng(3)
+    net = toxicity.Network()
+    net.conv = [c + (0.2 * rng.standard_normal(c.shape)).astype(np.float32) for c in net.conv]
+    for table in ("word", "stem", "out", "bias"):
+        setattr(net, table, (0.5 * rng.standard_normal(getattr(net, table).shape)))  # float64, for small differences
+    net.conv = [c.astype(np.float64) for c in net.conv]
+    before = np.array([0, 5, 5, 6, 14])
+    word, stem = rng.integers(0, 40, 14).astype(np.uint16), rng.integers(0, 40, 14).astype(np.uint16)
+    label, weight = np.array([1, 0, 1, 0]), np.array([1.0, 0.5, 2.0, 1.5])
+
+    def loss():
+        z = net.pooled(word, stem, before)[0].astype(np.float64) @ net.out + float(net.shift)
+        return float(np.mean(weight * (np.log1p(np.exp(z)) - label * z)))
+
+    g = net.gradients(word, stem, before, label, weight)
+    places = [(net.conv[i], g[f"conv{i}"]) for i in range(3)] + [(net.out, g["out"]), (net.bias, g["bias"]), (net.word[g["word"][0]], g["word"][1])]
+    for k, (value, slope) in enumerate(places):
+        for at in [tuple(rng.integers(0, n) for n in slope.shape) for _ in range(6)]:
+            table, where = (net.word, (g["word"][0][at[0]], at[1])) if k == 5 else (value, at)
+            kept, step = table[where], 1e-3
+            table[where] = kept + step
+            up = loss()
+            table[where] = kept - step
+            down = loss()
+            table[where] = kept
+            assert abs((up - down) / (2 * step) - slope[at]) < 2e-3 * max(1, abs(slope[at])) + 1e-3
+
+
+def test_toxicity_of_held_out_rows(spark, sf):
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in queries.op2_toxicity(spark, sf).collect() if r.held_out and r.doc_id in toxic]
+    assert held and np.mean([r.predicted == toxic[r.doc_id] for r in held]) >= 0.9
+
+
 # 3 HTML
 
 
@@ -579,6 +614,25 @@ def sharded(rows, texts_of, shards=16, tolerance=0.01):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_sharding_is_brute_force(spark, sf):
+    """Rows in order of their keys: shards are runs of it, slots are places in a run, and a run ends where the bytes come nearest."""
+    texts_of = dict(docs_of(spark, sf))
+    key = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
+    rows = sorted(((key(texts_of[r.doc_id] or ""), key(str(r.doc_id)), r.doc_id), r) for r in queries.op10_sharding(spark, sf).collect())
+    total, done, shard, slot = sum(r.size for _, r in rows), 0, 0, 0
+    group = collections.Counter()
+    for k, r in rows:
+        group[k[0]] += r.size
+    for i, (k, r) in enumerate(rows):
+        while r.shard > shard:
+            shard, slot = shard + 1, 0
+            want = shard * total / 16
+            inside = i and rows[i - 1][0][0] == k[0]  # a group of copies is cut only if it outweighs the tolerance
+            assert abs(done - want) <= max(0.01 * total / 16, group[k[0]], group[rows[i - 1][0][0]]) and (not inside or group[k[0]] > 0.01 * total / 16)
+        assert (r.shard, r.slot) == (shard, slot)
+        done, slot = done + r.size, slot + 1
+
+
 def test_sharding(spark, sf):
     sharded(queries.op10_sharding(spark, sf).collect(), dict(docs_of(spark, sf)))
 
