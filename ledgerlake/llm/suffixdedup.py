@@ -25,9 +25,9 @@ by the next one:
    offsets 0, 100, 200 and 300.
 
 Grouping needs no pairs: a bucket is counted, and members of buckets of two or
-more go on. Counts are aggregated before the exchange and met by a broadcast
-within a checked size, else by a join whose skewed side Spark can split, so a
-gram that a third of all anchors share is dealt out. Texts are read again for
+more go on. Counts are aggregated before the exchange and met by a join whose
+skewed side Spark can split, so a gram that a third of all anchors share is
+dealt out; the plan is the same at every size. Texts are read again for
 each level (their hashes are cheap) and meet the open nodes in a join.
 
 Defined results: null and short texts keep all bytes; equal rows (same id and
@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerlake.functions.staging import join_small, materialize
+from ledgerlake.functions.staging import materialize
 from ledgerlake.llm import bytegrams as bg
 
 LENGTH, GRAM, STEP = 400, 100, 16
@@ -191,9 +191,14 @@ def _cut(id_col: str):
     return rows
 
 
+def _met(rows: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined with a side of one row per key. The side is written first, so rows are dealt by key as they are, and a crowded key can be split."""
+    return rows.join(materialize(side, "side"), key, how)
+
+
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose bucket holds two or more."""
-    return join_small(rows, rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key), key, "left_semi")
+    return _met(rows, rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key), key, "left_semi")
 
 
 def _united(spans: DataFrame) -> DataFrame:
@@ -211,9 +216,9 @@ def _settled(rows: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
     of its bucket: it stands for the group when they look for strings like theirs.
     """
     groups = rows.groupBy("whole").agg(F.count("*").alias("_n"), F.min(F.struct(*place)).alias("_head")).filter("_n > 1").select("whole", "_head")
-    rows = join_small(rows, groups, "whole", "left")
+    rows = _met(rows, groups, "whole", "left")
     settled, open_ = rows.filter("_head is not null"), rows.filter("_head is null").drop("_head")
-    heads = join_small(settled.filter(F.struct(*place) == F.col("_head")).drop("_head"), open_.select("h").distinct(), "h", "left_semi")
+    heads = _met(settled.filter(F.struct(*place) == F.col("_head")).drop("_head"), open_.select("h").distinct(), "h", "left_semi")
     return settled, open_.unionByName(heads)
 
 
