@@ -1082,3 +1082,10 @@ def l02_short_dates_and_period_ends(spark, d):
     rows = periods.select("file_id", F.posexplode(F.expr("array(concat(date_format(start_date + 3, 'd/M'), ' Deposit 20.50 220.50'), 'Closing balance 1,300.25')")).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1)
     twice = periods.unionByName(periods.filter("file_id % 3 = 0"))  # two periods: no place for either kind
     return text.balance_lines(rows, ["file_id"], periods=twice)
+
+
+@query(with_views("v_interest", "v_spot") + """,
+j as (select i.filer_id, i.currency, (2000000 * cast(amount * 1000000 as hugeint) + cast(rate * 1000000 as hugeint)) // (2 * cast(rate * 1000000 as hugeint)) as micro from v_interest i join v_spot s on s.currency = i.currency and s.rate_date = i.event_date)
+select filer_id, currency, cast((sum(micro) + 5000) // 10000 as double) / 100 as usd from j group by filer_id, currency""")
+def n08_interest_usd_spot(spark, d):
+    return interest.interest_usd(view(spark, d, "v_interest"), view(spark, d, "v_spot"), "spot", YEAR)
