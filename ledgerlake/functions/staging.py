@@ -53,17 +53,14 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
     window over a group, so a group that holds most rows is still dealt out.
     `sums_of` has the same rows in a form that is cheaper to sum up.
     """
-    keys = [*group, bucket]
-    sums = (df if sums_of is None else sums_of).groupBy(*keys).agg(F.sum(value).alias("_sum"))
-    before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    same = None
-    for i, k in enumerate(keys):
-        c = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        same = c if same is None else same & c
-    local = df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return local.join(base, same).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in", *[f"_k{i}" for i in range(len(keys))])
+    # One struct of the keys serves grouping, window and join, nulls included, so the rows are exchanged once.
+    key = F.struct(*[F.col(k) for k in [*group, bucket]])
+    sums = (df if sums_of is None else sums_of).withColumn("_key", key).groupBy("_key").agg(F.sum(value).alias("_sum"))
+    before = W.partitionBy(*[F.col("_key")[k] for k in group]).orderBy(F.col("_key")[bucket]).rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(F.col("_key").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = W.partitionBy("_key").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    local = df.withColumn("_key", key).withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return local.join(base, F.col("_key") == F.col("_of")).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in", "_key", "_of")
 
 
 #: Rows of (id, small value) that are broadcast at most; a larger side is joined by a shuffle.
