@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import avi, decontaminate, htmltext, langid, mixing, neardup, pseudonyms, repair, sharding, simhash, suffixdedup, toxicity
+from ledgerlake.llm import avi, decontaminate, htmltext, langid, mixing, neardup, prefixtrie, pseudonyms, repair, sharding, simhash, suffixdedup, toxicity
 
 #: For the registered query only; a production job passes a secret of its own.
 KEY = "documented-example-key"
@@ -57,6 +57,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -65,5 +69,5 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_html_extraction, op4_suffix_dedup, op5_media, op6_language_id, op7_pseudonyms, op8_near_duplicates, op9_mixing, op10_sharding, op12_structure_repair, op13_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_html_extraction, op4_suffix_dedup, op5_media, op6_language_id, op7_pseudonyms, op8_near_duplicates, op9_mixing, op10_sharding, op11_prefix_trie, op12_structure_repair, op13_simhash)}
 ORACLES = {"op9_mixing": mixing.ORACLE}

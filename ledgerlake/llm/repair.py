@@ -36,10 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from ledgerlake.functions.staging import join_small, materialize
-from ledgerlake.llm.skew import streamed_sha256
+from ledgerlake.llm.skew import numbered, streamed_sha256
 
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 #: A conversation of more rows or bytes is dealt out; rows of a piece; rows whose texts are joined into one.
@@ -239,20 +238,10 @@ def _short(rows: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Adds pos, the place in the conversation: rows are sorted over all tasks, so a conversation of any length is dealt out."""
-    order = ["ck", "turn", "role", "text"]
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    kept = materialize(sorted_.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "repair-sorted")
-    runs = kept.groupBy("ck", "part").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    before = runs.select("ck", "part", "first", (F.sum("n").over(W.partitionBy("ck").orderBy("part")) - F.col("n")).alias("before"))
-    return kept.join(before, ["ck", "part"]).withColumn("pos", F.col("before") + F.col("seq") - F.col("first")).drop("part", "seq", "first", "before")
-
-
 def _long(rows: DataFrame, piece: int) -> DataFrame:
     """Conversations of any length, dealt out by place."""
     spread = rows.filter("times > 0").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
-    every = materialize(_numbered(spread).withColumn("h1", F.xxhash64("role", "text")).withColumn("h2", F.xxhash64("text", "role")), "repair-rows")
+    every = materialize(numbered(spread, "ck", ["turn", "role", "text"], "repair-sorted").withColumn("h1", F.xxhash64("role", "text")).withColumn("h2", F.xxhash64("text", "role")), "repair-rows")
     firsts = every.groupBy("ck", "h1", "h2").agg(F.min("pos").alias("pos")).select("ck", "pos", F.lit(True).alias("first"))
     after = every.select("ck", (F.col("pos") - 1).alias("pos"), F.substring("role", 1, 1).alias("after"))
     marks = every.join(firsts, ["ck", "pos"], "left").join(after, ["ck", "pos"], "left")

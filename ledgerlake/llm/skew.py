@@ -1,4 +1,4 @@
-"""Joins on hot keys, and hashes of byte streams that are too long for one row."""
+"""Joins on hot keys, places in groups of any size, and hashes of byte streams that are too long for one row."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ledgerlake.functions.staging import materialize
 
 #: A key is hot with more than 1 / HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys; their rows go to SALTS places.
 HOT_SHARE, SALTS = 4096, 64
@@ -24,12 +27,27 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFra
     Only hot keys are broadcast, and only their rows of right are repeated.
     """
     mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    dealt = left.join(mark, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    marked = lambda df: df.join(mark, keys, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    return salted_join(marked(left), marked(right), keys, spread, how)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left") -> DataFrame:
+    """The same where both sides know by a column _hot which of their keys are hot."""
+    dealt = left.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(mark, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    repeated = right.withColumn("_salt", F.explode(copies)).drop("_hot")
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Adds pos, the place of a row among those of its key, nulls first, from 0; rows are sorted over all tasks, so a key of any size is dealt out."""
+    sorted_ = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    kept = materialize(sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()), name)
+    runs = kept.groupBy(key, "_part").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    before = runs.select(key, "_part", "_first", (F.sum("_n").over(W.partitionBy(key).orderBy("_part")) - F.col("_n")).alias("_before"))
+    return kept.join(before, [key, "_part"]).withColumn("pos", F.col("_before") + F.col("_seq") - F.col("_first")).drop("_part", "_seq", "_first", "_before")
+
+
 def streamed_sha256(parts: DataFrame, key: str, order: str, part: str, separator: bytes, out: str) -> DataFrame:
     """Per key, the lowercase SHA-256 of its parts in order with a separator between them.
 
