@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerlake.functions.staging import materialize
-
 # Currency names, and words that name several currencies.
 CURRENCY_ALIASES = {
     "argentine peso": "ARS", "brazilian real": "BRL", "british pound": "GBP", "canadian dollar": "CAD", "chilean peso": "CLP",
@@ -179,38 +183,106 @@ def place_header_year(headers: DataFrame, anchors: DataFrame, tax_year: int, key
     return found.withColumn("_n", F.count("*").over(W.partitionBy(*key))).filter("_n = 1").drop("_n").withColumn("confidence", F.lit("high")).withColumn("provenance", F.lit("direct-anchor"))
 
 
+#: A header as far as its place depends on it.
+_SHAPE = ["start_month", "start_day", "end_month", "end_day", "start_year", "end_year"]
+
+
+def _chained(headers: pd.DataFrame, periods: pd.DataFrame, tax_year: int) -> list[tuple[int, dt.date, dt.date]]:
+    """(row of headers, start, end) of one account's distinct headers, placed next to its periods.
+
+    Rounds are semi-naive: the first looks at all periods, each later one only at those of the
+    round before. A place is looked up by the day on which it would have to
+    begin or end, and counts while nothing known overlaps it and its year is within one of a known year.
+    """
+    day = dt.timedelta(days=1)
+    begins, finishes, spots = defaultdict(set), defaultdict(set), {}
+
+    def date(year: int, month: int, dom: int) -> dt.date | None:
+        return dt.date(year, month, dom) if 0 < year < 9999 and 0 < dom <= calendar.monthrange(year, month)[1] else None
+
+    def add(i: int, year: int) -> None:
+        """The place of a header that starts in a year, if it has one."""
+        a, b, c, d, first, last = shapes[i]
+        over = (c, d) < (a, b)
+        if (first or year) != year or (first is None and last is not None and year != last - over):
+            return
+        start, end = date(year, a, b), date(year + over if last is None else last, c, d)
+        if start and end and start <= end:
+            spots[i, year] = (start, end)
+            begins[start].add((i, year))
+            finishes[end].add((i, year))
+
+    shapes = [tuple(None if pd.isna(v) else int(v) for v in row) for row in headers[_SHAPE].itertuples(index=False)]
+    single = headers["headers"].tolist()
+    starts, ends, years, placed, out = [], [], set(), set(), []
+    touched: set[tuple[int, int]] = set()
+    fresh = sorted(set(zip(periods["start_date"], periods["end_date"], strict=True)))
+    longest = max((b - a for a, b in fresh), default=day)
+    for i, shape in enumerate(shapes):
+        for y in {x for v in (tax_year, *shape[4:]) if v for x in (v - 1, v, v + 1)}:
+            add(i, y)
+    years |= {tax_year - 1, tax_year, tax_year + 1}
+
+    def free(start: dt.date, end: dt.date) -> bool:
+        """Whether no known period overlaps: those that start in time are looked at, as far back as the longest goes."""
+        at = bisect_right(starts, end)
+        low = bisect_left(starts, start - longest)
+        return all(e < start for e in ends[low:at])
+
+    while fresh:
+        for start, end in fresh:
+            at = bisect_right(starts, start)
+            starts.insert(at, start)
+            ends.insert(at, end)
+            longest = max(longest, end - start)
+        later = {x for a, b in fresh for v in (a.year, b.year) for x in (v - 1, v, v + 1)} - years
+        for i, y in ((i, y) for y in later for i in range(len(shapes))):
+            add(i, y)
+        if later:  # places of a year that is new may touch a period that is not
+            years |= later
+            begun, over = set(starts), set(ends)
+            touched |= {k for k in spots if k[1] in later and (spots[k][0] - day in over or spots[k][1] + day in begun)}
+        for start, end in fresh:
+            touched |= begins.get(end + day, set()) | finishes.get(start - day, set())
+        touched = {k for k in touched if k[0] not in placed and free(*spots[k])}
+        per = Counter(i for i, _ in touched)
+        offers = sorted((spots[k], k[0]) for k in touched if per[k[0]] == 1)
+        alone, reach = [], dt.date.min
+        for n, ((start, end), i) in enumerate(offers):
+            ahead = offers[n + 1][0][0] if n + 1 < len(offers) else dt.date.max
+            if reach < start and end < ahead and single[i] == 1:
+                alone.append((start, end, i))
+            reach = max(reach, end)
+        fresh = [(start, end) for start, end, _ in alone]
+        placed |= {i for _, _, i in alone}
+        out += [(i, start, end) for start, end, i in alone]
+    return out
+
+
 def chain_header_years(headers: DataFrame, periods: DataFrame, tax_year: int, key: str = "account_id") -> DataFrame:
     """Places the remaining headers of an account next to its periods, round by round, until nothing new fits.
 
-    headers: header_id, account, ends by month and day; periods: account, start and
+    headers: header_id, account, ends by month and day (start_year and end_year if shown); periods: account, start and
     end. A header is placed where exactly one placement touches a period (next day)
-    and overlaps none; rivals that overlap each other are both left. Every round is
-    written, so the plan does not grow.
+    and overlaps none; rivals that overlap each other are both left, so headers that look alike are never placed. That
+    allows to reduce an account to its distinct headers and periods before they meet: there are some
+    hundred thousand calendar shapes at most, however many rows an account has. Their rounds run in one task per account.
     """
-    known = materialize(periods.select(key, "start_date", "end_date"), "chain")
-    left, found = headers, None
-    while True:  # each round but the last places a header at least
-        years = known.groupBy(key).agg(F.collect_set(F.year("start_date")).alias("_a"), F.collect_set(F.year("end_date")).alias("_b"))
-        near = lambda y: F.array(y - 1, y, y + 1)
-        wanted = F.concat(F.sequence(F.lit(tax_year - 1), F.lit(tax_year + 1)), F.flatten(F.transform(F.concat("_a", "_b"), near)))
-        spots = _placed(left.join(years, key), wanted).drop("_a", "_b")
-        ends = known.select(key, F.col("start_date").alias("_s"), F.col("end_date").alias("_e"))
-        touch = spots.join(ends.select(key, F.date_add("_e", 1).alias("start_date")).distinct(), [key, "start_date"], "left_semi").select(*spots.columns).union(spots.join(ends.select(key, F.date_sub("_s", 1).alias("end_date")).distinct(), [key, "end_date"], "left_semi").select(*spots.columns)).distinct()
-        free = touch.join(ends, (touch[key] == ends[key]) & (touch["start_date"] <= ends["_e"]) & (touch["end_date"] >= ends["_s"]), "left_anti")
-        single = free.withColumn("_n", F.count("*").over(W.partitionBy("header_id"))).filter("_n = 1").drop("_n")
-        by_start = W.partitionBy(key).orderBy("start_date", "end_date", "header_id")
-        reach = F.max("end_date").over(by_start.rowsBetween(W.unboundedPreceding, -1))
-        ahead = F.min("start_date").over(by_start.rowsBetween(1, W.unboundedFollowing))
-        alone = single.withColumn("_r", reach).withColumn("_a", ahead).filter("(_r is null or _r < start_date) and (_a is null or _a > end_date)").drop("_r", "_a")
-        new = materialize(alone, "chain-new")
-        if new.isEmpty():
-            break
-        found = new if found is None else found.unionByName(new)
-        known = materialize(known.unionByName(new.select(key, "start_date", "end_date")), "chain")
-        left = materialize(left.join(new.select("header_id"), "header_id", "left_anti"), "chain-left")
-    if found is None:
-        found = _placed(headers.limit(0), F.array(F.lit(tax_year)))
-    return found.withColumn("confidence", F.lit("medium")).withColumn("provenance", F.lit("inferred-chain"))
+    shown = headers
+    for c in ("start_year", "end_year"):
+        if c not in headers.columns:
+            shown = shown.withColumn(c, F.lit(None).cast("int"))
+    shapes = shown.groupBy(key, *_SHAPE).agg(F.min("header_id").alias("header_id"), F.count("*").alias("headers"))
+    known = periods.filter("start_date is not null and end_date >= start_date").select(F.col(key).alias("_account"), "start_date", "end_date").distinct()
+
+    def chain(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = _chained(left.reset_index(drop=True), right, tax_year)
+        ids = left["header_id"].tolist()
+        return pd.DataFrame([(ids[i], a, b) for i, a, b in found], columns=["header_id", "start_date", "end_date"], dtype=object)
+
+    types = f"header_id {headers.schema['header_id'].dataType.simpleString()}, start_date date, end_date date"
+    placed = shapes.groupBy(key).cogroup(known.groupBy("_account")).applyInPandas(chain, types)
+    return headers.join(placed, "header_id").withColumn("confidence", F.lit("medium")).withColumn("provenance", F.lit("inferred-chain"))
 
 
 def unresolved_periods(headers: DataFrame, placed: DataFrame, key: str = "header_id") -> DataFrame:

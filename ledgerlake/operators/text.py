@@ -244,20 +244,65 @@ def account_tokens(lines: DataFrame, key: str = "doc_id", order: str = "line_no"
     return rows.filter(long & ~other).select(key, order, "token", (F.col("suffix") | F.col("token").rlike("[*Xx]")).alias("is_partial"))
 
 
-_YEAR = r"(?<!\d)(?:19|20)\d\d(?!\d)"
-#: A copyright mark, at most eight signs (through one month name, if there is one), and a list of years.
-_COPYRIGHT = rf"(?i)(?:©|\(c\)|copyright)[^0-9©]{{0,8}}?(?:\b(?:{_MONTH})\b\.?[^0-9]{{0,8}}?)?{_YEAR}(?:\s*(?:[,;&/–—-]|and|to|y|a)\s*(?:and\s+)?{_YEAR}(?![-/.]\d))*"
-_FOUNDED = rf"(?i)\b(?:since|established|founded|desde el año)\b[^0-9]{{0,12}}{_YEAR}(?![-/.]\d)"
+_YEAR = r"\b(?:19|20)\d\d\b"
+#: What decides which years speak of the bank, not of a period: marks of copyright, words of heritage, months, years. None holds another.
+_COPYRIGHT, _HERITAGE = r"©|\(c\)|copyright|all rights reserved", r"\bsince\b|\bestablished\b|\best\.|\bfounded\b|member\s+(?:fdic|sipc)"
+_YEAR_SPANS = rf"(?iU)(?:{_COPYRIGHT}|{_HERITAGE}|\b(?:{_MONTH})\b\.?(?!\w)|{_YEAR})"
+#: Signs between a mark and a year, or two years of a list, at most; and between a month and its year.
+NEAR, NEAR_MONTH = 8, 5
+
+
+def _year_spans(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """(key, at, pos, start, end, kind, token, dated): marks, months and years of each line with their offsets; `at` names the line.
+
+    The text between two spans has a length, so the offsets are running sums of lengths.
+    """
+    tokens, gaps = F.regexp_extract_all(line, F.lit(_YEAR_SPANS), F.lit(0)), F.split(line, _YEAR_SPANS, -1)
+    rows = lines.select(key, F.xxhash64(line).alias("at"), F.arrays_zip(tokens.alias("token"), gaps.alias("before")).alias("s")).dropDuplicates([key, "at"])
+    rows = rows.select(key, "at", F.posexplode("s").alias("pos", "s")).select(key, "at", "pos", "s.*")
+    by = W.partitionBy(key, "at").orderBy("pos")
+    end = F.sum(F.length("before") + F.length("token")).over(by)
+    kind = F.when(F.col("token").rlike(r"^\d"), "year").when(F.col("token").rlike(f"(?i)^(?:{_COPYRIGHT})$"), "copyright").when(F.col("token").rlike(f"(?iU)^(?:{_HERITAGE})$"), "heritage").otherwise("month")
+    # The sign before a year, if only of the span before it; and what follows, as far as a date goes.
+    sign = F.substring(F.when(F.col("before") != "", F.col("before")).otherwise(F.lag("token").over(by)), -1, 1)
+    after = F.substring(F.concat(F.lead("before").over(by), F.coalesce(F.lead("token").over(by), F.lit(""))), 1, 6)
+    dated = sign.isin(".", "/", "-") | after.rlike(r"^[-/.]\d{1,2}[-/.]\d{1,2}")
+    return rows.select(key, "at", "pos", (end - F.length("token")).alias("start"), end.alias("end"), kind.alias("kind"), "token", F.coalesce(dated, F.lit(False)).alias("dated")).filter("token is not null")
+
+
+def _nearest(which: Column, group: list[str]) -> Column:
+    """Signs between a span and the nearest one of its line for which `which` holds; null without one."""
+    # A frame that reaches to the end would be summed up anew for each row; the same frame in reverse order runs along.
+    earlier = lambda order: W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("start") - F.max(F.when(which, F.col("end"))).over(earlier(F.asc("pos")))
+    after = F.min(F.when(which, F.col("start"))).over(earlier(F.desc("pos"))) - F.col("end")
+    return F.least(before, after)
 
 
 def detect_years(lines: DataFrame, key: str = "doc_id", line: str = "line") -> DataFrame:
-    """Distinct years of a document's lines, without those of copyright clauses and of "since" or "established"; years in numeric dates stay.
+    """Distinct years of a document's lines, without those that belong to a copyright clause or a word of heritage.
 
-    A clause reaches from its mark over one month name to a year, and on to all years joined to that by a list.
+    A mark reaches a year at most 8 signs away, before or behind it, or through one month name
+    that is as near to the mark and at most 5 signs from the year. From a year that
+    copyright reaches, the clause goes on to each next year at most 8 signs away,
+    both ways. A heritage word ("since", "established", "est.", "founded", "Member
+    FDIC") reaches alike, but one year at a time, and never a year inside a numeric date.
     """
-    plain = F.regexp_replace(F.regexp_replace(line, _COPYRIGHT, " "), _FOUNDED, " ")
-    years = F.regexp_extract_all(plain, F.lit(f"({_YEAR})"), F.lit(1))
-    return lines.select(key, F.explode(years).alias("year")).select(key, F.col("year").cast("int").alias("year")).distinct()
+    marked = F.col(line).rlike(rf"(?iU){_COPYRIGHT}|{_HERITAGE}")
+    rows = lines.filter(F.col(line).rlike(rf"(?U){_YEAR}"))
+    plain = rows.filter(~marked).select(key, F.explode(F.regexp_extract_all(line, F.lit(rf"(?U)({_YEAR})"), F.lit(1))).alias("year"))
+    group = [key, "at"]
+    spans = _year_spans(rows.filter(marked), key, line)
+    for mark in ("copyright", "heritage"):
+        spans = spans.withColumn(mark, _nearest(F.col("kind") == mark, group) <= NEAR)
+    for mark in ("copyright", "heritage"):
+        spans = spans.withColumn(f"by_{mark}", F.coalesce(F.col(mark), F.lit(False)) | F.coalesce(_nearest((F.col("kind") == "month") & F.col(mark), group) <= NEAR_MONTH, F.lit(False)))
+    years = spans.filter("kind = 'year'")
+    by = W.partitionBy(*group).orderBy("pos")
+    apart = F.coalesce(F.col("start") - F.lag("end").over(by) > NEAR, F.lit(False)).cast("int")
+    years = years.withColumn("list", F.sum(apart).over(by)).withColumn("clause", F.max("by_copyright").over(W.partitionBy(*group, "list")))
+    kept = years.filter("not clause and (dated or not by_heritage)").select(key, F.col("token").alias("year"))
+    return plain.union(kept).select(key, F.col("year").cast("int").alias("year")).distinct()
 
 
 def period_intervals(lines: DataFrame, key: list[str], order: str = "line_no", line: str = "line") -> DataFrame:

@@ -499,7 +499,23 @@ def c09_place_header_year(spark, d):
     return intake.place_header_year(headers.drop("anchor_date"), headers.select("file_id", "anchor_date"), PERIOD_YEAR).select("account_id", "file_id", "start_date", "end_date")
 
 
-@query()
+#: Rounds of a fixed point: `known` holds all that is placed so far, and a round adds what fits next to it.
+_CHAIN = with_views("v_headers").replace("with v_periods", "with recursive v_periods", 1) + f""",
+heads as (select file_id as header_id, account_id, start_month, start_day, end_month, end_day, case when (end_month, end_day) < (start_month, start_day) then 1 else 0 end as over from v_headers where file_id % 2 = 0),
+known(account_id, s, e, header_id) using key (account_id, s, e, header_id) as (
+  select account_id, start_date, end_date, cast(-1 as bigint) from v_periods where file_id % 2 = 1
+  union
+  select account_id, s, e, header_id from (
+    with have as (select * from recurring.known),
+    yrs as (select distinct account_id, y + o as y from (select account_id, year(s) as y from have union select account_id, year(e) from have union select account_id, {PERIOD_YEAR} from have), (values (-1), (0), (1)) t(o)),
+    spots as (select h.account_id, h.header_id, try_cast(printf('%04d-%02d-%02d', y, start_month, start_day) as date) as s, try_cast(printf('%04d-%02d-%02d', y + over, end_month, end_day) as date) as e
+      from heads h join yrs using (account_id) where h.header_id not in (select header_id from have)),
+    viable as (select * from spots p where s <= e and exists (select 1 from have k where k.account_id = p.account_id and (k.e + 1 = p.s or p.e + 1 = k.s)) and not exists (select 1 from have k where k.account_id = p.account_id and k.s <= p.e and k.e >= p.s)),
+    single as (select * from viable where header_id in (select header_id from viable group by header_id having count(*) = 1))
+    select account_id, s, e, header_id from single a where not exists (select 1 from single b where b.account_id = a.account_id and b.header_id <> a.header_id and b.s <= a.e and b.e >= a.s)))"""
+
+
+@query(_CHAIN + " select header_id, account_id, cast(s as varchar) as start_date, cast(e as varchar) as end_date from known where header_id >= 0")
 def c10_chain_header_years(spark, d):
     rows = view(spark, d, "v_periods").join(view(spark, d, "v_headers").select("file_id", "start_month", "start_day", "end_month", "end_day"), "file_id")
     headers = rows.filter("file_id % 2 = 0").select(F.col("file_id").alias("header_id"), "account_id", "start_month", "start_day", "end_month", "end_day")
@@ -762,6 +778,33 @@ def c02_detect_years(spark, d):
     return text.detect_years(lines, "file_id")
 
 
+#: Marks and years at a distance of g signs, and whether the year stays.
+_CLAUSES = [
+    ("concat('© ', 1987, repeat(' ', g), y)", "g > 8"),
+    ("concat(y, repeat(' ', g), '© Bank')", "g > 8"),
+    ("concat('© May', repeat(' ', g), y)", "g > 5"),
+    ("concat('Copyright', repeat(' ', g), y, ' Harbour Bank')", "g > 8"),
+    ("concat('(c) 1987, 1988', repeat('-', g + 1), y, '.')", "g > 7"),
+    ("concat('Customer since March', repeat(' ', g), y)", "g > 5"),
+    ("concat('Customer since 01.02.', y, repeat(' ', g + 1), 'and more')", "true"),
+    ("concat('Established', repeat(' ', g + 1), y, '-04-01')", "true"),
+    ("concat('January ', y, ' to January ', y, repeat(' ', g), '© 2010')", "g > 3"),
+    ("concat('Member FDIC', repeat(' ', g), y)", "g > 8"),
+    ("concat('All rights reserved', repeat(' ', g), y, ' in brief')", "g > 8"),
+    ("concat('Statement of ', y, repeat(' ', g + 1), 'for 2003')", "true"),
+]
+
+
+@query(with_views("v_periods") + f""",
+c as (select file_id, year(start_date) as y, file_id % {len(_CLAUSES)} as kind, (file_id // {len(_CLAUSES)}) % 13 as g from v_periods)
+select file_id, cast(y as bigint) as year from c where case kind {" ".join(f"when {i} then {kept}" for i, (_, kept) in enumerate(_CLAUSES))} end
+union select file_id, 2003 from c where kind = {len(_CLAUSES) - 1}""")
+def c02_copyright_clauses(spark, d):
+    rows = view(spark, d, "v_periods").selectExpr("file_id", "year(start_date) as y", f"file_id % {len(_CLAUSES)} as kind", f"cast((file_id div {len(_CLAUSES)}) % 13 as int) as g")
+    line = F.expr("case kind " + " ".join(f"when {i} then {text_}" for i, (text_, _) in enumerate(_CLAUSES)) + " end")
+    return text.detect_years(rows.select("file_id", line.alias("line")), "file_id")
+
+
 @query(with_views("v_periods") + """
 select file_id, cast(start_date as varchar) as date, 'generated-on' as role, year(start_date) <> 1998 as outside_year from v_periods where file_id % 2 = 0 union all select file_id, cast(start_date as varchar), 'certificate-issued', year(start_date) <> 1998 from v_periods where file_id % 2 = 1""")
 def c06_metadata_dates(spark, d):

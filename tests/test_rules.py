@@ -116,6 +116,49 @@ def test_chain_of_many_headers(spark):
     assert got == {i: week(i)[0] for i in range(1, 28)}
 
 
+def test_a_year_of_chained_headers(spark):
+    first = dt.date(2024, 1, 1)
+    days = [first + dt.timedelta(i) for i in range(366)]
+    periods = spark.createDataFrame([(1, days[180], days[180]), (2, days[0], days[0])], "account_id bigint, start_date date, end_date date")
+    rows = [(a * 1000 + i, a, d.month, d.day, d.month, d.day) for a, known in ((1, 180), (2, 0)) for i, d in enumerate(days) if i != known]
+    heads = spark.createDataFrame(rows, "header_id bigint, account_id bigint, start_month int, start_day int, end_month int, end_day int")
+    got = {r["header_id"]: r["start_date"] for r in intake.chain_header_years(heads, periods, 2024).collect()}
+    for account, known in ((1, days[180]), (2, days[0])):
+        placed = sorted([known, *(v for k, v in got.items() if k // 1000 == account)])
+        assert placed == [placed[0] + dt.timedelta(i) for i in range(365)]  # the last header fits at both ends, so it stays
+
+
+def test_chain_takes_shown_years_and_leaves_twins(spark):
+    periods = spark.createDataFrame([(1, dt.date(2024, 1, 1), dt.date(2024, 1, 31)), (1, dt.date(2030, 3, 1), dt.date(2030, 3, 31))], "account_id bigint, start_date date, end_date date")
+    rows = [(1, 1, 2, 1, 2, 29, None, None), (2, 1, 3, 1, 3, 31, None, None), (3, 1, 3, 1, 3, 31, None, None), (4, 1, 4, 1, 4, 30, 2030, None), (5, 1, 12, 1, 1, 31, None, 2031), (6, None, 2, 1, 2, 3, None, None), (7, 1, 2, 30, 3, 1, None, None)]
+    heads = spark.createDataFrame(rows, "header_id bigint, account_id bigint, start_month int, start_day int, end_month int, end_day int, start_year int, end_year int")
+    got = {r["header_id"]: r["start_date"] for r in intake.chain_header_years(heads, periods, 2024).collect()}
+    assert got == {1: dt.date(2024, 2, 1), 4: dt.date(2030, 4, 1)}
+    assert intake.chain_header_years(heads, periods.limit(0), 2024).isEmpty() and intake.chain_header_years(heads.limit(0), periods, 2024).isEmpty()
+
+
+YEARS = [
+    ("© 2019 2020", []), ("2019 © Bank", []), ("© 2019 for 2020", []), ("© 2019-2024", []), ("© May 2019", []), ("Copyright January 2020 and 2021, 2022", []), ("(c) 2019 Bank. All rights reserved", []),
+    ("1 January 2025 to 31 January 2025 © 2010", [2025]), ("January 2025 to January 2025 © 2010", []), ("January 2025 to January 2025 and so on © 2010", [2025]), ("since 1904", []), ("Customer since March 2015", []), ("since 2025-04-01", [2025]), ("since 01.01.2025", [2025]),
+    ("est.2019", [2019]), ("est. 2019", []), ("Member SIPC 1999", []), ("Period 2024 of Bank established 1852", [2024]), ("2024", [2024]), ("x2024 20245", []), ("© 2019 a long way to 2024", [2024]), ("copyright: 2020 | 2021 and then much later 2022", [2022]),
+]
+
+
+def test_years_of_copyright_clauses(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(YEARS)] + [(99, None), (99, "")], "doc_id int, line string")
+    found = {}
+    for r in text.detect_years(rows).collect():
+        found.setdefault(r["doc_id"], []).append(r["year"])
+    for i, (t, years) in enumerate(YEARS):
+        assert sorted(found.get(i, [])) == years, t
+    assert 99 not in found
+
+
+def test_years_of_a_very_long_line(spark):
+    rows = spark.createDataFrame([(1, "© " + "2019 " * 40000 + " " * 9 + "2020"), (1, "© " + "2018 " * 40000)], "doc_id int, line string")
+    assert [r["year"] for r in text.detect_years(rows).collect()] == [2020]
+
+
 LINES = [
     ("api_key = 'abcd1234efgh5678'", "secret_credential_assignment"), ("api_key = os.environ.get", None), ("api_key = your-key-goes-here", None), ("password: hunter22x", "secret_password_assignment"),
     ("postgres://bob:s3cr3tpw@db/x", "secret_connection_string"), ("postgres://bob:password@db/x", None), ("me@mail5.example.com", "pii_email"), ("me@example.com", None), ("call (212) 555-0100", "pii_phone"),
