@@ -21,7 +21,7 @@ from the prefixes on the edge.
 Insertion goes in batches. All that leave an edge at one depth with the same next
 turn send one of them, by hash, whose whole rest becomes a new path; edges are
 split where paths leave or conversations end; the others are located again in the
-next batch, below that path. As the senders are random, a conversation
+next batch, below that path. Counted tables of up to 100,000 rows are broadcast, so small batches need no shuffles. As the senders are random, a conversation
 waits for a number of batches logarithmic in the conversations. Sums over
 subtrees run from the last batch's paths to the first's: along a path from its
 end, then to the node it hangs from. At last edges are expanded to one
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerlake.functions.staging import materialize
-from ledgerlake.llm.skew import hot_keys, numbered, salted_join, spread_join, streamed_sha256
+from ledgerlake.llm.skew import MAX_SIDE, hot_keys, numbered, salted_join, side, spread_join, streamed_sha256
 
 #: Donors are the ids divisible by GROUP; up to SHARED - 1 of their turns come first.
 GROUP, SHARED = 100, 6
@@ -115,14 +115,32 @@ class _Trie:
         self.nodes: DataFrame | None = None
         self.ends: list[DataFrame] = []
         self.known: list[DataFrame] = []
+        self.n_paths = 0
+
+    def looked_up(self, state: DataFrame, rows: int, level: int | None = None) -> DataFrame:
+        """Adds h1, h2 and _hot: the key's prefix at depth _d, if there is one. `rows` bounds the rows of state, a written table."""
+        at = self.at if level is None else self.at.filter(_at(level, "_d"))
+        if rows <= MAX_SIDE:
+            asked = state.filter("_d is not null").select("key", "_d")
+            at = F.broadcast(at.join(F.broadcast(asked), ["key", "_d"]))
+        found = state.join(at, ["key", "_d"], "left")
+        # Keys that ask for nothing are spread by their own number, not gathered as nulls.
+        return found.withColumn("h1", F.coalesce("h1", "key")).withColumn("h2", F.coalesce("h2", F.lit(0))).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+
+    def met(self, left: DataFrame, right: DataFrame, rows: int, how: str = "left") -> DataFrame:
+        """left with the one row of right that has the same prefix; broadcast if right's counted rows allow it."""
+        if rows <= MAX_SIDE:
+            return left.drop("_hot").join(F.broadcast(right.drop("_hot")), ["h1", "h2"], how)
+        return salted_join(left, right, ["h1", "h2"], F.col("key"), how)
 
     def edges(self, *depths: tuple[str, str]) -> DataFrame:
         """Nodes (path, e) with s, the depth of the parent, and for each (name, SQL of a depth) the prefix there: name1, name2, name_hot, name_upto."""
         paths = reduce(DataFrame.union, self.paths).select("path", "l")
-        rows = self.nodes.join(paths, "path").select("path", "e", F.coalesce(F.lag("e").over(W.partitionBy("path").orderBy("e")), "l").alias("s"))
+        rows = self.nodes.join(F.broadcast(paths) if self.n_paths <= MAX_SIDE else paths, "path").select("path", "e", F.coalesce(F.lag("e").over(W.partitionBy("path").orderBy("e")), "l").alias("s"))
         rows = rows.withColumn("f", _fattest("s", "e"))
         wanted = rows.withColumn("_w", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.expr(sql).alias("depth")) for name, sql in depths]))).select("path", "e", "s", "f", F.col("_w.name").alias("name"), F.col("_w.depth").alias("depth"))
-        found = wanted.join(self.prefix.select(F.col("c").alias("path"), F.col("d").alias("depth"), "h1", "h2", "_hot", "upto"), ["path", "depth"], "left")
+        # A depth of 0 has no prefix, but every node has one at its end.
+        found = self.prefix.select(F.col("c").alias("path"), F.col("d").alias("depth"), "h1", "h2", "_hot", "upto").join(side(materialize(wanted, "trie-wanted")), ["path", "depth"])
         pick = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
         return found.groupBy("path", "e", "s", "f").agg(*[pick(name, c).alias(f"{name}{end}") for name, _ in depths for c, end in (("h1", "1"), ("h2", "2"), ("_hot", "_hot"), ("upto", "_upto"))])
 
@@ -131,60 +149,60 @@ class _Trie:
         if not self.paths:
             return pending.select("key", "len", F.lit(None).cast("bigint").alias("path"), F.lit(0).cast("bigint").alias("l"))
         nodes = materialize(self.edges(("f", "f"), ("e", "e"), ("s", "s + 1")), "trie-nodes")
+        n, n_nodes = pending.count(), nodes.count()
         state = pending.select("key", "len", F.lit(0).cast("bigint").alias("a"), F.col("len").alias("b"), *[F.lit(None).cast(t).alias(n) for n, t in (("path", "bigint"), ("e", "bigint"), ("f", "bigint"), ("e1", "bigint"), ("e2", "bigint"))])
         for step, level in enumerate(range(self.longest.bit_length() - 1, -1, -1), 1):
-            state = self._asked(state, nodes, level)
-            if step % STEPS == 0:
+            state = self._asked(state, nodes, level, n, n_nodes)
+            if step % STEPS == 0 or n <= MAX_SIDE:
                 state = materialize(state, "trie-search")
-        return self._left(materialize(state, "trie-search"), nodes)
+        return self._left(materialize(state, "trie-search"), nodes, n, n_nodes)
 
-    def _asked(self, state: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    def _asked(self, state: DataFrame, nodes: DataFrame, level: int, n: int, n_nodes: int) -> DataFrame:
         """One step of the fat binary search, for the keys that ask at a depth of this level."""
         asks = state.withColumn("_f", F.when(F.col("a") < F.col("b"), _fattest("a", "b"))).withColumn("_d", F.when(F.expr(_at(level, "_f")), F.col("_f"))).drop("_f")
-        here = asks.join(self.at.filter(_at(level, "_d")), ["key", "_d"], "left")
-        # Keys that don't ask are spread by their own number, not gathered as nulls.
-        here = here.withColumn("h1", F.coalesce("h1", "key")).withColumn("h2", F.coalesce("h2", F.lit(0))).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
         handles = nodes.filter(_at(level, "f")).select(F.col("f1").alias("h1"), F.col("f2").alias("h2"), F.col("f_hot").alias("_hot"), F.col("path").alias("_path"), F.col("e").alias("_e"), F.col("f").alias("_f"), F.col("e1").alias("_e1"), F.col("e2").alias("_e2"))
-        met = salted_join(here, handles, ["h1", "h2"], F.col("key"))
+        met = self.met(self.looked_up(asks, n, level), handles, n_nodes)
         found = F.col("_d").isNotNull() & F.col("_path").isNotNull()
         news = {n: F.when(found, F.col(f"_{n}")).otherwise(F.col(n)) for n in ("path", "e", "f", "e1", "e2")}
         low = F.when(found, F.col("_e")).otherwise(F.col("a"))
         high = F.when(F.col("_d").isNotNull() & F.col("_path").isNull(), F.col("_d") - 1).otherwise(F.col("b"))
         return met.select("key", "len", low.alias("a"), high.alias("b"), *[c.alias(n) for n, c in news.items()])
 
-    def _left(self, state: DataFrame, nodes: DataFrame) -> DataFrame:
+    def _left(self, state: DataFrame, nodes: DataFrame, n: int, n_nodes: int) -> DataFrame:
         """From the last node whose handle is a prefix of the key: the exit edge, and the depth at which the key leaves it."""
-        end = state.withColumn("_d", F.coalesce("e", F.lit(0))).join(self.at.drop("_hot"), ["key", "_d"], "left")
+        end = self.looked_up(state.withColumn("_d", F.coalesce("e", F.lit(0))), n)
         passes = F.col("e").isNull() | ((F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2")))
-        end = end.select("key", "len", "path", "e", "f", F.coalesce(passes, F.lit(False)).alias("passes"))
-        end = end.withColumn("_d", F.when(F.col("passes"), F.coalesce("e", F.lit(0)) + 1)).join(self.at, ["key", "_d"], "left").withColumn("h1", F.coalesce("h1", "key")).withColumn("h2", F.coalesce("h2", F.lit(0))).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        end = end.select("key", "len", "path", "e", "f", passes.alias("passes")).withColumn("_d", F.when(F.col("passes"), F.coalesce("e", F.lit(0)) + 1))
         children = nodes.select(F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("s_hot").alias("_hot"), F.col("path").alias("_path"), F.col("s").alias("_s"), F.col("f").alias("_f"))
-        exits = salted_join(end, children, ["h1", "h2"], F.col("key"))
+        exits = self.met(self.looked_up(materialize(end, "trie-passes"), n), children, n_nodes)
         child = F.col("passes") & F.col("_path").isNotNull()
         depth = F.coalesce("e", F.lit(0))
         low = F.when(child, F.col("_s") + 1).when(F.col("passes"), depth).otherwise(F.col("f"))
         high = F.when(child, F.least("len", F.col("_f") - 1)).when(F.col("passes"), depth).otherwise(F.least("len", F.col("e") - 1))
         exits = materialize(exits.select("key", "len", F.when(child, F.col("_path")).otherwise(F.col("path")).alias("path"), low.alias("low"), high.alias("high")), "trie-exits")
-        asked = _exploded(exits.filter("low < high").select("key", "low", "high"), "low", "high", "_d").select("key", "_d").join(self.at, ["key", "_d"])
+        open_ = materialize(_exploded(exits.filter("low < high").select("key", "low", "high"), "low", "high", "_d").select("key", "_d"), "trie-open")
         on_trie = reduce(DataFrame.union, self.known)
-        shared = salted_join(asked, on_trie, ["h1", "h2"], F.col("key"), "inner").groupBy("key").agg(F.max("_d").alias("_l"))
+        shared = self.met(self.at.join(side(open_), ["key", "_d"]), on_trie, on_trie.count(), "inner").groupBy("key").agg(F.max("_d").alias("_l"))
         return exits.join(shared, "key", "left").select("key", "len", "path", F.coalesce("_l", "low").alias("l"))
 
     def insert(self, pending: DataFrame) -> DataFrame:
         """One batch; returns the keys that have to be located again."""
-        found = self.locate(pending).withColumn("_d", F.when(F.col("l") < F.col("len"), F.col("l") + 1))
-        found = materialize(found.join(self.at.drop("_hot"), ["key", "_d"], "left").select("key", "len", "path", "l", "h1", "h2"), "trie-found")
+        found = materialize(self.locate(pending).withColumn("_d", F.when(F.col("l") < F.col("len"), F.col("l") + 1)), "trie-located")
+        found = materialize(self.looked_up(found, found.count()).select("key", "len", "path", "l", "h1", "h2"), "trie-found")
         ended = found.filter("l = len")
         sent = F.min(F.struct(F.xxhash64("key").alias("_by"), "key", "len", "path", "l"))
         new = found.filter("l < len").groupBy("h1", "h2").agg(sent.alias("w")).select(F.col("w.key").alias("path"), F.lit(len(self.paths)).alias("batch"), F.col("w.path").alias("above"), F.col("w.l").alias("l"), F.col("w.len").alias("len"))
         new = materialize(new, "trie-paths")
         self.paths.append(new)
+        self.n_paths += new.count()
         self.ends += [ended.select("key", "path", F.col("l").alias("e")), new.select(F.col("path").alias("key"), "path", F.col("len").alias("e"))]
         places = ended.select("path", F.col("l").alias("e")).union(new.select(F.col("above").alias("path"), F.col("l").alias("e"))).filter("e > 0").union(new.select("path", F.col("len").alias("e"))).distinct()
         self.nodes = materialize(places if self.nodes is None else self.nodes.union(places).distinct(), "trie-places")
-        rows = spread_join(self.prefix.withColumnRenamed("_hot", "_common"), new.select(F.col("path").alias("c"), "l"), ["c"], self.long, F.col("d"), "inner").filter("d > l")
-        self.known.append(materialize(rows.select("h1", "h2", F.col("_common").alias("_hot")), "trie-known"))
-        return materialize(found.filter("l < len").join(new.select(F.col("path").alias("key")), "key", "left_anti").select("key", "len"), "trie-pending")
+        heads = new.select(F.col("path").alias("c"), "l")
+        rows = self.prefix.withColumnRenamed("_hot", "_common")
+        rows = rows.join(F.broadcast(heads), "c") if self.n_paths <= MAX_SIDE else spread_join(rows, heads, ["c"], self.long, F.col("d"), "inner")
+        self.known.append(materialize(rows.filter("d > l").select("h1", "h2", F.col("_common").alias("_hot")), "trie-known"))
+        return materialize(found.filter("l < len").join(side(new.select(F.col("path").alias("key"))), "key", "left_anti").select("key", "len"), "trie-pending")
 
 
 def _digests(members: DataFrame, key: str) -> DataFrame:
@@ -247,7 +265,7 @@ def _summed(grown: _Trie, keys: DataFrame) -> DataFrame:
     paths = reduce(DataFrame.union, grown.paths)
     edges = grown.edges(("e", "e"), ("s", "s")).select("path", "e", "s", F.col("e_upto").alias("upto"), F.coalesce("s_upto", F.lit(0)).alias("above_upto"))
     ends = reduce(DataFrame.union, grown.ends).join(keys.select("key", "rows", "sha"), "key").select("path", "e", F.col("key").alias("id"), "rows", "sha")
-    edges = materialize(edges.join(paths.select("path", "batch", "above", "l"), "path").join(ends, ["path", "e"], "left"), "trie-edges")
+    edges = materialize(edges.join(side(paths.select("path", "batch", "above", "l")), "path").join(side(materialize(ends, "trie-ends")), ["path", "e"], "left"), "trie-edges")
     done, tops = [], None
     hung = ["hung_n", "hung_id", "hung_leaves", "hung_saved", "hung_kids"]
     for batch in range(len(grown.paths) - 1, -1, -1):
@@ -256,7 +274,7 @@ def _summed(grown: _Trie, keys: DataFrame) -> DataFrame:
             level = level.select("*", *[F.lit(None).cast("bigint").alias(c) for c in hung])
         else:
             sums = tops.groupBy("above", "l").agg(F.sum("n").alias("hung_n"), F.min("conv").alias("hung_id"), F.sum("leaves").alias("hung_leaves"), F.sum("total").alias("hung_saved"), F.count("*").alias("hung_kids"))
-            level = level.join(sums.select(F.col("above").alias("path"), F.col("l").alias("e"), *hung), ["path", "e"], "left")
+            level = level.join(side(materialize(sums.select(F.col("above").alias("path"), F.col("l").alias("e"), *hung), "trie-hung")), ["path", "e"], "left")
         level = _along(level).withColumn("first", F.col("s") == F.col("l"))
         level = materialize(level.select("path", "e", "s", "above", "l", "first", "upto", "above_upto", "n", "conv", "kids", "leaves", "under", "on_edge", "sha"), "trie-sums")
         done.append(level)
