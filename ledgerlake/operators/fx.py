@@ -82,6 +82,20 @@ def rate_map_check(rates: DataFrame, rate_map: DataFrame, exceptions: DataFrame,
     return found.select("country", "currency", "exchange_rate", "code", kind.alias("class"))
 
 
+def rate_code_presence(rates: DataFrame, rate_map: DataFrame, year: int, codes: DataFrame | None = None) -> DataFrame:
+    """For every code of the map, or of `codes`: whether one of its label pairs matches a row of 31 December, how many do, and the first of them by label.
+
+    A code that the map lacks is unknown; one that it has without a matching row asks for maintenance of the map.
+    """
+    close = rates.filter(F.col("record_date") == F.lit(f"{year}-12-31").cast("date"))
+    hits = close.join(_label_pairs(close, rate_map, "year_end"), ["country", "currency"]).groupBy("code").agg(F.count("*").alias("rows"), F.min(F.struct("country", "currency")).alias("_first"))
+    mapped = rate_map.select("code").distinct().withColumn("_mapped", F.lit(True))
+    wanted = mapped.select("code") if codes is None else codes.select("code").distinct()
+    found = wanted.join(mapped, "code", "left").join(hits, "code", "left")
+    status = F.when(F.col("_mapped").isNull(), "no-mapping-known").when(F.col("rows").isNull(), "map-maintenance-required").otherwise("mapped-row-found")
+    return found.select("code", status.alias("status"), F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), F.concat_ws("-", "_first.country", "_first.currency").alias("row_label"))
+
+
 #: Decimal places of stored rates.
 RATE_PLACES = 12
 

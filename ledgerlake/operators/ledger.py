@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerlake.functions.staging import materialize, running_total
 from ledgerlake.operators.fx import to_usd
 
 KEYS = ["filer_id", "account_id"]
@@ -205,18 +206,29 @@ def evidence_class(candidates: DataFrame, accounts: DataFrame, failed: DataFrame
     return rows.select(*KEYS, F.coalesce("observations", F.lit(0)).cast("bigint").alias("observations"), cls.alias("evidence_class"), F.when(F.col("defect"), "parser-coverage-defect").otherwise("extracted").alias("status"))
 
 
-def reconcile_movements(movements: DataFrame, checkpoints: DataFrame, currency: str = "USD") -> tuple[DataFrame, DataFrame]:
+#: Rows of a page that one window takes; rows of a longer one that are summed up together.
+MAX_PAGE, RUN = 100_000, 4096
+
+
+def reconcile_movements(movements: DataFrame, checkpoints: DataFrame, currency: str = "USD", max_page: int = MAX_PAGE) -> tuple[DataFrame, DataFrame]:
     """Running balances of pages whose movements lead from opening to closing, and a report row for every page.
 
-    The sums come first, so pages that fail never reach the running window.
+    The sums come first, so pages that fail never reach the running window. A page of over
+    MAX_PAGE rows is summed up by day and run of rows before, so no task has to hold it.
     """
     slack = "0.0005" if currency in THREE_DECIMALS else "0.005"
     sums = movements.groupBy("page_key").agg(F.sum("credit").alias("credits"), F.sum("debit").alias("debits"), F.count("*").alias("rows"))
     pages = checkpoints.join(sums, "page_key", "left").withColumn("computed", F.col("opening") + F.coalesce("credits", F.lit(0)) - F.coalesce("debits", F.lit(0)))
     report = pages.select("page_key", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), "opening", "closing", "computed", (F.abs(F.col("computed") - F.col("closing")) <= F.expr(f"{slack}bd")).alias("passed"))
+    report = materialize(report, "reconcile-report")
+    change = F.col("credit") - F.col("debit")
     order = W.partitionBy("page_key").orderBy("movement_date", "row_number").rowsBetween(W.unboundedPreceding, 0)
-    good = movements.join(report.filter("passed").select("page_key", "opening"), "page_key")
-    rows = good.select("page_key", "movement_date", "row_number", (F.col("opening") + F.sum(F.col("credit") - F.col("debit")).over(order)).alias("balance"))
+    good = movements.join(report.filter("passed").select("page_key", "opening", F.col("rows").alias("_rows")), "page_key")
+    rows = good.filter(F.col("_rows") <= max_page).select("page_key", "movement_date", "row_number", (F.col("opening") + F.sum(change).over(order)).alias("balance"))
+    if not report.filter(F.col("passed") & (F.col("rows") > max_page)).isEmpty():
+        large = good.filter(F.col("_rows") > max_page).withColumn("_run", F.struct("movement_date", F.expr(f"row_number div {RUN}")))
+        large = running_total(large, ["page_key"], "_run", [F.col("movement_date"), F.col("row_number")], change, "_before")
+        rows = rows.unionByName(large.select("page_key", "movement_date", "row_number", (F.col("opening") + F.col("_before") + change).alias("balance")))
     return rows.withColumn("candidate_type", F.lit(RECONSTRUCTED)), report
 
 

@@ -106,6 +106,19 @@ def _phone(line: Column) -> Column:
     return F.regexp_replace(line, _HEX_RUN, "#").rlike(PHONE)
 
 
+#: What a family's findings can't do without: a cheap sign that tells whether its patterns are worth running on a line.
+_SIGNS = {
+    "secret": r"PRIVATE KEY|sk-|gh[pousr]_|github_pat_|xox[baprs]-|service_account|eyJ|A[KS]IA|[sr]k_live_|AIza|glpat-|npm_",
+    "assignment": r"(?i)(?:key|secret|token|passw(?:or)?d)[\"']?\s*+[:=]",
+    "connection": r"://",
+    "email": r"@",
+    "phone": r"[2-9]\d{2}[-.\s]?\d{4}(?!\d)",
+    "tax_id": r"\d-\d{2}",
+    "card": r"\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d",
+    "account": rf"[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11}}|\d{{4}}|(?i:\s{STREET})",
+}
+#: A line without any of them holds nothing that any detector finds: one pass over most lines is all.
+_ANCHORS = rf"[0-9]{{4}}|[0-9]-[0-9]{{2}}|[0-9][ -][0-9]|@|://|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11}}|{_SIGNS['secret']}|(?i:(?:key|secret|token|passw(?:or)?d)[\"']?\s*+[:=])|(?i:\s{STREET})"
 #: The detectors by family; each gives columns of findings or null over a line.
 FAMILIES = {
     "secret": lambda line: [_finding(code, "block", line.rlike(p)) for code, p in SECRETS.items()],
@@ -121,22 +134,22 @@ FAMILIES = {
         _finding("pii_address", "warning", line.rlike(rf"(?i)\b{STREET}") & line.rlike(ADDRESS)),
     ],
 }
-#: A line without these holds nothing that any detector finds.
-_WORTH_A_LOOK = r"[0-9@:=]|PRIVATE KEY|sk-|gh[pousr]_|xox|eyJ|github_pat|AKIA|ASIA|[sr]k_live|AIza|glpat|npm_"
 
 
 def _line_findings(c: Column, families: tuple[str, ...]) -> Column:
     """The findings of a line as an array; inline markers hide warnings, the secret marker blocks too."""
-    found = F.filter(F.array(*[f for name in families for f in FAMILIES[name](c)]), lambda f: f.isNotNull())
-    soft, hard = c.rlike(ALLOW), c.rlike(ALLOW_SECRET)
-    return F.filter(found, lambda f: F.when(f["severity"] == "block", ~hard).otherwise(~soft))
+    none = F.array().cast("array<struct<code:string,severity:string>>")
+    parts = [F.when(c.rlike(_SIGNS[name]), F.filter(F.array(*FAMILIES[name](c)), lambda f: f.isNotNull())).otherwise(none) for name in families]
+    found = F.concat(*parts)
+    kept = F.filter(found, lambda f: F.when(f["severity"] == "block", ~c.rlike(ALLOW_SECRET)).otherwise(~c.rlike(ALLOW)))
+    return F.when(F.size(found) > 0, kept).otherwise(none)
 
 
 def line_findings(lines: DataFrame, families: tuple[str, ...] = tuple(FAMILIES), line: str = "line") -> DataFrame:
     """All findings of the lines, all detectors in one projection."""
     c = F.col(line)
     keep = [n for n in lines.columns if n != line]
-    return lines.filter(c.rlike(_WORTH_A_LOOK)).select(*keep, F.inline(_line_findings(c, families)))
+    return lines.filter(c.rlike(_ANCHORS)).select(*keep, F.inline(_line_findings(c, families)))
 
 
 def _path_findings(p: Column) -> Column:
@@ -166,34 +179,57 @@ def path_findings(files: DataFrame, path: str = "path") -> DataFrame:
 UNSUPPRESSIBLE = ("generated_artifact_path", "secret_env_file", "secret_filename")
 
 
-def _glob(pattern: str) -> str:
-    """A file glob as a regular expression over the whole path; * and ? also take slashes."""
-    out, i = "", 0
+def _glob_tokens(pattern: str) -> list[str]:
+    """A file glob as pieces of a regular expression; * and ? also take slashes."""
+    out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
         end = pattern.find("]", i + 2) if c == "[" else -1
         if end > 0:
-            body = pattern[i + 1 : end].replace("\\", "\\\\")
-            out += "[" + ("^" + body[1:] if body[0] == "!" else body) + "]"
+            body = pattern[i + 1 : end]
+            negated = body.startswith("!")
+            signs = re.sub(r"([\\\[\]^&~|])", r"\\\1", body[negated:])
+            out.append(f"[{'^' if negated else ''}{signs}]")
             i = end
         else:
-            out += {"*": ".*", "?": "."}.get(c, re.escape(c))
+            out.append({"*": ".*", "?": "."}.get(c, re.escape(c)))
         i += 1
-    return f"(?s)^{out}$"
+    return out
+
+
+def globs_regex(globs: list[str]) -> str:
+    """All globs as one anchored pattern over a path, which a glob matches as a whole or up to a slash, so that its folders count.
+
+    Common beginnings are read once: the globs form a tree by their pieces, so a path is compared with
+    the few branches that its letters leave open, however many globs there are.
+    """
+    tree: dict = {}
+    for glob in globs:
+        node = tree
+        for token in _glob_tokens(glob):
+            node = node.setdefault(token, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        chain = ""
+        while len(node) == 1 and "" not in node:
+            ((token, node),) = node.items()
+            chain += token
+        ways = [token + written(below) if token else r"(?=/|\z)" for token, below in sorted(node.items())]
+        return chain + (ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})")
 
+    return rf"(?s)\A{written(tree)}"
 
-def _matches(pattern: str):
-    return lambda p: p.rlike(pattern)
+
+def ignore_globs(text: str) -> list[str]:
+    """The globs of an ignore file: one a line, without comments, blank lines and closing slashes."""
+    return [g.strip().rstrip("/") for g in text.splitlines() if g.strip() and not g.strip().startswith("#")]
 
 
 def apply_ignore(files: DataFrame, globs: list[str], path: str = "path", ignore_file: str = ".privacygateignore") -> DataFrame:
     """Adds `skipped`: the path or one of its folders matches a glob. The ignore file itself is never skipped."""
-    cleaned = [g.strip().rstrip("/") for g in globs if g.strip() and not g.strip().startswith("#")]
-    parts = F.split(F.col(path), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.call_function("substring_index", F.col(path), F.lit("/"), n))
-    hit = F.lit(False)
-    for pattern in map(_glob, cleaned):
-        hit = hit | F.exists(prefixes, _matches(pattern))
+    cleaned = ignore_globs("\n".join(globs))
+    hit = F.col(path).rlike(globs_regex(cleaned)) if cleaned else F.lit(False)
     return files.withColumn("skipped", hit & (F.col(path) != ignore_file))
 
 
@@ -207,12 +243,44 @@ def scan(files: DataFrame, globs: list[str] | None = None, max_bytes: int = MAX_
     by_path = F.filter(_path_findings(F.col("path")), lambda f: ~F.col("skipped") | f["code"].isin(*UNSUPPRESSIBLE))
     unread = F.filter(F.array(_finding("text_read_limit", "block", size > max_bytes), _finding("binary_content", "block", nul & (size <= max_bytes))), lambda f: f.isNotNull() & ~F.col("skipped"))
     lines = F.when(~F.col("skipped") & (size <= max_bytes) & ~nul, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
-    rows = marked.select("path", F.concat(by_path, unread).alias("of_file"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), lines)).alias("pos", "line"))
-    rows = rows.filter(F.when(F.col("pos") == 0, F.size("of_file") > 0).otherwise(F.col("line").rlike(_WORTH_A_LOOK)))
+    return _spread(marked, F.concat(by_path, unread), lines)
+
+
+def _spread(files: DataFrame, of_file: Column, lines: Column) -> DataFrame:
+    """A row for each finding: those of the file itself, and those of its lines."""
+    rows = files.select("path", of_file.alias("of_file"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), lines)).alias("pos", "line"))
+    rows = rows.filter(F.when(F.col("pos") == 0, F.size("of_file") > 0).otherwise(F.col("line").rlike(_ANCHORS)))
     found = F.when(F.col("pos") == 0, F.col("of_file")).otherwise(_line_findings(F.col("line"), tuple(FAMILIES)))
     return rows.select("path", F.when(F.col("pos") > 0, F.col("pos")).alias("line_no"), F.inline(found)).select("path", "code", "severity", "line_no")
 
 
+#: Ends of lines, as text files of any system have them.
+_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def scan_bytes(files: DataFrame, globs: list[str] | None = None, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+    """All findings of files of (path, length, content), as bytes: path, code, severity and line.
+
+    A file is text if its first 4096 bytes hold no NUL and its first `max_bytes` are UTF-8; other files are blocked as
+    binary, unless their path is blocked already. Of longer files the first `max_bytes` are scanned, and the
+    file is blocked, since the scan is partial; so is a file whose content was left unread for its length (null). Skipped files keep
+    the findings of their path that no glob may hide. Works on streams too: no state is kept.
+    """
+    marked = apply_ignore(files, globs or []).withColumn("head", F.substring("content", 1, max_bytes).cast("string"))
+    readable = ~F.contains(F.substring("content", 1, 4096), F.lit(bytearray(1))) & F.expr("is_valid_utf8(head)")
+    marked = marked.withColumn("readable", F.coalesce(readable, F.lit(False))).withColumn("of_path", _path_findings(F.col("path")))
+    unread = F.col("content").isNull()
+    blocked = F.exists("of_path", lambda f: f["severity"] == "block")
+    own = F.filter(F.col("of_path"), lambda f: ~F.col("skipped") | f["code"].isin(*UNSUPPRESSIBLE))
+    whole = F.array(
+        _finding("binary_file", "block", ~F.col("readable") & ~unread & ~blocked),
+        _finding("text_read_limit_exceeded", "block", unread | (F.col("readable") & (F.col("length") > max_bytes))),
+    )
+    whole = F.filter(whole, lambda f: f.isNotNull() & ~F.col("skipped"))
+    lines = F.when(F.col("readable") & ~F.col("skipped"), F.split("head", _LINE_ENDS)).otherwise(F.array().cast("array<string>"))
+    return _spread(marked, F.concat(own, whole), lines)
+
+
 def sorted_findings(findings: DataFrame) -> DataFrame:
     """For a report: blocks first, then by path, line and code."""
     return findings.orderBy(F.when(F.col("severity") == "block", 0).otherwise(1), "path", F.coalesce("line_no", F.lit(0)), "code")

@@ -128,9 +128,53 @@ def mask_dates(line: Column) -> Column:
     return out
 
 
+#: Fixed value: how an amount may stand on an interest line, with a code or CR and DR on either side. Digits may go on over spaces.
+INTEREST_MONEY = r"(?U)(?<![\w/])(?:[A-Z]{3}\s*)?[+\-]?\(?\s*[$€£¥]?\s*\d[\d\s,.]*\)?(?:\s*(?:CR|DR|Cr|Dr))?(?:\s*[A-Z]{3}\b)?"
+#: Dates and times, in any notation.
+_WHEN = rf"(?iU)\b20\d\d[-/.]\d{{1,2}}[-/.]\d{{1,2}}\b|\b\d{{1,2}}[-/.]\d{{1,2}}[-/.]20\d\d\b|\b(?:{_MONTH})\.?\s+\d{{1,2}},?\s+20\d\d\b|\b\d{{1,2}}\s+(?:de\s+)?(?:{_MONTH})\.?(?:\s+de)?\s+20\d\d\b|\b\d{{1,2}}:\d{{2}}(?::\d{{2}})?\b"
+#: Digits that make a number without currency and cents look like a reference, not like money.
+REFERENCE_DIGITS = 6
+
+
 def money_tokens(line: Column, policy: str) -> Column:
-    """array<struct<position, token, amount, ambiguous>> of a line, in order; years 20xx and runs of over 16 digits are none."""
-    return _let(mask_dates(line), lambda masked: _tokens(masked, policy))
+    """array<struct<position, token, amount, ambiguous>> of a line, in order.
+
+    balance: dates are masked first; years 20xx and runs of over 16 digits are none. interest: a token that overlaps a date
+    or time is none, as is a plain number of six digits or more, which is a reference or the tail of a card; of amounts
+    with a currency mark, with cents, and plain ones, the first kind that occurs is taken.
+    """
+    if policy == "balance":
+        return _let(mask_dates(line), lambda masked: _tokens(masked, policy))
+    return _let(F.struct(_spans(line, INTEREST_MONEY).alias("tokens"), _spans(line, _WHEN).alias("dates")), _interest_tokens)
+
+
+def _spans(line: Column, pattern: str) -> Column:
+    """array<struct<start, end, token>> of the matches on a line, counted from 0: the texts between matches give the offsets."""
+    pieces = F.arrays_zip(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)).alias("token"), F.split(line, pattern, -1).alias("gap"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("out"))
+
+    def step(acc, z):
+        start = acc["at"] + F.length(z["gap"])
+        end = start + F.length(z["token"])
+        return F.when(z["token"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), z["token"].alias("token"))).alias("out")))
+
+    return F.coalesce(F.aggregate(pieces, none, step, lambda acc: acc["out"]), F.array().cast("array<struct<start:int,end:int,token:string>>"))
+
+
+def _interest_tokens(v: Column) -> Column:
+    words = rf"(?i)\b(?:CR|DR|{'|'.join(CODES)})\b"
+    apart = F.filter(v["tokens"], lambda t: ~F.exists(v["dates"], lambda d: (d["start"] < t["end"]) & (d["end"] > t["start"])))
+
+    def known(t: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(t["token"], words, ""), r"[$€£¥()+\-\s]", "")
+        kind = F.when(t["token"].rlike(rf"[$€£¥]|{words}"), 0).when(bare.rlike(r"\d[0-9,.]*[,.]\d{2}$"), 1).otherwise(2)
+        return F.struct((t["start"] + 1).alias("position"), t["token"].alias("token"), kind.alias("kind"), F.length(F.regexp_replace(t["token"], r"\D", "")).alias("digits"))
+
+    money = F.filter(F.transform(apart, known), lambda t: (t["kind"] < 2) | (t["digits"] < REFERENCE_DIGITS))
+    parsed = F.transform(money, lambda t: F.struct(t["position"], t["token"], parse_amount(t["token"], "interest").alias("p"), t["kind"]))
+    parsed = F.filter(parsed, lambda t: t["p"]["amount"].isNotNull())
+    best = lambda all_: F.filter(all_, lambda t: t["kind"] == F.array_min(F.transform(all_, lambda x: x["kind"])))
+    return F.transform(_let(parsed, best), lambda t: F.struct(t["position"].alias("position"), F.trim(t["token"]).alias("token"), t["p"]["amount"].alias("amount"), t["p"]["ambiguous"].alias("ambiguous")))
 
 
 def _tokens(masked: Column, policy: str) -> Column:
@@ -143,13 +187,7 @@ def _tokens(masked: Column, policy: str) -> Column:
     placed = F.aggregate(found, start, step, lambda acc: acc["out"])
     kept = F.filter(placed, lambda t: ~t["token"].rlike(r"^20\d\d$") & (F.length(F.regexp_replace(t["token"], r"\D", "")) <= 16))
     parsed = F.transform(kept, lambda t: _let(parse_amount(t["token"], policy), lambda p: F.struct(t["position"].alias("position"), t["token"].alias("token"), p["amount"].alias("amount"), p["ambiguous"].alias("ambiguous"))))
-    parsed = F.filter(parsed, lambda t: t["amount"].isNotNull())
-    if policy == "balance":
-        return parsed
-    # Of amounts with a currency mark, with cents, and plain ones, the first kind that occurs.
-    marked = lambda all_: F.filter(all_, lambda t: t["token"].rlike("[$€£¥]"))
-    cents = lambda all_: F.filter(all_, lambda t: t["token"].rlike(r"[.,]\d{2}\)?[-−]?$"))
-    return _let(parsed, lambda all_: F.when(F.size(marked(all_)) > 0, marked(all_)).when(F.size(cents(all_)) > 0, cents(all_)).otherwise(all_))
+    return F.filter(parsed, lambda t: t["amount"].isNotNull())
 
 
 def _day(y: Column, m: Column, d: Column) -> Column:

@@ -151,8 +151,29 @@ def combined_wide(ledger: DataFrame, models: DataFrame | None, tax_year: int, la
     return wide.select("filer_id", "date", *each, total("v").alias("known_total_usd"), total("u").alias("upper_bound_total_usd"))
 
 
-def threshold_answer(combined: DataFrame, alignment: DataFrame | None = None) -> DataFrame:
-    """Per filer: yes if a known total is over, no if no upper total is, else review; days over, and the first day of each maximum."""
+#: Evidence that leaves nothing open.
+COMPLETE = ("formal-extracted", "legacy-formal-extracted")
+
+
+def records_complete(evidence: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """Per filer: whether the evidence of all accounts is formal and extracted, and none is known by its annual maximum only.
+
+    evidence: filer_id, account_id, evidence_class, one row per account (a missing class counts as legacy-formal-extracted); models: such accounts.
+    """
+    rows = evidence.select("filer_id", F.coalesce("evidence_class", F.lit(COMPLETE[1])).isin(*COMPLETE).alias("whole"))
+    if models is not None:
+        rows = rows.union(models.select("filer_id", F.lit(False)))
+    return rows.groupBy("filer_id").agg(F.bool_and("whole").alias("records_complete"))
+
+
+def threshold_answer(combined: DataFrame, alignment: DataFrame | None = None, evidence: DataFrame | None = None, models: DataFrame | None = None) -> DataFrame:
+    """Per filer: yes if a known total is over, no if no upper total is, else review; days over, and the first day of each maximum.
+
+    With the evidence of accounts, also whether the records are complete; a filer without accounts there has complete ones.
+    """
+    if evidence is not None:
+        known = records_complete(evidence, models)
+        return threshold_answer(combined, alignment).join(known, "filer_id", "left").withColumn("records_complete", F.coalesce("records_complete", F.lit(True)))
     first = lambda v: F.max(F.struct(F.col(v).alias("v"), (-F.unix_date("date")).alias("d")))
     found = combined.groupBy("filer_id").agg(
         F.count_if("over").alias("over_days"),

@@ -13,6 +13,7 @@ from ledgerlake.functions.staging import shared_dir
 from ledgerlake.operators import fx, intake, interest, ledger, privacy, text, threshold
 from ledgerlake.plans.fixtures import table, view, with_views
 from ledgerlake.sources import readers
+from ledgerlake.streaming.scan import scan_arrivals, scan_stream
 
 YEAR, PERIOD_YEAR, LIMIT = 2024, 1998, 1000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,6 +373,16 @@ def t08_threshold_answer(spark, d):
     return threshold.threshold_answer(threshold.combined_daily(usd_ledger(spark, d), models(spark, d), YEAR, LIMIT))
 
 
+@query(_ANSWER + """,
+formal as (select a.filer_id, a.account_id, count(c.seq) > 0 and not coalesce(bool_or(c.candidate_type = 'reconstructed-from-movements'), false) as whole from v_accounts a left join v_candidates c on c.account_id = a.account_id and c.amount > 60 group by all),
+complete as (select filer_id, bool_and(whole) as w from (select filer_id, whole from formal where account_id not like '%signup' union all select filer_id, false from models where filer_id % 4 = 0) group by filer_id)
+select filer_id, answer, over_days, max_combined_usd, coalesce(w, true) as records_complete from answer left join complete using (filer_id)""")
+def t08_records_complete(spark, d):
+    evidence = ledger.evidence_class(candidates(spark, d).filter("amount > 60"), accounts(spark, d)).filter("account_id not like '%signup'")
+    combined = threshold.combined_daily(usd_ledger(spark, d), models(spark, d), YEAR, LIMIT)
+    return threshold.threshold_answer(combined, evidence=evidence, models=models(spark, d).filter("filer_id % 4 = 0")).select("filer_id", "answer", "over_days", "max_combined_usd", "records_complete")
+
+
 @query(_U + """,
 m as (select filer_id, account_id, max(micro) as micro from usd where micro is not null group by all),
 s as (select filer_id, cast(sum((micro + 999999) // 1000000) as bigint) as sum_of_ceilings, cast((sum(micro) + 999999) // 1000000 as bigint) as ceiling_of_sum from m group by filer_id)
@@ -978,11 +989,104 @@ def s14_rendered_summary(spark, d):
     return privacy.scan_summary(privacy.scan(files, ["src1"]), files, ["src1"])
 
 
+#: Interest lines with numbers that are no money, and the amounts on them.
+_NUMBERED = [
+    ("concat('Ref 12345678 interest ', a)", "a"),
+    ("concat('Interest 1234567 paid, card ', 400000 + event_id % 1000)", "null"),
+    ("concat('Card 4111 interest $', a)", "a"),
+    ("concat('Interest ', a, ' CR ref 99')", "a"),
+    ("concat('Interest at 12:30 of ', a, ' on ', day)", "a"),
+    ("concat('Interest ', event_id % 1000, ' units')", "event_id % 1000"),
+    ("concat(day, ' ', a, ' interest')", "null"),
+    ("concat('Interest EUR ', a, ' before ', a)", "a"),
+]
+
+
+@query(with_views("v_interest") + f""",
+r as (select event_id, cast(cast(amount as decimal(18,2)) as varchar) as a, event_id % {len(_NUMBERED)} as kind from v_interest)
+select event_id, coalesce(cast(cast(case kind {" ".join(f"when {i} then cast({kept} as varchar)" for i, (_, kept) in enumerate(_NUMBERED))} end as decimal(24,6)) as varchar), '') as amounts from r where not (kind = 5 and event_id % 1000 = 0)""")
+def i04_interest_tokens(spark, d):
+    rows = view(spark, d, "v_interest").selectExpr("event_id", "cast(cast(amount as decimal(18,2)) as string) as a", "date_format(event_date, 'yyyy-MM-dd') as day", f"event_id % {len(_NUMBERED)} as kind").filter("not (kind = 5 and event_id % 1000 = 0)")
+    line = F.expr("case kind " + " ".join(f"when {i} then {text_}" for i, (text_, _) in enumerate(_NUMBERED)) + " end")
+    return rows.select("event_id", F.transform(text.money_tokens(line, "interest"), lambda t: t["amount"]).alias("amounts"))
+
+
+@query(with_views("v_candidates", "v_accounts") + "," + _LEDGER + f"""
+select l.filer_id, l.account_id, cast(l.d as varchar) as date, year(l.d) as tax_year, l.native_balance::double as native_balance from ledger l where month(l.d) = 1 and l.account_id like '%click' and native_balance is not null
+union all select filer_id, account_id, cast(d - interval 1 year as date)::varchar, {YEAR - 1}, native_balance::double + 1 from ledger where month(d) = 1 and account_id like '%click' and native_balance is not null""")
+def r07_rewritten_year(spark, d):
+    """Two years are written, then the first again with other balances; a year of another status stays out."""
+    path = written(spark, "ledger")
+    new = year_ledger(spark, d).filter("month(date) = 1 and account_id like '%click' and native_balance is not null").withColumn("tax_year", F.lit(YEAR))
+    old = new.withColumn("date", F.add_months("date", -12)).withColumn("tax_year", F.lit(YEAR - 1))
+    readers.write_ledger(new.unionByName(old), path)
+    readers.write_ledger(old.withColumn("native_balance", F.col("native_balance") + 1), path, mode="overwrite")
+    readers.write_ledger(old.withColumn("tax_year", F.lit(YEAR - 2)).withColumn("status", F.lit("blocked")), path, mode="overwrite")
+    return readers.read_ledger(spark, path)[0].select("filer_id", "account_id", "date", "tax_year", "native_balance")
+
+
 def written(spark, name: str) -> str:
     """A fresh folder among the session's written tables."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Files of customers' lines: 40 in each of four folders, whose bytes differ.
+_FILES = 40
+_ENCODINGS = {"utf8": "UTF-8", "utf16": "UTF-16", "latin1": "ISO-8859-1", "nul": "UTF-8"}
+
+
+def line_files(spark, d) -> str:
+    """Writes one text file per folder and key; returns their folder."""
+    folder = written(spark, "files")
+    rows = table(spark, d, "customer").selectExpr("c_custkey", f"cast(c_custkey % {_FILES} as int) as k", "concat('mail a', c_custkey, '@mail.test.io') as line").repartition("k").sortWithinPartitions("k", "c_custkey")
+    more = {"latin1": " café", "nul": " \\0x"}
+    for name, encoding in _ENCODINGS.items():
+        line = F.concat("line", F.expr(f"'{more.get(name, '')}'")).alias("line")
+        rows.select("k", line).write.partitionBy("k").option("encoding", encoding).csv(f"{folder}/{name}")
+    return folder
+
+
+def with_key(rows):
+    return rows.withColumn("folder", F.substring_index("path", "/", 1)).withColumn("k", F.regexp_extract("path", r"k=(\d+)", 1).cast("bigint"))
+
+
+@query(f"""
+select 'utf8' as folder, c_custkey % {_FILES} as k, 'pii_email' as code, 'warning' as severity, row_number() over (partition by c_custkey % {_FILES} order by c_custkey) as line_no from customer
+union all select f, k, 'binary_file', 'block', null from (select distinct c_custkey % {_FILES} as k from customer), (values ('utf16'), ('latin1'), ('nul')) t(f)""")
+def s13_scan_files(spark, d):
+    return with_key(privacy.scan_bytes(readers.read_files(spark, line_files(spark, d)))).select("folder", "k", "code", "severity", "line_no")
+
+
+@query(f"""
+with f as (select c_custkey % {_FILES} as k, string_agg(concat('mail a', c_custkey, '@mail.test.io', chr(10)), '' order by c_custkey) as text, count(*) as lines from customer group by 1)
+select k, strlen(text) as bytes, sha256(text) as content_sha256, lines, length(text) as chars, length(trim(replace(text, chr(10), ' '))) < 40 as low_text from f""")
+def r02_profile_files(spark, d):
+    return with_key(readers.profile_files(readers.read_files(spark, line_files(spark, d)))).filter("folder = 'utf8'").drop("path", "folder")
+
+
+@query(_SCANNED + " select * from found")
+def s15_scan_stream(spark, d):
+    """Files come in two halves; each run of the stream takes those that are new."""
+    folder, out = written(spark, "arrivals"), written(spark, "findings")
+    rows = scanned_files(spark, d)
+    for half in (0, 1):
+        rows.filter(F.pmod(F.xxhash64("path"), F.lit(2)) == half).write.mode("append").parquet(folder)
+        stream = scan_stream(spark.readStream.schema(rows.schema).parquet(folder), ["src1"])
+        stream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").start().awaitTermination()
+    return spark.read.schema("path string, code string, severity string, line_no int").parquet(out)
+
+
+@query(f"""
+select 'utf8' as folder, c_custkey % {_FILES} as k, 'pii_email' as code, 'warning' as severity, row_number() over (partition by c_custkey % {_FILES} order by c_custkey) as line_no from customer
+union all select f, k, 'binary_file', 'block', null from (select distinct c_custkey % {_FILES} as k from customer), (values ('utf16'), ('latin1'), ('nul')) t(f)""")
+def s15_scan_arrivals(spark, d):
+    """Files as bytes; a second run finds nothing new."""
+    folder, out = line_files(spark, d), written(spark, "findings")
+    for _ in range(2):
+        scan_arrivals(spark, folder, out, f"{out}-log").awaitTermination()
+    return with_key(spark.read.schema("path string, code string, severity string, line_no int").parquet(out)).select("folder", "k", "code", "severity", "line_no")
+
+
 @query("""
 select '2020-12-31' as record_date, concat('Land ', s_nationkey) as country, s_name as currency, cast(cast(abs(s_acctbal) + 1 as decimal(14,6)) as double) as exchange_rate, cast(null as varchar) as effective_date from supplier""")
 def r03_read_rate_records(spark, d):
@@ -1040,6 +1144,17 @@ _LABELLED = """
 with s as (select n_nationkey as k, count(*) as n, count(distinct s_suppkey % 2) as sides from supplier join nation on s_nationkey = n_nationkey where n_nationkey % 7 <> 0 group by 1)"""
 
 
+@query("""
+select code, case when k is null then 'no-mapping-known' when n is null then 'map-maintenance-required' else 'mapped-row-found' end as status, coalesce(n, 0) as rows, coalesce(label, '') as row_label from
+  (select n_nationkey as k, concat('C', n_nationkey) as code from nation union all select null, 'XXX') c left join
+  (select n_nationkey as k, count(*) as n, min(concat(case when side = 0 then 'Rep. of ' else 'Republic of ' end, n_name, '-Crown (new)')) as label
+   from (select distinct n_nationkey, n_name, s_suppkey % 2 as side from supplier join nation on s_nationkey = n_nationkey where n_nationkey % 7 <> 0) group by 1) using (k)""")
+def x03_code_presence(spark, d):
+    rates, names = labelled_rates(spark, d)
+    asked = table(spark, d, "nation").selectExpr("concat('C', n_nationkey) as code").union(spark.sql("select 'XXX'"))
+    return fx.rate_code_presence(rates.dropDuplicates(["record_date", "country", "currency"]), names, 2020, asked)
+
+
 @query(_LABELLED + " select concat('C', k) as code, cast(10 + k + case when k % 5 = 0 then (select min(s_suppkey % 2) from supplier where s_nationkey = k) else 0 end as double) as foreign_per_usd, n - 1 as duplicates from s where k % 5 <> 0 or sides = 1")
 def x02_year_end_rate(spark, d):
     return fx.year_end_rate(*labelled_rates(spark, d), 2020)[0]

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 SCHEMA_VERSION = "1.3"
+#: The status of a ledger that is done, and all that may be used.
+READY, USABLE = "ready", ("ready", "accepted-after-review")
 #: Texts with fewer characters hold too little to read.
 LEAST_CHARS = 40
 
@@ -23,6 +25,7 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("source_ref", T.StringType()),
     T.StructField("review_flags", T.ArrayType(T.StringType())),
     T.StructField("schema_version", T.StringType()),
+    T.StructField("status", T.StringType()),
 ])
 
 
@@ -43,6 +46,45 @@ def file_profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, filled.cast("bigint").alias("lines"), F.length(text).cast("bigint").alias("chars"), F.octet_length(text).cast("bigint").alias("bytes"), F.sha2(text, 256).alias("content_sha256"), (chars < LEAST_CHARS).alias("low_text"))
 
 
+#: Folders of tools, whose files are never read.
+SKIPPED_DIRS = (".git", ".git-rewrite", ".hg", ".svn", ".mypy_cache", ".pytest_cache", ".ruff_cache", "__pycache__", ".venv", "venv", "env", "node_modules", "coverage", "htmlcov")
+#: Files of more bytes are listed but not read.
+MAX_READ = 64 << 20
+
+
+def _as_files(listed, folder: str, spark: SparkSession, max_read: int) -> DataFrame:
+    """(path below folder, length, content) of what `listed()` finds; two scans, so that the length prunes files before their content is read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    shown = F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path")).alias("path")
+    short = listed().filter(F.col("length") <= max_read).select(shown, "length", "content")
+    long_ = listed().filter(F.col("length") > max_read).select(shown, "length", F.lit(None).cast("binary").alias("content"))
+    folders = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    return short.union(long_).filter(~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_DIRS))))
+
+
+def read_files(spark: SparkSession, folder: str, max_read: int = MAX_READ) -> DataFrame:
+    """The files of a folder and its folders, as bytes: (path, length, content), content null beyond max_read bytes.
+
+    Spark's file sources don't list empty files, nor names that begin with a dot or an underscore.
+    """
+    return _as_files(lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder), folder, spark, max_read)
+
+
+def arriving_files(spark: SparkSession, folder: str, max_read: int = MAX_READ) -> DataFrame:
+    """The same as a stream of files that are new to its checkpoint."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return _as_files(lambda: spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(folder), folder, spark, max_read)
+
+
+def profile_files(files: DataFrame) -> DataFrame:
+    """Per file of (path, length, content): bytes, SHA-256, and lines, characters and low_text of its text, bytes that are not UTF-8 replaced."""
+    text = F.expr("make_valid_utf8(cast(content as string))")
+    rows = file_profile(files.select("path", text.alias("text")), "path").drop("bytes", "content_sha256")
+    own = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("content_sha256"))
+    return own.join(rows, "path")
+
+
 def read_rate_records(spark: SparkSession, path: str) -> DataFrame:
     """Rate rows of JSON payloads {"data": [...]}; entries that are not objects come without fields and are dropped."""
     row = "record_date date, country string, currency string, exchange_rate decimal(14,6), effective_date date"
@@ -83,17 +125,31 @@ def read_attested_daily(spark: SparkSession, path: str, year: int) -> tuple[Data
 
 
 def write_ledger(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A ledger as Parquet, partitioned by tax year, with the schema's version in every row."""
-    df.withColumn("schema_version", F.lit(SCHEMA_VERSION)).select(*[F.col(f.name).cast(f.dataType) for f in LEDGER_SCHEMA]).write.mode(mode).partitionBy("tax_year").parquet(path)
+    """A ledger as Parquet, partitioned by tax year, with the schema's version in every row.
+
+    `overwrite` replaces the tax years that df holds and leaves the files of all others alone.
+    """
+    rows = df.withColumn("schema_version", F.lit(SCHEMA_VERSION))
+    if "status" not in df.columns:
+        rows = rows.withColumn("status", F.lit(READY))
+    rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in LEDGER_SCHEMA])
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("tax_year").parquet(path)
 
 
-def read_ledger(spark: SparkSession, path: str, least: str = SCHEMA_VERSION) -> tuple[DataFrame, DataFrame]:
-    """The rows of a written ledger, and a violation for each account of an older schema."""
-    rows = spark.read.schema(LEDGER_SCHEMA).parquet(path)
+def read_ledger(spark: SparkSession, path: str, least: str = SCHEMA_VERSION, statuses: tuple[str, ...] = USABLE) -> tuple[DataFrame, DataFrame]:
+    """The rows of a written ledger, and a violation for each account and year that may not be used.
+
+    Such are years of an older or unreadable schema version, years of another status than the accepted ones, and years
+    without a day. Files of older schemas are read by column name; what they lack is null, and a missing status counts as ready.
+    """
+    rows = spark.read.schema(LEDGER_SCHEMA).option("mergeSchema", True).parquet(path).withColumn("status", F.coalesce("status", F.lit(READY)))
     number = lambda c: F.transform(F.split(c, r"\."), lambda p: p.try_cast("int"))
-    new = number(F.col("schema_version")) >= number(F.lit(least))
-    bad = rows.filter(~F.coalesce(new, F.lit(False))).select("account_id", "schema_version").distinct()
-    return rows.filter(new), bad.select(F.col("account_id").alias("entity"), F.lit("schema-too-old").alias("code"), F.col("schema_version").alias("detail"))
+    version = F.when(F.col("schema_version").rlike(r"^\d+(\.\d+)*$"), number(F.col("schema_version")) >= number(F.lit(least)))
+    new = F.coalesce(version, F.lit(False))
+    kept = rows.withColumn("_code", F.when(~new, "schema-too-old").when(~F.col("status").isin(*statuses), "status-not-usable").when(F.col("date").isNull(), "no-daily-ledger"))
+    detail = F.when(F.col("_code") == "schema-too-old", F.col("schema_version")).when(F.col("_code") == "status-not-usable", F.col("status")).otherwise(F.col("tax_year").cast("string"))
+    bad = kept.filter("_code is not null").select(F.col("account_id").alias("entity"), F.col("_code").alias("code"), detail.alias("detail")).distinct()
+    return kept.filter("_code is null").drop("_code", "status"), bad
 
 
 def csv_safe(c: Column) -> Column:

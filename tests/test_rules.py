@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import fx, intake, ledger, privacy, text, threshold
 from ledgerlake.sources import readers
-from ledgerlake.streaming.scan import scan_stream
+from ledgerlake.streaming.scan import scan_arrivals, scan_stream
 
 AMOUNTS = {
     "1.234,56": "1234.56", "1,234.56": "1234.56", "2,500": "2500", "1.234": "1234", "0.125": "0.125", "0,125": "0.125", "12,00": "12", "1234.56": "1234.56",
@@ -205,6 +205,70 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert a.count() == b.count() and a.exceptAll(b.select(*a.columns)).isEmpty()
 
 
+def test_arrivals_are_scanned_once(spark, tmp_path):
+    folder, out, log = tmp_path / "in", tmp_path / "out", tmp_path / "log"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a.txt").write_text("hello\nme@corp.io\n")
+
+    def run():
+        scan_arrivals(spark, str(folder), str(out), str(log)).awaitTermination()
+        return sorted((r["path"], r["code"], r["line_no"]) for r in spark.read.schema("path string, code string, severity string, line_no int").parquet(str(out)).collect())
+
+    first = [("a.txt", "pii_email", 2)]
+    assert run() == first and run() == first
+    (folder / "sub" / "b.txt").write_bytes(b"\xff\xfe\x00x")
+    both = sorted([*first, ("sub/b.txt", "binary_file", None)])
+    assert run() == both
+    # A batch that broke between its table and its log runs again and adds nothing.
+    (folder / "c.txt").write_text("x@corp.io")
+    assert len(run()) == 3
+    last = max((log / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+    assert len(run()) == 3
+
+
+def test_files_as_bytes(spark, tmp_path):
+    files = {
+        "utf16.txt": "me@corp.io".encode("utf-16"), "latin1.txt": "caf\xe9 me@corp.io".encode("latin-1"), "nul.txt": b"me@corp.io\0", "late_nul.txt": b"x" * 5000 + b"\0\r\nme@corp.io", "long.txt": b"me@corp.io\n" + b"x" * 200,
+        "huge.txt": b"me@corp.io " * 100, "plain.txt": "caf\xe9\u2028me@corp.io".encode(), "empty.txt": b"", "work/me.txt": b"me@corp.io", "work/bin.pdf": b"\0", "src/skip.txt": b"me@corp.io", "src/a.pem": b"\0", "node_modules/x.txt": b"me@corp.io",
+    }
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    rows = readers.read_files(spark, str(tmp_path), max_read=1000 + 4100)
+    small = rows.filter("path <> 'late_nul.txt'")
+    found = sorted((r["path"], r["code"], r["line_no"] or 0) for r in privacy.scan_bytes(readers.read_files(spark, str(tmp_path), max_read=1000), ["src"], max_bytes=100).filter("path not like 'late%'").collect())
+    assert found == sorted([
+        ("utf16.txt", "binary_file", 0), ("latin1.txt", "binary_file", 0), ("nul.txt", "binary_file", 0), ("long.txt", "text_read_limit_exceeded", 0), ("long.txt", "pii_email", 1), ("huge.txt", "text_read_limit_exceeded", 0),
+        ("plain.txt", "pii_email", 2), ("work/me.txt", "generated_artifact_path", 0), ("work/me.txt", "pii_email", 1), ("work/bin.pdf", "generated_artifact_path", 0), ("work/bin.pdf", "private_binary_export", 0), ("src/a.pem", "secret_filename", 0),
+    ])
+    late = privacy.scan_bytes(rows.filter("path = 'late_nul.txt'")).collect()
+    assert [(r["code"], r["line_no"]) for r in late] == [("pii_email", 2)]
+    shown = {r["path"]: r for r in readers.profile_files(small).collect()}
+    assert shown["nul.txt"]["low_text"] and shown["nul.txt"]["bytes"] == 11 and shown["long.txt"]["lines"] == 2 and "node_modules/x.txt" not in shown
+    assert privacy.scan_bytes(rows.limit(0)).isEmpty()
+
+
+def test_globs_are_one_pattern(spark):
+    import fnmatch
+    import random
+
+    rng = random.Random(3)
+    part = lambda: "".join(rng.choice("ab.-+") for _ in range(rng.randint(1, 4)))
+    paths = sorted({"/".join(part() for _ in range(rng.randint(1, 4))) for _ in range(400)} | {".privacygateignore", "a\nb/c"})
+    bits = ["a", "b", "*", "?", "/", "[ab]", "[!a]", "[", ".", "+", "**"]
+    globs = sorted({"".join(rng.choice(bits) for _ in range(rng.randint(1, 6))) for _ in range(1000)} - {"/"})
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    for some in (globs[:3], globs[5:40:7], globs[1::97], ["# no", " a/ ", ""]):
+        used = [g.strip().rstrip("/") for g in some if g.strip() and not g.strip().startswith("#")]
+        want = {p for p in paths if p != ".privacygateignore" and any(fnmatch.fnmatchcase("/".join(p.split("/")[: i + 1]), g) for g in used for i in range(len(p.split("/"))))}
+        assert {r["path"] for r in privacy.apply_ignore(rows, some).filter("skipped").collect()} == want
+    wide = [f"src/{i}/*.txt" for i in range(1000)]
+    many = spark.range(50_000).selectExpr("concat('src/', id, '/x.txt') as path")
+    assert privacy.apply_ignore(many, wide).filter("skipped").count() == 1000
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"data": [{"record_date": "2024-12-31", "country": "A", "currency": "B", "exchange_rate": "1.5"}, 7]}))
     assert readers.read_rate_records(spark, str(tmp_path / "r.json")).count() == 1
