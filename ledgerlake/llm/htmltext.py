@@ -47,6 +47,8 @@ RAW = ("script", "style", "textarea", "title")
 BAD_TAGS = frozenset("nav footer aside form menu header dialog".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_WORDS = frozenset("ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter pager pagination popup promo promotion related replies respond sidebar signup social sponsor sponsored sponsors subscribe toolbar widget".split())
+#: Words that say what a name is made of, not what it is for: in "related-posts" and "ad-slot-1" the word before counts.
+CONTAINER_WORDS = frozenset("area bar block body bottom box button buttons col column container content count form group header heading inner item items layout left link links list main outer panel post posts row right section site slot strip text title top trail unit wrap wrapper zone".split())
 DOUBTFUL_WORDS = frozenset("login notice promoted rail reader reply search share sharing tags".split())
 # Prior weights of the classifier: positive speaks for content.
 FEATURES = ("bias", "links", "long", "marks", "heading", "item")
@@ -78,13 +80,25 @@ class Block:
         self.text, self.links, self.tag, self.parent, self.part, self.steps = text, links, tag, parent, part, steps
 
 
-def _named(attributes: str) -> set[str]:
-    """The words of an element's class, id and role; names like with-sidebar tell of a part elsewhere."""
-    found: set[str] = set()
+def _named(attributes: str) -> tuple[set[str], set[str]]:
+    """What an element's class, id and role say that it is, and all words in them.
+
+    A name is what its last word says that is no container: "site-footer" is a footer, but "widget-theory" a theory and
+    "related-work" work. Names like with-sidebar tell of a part elsewhere.
+    """
+    heads: set[str] = set()
+    every: set[str] = set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role"):
-            found.update(w for name in "".join(values).lower().split() if not name.startswith(("with-", "has-", "no-")) for w in _WORD.findall(name))
-    return found
+            for token in "".join(values).lower().split():
+                if token.startswith(("with-", "has-", "no-")):
+                    continue
+                words = _WORD.findall(token)
+                every.update(words)
+                while len(words) > 1 and words[-1] in CONTAINER_WORDS:
+                    words.pop()
+                heads.update(words[-1:])
+    return heads, every
 
 
 def blocks(html: str) -> tuple[list[Block], list[tuple[float, int]]]:
@@ -162,13 +176,13 @@ def blocks(html: str) -> tuple[list[Block], list[tuple[float, int]]]:
             low = min(low, len(stack))
         serial += 1
         around = stack[-1][2] if stack else -1
-        words = _named(m[3]) if "=" in m[3] and tag not in ("body", "html") else set()
+        heads, words = _named(m[3]) if "=" in m[3] and tag not in ("body", "html") else (set(), set())
         kind = 0.0
         if tag in GOOD_TAGS and not bad and (tag == "main" or articles == 1 or around < 0 or parts[around][0] > 0):
             kind = 1.0
-        elif tag in BAD_TAGS and not (tag == "header" and opened["article"] + opened["main"] > 0) or words & BAD_WORDS:
+        elif tag in BAD_TAGS and not (tag == "header" and opened["article"] + opened["main"] > 0) or heads & BAD_WORDS:
             kind = -1.0
-        elif words & DOUBTFUL_WORDS:
+        elif words & (BAD_WORDS | DOUBTFUL_WORDS):
             kind = -0.5
         if kind:
             parts.append((kind, around))
@@ -308,12 +322,13 @@ def _flow(rest: list[float], edges: list[dict[int, float]], nodes: list[int]) ->
                         ways[path[-1]].pop()
 
 
-def labelled(html: str | None, weights: np.ndarray = PRIOR) -> tuple[str, int, int]:
-    """The main text, the number of blocks, and of those on the other side of the cut than their classifier's."""
+def labelled(html: str | None, weights: np.ndarray = PRIOR) -> tuple[str, int, int, int]:
+    """The main text, the number of blocks, of those on the other side of the cut than their classifier's, and than their innermost named part's."""
     page, parts = blocks(html or "")
     terminals, between = graph(page, parts, weights)
     keep = minimum_cut(terminals, between)[: len(page)]
-    return "\n".join(b.text for b, k in zip(page, keep, strict=True) if k), len(page), sum((t > 0) != k for t, k in zip(terminals, keep, strict=False))
+    apart = sum(b.part >= 0 and (parts[b.part][0] > 0) != k for b, k in zip(page, keep, strict=True))
+    return "\n".join(b.text for b, k in zip(page, keep, strict=True) if k), len(page), sum((t > 0) != k for t, k in zip(terminals, keep, strict=False)), apart
 
 
 def main_text(html: str | None, weights: np.ndarray = PRIOR) -> str:
@@ -346,15 +361,15 @@ def train(pages: DataFrame, *, html_col: str = "html", sample: int = SAMPLE) ->
 def _rows(weights: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_blocks, n_cut = zip(*(labelled(h.as_py(), weights) for h in batch.column("html")), strict=True) if batch.num_rows else ((), (), ())
-            columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_blocks, pa.int64()), pa.array(n_cut, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), *columns], names=["id", "url", "text", "n_chars", "n_blocks", "n_changed"])
+            texts, *counts = zip(*(labelled(h.as_py(), weights) for h in batch.column("html")), strict=True) if batch.num_rows else ((), (), (), ())
+            columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(c, pa.int64()) for c in counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), *columns], names=["id", "url", "text", "n_chars", "n_blocks", "n_changed", "n_apart"])
 
     return rows
 
 
 def extract(pages: DataFrame, weights: np.ndarray = PRIOR, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row of pages: its id, url, text, n_chars, n_blocks and n_changed (blocks that the cut labels otherwise than the classifier alone)."""
+    """Per row of pages: its id, url, text, n_chars, n_blocks and n_changed and n_apart (blocks that the cut labels otherwise than the classifier alone, and than the part named next around them)."""
     id_type = pages.schema[id_col].dataType.simpleString()
     given = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return given.mapInArrow(_rows(weights), f"id {id_type}, url string, text string, n_chars bigint, n_blocks bigint, n_changed bigint").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    return given.mapInArrow(_rows(weights), f"id {id_type}, url string, text string, n_chars bigint, n_blocks bigint, n_changed bigint, n_apart bigint").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

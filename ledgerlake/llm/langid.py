@@ -10,8 +10,8 @@ frozen after training, so the cost of a byte depends on it and its three
 predecessors only; costs of all seen 4-grams are tabulated for all languages.
 
 Training takes at most `sample` documents per language (by hash of the id) of
-every language that occurs; over MAX_LANGUAGES of them raise an error, since
-the column then holds no languages. Case of A-Z and of Latin-1 letters is folded.
+every language that occurs; the model grows with their number, and its costs are
+tabulated for 64 languages at a time. Case of A-Z and of Latin-1 letters is folded.
 
 Defined results: a null text, or one with no letter, is `und` with score 0;
 without training rows every row is `und`; ties go to the language first in
@@ -31,10 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerlake.functions.staging import join_small
 from ledgerlake.llm import bytegrams as bg
 
-#: Training documents per language at most; languages that a column of languages may hold; the cost of a byte is an integer of 1/UNIT bits.
-SAMPLE, MAX_LANGUAGES, UNIT = 1500, 512, 1024
+#: Training documents per language at most; languages whose costs stand side by side; the cost of a byte is an integer of 1/UNIT bits.
+SAMPLE, PART, UNIT = 1500, 64, 1024
+#: A text whose best language takes more than this part of its own code's bits, and so many bits besides, is in none that was learned.
+MARGIN, SLACK = 1.25, 32
 _PAD = 10
 
 
@@ -77,17 +80,14 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Counts 4-grams of a bounded sample of docs on the executors; the model's size is bounded by the sample's."""
     rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
-    if not sizes:
-        return Model([], {})
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{lang_col} has over {MAX_LANGUAGES} values, so it is no column of languages")
     place = F.xxhash64(F.col(id_col).cast("string")).cast("double") / float(1 << 64) + 0.5
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.5 * sample / n))]), F.col(lang_col))
-    picked = rows.filter(F.col(lang_col).isin(list(sizes)) & (place < share)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
+    sizes = rows.groupBy("lang").agg((1.5 * sample / F.count("*")).alias("share"))
+    picked = join_small(rows, sizes, "lang", "inner").filter("place < share")
     picked = picked.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("place", "text"))).filter(F.col("r") <= sample).select("lang", "text")
     grams = picked.mapInArrow(_count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return Model(sorted(sizes), {k: (g["gram"].to_numpy(np.uint32), g["n"].to_numpy(np.float64)) for k, g in grams.groupby("lang")})
+    found = {k: (g["gram"].to_numpy(np.uint32), g["n"].to_numpy(np.float64)) for k, g in grams.groupby("lang")}
+    return Model(sorted(found), found)
 
 
 class _Table:
@@ -126,20 +126,17 @@ class _Table:
         return out
 
 
-class Model:
-    """Frozen costs, in 1/UNIT bits, of the grams of all languages."""
+class _Part:
+    """Frozen costs, in 1/UNIT bits, of the grams of up to PART languages."""
 
     def __init__(self, languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.languages = languages
-        if not languages:
-            return
         n = len(languages)
         costs = {0: np.full((1, n), 8.0)}
         seen: dict[int, np.ndarray] = {}
         lost: dict[int, np.ndarray] = {}
         for order in range(4):  # contexts of `order` bytes
             mask = np.uint32((1 << 8 * (order + 1)) - 1 if order < 3 else 0xFFFFFFFF)
-            every = np.unique(np.concatenate([k & mask for k, _ in counts.values()])) if order >= 2 else np.arange(1 << 8 * (order + 1), dtype=np.uint32)
+            every = np.unique(np.concatenate([counts[name][0] & mask for name in languages if name in counts])) if order >= 2 else np.arange(1 << 8 * (order + 1), dtype=np.uint32)
             contexts = np.unique(every >> np.uint32(8))
             lower = costs[order][self._place(seen, order, every)] if order else np.repeat(costs[0], len(every), axis=0)
             cost, escape = np.empty((len(every), n)), np.zeros((len(contexts), n))
@@ -181,17 +178,48 @@ class Model:
             out[left] = part
         return out
 
-    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language with the shortest code and its share of the probability, for each text."""
-        best, share = np.zeros(len(column), np.int64), np.zeros(len(column))
-        for lo, hi, buf, offsets in bg.text_chunks(column, max(1 << 16, bg.CHUNK // len(self.languages))):
+
+class Model:
+    """The trees of all languages, in parts."""
+
+    def __init__(self, languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.languages = languages
+        self.parts = [_Part(languages[i : i + PART], counts) for i in range(0, len(languages), PART)]
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """The cost of the last byte of each gram under each language."""
+        return np.concatenate([part.costs(grams) for part in self.parts], axis=1)
+
+    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text, the index of the language with the shortest code, its share of the probability, and whether that code beats the text's own."""
+        best, share, known = np.zeros(len(column), np.int64), np.zeros(len(column)), np.zeros(len(column), bool)
+        for lo, hi, buf, offsets in bg.text_chunks(column, max(1 << 16, bg.CHUNK // min(PART, len(self.languages)))):
             full = np.flatnonzero(np.diff(offsets))
             if not len(full):
                 continue
-            total = np.add.reduceat(self.costs(_grams(buf, offsets)), offsets[:-1][full], axis=0, dtype=np.int64)
+            grams = _grams(buf, offsets)
+            total = np.concatenate([np.add.reduceat(part.costs(grams), offsets[:-1][full], axis=0, dtype=np.int64) for part in self.parts], axis=1)
+            least = total.min(axis=1)
             best[lo + full] = total.argmin(axis=1)
-            share[lo + full] = 1 / np.exp2(-(total - total.min(axis=1, keepdims=True)) / UNIT).sum(axis=1)
-        return best, share
+            share[lo + full] = 1 / np.exp2(-(total - least[:, None]) / UNIT).sum(axis=1)
+            known[lo + full] = least / UNIT < MARGIN * own_code(buf, offsets)[full] + SLACK
+        return best, share, known
+
+
+def own_code(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits of each text in a code that knows no language: bytes by themselves, their frequencies learned along the text (Krichevsky and Trofimov)."""
+    n = np.diff(offsets)
+    most = int(n.max(initial=0))
+    learned = lambda first: np.concatenate([[0.0], np.cumsum(np.log2(np.arange(most) + first))])
+    whole, each = learned(128.0), learned(0.5)
+    bits = whole[n]
+    rows = max(1, (1 << 22) // 256)
+    for lo in range(0, len(n), rows):
+        hi = min(lo + rows, len(n))
+        of = np.repeat(np.arange(hi - lo), n[lo:hi])
+        counts = np.bincount(of * 256 + buf[offsets[lo] : offsets[hi]], minlength=256 * (hi - lo)).reshape(-1, 256)
+        bits[lo:hi] -= each[counts].sum(axis=1)
+    return bits
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +232,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
             if model.languages:
-                best, share = model.score(batch.column("_text"))
+                best, share, _ = model.score(batch.column("_text"))
                 names = np.where(letters, np.array([*model.languages], object)[best], "und")
             else:
                 names, share = np.full(len(letters), "und", object), np.zeros(len(letters))
@@ -216,12 +244,17 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns kept, whose text has letters and gets a language. Only texts go to Python."""
+    """The rows of docs, all columns kept, whose text has letters and is in a learned language.
+
+    A text is rejected if the tree of its best language codes it in no fewer bits than
+    a code that learns the bytes' frequencies along the text: noise, and other languages and scripts. Short
+    texts pay that code's learning and stay. Only texts go to Python.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
     def known(texts: pa.Array) -> pa.Array:
         model = shared.value
-        return pa.array(model.score(texts)[1] > 0 if model.languages else np.zeros(len(texts), bool))
+        return pa.array(model.score(texts)[2] if model.languages else np.zeros(len(texts), bool))
 
     return docs.filter(F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))).filter(known(F.col(text_col)))

@@ -415,6 +415,54 @@ def test_languages_odd_cases(spark, texts):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_many_languages(spark, texts):
+    """600 values of lang, each with words of its own letters; costs of a language don't depend on what stands beside it."""
+    import itertools
+
+    trios = ["".join(t) for t in itertools.combinations("bcdfghjklmnpqrst", 3)][:560] + ["".join(t) for t in itertools.combinations("vwxyz0123", 3)][:40]
+    word = lambda t, i: "".join(t[(i * k + k) % 3] for k in range(1, 7))
+    rows = [(i, " ".join(word(t, n + i) for n in range(30)), f"l{i:03d}", "a") for i, t in enumerate(trios)]
+    model = langid.train(texts(*rows))
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert model.languages == sorted(r[2] for r in learned) and len(model.parts) == -(-len(learned) // langid.PART)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(texts(*learned), model).collect()}
+    assert got == {r[0]: r[2] for r in learned}
+    name, grams = model.languages[70], langid._grams(np.frombuffer(b"bcd bcf zz", np.uint8), np.array([0, 10]))
+    counts = {}
+    for i, text in ((r[2], r[1].encode()) for r in learned):
+        counts[i] = tuple(x.astype(t) for x, t in zip(np.unique(langid._grams(np.frombuffer(text, np.uint8), np.array([0, len(text)])), return_counts=True), (np.uint32, float), strict=True))
+    assert (model.costs(grams)[:, 70] == langid.Model([name], counts).costs(grams)[:, 0]).all()
+
+
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.", "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。", "qxz jvkw pzq xxv kqj zzw vbx qpl mzx qwv jkx zqp wvx kzj qxv bnm zxq vkj wqz xpv jzk qvx " * 3,
+]
+
+
+def test_texts_of_no_learned_language_are_rejected(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs)
+    rows = [(10**6 + i, t, "en", "a", len(t)) for i, t in enumerate(FOREIGN)]
+    foreign = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert all(any(c.isalpha() for c in t) for t in FOREIGN)
+    kept = langid.keep_identified(docs.unionByName(foreign), model)
+    own = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == own
+
+
+def test_own_code_is_the_sequential_one():
+    rng = random.Random(1)
+    texts = [bytes(rng.choice(b"abcde \xc3") for _ in range(n)) for n in (0, 1, 7, 300)]
+    buf, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for bits, text in zip(langid.own_code(buf, offsets), texts, strict=True):
+        seen, want = collections.Counter(), 0.0
+        for i, b in enumerate(text):
+            want -= np.log2((seen[b] + 0.5) / (i + 128))
+            seen[b] += 1
+        assert abs(bits - want) < 1e-6
+
+
 def test_code_length_is_the_recursion():
     text = b"abracadabra abra"
     grams = langid._grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
