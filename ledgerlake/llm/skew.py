@@ -43,11 +43,6 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
 MAX_SIDE = 100_000
 
 
-def side(df: DataFrame) -> DataFrame:
-    """df, marked for a broadcast if its counted rows are within the bound; df should be a written table."""
-    return F.broadcast(df) if df.count() <= MAX_SIDE else df
-
-
 def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """Adds pos, the place of a row among those of its key, nulls first, from 0; rows are sorted over all tasks, so a key of any size is dealt out."""
     sorted_ = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerlake.llm import prefixtrie, queries, repair, simhash, skew
+from ledgerlake.llm import prefixtrie, queries, repair, simhash
 
 CONV = "conv_id bigint, turn bigint, role string, text string, key string, d int"
 
@@ -77,7 +77,7 @@ def test_trie_of_odd_conversations(spark, monkeypatch, small):
     rows = [(c, t or None, rng.choice(["user", None]), rng.choice(["Hi.", "", None, "Ünï"])) for c in [*range(40), None, -105, -200, *range(100, 130), 250] for t in range(rng.randint(1, 13))]
     rows += [(c, t, "user", "the same") for c in (301, 302, 303) for t in range(30)]
     if small:  # every table is dealt out, runs of depths and ids are short
-        for module, name, value in ((prefixtrie, "MAX_SIDE", 0), (skew, "MAX_SIDE", 0), (prefixtrie, "BLOCK", 4), (prefixtrie, "ID_BITS", 3)):
+        for module, name, value in ((prefixtrie, "MAX_SIDE", 0), (prefixtrie, "BLOCK", 4), (prefixtrie, "ID_BITS", 3)):
             monkeypatch.setattr(module, name, value)
     assert sorted(map(tuple, prefixtrie.trie(conversations(spark, rows)).collect())) == trie_of(rows)
 
