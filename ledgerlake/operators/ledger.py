@@ -38,18 +38,23 @@ def same_day_pick(candidates: DataFrame) -> DataFrame:
         F.max_by(F.struct("amount", "source_ref"), "seq").alias("final"),
         F.bool_and(F.col("candidate_type") == RECONSTRUCTED).alias("all_reconstructed"),
         F.count("*").alias("candidate_count"),
-        F.countDistinct("amount").alias("amounts"),
         F.min("amount").alias("low"),
     )
     carry = F.when(F.col("all_reconstructed"), F.col("final")).otherwise(F.struct(F.col("picked.amount").alias("amount"), F.col("picked.source_ref").alias("source_ref")))
-    variance = (F.col("amounts") > 1) & (F.col("picked.amount") - F.col("low") > F.abs("picked.amount") * F.expr("0.5bd"))
+    variance = (F.col("picked.amount") > F.col("low")) & (F.col("picked.amount") - F.col("low") > F.abs("picked.amount") * F.expr("0.5bd"))
     return picked.select(*KEYS, "balance_date", F.col("picked.amount").alias("amount"), carry["amount"].alias("carry_amount"), carry["source_ref"].alias("carry_ref"), F.col("picked.source_ref").alias("source_ref"), F.col("picked.candidate_type").alias("candidate_type"), F.col("picked.confidence").alias("picked_confidence"), "candidate_count", F.col("low").alias("low_amount"), variance.alias("material_variance"))
 
 
+def same_day_values(candidates: DataFrame) -> DataFrame:
+    """The amount and the carried amount of `same_day_pick` alone: of fixed width, so they are summed up by hash instead of by sorting."""
+    days = candidates.groupBy(*KEYS, "balance_date").agg(F.max("amount").alias("amount"), F.max_by("amount", "seq").alias("_final"), F.bool_and(F.col("candidate_type") == RECONSTRUCTED).alias("_rebuilt"))
+    return days.select(*KEYS, "balance_date", "amount", F.when(F.col("_rebuilt"), F.col("_final")).otherwise(F.col("amount")).alias("carry_amount"))
+
+
 def same_day_variance(candidates: DataFrame) -> DataFrame:
     """Days whose candidates differ by over half of the largest, with the candidates in order of amount and source."""
-    days = candidates.groupBy(*KEYS, "balance_date").agg(F.min("amount").alias("low_amount"), F.max("amount").alias("high_amount"), F.countDistinct("amount").alias("amounts"), F.count("*").alias("candidate_count"), F.array_sort(F.collect_list(F.struct("amount", "source_ref", "candidate_type"))).alias("candidates"))
-    return days.filter((F.col("amounts") > 1) & (F.col("high_amount") - F.col("low_amount") > F.abs("high_amount") * F.expr("0.5bd"))).drop("amounts")
+    days = candidates.groupBy(*KEYS, "balance_date").agg(F.min("amount").alias("low_amount"), F.max("amount").alias("high_amount"), F.count("*").alias("candidate_count"), F.array_sort(F.collect_list(F.struct("amount", "source_ref", "candidate_type"))).alias("candidates"))
+    return days.filter((F.col("high_amount") > F.col("low_amount")) & (F.col("high_amount") - F.col("low_amount") > F.abs("high_amount") * F.expr("0.5bd")))
 
 
 def daily_ledger(candidates: DataFrame, accounts: DataFrame, tax_year: int, leading_zero: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ledgerlake.operators.ledger import KEYS
+from ledgerlake.operators.fx import to_usd
+from ledgerlake.operators.ledger import KEYS, same_day_values
 
 THRESHOLD = 10_000
 FORMAL = ("formal-extracted", "legacy-formal-extracted")
@@ -125,6 +127,47 @@ def combined_daily(ledger: DataFrame, models: DataFrame | None, tax_year: int, t
     return totals.withColumn("over", F.col("known_total_usd") > threshold).withColumn("possibly_over", F.col("upper_bound_total_usd") > threshold)
 
 
+def combined_from_days(candidates: DataFrame, accounts: DataFrame, rates: DataFrame, models: DataFrame | None, tax_year: int, threshold: int = THRESHOLD) -> DataFrame:
+    """What `combined_daily` says of the daily ledger in USD, from its observations, without making the ledger.
+
+    A filer's total moves only where an observation begins to count, where an
+    end of day that differs is carried, and around the date of a maximum. These
+    changes are summed per filer and day, totalled up in order, and spread over
+    the days up to the next change; so account-days are neither made nor
+    exchanged. Days ahead of an account's first observation add nothing, be
+    they missing or attested zeros. Filers with accounts or maxima have all days
+    of the year, others those from their first observation on. Observations
+    without a rate count as zero, maxima of null too.
+    """
+    start, end = F.lit(f"{tax_year}-01-01").cast("date"), F.lit(f"{tax_year}-12-31").cast("date")
+    zero, none = F.lit(0).cast("decimal(25,6)"), F.lit(0).cast("decimal(24,6)")
+    days = same_day_values(candidates.filter(F.col("balance_date").between(start, end)))
+    days = days.join(accounts.select(*KEYS, "currency").distinct(), KEYS, "left").withColumn("tax_year", F.lit(tax_year))
+    for c in ("amount", "carry_amount"):
+        days = to_usd(days, rates, c).withColumn(f"{c}_usd", F.coalesce("threshold_usd_value", none)).drop("usd_micro", "usd_balance", "threshold_usd_value", "negative")
+    days = days.withColumn("_before", F.coalesce(F.lag("carry_amount_usd").over(W.partitionBy(*KEYS).orderBy("balance_date")), none))
+    change = lambda day, known, upper, stays=True: F.struct(day.alias("date"), known.cast("decimal(25,6)").alias("known"), upper.cast("decimal(25,6)").alias("upper"), F.lit(stays).alias("stays"))
+    observed, carried = F.col("amount_usd") - F.col("_before"), F.col("carry_amount_usd") - F.col("amount_usd")
+    moved = days.select("filer_id", F.inline(F.array(change(F.col("balance_date"), observed, observed), change(F.date_add("balance_date", 1), carried, carried, False))))
+    parts = [moved, accounts.select("filer_id").distinct().select("filer_id", start.alias("date"), zero.alias("known"), zero.alias("upper"), F.lit(True).alias("stays"))]
+    if models is not None:
+        top = F.coalesce(F.col("maximum_usd").cast("decimal(24,6)"), none)
+        dated = F.when(F.col("maximum_date").between(start, end), top).otherwise(none)
+        day = F.coalesce("maximum_date", start)
+        parts.append(models.select("filer_id", F.inline(F.array(change(start, zero, top), change(day, dated, zero, False), change(F.date_add(day, 1), -dated, zero, False)))))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    # A change of nothing goes, unless it may be the filer's first day.
+    sums = rows.filter(F.col("date").between(start, end) & (F.col("stays") | (F.col("known") != 0))).groupBy("filer_id", "date").agg(F.sum("known").alias("known"), F.sum("upper").alias("upper"))
+    by_day = W.partitionBy("filer_id").orderBy("date")
+    so_far = by_day.rowsBetween(W.unboundedPreceding, 0)
+    total = lambda c: F.sum(c).over(so_far).cast("decimal(34,6)")
+    runs = sums.select("filer_id", "date", total("known").alias("known_total_usd"), total("upper").alias("upper_bound_total_usd"), F.coalesce(F.date_sub(F.lead("date").over(by_day), 1), end).alias("_until"))
+    runs = runs.withColumn("over", F.col("known_total_usd") > threshold).withColumn("possibly_over", F.col("upper_bound_total_usd") > threshold)
+    return runs.select("filer_id", F.explode(F.sequence("date", "_until")).alias("date"), "known_total_usd", "upper_bound_total_usd", "over", "possibly_over")
+
+
 #: Columns of a wide table at most: more labels than that are a mistake in the labels.
 MAX_LABELS = 1000
 

@@ -77,6 +77,10 @@ def models(spark, d):
     return rows.select("filer_id", "account_id", F.col("maximum_native").alias("maximum_usd"), "maximum_date")
 
 
+def filer_days(spark, d):
+    return threshold.combined_from_days(candidates(spark, d), accounts(spark, d), view(spark, d, "v_fx"), models(spark, d), YEAR, LIMIT)
+
+
 # The same inputs in DuckDB SQL.
 
 _PICK = """
@@ -341,7 +345,7 @@ def t05_account_maxima(spark, d):
 @query(_C + f"""
 select filer_id, cast(d as varchar) as date, cast(known as double) / 1000000 as known_total_usd, cast(upper as double) / 1000000 as upper_bound_total_usd, known > {LIMIT} * 1000000 as over, upper > {LIMIT} * 1000000 as possibly_over from combined""")
 def t06_combined_daily(spark, d):
-    return threshold.combined_daily(usd_ledger(spark, d), models(spark, d), YEAR, LIMIT)
+    return filer_days(spark, d)
 
 
 _WIDE = ", ".join(
@@ -370,7 +374,7 @@ answer as (select filer_id, case when count(*) filter (known > {LIMIT} * 1000000
 
 @query(_ANSWER + " select * from answer")
 def t08_threshold_answer(spark, d):
-    return threshold.threshold_answer(threshold.combined_daily(usd_ledger(spark, d), models(spark, d), YEAR, LIMIT))
+    return threshold.threshold_answer(filer_days(spark, d))
 
 
 @query(_ANSWER + """,
@@ -379,7 +383,7 @@ complete as (select filer_id, bool_and(whole) as w from (select filer_id, whole
 select filer_id, answer, over_days, max_combined_usd, coalesce(w, true) as records_complete from answer left join complete using (filer_id)""")
 def t08_records_complete(spark, d):
     evidence = ledger.evidence_class(candidates(spark, d).filter("amount > 60"), accounts(spark, d)).filter("account_id not like '%signup'")
-    combined = threshold.combined_daily(usd_ledger(spark, d), models(spark, d), YEAR, LIMIT)
+    combined = filer_days(spark, d)
     return threshold.threshold_answer(combined, evidence=evidence, models=models(spark, d).filter("filer_id % 4 = 0")).select("filer_id", "answer", "over_days", "max_combined_usd", "records_complete")
 
 
@@ -401,7 +405,7 @@ def t10_verify_conversion(spark, d):
 @query(_ANSWER + """
 select filer_id, case when filer_id % 20 = 0 then 'not-stored' else 'answer' end as field, case when filer_id % 20 = 0 then null else concat(answer, '?') end as stored, case when filer_id % 20 = 0 then null else answer end as computed from answer where filer_id % 20 = 0 or filer_id % 6 = 0""")
 def t11_verify_summary(spark, d):
-    computed = threshold.threshold_answer(threshold.combined_daily(usd_ledger(spark, d), models(spark, d), YEAR, LIMIT)).withColumn("over_dates", F.array_join(F.col("over_dates").cast("array<string>"), ";"))
+    computed = threshold.threshold_answer(filer_days(spark, d)).withColumn("over_dates", F.array_join(F.col("over_dates").cast("array<string>"), ";"))
     stored = computed.filter("filer_id % 20 <> 0").withColumn("answer", F.when(F.col("filer_id") % 6 == 0, F.concat("answer", F.lit("?"))).otherwise(F.col("answer")))
     return threshold.verify_summary(stored, computed, ["answer", "answer_sensitivity", "over_days", "over_dates", "max_combined_usd", "max_combined_date"])
 

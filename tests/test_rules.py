@@ -63,6 +63,31 @@ def test_whole_dollars_at_the_boundary(spark):
     assert threshold.threshold_answer(threshold.combined_daily(rows, None, 2024)).first()["answer"] == "yes"
 
 
+@pytest.mark.parametrize("with_models", [True, False])
+def test_totals_by_changes_equal_those_of_the_ledger(spark, with_models):
+    """Same rows as by the day ledger: carried amounts that differ, neighbouring days, both ends of the year, no rate, no account, null and repeated maxima."""
+    day = lambda m, d: dt.date(2024, m, d)
+    tx, rebuilt = "transaction-row", "reconstructed-from-movements"
+    candidates = spark.createDataFrame(
+        [
+            (1, "a", 1, day(1, 1), D(100), tx), (1, "a", 2, day(1, 2), D(-5), tx), (1, "a", 3, day(12, 31), D(20000), tx), (1, "a", 9, dt.date(2023, 12, 31), D(7), tx),
+            (1, "b", 4, day(3, 1), D(50), rebuilt), (1, "b", 5, day(3, 1), D(30), rebuilt), (1, "b", 6, day(3, 2), D(9), rebuilt), (1, "b", 7, day(12, 31), D(9), rebuilt), (1, "b", 8, day(12, 31), D(4), rebuilt),
+            (2, "c", 10, day(2, 29), D(9999), tx), (2, "c", 11, day(5, 5), None, tx), (2, "d", 12, day(6, 1), D(3), tx), (3, "e", 13, day(7, 1), D(11000), tx), (3, "e", 14, day(7, 1), D(12000), tx),
+        ],
+        "filer_id bigint, account_id string, seq bigint, balance_date date, amount decimal(24,6), candidate_type string",
+    ).withColumn("confidence", F.lit("high")).withColumn("source_ref", F.col("seq").cast("string"))
+    accounts = spark.createDataFrame([(1, "a", "USD"), (1, "b", "EUR"), (2, "c", "USD"), (2, "d", "XXX"), (4, "f", "USD")], "filer_id bigint, account_id string, currency string")
+    rates = spark.createDataFrame([("EUR", 2024, D("0.5"), None)], "currency string, rate_year int, foreign_per_usd decimal(26,12), usd_per_foreign decimal(26,12)")
+    models = spark.createDataFrame([(1, "m", D(500), day(12, 31)), (2, "n", D(2), day(2, 29)), (2, "o", D(3), day(2, 29)), (4, "p", None, day(4, 4)), (5, "q", D(12000), None), (6, "r", D(1), dt.date(2023, 1, 1))], "filer_id bigint, account_id string, maximum_usd decimal(24,6), maximum_date date")
+    models = models if with_models else None
+    want = threshold.combined_daily(ledger.daily_ledger(candidates, accounts, 2024, rates=rates), models, 2024)
+    got = threshold.combined_from_days(candidates, accounts, rates, models, 2024)
+    assert got.schema.names == want.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == sorted(tuple(r) for r in want.collect()) and len(rows) > 900
+    assert threshold.combined_from_days(candidates.limit(0), accounts.limit(0), rates, None, 2024).isEmpty()
+
+
 def test_zero_totals_have_no_date(spark):
     rows = spark.createDataFrame([(1, "a", dt.date(2024, 1, 1), D(0))], "filer_id bigint, account_id string, date date, threshold_usd_value decimal(24,6)")
     assert threshold.threshold_answer(threshold.combined_daily(rows, None, 2024)).first()["max_combined_date"] is None
