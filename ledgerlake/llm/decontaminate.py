@@ -127,7 +127,8 @@ def _document_rows(id_col: str, text_col: str, window: int, gram: int, short: li
             for lo, hi, buf, offsets in bg.text_chunks(batch.column(text_col)):
                 words, before = bg.word_hashes(buf, offsets, bg.LETTERS_DIGITS)
                 n = hi - lo
-                which, fps, kinds, poss = [np.arange(n)], [np.zeros(n, np.uint64)], [np.full(n, -1, np.int32)], [np.zeros(n, np.int64)]
+                # A row of kind -1 for each text meets no item; its own key keeps these rows apart in a join by shuffle.
+                which, fps, kinds, poss = [np.arange(n)], [bg.mix(np.arange(serial, serial + n).astype(np.uint64))], [np.full(n, -1, np.int32)], [np.zeros(n, np.int64)]
                 ctx: list[np.ndarray] = [np.empty(0, np.int64)] * n
                 if known is None or 0 in known:
                     grams = bg.gram_hashes(words, gram)
@@ -149,7 +150,7 @@ def _document_rows(id_col: str, text_col: str, window: int, gram: int, short: li
                         ids.slice(lo, hi - lo).take(pa.array(row)),
                         pa.array(serial + row),
                         pa.array(np.diff(before)[row]),
-                        pa.array(np.concatenate(fps).view(np.int64), mask=np.concatenate(kinds) < 0),
+                        pa.array(np.concatenate(fps).view(np.int64)),
                         pa.array(np.concatenate(kinds)),
                         pa.array(np.concatenate(poss)),
                         _lists(ctx),
