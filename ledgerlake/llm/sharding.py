@@ -11,8 +11,10 @@ bits of the id key split it. Rows move once, after the splitters are known.
 The exchanges that give slots come after that: rows are numbered inside
 buckets of keys, and the buckets' counts are summed.
 
-Law `bytes`: shard sizes differ from the mean by the tolerance at most, as
-long as no single row is larger. Null text has size 1 and the crc of the empty
+Law `bytes`: a splitter misses its byte position by the tolerance (1 % of a
+shard) or the largest row there, whichever is more, so a shard's size differs
+from the mean by twice that at most: on small tables, where one text is
+several per cent of a shard, by several per cent. Null text has size 1 and the crc of the empty
 text. A null doc_id shares the key of the text "null", which only decides its place
 among equal texts. Rows alike in text and id can't be told apart and stay
 together. A very long text is one row of its size. An empty table gives no
@@ -26,7 +28,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.staging import materialize, running_total
+from ledgerlake.functions.staging import MAX_BROADCAST_ROWS, materialize, running_total
 
 BITS, STEP = 60, 10
 ROWS_PER_BUCKET = 4096
@@ -103,9 +105,11 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     b1 = F.shiftright("k1", BITS - bits) if bits else F.lit(0).cast("bigint")
     # A bucket that a large group of copies fills is cut up by the id key too.
     heavy = materialize(keys.groupBy(b1.alias("_b1")).agg(F.count("*").alias("_n")).filter(F.col("_n") > 4 * ROWS_PER_BUCKET).select("_b1"), "shard-heavy")
+    if heavy.count() <= MAX_BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
 
     def placed(rows: DataFrame) -> DataFrame:
-        found = rows.withColumn("shard", shard_of(cuts)).withColumn("b1", b1).join(F.broadcast(heavy), F.col("b1") == F.col("_b1"), "left")  # n / 16384 rows at most
+        found = rows.withColumn("shard", shard_of(cuts)).withColumn("b1", b1).join(heavy, F.col("b1") == F.col("_b1"), "left")
         fine = F.when(F.col("_b1").isNull(), F.struct(F.lit(0).cast("bigint").alias("k1"), F.lit(0).cast("bigint").alias("b2"))).otherwise(F.struct(F.col("k1"), (F.shiftright("k2", BITS - bits) if bits else F.lit(0)).cast("bigint").alias("b2")))
         return found.withColumn("bucket", F.struct("b1", fine.alias("fine"))).withColumn("one", F.lit(1).cast("bigint"))
 
