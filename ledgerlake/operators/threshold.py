@@ -168,14 +168,12 @@ def combined_from_days(candidates: DataFrame, accounts: DataFrame, rates: DataFr
     return runs.select("filer_id", F.explode(F.sequence("date", "_until")).alias("date"), "known_total_usd", "upper_bound_total_usd", "over", "possibly_over")
 
 
-#: Columns of a wide table at most: more labels than that are a mistake in the labels.
-MAX_LABELS = 1000
-
-
-def combined_wide(ledger: DataFrame, models: DataFrame | None, tax_year: int, label: str = "label") -> DataFrame:
+def combined_wide(ledger: DataFrame, models: DataFrame | None, tax_year: int, label: str = "label", accounts: DataFrame | None = None) -> DataFrame:
     """One row per filer and day: for every label its value and its upper bound, and both totals.
 
-    Labels come from the data. A dated account has one value in both columns; an
+    Labels come from the data: from the accounts of the ledger, if given with the
+    same column, so the ledger is not made twice. Their number is bounded by
+    spark.sql.pivotMaxValues, as that of any pivot's columns. A dated account has one value in both columns; an
     account known by its maximum has that as upper bound of every day, and as value
     on its date only (else 0). A label that a filer lacks is null.
     """
@@ -185,9 +183,13 @@ def combined_wide(ledger: DataFrame, models: DataFrame | None, tax_year: int, la
     if models is not None:
         top = models.select("filer_id", F.explode(F.sequence(start, end)).alias("date"), F.col(label).alias("_label"), money(F.when(F.col("maximum_date") == F.col("date"), F.col("maximum_usd")).otherwise(0)).alias("v"), money(F.col("maximum_usd")).alias("u"))
         rows = rows.unionByName(top)
-    labels = [r[0] for r in rows.select("_label").distinct().orderBy("_label").limit(MAX_LABELS + 1).collect()]
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"over {MAX_LABELS} labels")
+    named = rows.select("_label") if accounts is None else accounts.select(label)
+    if accounts is not None and models is not None:
+        named = named.union(models.select(label))
+    most = int(ledger.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    labels = [r[0] for r in named.distinct().orderBy(named.columns[0]).limit(most + 1).collect()]
+    if len(labels) > most:
+        raise ValueError(f"over {most} labels: raise spark.sql.pivotMaxValues")
     wide = rows.groupBy("filer_id", "date").pivot("_label", labels).agg(F.sum("v").alias("v"), F.sum("u").alias("u"))
     total = lambda c: money(sum((F.coalesce(F.col(f"`{x}_{c}`"), F.lit(0)) for x in labels), F.lit(0)))
     each = [x for name in labels for x in (F.col(f"`{name}_v`").alias(name), F.col(f"`{name}_u`").alias(f"{name}__upper_bound"))]

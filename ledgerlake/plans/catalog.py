@@ -359,7 +359,7 @@ labelled as (select filer_id, d, split_part(account_id, '-', 2) as label, micro
 select filer_id, cast(d as varchar) as date, {_WIDE}, cast(coalesce(sum(v), 0) as double) / 1000000 as known_total_usd, cast(coalesce(sum(u), 0) as double) / 1000000 as upper_bound_total_usd from labelled group by filer_id, d""")
 def t07_combined_wide(spark, d):
     kind = F.split_part("account_id", F.lit("-"), F.lit(2))
-    return threshold.combined_wide(usd_ledger(spark, d).withColumn("label", kind), models(spark, d).withColumn("label", kind), YEAR)
+    return threshold.combined_wide(usd_ledger(spark, d).withColumn("label", kind), models(spark, d).withColumn("label", kind), YEAR, accounts=accounts(spark, d).withColumn("label", kind))
 
 
 _ANSWER = _C + f""",
