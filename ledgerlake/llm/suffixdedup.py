@@ -1,14 +1,12 @@
-"""Removal of long repeated byte strings by bucket-pointer refinement.
-
-Suffixes are dealt into initial buckets by their first q bytes. A bucket's
-identifier is a 64-bit name of the bytes that its members share, and a bucket
-is refined by the identifiers of later offsets: the members of one bucket of
-depth 2d are those whose buckets of depth d are equal at the start and d bytes
-on (or at an overlap, for depths between). So identifiers of depth 100 give
-those of 200, and these again those of 400; a refined identifier serves every
-suffix that points to it. A name is the same wherever the bytes stand, so a
-level needs no ranks from the level before, only the sorting of its own
-identifiers; what is alone in its bucket is done and drops out.
+"""Removal of long repeated byte strings by counted buckets of anchors.
+
+This stands in for bucket-pointer refinement, in which the members of a bucket
+are sorted by the bucket identifiers that the positions some bytes on have.
+That takes an exchange of all positions a level. Here a bucket's identifier is
+a 64-bit name of the bytes that its members share, so the identifier at a later
+offset need not be looked up: it is computed from the text's prefix hashes, for
+depths of 100, 200 and 400 in turn. A level groups and counts names; what is alone
+in its bucket is done and drops out.
 
 Not every suffix goes in. Of the 301 places where a 100-byte gram can start in
 a 400-byte string, the one with the least gram hash (first of equals) is its
