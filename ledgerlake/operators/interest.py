@@ -36,19 +36,30 @@ def _kind(folded: Column) -> Column:
     return F.when(folded.rlike(_any(EXCLUDED)), F.when(named, "excluded").otherwise("none")).when(folded.rlike(_any(POSITIVE)), "interest-positive").when(named, "interest-generic").otherwise("none")
 
 
-def interest_amount(line: Column) -> Column:
-    """The first positive amount from the end of the earliest interest term on, else the first positive one; null if there is none."""
+def interest_amount(line: Column, stated_zero: bool = False) -> Column:
+    """The first positive amount from the end of the earliest interest term on, else the first positive one; null if there is none.
+
+    With stated_zero, a line that shows an amount of zero, and none above it, has that amount.
+    """
     folded = F.translate(F.lower(line), text.ACCENTED, text.PLAIN)
     end = F.length(F.regexp_extract(folded, f"^(.*?(?:{_any(POSITIVE + GENERIC)}))", 1))
-    good = F.filter(text.money_tokens(line, "interest"), lambda t: t["amount"] > 0)
-    pick = lambda v: F.coalesce(F.try_element_at(F.filter(v["good"], lambda t: t["position"] > v["end"]), F.lit(1)), F.try_element_at(v["good"], F.lit(1)))["amount"]
-    return text._let(F.struct(good.alias("good"), end.alias("end")), pick)
+    shown = F.filter(text.money_tokens(line, "interest"), lambda t: t["amount"] >= 0)
+
+    def pick(v: Column) -> Column:
+        good = F.filter(v["shown"], lambda t: t["amount"] > 0)
+        picked = F.coalesce(F.try_element_at(F.filter(good, lambda t: t["position"] > v["end"]), F.lit(1)), F.try_element_at(good, F.lit(1)))
+        return (F.coalesce(picked, F.try_element_at(v["shown"], F.lit(1))) if stated_zero else picked)["amount"]
+
+    return text._let(F.struct(shown.alias("shown"), end.alias("end")), pick)
+
 
+def interest_rows(lines: DataFrame, tax_year: int, currency: str = "currency", line: str = "line", day_first: Column | None = None, stated_zero: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Interest rows of the tax year, and lines with an interest term that are left out: clearly other, without amount, or of another year.
 
-def interest_rows(lines: DataFrame, tax_year: int, currency: str = "currency", line: str = "line", day_first: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Interest rows of the tax year, and lines with an interest term that are left out: clearly other, without amount, or of another year."""
+    stated_zero: an amount of zero, if it is all that a line shows, is its amount (`interest_amount`).
+    """
     day = F.try_element_at(text.date_tokens(F.col(line), "interest", day_first), F.lit(1))["date"]
-    parsed = F.struct(classify_interest(F.col(line)).alias("kind"), day.alias("event_date"), interest_amount(F.col(line)).alias("amount"))
+    parsed = F.struct(classify_interest(F.col(line)).alias("kind"), day.alias("event_date"), interest_amount(F.col(line), stated_zero).alias("amount"))
     # A generator keeps filters on the parsed columns from parsing the line a second time.
     rows = lines.filter(text.normalize_text(F.col(line), "ascii_fold").rlike(_any(POSITIVE + GENERIC))).select("*", F.inline(F.array(parsed))).filter("kind <> 'none'")
     reason = F.when(F.col("kind") == "excluded", "clear-non-interest").when(F.col("amount").isNull(), "no-positive-amount").when(F.year("event_date") != tax_year, "date-outside-year")
