@@ -70,29 +70,22 @@ def duplicate_accounts(accounts: DataFrame, group: str = "filer_id", identity: t
 def account_labels(accounts: DataFrame, group: str = "filer_id", name: str = "account_id", order: str = "account_id") -> DataFrame:
     """Slug labels, unique in a filer's set: the second of a slug gets -2, the next free number where that is some account's own slug.
 
-    Order matters inside a filer's set, which holds the accounts of one person.
+    A slug's n-th account gets the (n - 1)-th number from 2 on that no own slug takes. Numbers that are taken
+    stand among the places of the slug's accounts, where counting them gives the numbers to step over; so a set
+    of any size is sorted, not searched.
     """
-    import pandas as pd
-
     plain = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     rows = accounts.withColumn("slug", F.when(plain == "", "account").otherwise(plain))
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order])
-        own, used, out = set(pdf["slug"]), set(), []
-        for slug in pdf["slug"]:
-            found, k = slug, 1
-            while found in used or (k > 1 and found in own):
-                k += 1
-                found = f"{slug}-{k}"
-            used.add(found)
-            out.append(found)
-        return pdf.assign(label=out)
-
-    repeated = rows.groupBy(group, "slug").count().filter("count > 1").select(group).distinct()
-    plain_sets = rows.join(repeated, group, "left_anti").withColumn("label", F.col("slug"))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, label string"
-    return plain_sets.unionByName(rows.join(repeated, group, "left_semi").groupBy(group).applyInPandas(label, schema)).drop("slug")
+    by_slug = W.partitionBy(group, "slug")
+    placed = rows.withColumn("_place", F.row_number().over(by_slug.orderBy(F.asc_nulls_last(order))).cast("bigint")).withColumn("_row", F.lit(True))
+    # An own slug that reads as another one with a number, as f"{slug}-{number}" would write it.
+    own = rows.select(group, "slug").distinct().select(group, F.regexp_extract("slug", r"^(.*)-([1-9]\d{0,17})$", 1).alias("slug"), F.regexp_extract("slug", r"^(.*)-([1-9]\d{0,17})$", 2).try_cast("bigint").alias("_n"))
+    taken = own.filter("slug <> '' and _n > 1").withColumn("_place", F.col("_n") - F.row_number().over(by_slug.orderBy("_n"))).drop("_n").withColumn("_row", F.lit(False))
+    both = placed.unionByName(taken, allowMissingColumns=True)
+    before = F.count_if(~F.col("_row")).over(by_slug.orderBy("_place", F.desc("_row")).rowsBetween(W.unboundedPreceding, 0))
+    number = F.col("_place") + before
+    label = F.when(F.col("_place") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", number.cast("string")))
+    return both.withColumn("label", label).filter("_row").select(*accounts.columns, "label")
 
 
 def account_maxima(ledger: DataFrame, models: DataFrame | None = None) -> DataFrame:
