@@ -53,3 +53,11 @@ def test_account_labels_of_a_large_set(spark):
             used.add(label)
             want[filer, n] = label
     assert got == want
+
+
+@pytest.mark.parametrize("scan", ["text", "bytes"])
+def test_lines_do_not_carry_their_file(spark, scan):
+    files = spark.createDataFrame([("a.txt", "mail a@b.io\n" * 9)], "path string, text string").selectExpr("path", "text", "length(text) as length", "encode(text, 'utf-8') as content")
+    made = privacy.scan(files.select("path", "text")) if scan == "text" else privacy.scan_bytes(files.drop("text"))
+    assert "Generate posexplode(_lines" in made._jdf.queryExecution().optimizedPlan().toString()  # not of anything made of text or content
+    assert made.count() == 9 and {r["line_no"] for r in made.collect()} == set(range(1, 10))
