@@ -317,6 +317,46 @@ def _nearest(which: Column, group: list[str]) -> Column:
     return F.least(before, after)
 
 
+#: Spans of a line that are compared with one another in place, at most.
+MAX_SPANS_IN_PLACE = 64
+
+
+def _kept_years(line: Column, spans: Column) -> Column:
+    """The years of a line of few spans that no clause and no heritage word takes, as array<string>; the rules are those of `detect_years`."""
+    marks = {"copyright": rf"(?i)^(?:{_COPYRIGHT})$", "heritage": rf"(?iU)^(?:{_HERITAGE})$"}
+
+    def near(s: Column, others: Column, which, most: int) -> Column:
+        reach = lambda m: which(m) & ((m["end"] <= s["start"]) & (s["start"] - m["end"] <= most) | (m["start"] >= s["end"]) & (m["start"] - s["end"] <= most))
+        return F.exists(others, reach)
+
+    kind = lambda t: F.when(t.rlike(r"^\d"), "year").when(t.rlike(marks["copyright"]), "copyright").when(t.rlike(marks["heritage"]), "heritage").otherwise("month")
+    named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), kind(s["token"]).alias("kind")))
+
+    def months(all_: Column) -> Column:
+        """The months, and by which kinds of marks each is reached."""
+        of = F.filter(all_, lambda s: s["kind"] == "month")
+        return F.transform(of, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), *[near(s, all_, lambda m, k=k: m["kind"] == k, NEAR).alias(k) for k in marks]))
+
+    def years(v: Column) -> Column:
+        def flagged(s: Column) -> Column:
+            by = [(near(s, v["all"], lambda m, k=k: m["kind"] == k, NEAR) | near(s, v["months"], lambda m, k=k: m[k], NEAR_MONTH)).alias(k) for k in marks]
+            before, after = line.substr(s["start"], F.lit(1)), line.substr(s["end"] + 1, F.lit(6))
+            dated = (s["start"] > 0) & before.isin(".", "/", "-") | after.rlike(r"^[-/.]\d{1,2}[-/.]\d{1,2}")
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), dated.alias("dated"), *by)
+
+        return F.transform(F.filter(v["all"], lambda s: s["kind"] == "year"), flagged)
+
+    def kept(v: Column) -> Column:
+        """Years without those of a list that copyright reaches; a list is known by where it begins."""
+        of = lambda y: F.array_max(F.filter(v["begins"], lambda b: b <= y["start"]))
+        taken = F.array_distinct(F.transform(F.filter(v["years"], lambda y: y["copyright"]), of))
+        return F.transform(F.filter(v["years"], lambda y: (y["dated"] | ~y["heritage"]) & ~F.array_contains(taken, of(y))), lambda y: y["token"])
+
+    begins = lambda ys: F.transform(F.filter(ys, lambda y, i: (i == 0) | (y["start"] - F.try_element_at(ys, i)["end"] > NEAR)), lambda y: y["start"])
+    found = _let(named, lambda all_: _let(F.struct(all_.alias("all"), months(all_).alias("months")), years))
+    return _let(found, lambda ys: _let(F.struct(ys.alias("years"), begins(ys).alias("begins")), kept))
+
+
 def detect_years(lines: DataFrame, key: str = "doc_id", line: str = "line") -> DataFrame:
     """Distinct years of a document's lines, without those that belong to a copyright clause or a word of heritage.
 
@@ -325,12 +365,15 @@ def detect_years(lines: DataFrame, key: str = "doc_id", line: str = "line") -> D
     copyright reaches, the clause goes on to each next year at most 8 signs away,
     both ways. A heritage word ("since", "established", "est.", "founded", "Member
     FDIC") reaches alike, but one year at a time, and never a year inside a numeric date.
+    Lines of few spans are judged in place, each by itself; only longer ones are dealt out and sorted.
     """
     marked = F.col(line).rlike(rf"(?iU){_COPYRIGHT}|{_HERITAGE}")
     rows = lines.filter(F.col(line).rlike(rf"(?U){_YEAR}"))
     plain = rows.filter(~marked).select(key, F.explode(F.regexp_extract_all(line, F.lit(rf"(?U)({_YEAR})"), F.lit(1))).alias("year"))
     group = [key, "at"]
-    spans = _year_spans(rows.filter(marked), key, line)
+    few = F.regexp_count(line, F.lit(_YEAR_SPANS)) <= MAX_SPANS_IN_PLACE
+    short = rows.filter(marked & few).select(key, F.explode(_let(_spans(F.col(line), _YEAR_SPANS), lambda s: _kept_years(F.col(line), s))).alias("year"))
+    spans = _year_spans(rows.filter(marked & ~few), key, line)
     for mark in ("copyright", "heritage"):
         spans = spans.withColumn(mark, _nearest(F.col("kind") == mark, group) <= NEAR)
     for mark in ("copyright", "heritage"):
@@ -340,7 +383,7 @@ def detect_years(lines: DataFrame, key: str = "doc_id", line: str = "line") -> D
     apart = F.coalesce(F.col("start") - F.lag("end").over(by) > NEAR, F.lit(False)).cast("int")
     years = years.withColumn("list", F.sum(apart).over(by)).withColumn("clause", F.max("by_copyright").over(W.partitionBy(*group, "list")))
     kept = years.filter("not clause and (dated or not by_heritage)").select(key, F.col("token").alias("year"))
-    return plain.union(kept).select(key, F.col("year").cast("int").alias("year")).distinct()
+    return plain.union(short).union(kept).select(key, F.col("year").cast("int").alias("year")).distinct()
 
 
 def period_intervals(lines: DataFrame, key: list[str], order: str = "line_no", line: str = "line") -> DataFrame:

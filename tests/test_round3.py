@@ -1,6 +1,7 @@
 """Cases that the third round of review found."""
 
 import datetime as dt
+import random
 import re
 from decimal import Decimal as D
 
@@ -61,3 +62,30 @@ def test_lines_do_not_carry_their_file(spark, scan):
     made = privacy.scan(files.select("path", "text")) if scan == "text" else privacy.scan_bytes(files.drop("text"))
     assert "Generate posexplode(_lines" in made._jdf.queryExecution().optimizedPlan().toString()  # not of anything made of text or content
     assert made.count() == 9 and {r["line_no"] for r in made.collect()} == set(range(1, 10))
+
+
+def test_years_in_place_as_by_windows(spark, monkeypatch):
+    parts = ["©", "(c)", "copyright", "since", "est.", "Member FDIC", "May", "Sept.", "2019", "1999", "2024", "/", "-04-01", "01.02.", " ", "   ", " " * 6, " " * 9, ",", "and"]
+    rng = random.Random(3)
+    lines = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(2, 12))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id int, line string")
+    found = lambda: {(r["doc_id"], r["year"]) for r in text.detect_years(rows).collect()}
+    here = found()
+    monkeypatch.setattr(text, "MAX_SPANS_IN_PLACE", 0)
+    assert here == found() and len(here) > 300
+
+
+def test_few_spans_are_not_dealt_out(spark):
+    rows = spark.createDataFrame([(1, "© 2019 Bank"), (2, "© " + "2019 " * 99 + " " * 9 + "2020")], "doc_id int, line string")
+    assert {(r["doc_id"], r["year"]) for r in text.detect_years(rows).collect()} == {(2, 2020)}
+    assert text.detect_years(rows.filter("doc_id = 1")).count() == 0 and text.MAX_SPANS_IN_PLACE == 64
+
+
+def test_headers_of_many_accounts_go_to_python_in_batches(spark):
+    day = dt.date(2024, 2, 1)
+    periods = spark.createDataFrame([(a, dt.date(2024, 1, 1), dt.date(2024, 1, 31)) for a in (1, 2, None)], "account_id bigint, start_date date, end_date date")
+    heads = spark.createDataFrame([(10, 1, 2, 1, 2, 29), (20, 2, 2, 1, 2, 9), (21, 2, 2, 10, 2, 29), (30, None, 2, 1, 2, 2), (40, 4, 2, 1, 2, 29)], "header_id bigint, account_id bigint, start_month int, start_day int, end_month int, end_day int")
+    made = intake.chain_header_years(heads, periods, 2024)
+    assert {r["header_id"]: r["start_date"] for r in made.collect()} == {10: day, 20: day, 21: dt.date(2024, 2, 10), 30: day}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
