@@ -6,8 +6,9 @@ import calendar
 import datetime as dt
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -187,8 +188,8 @@ def place_header_year(headers: DataFrame, anchors: DataFrame, tax_year: int, key
 _SHAPE = ["start_month", "start_day", "end_month", "end_day", "start_year", "end_year"]
 
 
-def _chained(headers: pd.DataFrame, periods: pd.DataFrame, tax_year: int) -> list[tuple[int, dt.date, dt.date]]:
-    """(row of headers, start, end) of one account's distinct headers, placed next to its periods.
+def _chained(shapes: list[tuple], single: list[int], periods: list[tuple[dt.date, dt.date]], tax_year: int) -> list[tuple[int, dt.date, dt.date]]:
+    """(place in shapes, start, end) of one account's distinct headers, placed next to its periods; single: headers of each shape.
 
     Rounds are semi-naive: the first looks at all periods, each later one only at those of the
     round before. A place is looked up by the day on which it would have to
@@ -212,11 +213,9 @@ def _chained(headers: pd.DataFrame, periods: pd.DataFrame, tax_year: int) -> lis
             begins[start].add((i, year))
             finishes[end].add((i, year))
 
-    shapes = [tuple(None if pd.isna(v) else int(v) for v in row) for row in headers[_SHAPE].itertuples(index=False)]
-    single = headers["headers"].tolist()
     starts, ends, years, placed, out = [], [], set(), set(), []
     touched: set[tuple[int, int]] = set()
-    fresh = sorted(set(zip(periods["start_date"], periods["end_date"], strict=True)))
+    fresh = sorted(set(periods))
     longest = max((b - a for a, b in fresh), default=day)
     for i, shape in enumerate(shapes):
         for y in {x for v in (tax_year, *shape[4:]) if v for x in (v - 1, v, v + 1)}:
@@ -259,6 +258,14 @@ def _chained(headers: pd.DataFrame, periods: pd.DataFrame, tax_year: int) -> lis
     return out
 
 
+def _fields(lists: pa.ListArray) -> tuple[list[list], list[int]]:
+    """The fields of all structs in the lists, each as one list, and where in them each of the lists begins and ends."""
+    structs, ends = lists.flatten(), [0]
+    for n in lists.value_lengths().to_pylist():
+        ends.append(ends[-1] + n)
+    return [column.to_pylist() for column in structs.flatten()], ends
+
+
 def chain_header_years(headers: DataFrame, periods: DataFrame, tax_year: int, key: str = "account_id") -> DataFrame:
     """Places the remaining headers of an account next to its periods, round by round, until nothing new fits.
 
@@ -274,14 +281,22 @@ def chain_header_years(headers: DataFrame, periods: DataFrame, tax_year: int, ke
             shown = shown.withColumn(c, F.lit(None).cast("int"))
     shapes = shown.groupBy(key, *_SHAPE).agg(F.min("header_id").alias("header_id"), F.count("*").alias("headers"))
     known = periods.filter("start_date is not null and end_date >= start_date").select(F.col(key).alias("_account"), "start_date", "end_date").distinct()
-
-    def chain(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = _chained(left.reset_index(drop=True), right, tax_year)
-        ids = left["header_id"].tolist()
-        return pd.DataFrame([(ids[i], a, b) for i, a, b in found], columns=["header_id", "start_date", "end_date"], dtype=object)
+    # One row per account on either side, so that a batch of accounts goes to Python at once.
+    lists = shapes.groupBy(key).agg(F.collect_list(F.struct("header_id", "headers", *_SHAPE)).alias("_heads"))
+    lists = lists.join(known.groupBy("_account").agg(F.collect_list(F.struct("start_date", "end_date")).alias("_known")), F.col(key).eqNullSafe(F.col("_account"))).select("_heads", "_known")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (ids, single, *parts), heads = _fields(batch.column("_heads"))
+            spans, at = _fields(batch.column("_known"))
+            forms, days, out = list(zip(*parts, strict=True)), list(zip(*spans, strict=True)), []
+            for a, b, c, e in zip(heads, heads[1:], at, at[1:], strict=False):
+                out += [(ids[a + i], start, end) for i, start, end in _chained(forms[a:b], single[a:b], days[c:e], tax_year)]
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (batch.column("_heads").type.value_type.field("header_id").type, pa.date32(), pa.date32()), strict=True)], names=["header_id", "start_date", "end_date"])
 
     types = f"header_id {headers.schema['header_id'].dataType.simpleString()}, start_date date, end_date date"
-    placed = shapes.groupBy(key).cogroup(known.groupBy("_account")).applyInPandas(chain, types)
+    placed = lists.mapInArrow(chain, types)
     return headers.join(placed, "header_id").withColumn("confidence", F.lit("medium")).withColumn("provenance", F.lit("inferred-chain"))
 
 
