@@ -89,3 +89,8 @@ def test_headers_of_many_accounts_go_to_python_in_batches(spark):
     assert {r["header_id"]: r["start_date"] for r in made.collect()} == {10: day, 20: day, 21: dt.date(2024, 2, 10), 30: day}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "CoGroup" not in plan
+
+
+def test_redaction_reads_each_step_once(spark):
+    plan = spark.createDataFrame([("a@b.io",)], "t string").select(privacy.redacted(F.col("t")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract_all(") < 12
