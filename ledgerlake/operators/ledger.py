@@ -57,16 +57,14 @@ def same_day_variance(candidates: DataFrame) -> DataFrame:
     return days.filter((F.col("high_amount") > F.col("low_amount")) & (F.col("high_amount") - F.col("low_amount") > F.abs("high_amount") * F.expr("0.5bd")))
 
 
-def daily_ledger(candidates: DataFrame, accounts: DataFrame, tax_year: int, leading_zero: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
-    """The account's calendar year: observed days, carried days, attested zeros and missing days before the first.
-
-    Each observation is spread over the days up to the next one, so the
-    calendar is never joined and only observed days are sorted; every account
-    stands before its observations with a row of its own, which is spread over
-    the days ahead. leading_zero has (filer_id, account_id, zero_until): days
-    before it and before the first observation are zero. With rates (and a
-    currency per account), observations are converted before they are spread,
-    as `fx.to_usd` does, so a carried value is not converted again every day.
+def ledger_stretches(candidates: DataFrame, accounts: DataFrame, tax_year: int, leading_zero: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
+    """`daily_ledger` with one row for days that are alike: `date` is the first and `days` the number of them.
+
+    An observed day is a row, as are the days that carry it, the attested zeros
+    and the missing days ahead of the first; so rows grow with the observations, and
+    what holds for a stretch is worked out once. Each observation lasts up
+    to the next one, so only observed days are sorted; every account stands before
+    its observations with a row of its own for the days ahead.
     """
     start, end = _year(tax_year)
     days = same_day_pick(candidates.filter(F.col("balance_date").between(start, end)))
@@ -90,69 +88,99 @@ def daily_ledger(candidates: DataFrame, accounts: DataFrame, tax_year: int, lead
         ahead = ahead.withColumn("zero_money", F.struct(F.lit(0).cast("decimal(24,6)").alias("native_balance")))
     rows = days.withColumn("first", F.col("balance_date")).unionByName(ahead.withColumn("first", F.date_sub(start, 1)), allowMissingColumns=True)
     following = F.lead("first").over(W.partitionBy(*KEYS).orderBy("first"))
-    spread = rows.withColumn("until", F.coalesce(F.date_sub(following, 1), end)).filter((F.col("until") >= F.col("first")) & (F.col("until") >= start))
-    spread = spread.withColumn("date", F.explode(F.sequence(F.greatest("first", start), "until")))
-    seen, on_day = F.col("balance_date").isNotNull(), F.col("date") == F.col("balance_date")
-    zero = F.coalesce(F.col("date") < F.col("zero_until"), F.lit(False))
+    rows = rows.withColumn("until", F.coalesce(F.date_sub(following, 1), end)).filter((F.col("until") >= F.col("first")) & (F.col("until") >= start))
     confidence = F.when(F.col("material_variance") & (F.col("picked_confidence") == "high"), "medium").otherwise(F.col("picked_confidence"))
     kind = F.when(F.col("candidate_type").isin(RECONSTRUCTED, PERIOD_END), F.col("candidate_type")).otherwise("transaction")
     flags = F.filter(
         F.array(
-            F.when(on_day & F.col("material_variance"), F.lit("material-same-day-balance-candidates")),
-            F.when(on_day & (F.col("carry_amount") != F.col("amount")), F.lit("reconstructed-end-of-day-carry")),
+            F.when(F.col("material_variance"), F.lit("material-same-day-balance-candidates")),
+            F.when(F.col("carry_amount") != F.col("amount"), F.lit("reconstructed-end-of-day-carry")),
         ),
         lambda f: f.isNotNull(),
     )
-    value = F.when(on_day, F.col("amount_money")).when(seen, F.col("carry_amount_money")).when(zero, F.col("zero_money"))
-    extra = ["currency", F.lit(tax_year).alias("tax_year")] if rates is not None else []
-    return spread.select(
-        *KEYS,
-        "date",
-        *extra,
-        *[value[c].alias(c) for c in money],
-        F.when(~seen, F.when(zero, "user-attested-pre-opening-zero").otherwise("missing-opening-coverage")).when(~on_day, "carried-forward").when(F.col("candidate_type") == PERIOD_END, PERIOD_END).otherwise("observed").alias("balance_source"),
-        F.when(~seen, F.when(zero, "user-attested-zero").otherwise("missing-opening")).when(on_day, kind).otherwise("carried-forward").alias("evidence_class"),
-        F.when(~seen, F.when(zero, "user-attested").otherwise("missing")).when(on_day, confidence).otherwise("medium").alias("confidence"),
-        F.when(on_day, F.col("source_ref")).when(seen, F.col("carry_ref")).alias("source_ref"),
-        F.when(seen, flags).otherwise(F.array().cast("array<string>")).alias("review_flags"),
-    )
+    none, no_flags = F.lit(None), F.array().cast("array<string>")
+    ahead_from = F.greatest(start, F.coalesce("zero_until", start))
+
+    def stretch(first, until, value, source, evidence, confidence, ref, flags=no_flags):
+        fields = {"date": first, "days": F.datediff(until, first) + 1, "value": value, "balance_source": source, "evidence_class": evidence, "confidence": confidence, "source_ref": ref.cast("string"), "review_flags": flags}
+        return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+    observed = stretch(F.col("first"), F.col("first"), F.col("amount_money"), F.when(F.col("candidate_type") == PERIOD_END, PERIOD_END).otherwise("observed"), kind, confidence, F.col("source_ref"), flags)
+    carried = stretch(F.date_add("first", 1), F.col("until"), F.col("carry_amount_money"), F.lit("carried-forward"), F.lit("carried-forward"), F.lit("medium"), F.col("carry_ref"))
+    zero = stretch(start, F.least(F.date_sub(ahead_from, 1), "until"), F.col("zero_money"), F.lit("user-attested-pre-opening-zero"), F.lit("user-attested-zero"), F.lit("user-attested"), none)
+    missing = stretch(ahead_from, F.col("until"), F.when(F.lit(False), F.col("zero_money")), F.lit("missing-opening-coverage"), F.lit("missing-opening"), F.lit("missing"), none)
+    extra = ["currency"] if rates is not None else []
+    parts = rows.select(*KEYS, *extra, F.inline(F.when(F.col("balance_date").isNotNull(), F.array(observed, carried)).otherwise(F.array(zero, missing)))).filter("days > 0")
+    if rates is not None:
+        extra.append(F.lit(tax_year).alias("tax_year"))
+    return parts.select(*KEYS, "date", F.col("days").cast("bigint").alias("days"), *extra, *[F.col("value")[c].alias(c) for c in money], "balance_source", "evidence_class", "confidence", "source_ref", "review_flags")
+
+
+def daily_ledger(candidates: DataFrame, accounts: DataFrame, tax_year: int, leading_zero: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
+    """The account's calendar year: observed days, carried days, attested zeros and missing days before the first.
+
+    The rows of `ledger_stretches`, spread over their days. leading_zero has
+    (filer_id, account_id, zero_until): days before it and before the first
+    observation are zero. With rates (and a currency per account), observations
+    are converted before they are spread, as `fx.to_usd` does, so a carried value
+    is not converted again every day.
+    """
+    rows = ledger_stretches(candidates, accounts, tax_year, leading_zero, rates)
+    day = F.explode(F.sequence("date", F.expr("date_add(date, cast(days - 1 as int))"))).alias("date")
+    return rows.select(*[day if c == "date" else c for c in rows.columns if c != "days"])
+
+
+def _days(ledger: DataFrame) -> tuple[Column, Column]:
+    """How many days a row stands for, and the last of them: more than one in `ledger_stretches`."""
+    if "days" not in ledger.columns:
+        return F.lit(1).cast("bigint"), F.col("date")
+    return F.col("days"), F.expr("date_add(date, cast(days - 1 as int))")
+
+
+def _runs(ledger: DataFrame) -> DataFrame:
+    """A daily ledger with its carried days in runs, known by the observation that they carry."""
+    return ledger.withColumn("run", F.sum(F.when(F.col("balance_source") == "carried-forward", 0).otherwise(1)).over(W.partitionBy(*KEYS).orderBy("date")))
 
 
 def carry_gaps(ledger: DataFrame, limit: int = ROUTINE_CARRY_DAYS) -> DataFrame:
-    """Runs of carried days longer than the limit. A run is known by the observation that it carries."""
-    by_day = W.partitionBy(*KEYS).orderBy("date")
+    """Runs of carried days longer than the limit, of a daily ledger or of `ledger_stretches`."""
+    days, last = _days(ledger)
     carried = F.col("balance_source") == "carried-forward"
-    runs = ledger.withColumn("run", F.sum(F.when(carried, 0).otherwise(1)).over(by_day)).filter(carried)
-    return runs.groupBy(*KEYS, "run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("days")).filter(F.col("days") > limit).drop("run")
+    if "days" in ledger.columns:
+        return ledger.filter(carried & (days > limit)).select(*KEYS, F.col("date").alias("start"), last.alias("end"), "days")
+    return _runs(ledger).filter(carried).groupBy(*KEYS, "run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("days")).filter(F.col("days") > limit).drop("run")
 
 
 def coverage(ledger: DataFrame, tax_year: int, limit: int = ROUTINE_CARRY_DAYS) -> DataFrame:
-    """Day counts of each account, first and last observation, and carried runs, in one pass over the ledger."""
+    """Day counts of each account, first and last observation, and carried runs, in one pass over a daily ledger or over `ledger_stretches`.
+
+    Stretches are summed up as they are; days are put in order first, for their runs.
+    """
     _, end = _year(tax_year)
-    by_day = W.partitionBy(*KEYS).orderBy("date")
+    days, last = _days(ledger)
     carried = F.col("balance_source") == "carried-forward"
     observed = F.col("balance_source").isin("observed", PERIOD_END)
-    runs = ledger.withColumn("run", F.sum(F.when(carried, 0).otherwise(1)).over(by_day))
     flagged = F.array_contains("review_flags", "material-same-day-balance-candidates")
-    count = lambda c: F.count_if(c)
-    per_run = runs.groupBy(*KEYS, "run").agg(
-        F.count("*").alias("rows"),
-        count(observed).alias("observed_days"),
-        count(observed & (F.col("evidence_class") == "transaction")).alias("transaction_observed_days"),
-        count(F.col("evidence_class") == RECONSTRUCTED).alias("reconstructed_observed_days"),
-        count(F.col("evidence_class") == PERIOD_END).alias("period_end_summary_days"),
-        count(F.col("evidence_class") == "user-attested-zero").alias("user_attested_zero_days"),
-        count(carried).alias("carried_forward_days"),
-        count(F.col("evidence_class") == "missing-opening").alias("missing_days"),
-        count(observed & (F.col("confidence") == "low")).alias("low_confidence_days"),
-        count(flagged).alias("material_same_day_variance_days"),
-        F.min(F.when(observed, F.col("date"))).alias("first_observed_date"),
-        F.max(F.when(observed, F.col("date"))).alias("last_observed_date"),
-    )
-    sums = ["observed_days", "transaction_observed_days", "reconstructed_observed_days", "period_end_summary_days", "user_attested_zero_days", "carried_forward_days", "missing_days", "low_confidence_days", "material_same_day_variance_days"]
+    counts = {
+        "observed_days": observed,
+        "transaction_observed_days": observed & (F.col("evidence_class") == "transaction"),
+        "reconstructed_observed_days": F.col("evidence_class") == RECONSTRUCTED,
+        "period_end_summary_days": F.col("evidence_class") == PERIOD_END,
+        "user_attested_zero_days": F.col("evidence_class") == "user-attested-zero",
+        "carried_forward_days": carried,
+        "missing_days": F.col("evidence_class") == "missing-opening",
+        "low_confidence_days": observed & (F.col("confidence") == "low"),
+        "material_same_day_variance_days": flagged,
+    }
+    counted = {name: F.when(c, days).otherwise(0) for name, c in counts.items()}
+    first_seen, last_seen = F.when(observed, F.col("date")), F.when(observed, last)
+    if "days" in ledger.columns:
+        per_run = ledger.select(*KEYS, days.alias("rows"), *[c.alias(name) for name, c in counted.items()], first_seen.alias("first_observed_date"), last_seen.alias("last_observed_date"))
+    else:
+        per_run = _runs(ledger).groupBy(*KEYS, "run").agg(F.sum(days).alias("rows"), *[F.sum(c).alias(name) for name, c in counted.items()], F.min(first_seen).alias("first_observed_date"), F.max(last_seen).alias("last_observed_date"))
     found = per_run.groupBy(*KEYS).agg(
         F.sum("rows").alias("calendar_days"),
-        *[F.sum(c).alias(c) for c in sums],
+        *[F.sum(c).alias(c) for c in counts],
         F.min("first_observed_date").alias("first_observed_date"),
         F.max("last_observed_date").alias("last_observed_date"),
         F.max("carried_forward_days").alias("longest_carry_run_days"),
@@ -192,8 +220,10 @@ def data_sufficiency(cover: DataFrame) -> DataFrame:
 
 
 def review_summary(ledger: DataFrame) -> DataFrame:
-    """Flagged days by account and kind of flag."""
-    return ledger.select(*KEYS, "date", F.explode("review_flags").alias("code")).groupBy(*KEYS, "code").agg(F.count("*").alias("days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    """Flagged days by account and kind of flag, of a daily ledger or of `ledger_stretches`."""
+    days, last = _days(ledger)
+    flagged = ledger.select(*KEYS, "date", last.alias("last"), days.alias("days"), F.explode("review_flags").alias("code"))
+    return flagged.groupBy(*KEYS, "code").agg(F.sum("days").alias("days"), F.min("date").alias("first_date"), F.max("last").alias("last_date"))
 
 
 def evidence_class(candidates: DataFrame, accounts: DataFrame, failed: DataFrame | None = None, opening_attested: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,8 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.operators import intake, interest, privacy, text, threshold
+from ledgerlake.operators import fx, intake, interest, ledger, privacy, text, threshold
+from ledgerlake.plans import catalog
 
 
 def one(spark, column, **values):
@@ -94,3 +95,29 @@ def test_headers_of_many_accounts_go_to_python_in_batches(spark):
 def test_redaction_reads_each_step_once(spark):
     plan = spark.createDataFrame([("a@b.io",)], "t string").select(privacy.redacted(F.col("t")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("regexp_extract_all(") < 12
+
+
+def observations(spark, seed, accounts):
+    """Random candidates of 2024 with repeated days and end-of-day amounts, accounts without any, and one that no account names."""
+    rng = random.Random(seed)
+    kinds = ["transaction-row", "period-end-summary", "reconstructed-from-movements"]
+    rows = [(f, a, n, dt.date(2023, 12, 20) + dt.timedelta(rng.choice([rng.randrange(380), 40])), D(rng.randrange(-900, 90000)) / 100, rng.choice(kinds), rng.choice(["high", "medium", "low"]), f"r{n}") for n, (f, a) in enumerate(x for x in accounts for _ in range(rng.randrange(9)))]
+    return spark.createDataFrame(rows, "filer_id bigint, account_id string, seq bigint, balance_date date, amount decimal(24,6), candidate_type string, confidence string, source_ref string")
+
+
+def test_coverage_of_stretches_as_of_days(spark):
+    keys = [(f, f"{f}-{a}") for f in range(9) for a in "ab"]
+    found = observations(spark, 1, keys + [(9, "9-a")])
+    accounts = spark.createDataFrame([(f, a, "USD") for f, a in keys + [(8, "8-c")]], "filer_id bigint, account_id string, currency string")
+    zero = spark.createDataFrame([(f, a, dt.date(2024, 3, 1)) for f, a in keys[::3]], "filer_id bigint, account_id string, zero_until date")
+    parts, days = (make(found, accounts, 2024, leading_zero=zero) for make in (ledger.ledger_stretches, ledger.daily_ledger))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert days.groupBy("filer_id", "account_id").agg(F.count("*").alias("n"), F.countDistinct("date").alias("m"), F.min("date").alias("a")).filter("n <> m or n <> datediff('2024-12-31', a) + 1 or (filer_id < 9 and n <> 366)").count() == 0
+    assert parts.count() < days.count() / 10 and parts.agg(F.sum("days")).first()[0] == days.count()
+    assert rows(ledger.coverage(parts, 2024)) == rows(ledger.coverage(days, 2024)) and rows(ledger.carry_gaps(parts)) == rows(ledger.carry_gaps(days)) and rows(ledger.review_summary(parts)) == rows(ledger.review_summary(days))
+    assert {r["user_attested_zero_days"] > 0 for r in ledger.coverage(parts, 2024).collect()} == {True, False}
+
+
+@pytest.mark.parametrize("name", ["l06_carry_gaps", "l08_coverage", "l09_data_sufficiency", "l11_review_summary", "t01_confirm_accounts"])
+def test_no_account_days_are_made(spark, sf, name):
+    assert "sequence(" not in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
