@@ -142,18 +142,20 @@ def _multiplied(native: str, usd_per_foreign: str) -> str:
     return f"try_cast(round(try_multiply(cast({native} as decimal(24,6)), {usd_per_foreign}), 6) as decimal(24,6))"
 
 
-def to_usd(rows: DataFrame, rates: DataFrame, native: str = "native_balance") -> DataFrame:
+def to_usd(rows: DataFrame, rates: DataFrame, native: str = "native_balance", filtered: bool = False) -> DataFrame:
     """Adds usd_micro (whole millionths), usd_balance (two places), threshold_usd_value (six, 0 at least) and negative.
 
     USD passes through; others divide by foreign_per_usd of their year, or multiply by usd_per_foreign
     where only that is given. Rows without a rate keep null, as do values beyond 18 digits before the
-    point; `unconverted` lists both.
+    point; `unconverted` lists both. If the result is to be filtered by its USD columns, say so: a filter is moved ahead
+    of the columns that it names, with their expressions in it, so the division would be made for each mention. Behind a
+    generator of one element it is made once a row.
     """
     side = rates.select(F.col("currency").alias("_cur"), F.col("rate_year").alias("_year"), F.col("foreign_per_usd").try_cast("decimal(26,12)").alias("_div"), F.col("usd_per_foreign").try_cast("decimal(26,12)").alias("_mul"))
     joined = rows.join(side, (F.col("currency") == F.col("_cur")) & (F.col("tax_year") == F.col("_year")), "left")
     exact = F.expr(f"cast({native} as decimal(24,6))")
     unit = F.when(F.col("currency") == "USD", exact).when(F.col("_div") > 0, F.expr(_divided(native, "_div"))).when(F.col("_mul") > 0, F.expr(_multiplied(native, "_mul")))
-    out = joined.withColumn("_usd", unit).drop("_cur", "_year", "_div", "_mul")
+    out = joined.select("*", (F.explode(F.array(unit)) if filtered else unit).alias("_usd")).drop("_cur", "_year", "_div", "_mul")
     out = out.withColumn("usd_micro", F.expr("cast(_usd * 1000000 as decimal(30,0))"))
     zero = F.lit(0).cast("decimal(24,6)")
     return out.withColumn("usd_balance", F.round("_usd", 2)).withColumn("threshold_usd_value", F.when(F.col("_usd").isNotNull(), F.greatest("_usd", zero))).withColumn("negative", F.coalesce(F.col(native) < 0, F.lit(False))).drop("_usd")

@@ -250,10 +250,8 @@ def rounding_dependency(maxima: DataFrame, threshold: int = THRESHOLD) -> DataFr
 
 def verify_conversion(stored: DataFrame, rates: DataFrame) -> DataFrame:
     """Ledger rows whose stored USD values differ from native amount and rate."""
-    from ledgerlake.operators.fx import to_usd
-
     kept = stored.withColumnRenamed("usd_balance", "stored_usd").withColumnRenamed("threshold_usd_value", "stored_threshold")
-    again = to_usd(kept, rates)
+    again = to_usd(kept, rates, filtered=True)
     same = F.col("usd_balance").eqNullSafe(F.col("stored_usd")) & F.col("threshold_usd_value").eqNullSafe(F.col("stored_threshold"))
     return again.filter(~same).select(*KEYS, "date", "stored_usd", "usd_balance", "stored_threshold", "threshold_usd_value")
 

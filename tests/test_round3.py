@@ -121,3 +121,14 @@ def test_coverage_of_stretches_as_of_days(spark):
 @pytest.mark.parametrize("name", ["l06_carry_gaps", "l08_coverage", "l09_data_sufficiency", "l11_review_summary", "t01_confirm_accounts"])
 def test_no_account_days_are_made(spark, sf, name):
     assert "sequence(" not in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_verification_converts_once_a_row(spark):
+    rates = spark.createDataFrame([("EUR", 2024, D("0.96"), None), ("COP", 2024, None, D("0.000227272727"))], "currency string, rate_year int, foreign_per_usd decimal(14,6), usd_per_foreign decimal(20,12)")
+    rows = spark.createDataFrame([(1, "a", dt.date(2024, 1, d), 2024, c, v) for d, (c, v) in enumerate([("EUR", D("9.6")), ("EUR", D("-9.6")), ("COP", D(4400)), ("USD", D(3)), ("KWD", D(3)), ("EUR", None)], 1)], "filer_id bigint, account_id string, date date, tax_year int, currency string, native_balance decimal(24,6)")
+    stored = fx.to_usd(rows, rates).drop("usd_micro", "negative")
+    assert threshold.verify_conversion(stored, rates).count() == 0
+    wrong = stored.select(*[(F.col(c) + F.when(F.dayofmonth("date") == 2, D("0.01")).otherwise(0)).cast(stored.schema[c].dataType).alias(c) if c in ("usd_balance", "threshold_usd_value") else c for c in stored.columns])
+    assert [(r["date"].day, r["stored_usd"], r["usd_balance"]) for r in threshold.verify_conversion(wrong, rates).collect()] == [(2, D("-9.99"), D("-10.00"))]
+    table = stored.sparkSession.createDataFrame(stored.collect(), stored.schema)
+    assert threshold.verify_conversion(table, rates)._jdf.queryExecution().optimizedPlan().toString().count(" div ") == 1
