@@ -164,29 +164,48 @@ def combined_from_days(candidates: DataFrame, accounts: DataFrame, rates: DataFr
 def combined_wide(ledger: DataFrame, models: DataFrame | None, tax_year: int, label: str = "label", accounts: DataFrame | None = None) -> DataFrame:
     """One row per filer and day: for every label its value and its upper bound, and both totals.
 
-    Labels come from the data: from the accounts of the ledger, if given with the
-    same column, so the ledger is not made twice. Their number is bounded by
+    The ledger is a daily one or `ledger_stretches`. Labels come from the data: from the accounts of the ledger, if given
+    with the same column, so the ledger is not made twice. Their number is bounded by
     spark.sql.pivotMaxValues, as that of any pivot's columns. A dated account has one value in both columns; an
     account known by its maximum has that as upper bound of every day, and as value
     on its date only (else 0). A label that a filer lacks is null.
+
+    A row of the ledger begins to count on its first day and ends after its last. These changes are summed per filer,
+    label and day, totalled up in order, and spread over the days up to the next change; so account-days are neither made
+    nor exchanged, and a filer's rows in the window are as many as its labels have days of change.
     """
     start, end = F.lit(f"{tax_year}-01-01").cast("date"), F.lit(f"{tax_year}-12-31").cast("date")
     money = lambda c: c.cast("decimal(24,6)")
-    rows = ledger.select("filer_id", "date", F.col(label).alias("_label"), money(F.col("threshold_usd_value")).alias("v")).withColumn("u", F.col("v"))
+    days = F.col("days") if "days" in ledger.columns else F.lit(1)
+    value = money(F.col("threshold_usd_value"))
+    rows = ledger.select("filer_id", F.col(label).alias("_label"), "date", F.date_add("date", days.cast("int")).alias("_end"), value.alias("v"), value.alias("u"))
+    if models is not None:
+        top, day, none = money(F.col("maximum_usd")), F.col("maximum_date"), F.lit(0).cast("decimal(24,6)")
+        part = lambda first, last, v: F.struct(first.alias("date"), last.alias("_end"), v.alias("v"), top.alias("u"))
+        after = F.date_add(end, 1)
+        parts = F.when(day.between(start, end), F.array(part(start, day, none), part(day, F.date_add(day, 1), top), part(F.date_add(day, 1), after, none))).otherwise(F.array(part(start, after, none)))
+        rows = rows.unionByName(models.select("filer_id", F.col(label).alias("_label"), F.inline(parts)).filter(F.col("date") < F.col("_end")))
+    named = ledger.select(label) if accounts is None else accounts.select(label)
     if models is not None:
-        top = models.select("filer_id", F.explode(F.sequence(start, end)).alias("date"), F.col(label).alias("_label"), money(F.when(F.col("maximum_date") == F.col("date"), F.col("maximum_usd")).otherwise(0)).alias("v"), money(F.col("maximum_usd")).alias("u"))
-        rows = rows.unionByName(top)
-    named = rows.select("_label") if accounts is None else accounts.select(label)
-    if accounts is not None and models is not None:
         named = named.union(models.select(label))
     most = int(ledger.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     labels = [r[0] for r in named.distinct().orderBy(named.columns[0]).limit(most + 1).collect()]
     if len(labels) > most:
         raise ValueError(f"over {most} labels: raise spark.sql.pivotMaxValues")
-    wide = rows.groupBy("filer_id", "date").pivot("_label", labels).agg(F.sum("v").alias("v"), F.sum("u").alias("u"))
-    total = lambda c: money(sum((F.coalesce(F.col(f"`{x}_{c}`"), F.lit(0)) for x in labels), F.lit(0)))
-    each = [x for name in labels for x in (F.col(f"`{name}_v`").alias(name), F.col(f"`{name}_u`").alias(f"{name}__upper_bound"))]
-    return wide.select("filer_id", "date", *each, total("v").alias("known_total_usd"), total("u").alias("upper_bound_total_usd"))
+    wide = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(25,6)")
+    one = lambda c: F.when(F.col(c).isNotNull(), 1).otherwise(0)
+    change = lambda day, sign: F.struct(F.col(day).alias("date"), F.lit(sign).alias("n"), (wide("v") * sign).cast("decimal(25,6)").alias("v"), (wide("u") * sign).cast("decimal(25,6)").alias("u"), (one("v") * sign).alias("n_v"), (one("u") * sign).alias("n_u"))
+    changes = rows.select("filer_id", "_label", F.inline(F.array(change("date", 1), change("_end", -1))))
+    sums = changes.groupBy("filer_id", "_label", "date").agg(*[F.sum(c).alias(c) for c in ("n", "v", "u", "n_v", "n_u")])
+    by_day = W.partitionBy("filer_id").orderBy("date")  # all rows of a day are peers
+    of = lambda name, c: F.sum(F.when(F.col("_label") == name, F.col(c))).over(by_day)
+    totals = sums.select("filer_id", "date", F.sum("n").over(by_day).alias("_n"), *[of(name, c).alias(f"_{c}{i}") for i, name in enumerate(labels) for c in ("v", "u", "n_v", "n_u")])
+    shown = lambda i, c: F.when(F.col(f"_n_{c}{i}") > 0, F.col(f"_{c}{i}").cast("decimal(34,6)"))
+    total = lambda c: money(sum((F.coalesce(shown(i, c), F.lit(0)) for i in range(len(labels))), F.lit(0)))
+    each = [shown(i, c).alias(name + tail) for i, name in enumerate(labels) for c, tail in (("v", ""), ("u", "__upper_bound"))]
+    runs = totals.select("filer_id", "date", "_n", *each, total("v").alias("known_total_usd"), total("u").alias("upper_bound_total_usd"))
+    runs = runs.withColumn("_next", F.lead("date").over(by_day)).filter((F.col("_n") > 0) & (F.col("_next") > F.col("date")))
+    return runs.select("filer_id", F.explode(F.sequence("date", F.date_sub("_next", 1))).alias("date"), *[F.col(f"`{c}`") for c in runs.columns[3:-1]])
 
 
 #: Evidence that leaves nothing open.

@@ -132,3 +132,31 @@ def test_verification_converts_once_a_row(spark):
     assert [(r["date"].day, r["stored_usd"], r["usd_balance"]) for r in threshold.verify_conversion(wrong, rates).collect()] == [(2, D("-9.99"), D("-10.00"))]
     table = stored.sparkSession.createDataFrame(stored.collect(), stored.schema)
     assert threshold.verify_conversion(table, rates)._jdf.queryExecution().optimizedPlan().toString().count(" div ") == 1
+
+
+@pytest.mark.parametrize("by", ["stretches", "days", "days with gaps"])
+def test_wide_totals_by_changes_as_by_pivot(spark, by):
+    keys = [(f, f"{f}-{a}") for f in range(8) for a in ("a1", "a2", "b1")]
+    accounts = spark.createDataFrame([(f, a, c) for (f, a), c in zip(keys, ["USD", "EUR", "XXX"] * 8)], "filer_id bigint, account_id string, currency string")
+    rates = spark.createDataFrame([("EUR", 2024, D("0.96"), None)], "currency string, rate_year int, foreign_per_usd decimal(14,6), usd_per_foreign decimal(20,12)")
+    named = lambda df: df.withColumn("label", F.substring(F.split_part("account_id", F.lit("-"), F.lit(2)), 1, 1))
+    tops = [(0, "0-m", D(5), dt.date(2024, 1, 1)), (1, "1-m", D(6), dt.date(2024, 12, 31)), (2, "2-b", D(7), dt.date(2024, 5, 5)), (2, "2-m", D(8), None), (3, "3-m", D(9), dt.date(2023, 5, 5)), (20, "20-m", None, dt.date(2024, 6, 1)), (21, "21-m", D(1), dt.date(2024, 6, 1))]
+    models = named(spark.createDataFrame(tops, "filer_id bigint, account_id string, maximum_usd decimal(24,6), maximum_date date"))
+    found = observations(spark, 2, keys + [(9, "9-b1")])
+    parts, days = (named(make(found, accounts, 2024, rates=rates)) for make in (ledger.ledger_stretches, ledger.daily_ledger))
+    if by == "days with gaps":
+        days = days.filter("(filer_id * 31 + dayofyear(date)) % 10 > 2")
+    every = models.withColumn("date", F.explode(F.expr("sequence(date'2024-01-01', date'2024-12-31')")))
+    long = days.selectExpr("filer_id", "date", "label", "threshold_usd_value as v", "threshold_usd_value as u").union(every.selectExpr("filer_id", "date", "label", "if(maximum_date = date, maximum_usd, 0)", "maximum_usd"))
+    want = long.groupBy("filer_id", "date").pivot("label", ["a", "b", "m"]).agg(F.sum("v").alias("v"), F.sum("u").alias("u"))
+    totals = [F.expr(" + ".join(f"coalesce({x}_{c}, 0)" for x in "abm")).alias(c) for c in "vu"]
+    want = want.select("*", *totals)
+    got = threshold.combined_wide(parts if by == "stretches" else days, models, 2024, accounts=named(accounts) if by == "stretches" else None)
+    plain = lambda df: sorted(tuple(str(v + 0 if not isinstance(v, D) else v.normalize() + 0) if isinstance(v, (D, int)) else str(v) for v in r) for r in df.collect())
+    assert plain(got) == plain(want) and got.columns[2:4] == ["a", "a__upper_bound"]
+
+
+@pytest.mark.parametrize("name", ["t05_account_maxima", "t07_combined_wide", "t09_rounding_dependency"])
+def test_filers_days_come_last(spark, sf, name):
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan[plan.find("Aggregate ["):]
