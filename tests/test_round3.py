@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import fx, intake, interest, ledger, privacy, text, threshold
 from ledgerlake.plans import catalog
+from ledgerlake.sources import readers
 
 
 def one(spark, column, **values):
@@ -160,3 +161,16 @@ def test_wide_totals_by_changes_as_by_pivot(spark, by):
 def test_filers_days_come_last(spark, sf, name):
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan[plan.find("Aggregate ["):]
+
+
+def test_versions_of_a_ledger(spark, tmp_path):
+    versions = ["1.3", "1.10", "1.2", "1.3.0", "2", "x", "", None]
+    rows = spark.createDataFrame([(i, f"a{i}", dt.date(2024, 1, 1), v) for i, v in enumerate(versions)], "filer_id bigint, account_id string, date date, v string")
+    readers.write_ledger(rows.select("*", F.lit(2024).alias("tax_year"), F.lit(D(1)).alias("native_balance"), *[F.lit("x").alias(c) for c in ("balance_source", "evidence_class", "confidence", "source_ref")], F.array(F.lit("f")).alias("review_flags")), str(tmp_path / "now"))
+    now = spark.read.parquet(str(tmp_path / "now")).drop("schema_version").join(rows.select("account_id", F.col("v").alias("schema_version")), "account_id")
+    now.write.partitionBy("tax_year").parquet(str(tmp_path / "mixed"))
+    kept, bad = readers.read_ledger(spark, str(tmp_path / "mixed"))
+    assert {r["filer_id"] for r in kept.collect()} == {0, 1, 3, 4} and {r["entity"] for r in bad.collect()} == {"a2", "a5", "a6", "a7"}
+    assert {r["filer_id"] for r in readers.read_ledger(spark, str(tmp_path / "mixed"), least="x")[0].collect()} == {0, 1, 2, 3, 4}  # not its equal, which is no version
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.find("= 1.3)") < plan.find("RLIKE")  # rows of the plain case are compared only
